@@ -1,0 +1,53 @@
+"""What several operators share: cut lineage, and connected components."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Compute ``df`` once into the shared checkpoint folder and read it from there.
+
+    The folder is the one that ``spark.checkpoint.dir`` names; only a session
+    without one (a test on one machine) gets a temporary folder.
+    """
+    spark = df.sparkSession
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="notelake-"))
+    return df.checkpoint()
+
+
+def connected_components(edges: DataFrame) -> DataFrame:
+    """``edges(a, b)`` of longs -> ``(node, component)`` for every node that is not its component's smallest.
+
+    Alternating large-star and small-star rounds: each round only joins edges
+    with the minimum of their node, so a hub is split by the skew join, and its
+    edges shrink to one per neighbour.  Ends when a round changes nothing.
+    Nulls and self-loops link nothing; repeated edges count once.
+    """
+    e = (
+        edges.where("a is not null and b is not null and a <> b")
+        .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+        .distinct()
+    )
+    e, before = materialize(e), None
+    while True:
+        state = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
+        if state[0] == 0 or state == before:
+            return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
+        before = state
+        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
+        large = (
+            e.join(least, e.v == least.k)
+            .select("u", F.col("m").alias("v"))
+            .where("u <> v")
+            .distinct()
+        )
+        low = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), "m")
+        hooked = large.join(low, large.u == low.k).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        e = materialize(hooked.union(low.select(F.col("k").alias("u"), F.col("m").alias("v"))).distinct())
