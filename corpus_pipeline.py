@@ -10,7 +10,12 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from notelake.llm import mixing, packing, simhash
+from notelake.llm import mixing, packing, simhash, toxicity
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier chain rejects go."""
+    return toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +33,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs)
 
 
-STAGES = [("near_copies", near_copies), ("mix", mix), ("pack", pack)]
+STAGES = [("drop_toxic", drop_toxic), ("near_copies", near_copies), ("mix", mix), ("pack", pack)]
 #: SQL has neither the hashes nor the tokenizer.
 ORACLE_SQL = None
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, simhash, tokens
+from . import chat, editprint, embed_dedup, licenses, mixing, packing, simhash, tokens, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,20 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(_table(spark, sf_dir, "documents"))
 
 
+def op2_warc_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = warc.shared_folder(spark, "warc")
+    directory = warc.write_index(warc.write_archives(_table(spark, sf_dir, "pages"), folder), folder)
+    records = warc.read_records(warc.captures_of(directory), payloads=False)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    own = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(own)
+    return chat.digests(chat.format_conversations(turns)).drop("identical")
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"))
 
@@ -29,5 +43,27 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op4_best_fit_packing, op5_token_counts, op6_mix_sources)}
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.embedding_components(_table(spark, sf_dir, "embeddings"))
+
+
+def op9_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return editprint.edited_pairs(_table(spark, sf_dir, "documents"))
+
+
+def op10_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_simhash_near_dedup, op2_warc_capture_index, op3_chat_format, op4_best_fit_packing, op5_token_counts,
+        op6_mix_sources, op7_license_scan, op8_embedding_near_dedup, op9_edit_fingerprints, op10_toxicity_chain,
+    )
+}
 ORACLE_SQL: dict[str, str] = {}
