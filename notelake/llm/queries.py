@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, editprint, embed_dedup, licenses, mixing, packing, simhash, tokens, toxicity, warc
+from . import chat, editprint, embed_dedup, licenses, mixing, packing, simhash, sql, tokens, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,4 +66,10 @@ QUERIES = {
         op6_mix_sources, op7_license_scan, op8_embedding_near_dedup, op9_edit_fingerprints, op10_toxicity_chain,
     )
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op2_warc_capture_index": sql.OP2,
+    "op3_chat_format": sql.OP3,
+    "op6_mix_sources": sql.OP6,
+    "op7_license_scan": sql.OP7,
+    "op8_embedding_near_dedup": sql.OP8,
+}
