@@ -30,9 +30,9 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 #: Words a worker keeps the arrays of; at that number it starts anew.
-KEPT_WORDS = 600_000
+KEPT_WORDS = 900_000
 #: Characters of the texts that a worker takes at once.
-OUT_CHARS = 2 << 20
+OUT_CHARS = 5 << 20
 
 #: White space of the libraries' patterns: fixed values.
 _SPACE = "\t\n\x0b\x0c\r \x85\xa0                　"
@@ -56,12 +56,18 @@ _NOT_PLAIN = re.compile(f"[^\\x00-\xff]|[{_RARE}]")
 _PIECES = re.compile(rf"[ \n\t\r]{{2,}}[^ \n\t\r]*|'(?:s|t|re|ve|m|ll|d)| ?[{_LETTER}]+| ?[{_DIGIT}]+| ?[^ \n\t\r{_LETTER}{_DIGIT}]+|[ \n\t\r]")
 
 
-#: Where a single space isn't the only white space around it, or characters are not plain, cutting at each space will not do.
-_AWKWARD = re.compile(f"[^\\x00-\xff]|[{_RARE}]|[ \n\t\r] | [\n\t\r]")
+#: Where a single space isn't the only white space around it, cutting at each space will not do.
+_BESIDE = ("  ", " \n", "\n ", "\t", "\r", *_RARE)
 
 
-def _spaced(text: str) -> list[str]:
-    return text.split(" ")[1:]
+def _simple(text: str) -> bool:
+    """Whether the text can be cut at each space: plain characters, and no other white space beside a space."""
+    if not text.isascii():
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return False
+    return not any(x in text for x in _BESIDE)
 
 
 class _Kept(dict):
@@ -84,12 +90,12 @@ class _Kept(dict):
 class _Joined(dict):
     """word -> the same for a space and the word."""
 
-    def __init__(self, pieces: _Kept):
+    def __init__(self, counter):
         super().__init__()
-        self.pieces = pieces
+        self.counter = counter
 
     def __missing__(self, word: str) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, _PIECES.findall(" " + word)))
+        return b"".join(map(self.counter.of_piece, _PIECES.findall(" " + word)))
 
 
 class PrefixCounter:
@@ -99,32 +105,36 @@ class PrefixCounter:
         self.tokenizer = Tokenizer.from_file(path)
         self.split = self.tokenizer.pre_tokenizer.pre_tokenize_str
         self.vocab = set(self.tokenizer.get_vocab(with_added_tokens=False))
-        self.longest = max(map(len, self.vocab))
         self.bytes = str.maketrans({c: "".join(p for p, _ in self.split(c)) for c in map(chr, range(256))})
         special = sorted((t.content for t in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
         self.cut = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
-        self.pairs: dict[tuple[str, str], bool] = {}
+        #: For each token, whether another may follow it, as far as that was asked.
+        self.follow: dict[str, dict[str, bool]] = {t: {} for t in self.vocab}
         self.words, self.pieces = _Kept(self.word), _Kept(self.piece)
-        self.spaced = _Joined(self.pieces)
-
-    def _may_follow(self, a: str, b: str) -> bool:
-        ok = self.pairs.get((a, b))
-        if ok is None:
-            if len(self.pairs) > 500_000:
-                self.pairs.clear()
-            ok = self.pairs[a, b] = [t.value for t in self.tokenizer.model.tokenize(a + b)] == [a, b]
+        self.spaced = _Joined(self)
+        self.before: dict[str, bytes] = {}
+        # The longest token that ends with three given characters; others have two at most.
+        self.ending: dict[str, int] = {}
+        for t in self.vocab:
+            if len(t) > 2:
+                self.ending[t[-3:]] = max(len(t), self.ending.get(t[-3:], 0))
+
+    def _learn_pair(self, a: str, b: str) -> bool:
+        ok = self.follow[a][b] = [t.value for t in self.tokenizer.model.tokenize(a + b)] == [a, b]
         return ok
 
     def extend(self, piece: str, last: list[str], count: list[int]) -> None:
         """Carry the last tokens and the counts of a pre-token's first prefixes on to all; piece is in the byte alphabet."""
-        vocab, pairs, longest = self.vocab, self.pairs, self.longest
+        follow, ending = self.follow, self.ending.get
         for i in range(len(last), len(piece) + 1):
-            for j in range(i - longest if i > longest else 0, i):
+            for j in range(max(0, i - ending(piece[i - 3 : i], 2)) if i > 2 else 0, i):
                 t = piece[j:i]
-                if t in vocab:
+                if t in follow:
                     if j:
-                        ok = pairs.get((last[j], t))
-                        if not (self._may_follow(last[j], t) if ok is None else ok):
+                        ok = follow[last[j]].get(t)
+                        if ok is None:
+                            ok = self._learn_pair(last[j], t)
+                        if not ok:
                             continue
                     last.append(t)
                     count.append(count[j] + 1)
@@ -148,30 +158,58 @@ class PrefixCounter:
         """As ``word``, for what ``_PIECES`` finds."""
         return self._by_char(piece, self.chain(piece.translate(self.bytes))) if self._plain(piece) else self.word(piece)
 
-    def learn(self, texts: list[str]) -> None:
-        """Get the words of ``texts`` ready.  Their pre-tokens go in order: each goes on from what it shares with the one before."""
-        fresh = set().union(*(_spaced(t) for t in texts if not _AWKWARD.search(t))).difference(self.spaced)
-        if len(self.spaced) + len(fresh) > KEPT_WORDS:
-            self.spaced.clear()
-        cut = {w: _PIECES.findall(" " + w) for w in fresh}
-        found = set().union(*cut.values()).difference(self.pieces)
-        if len(self.pieces) + len(found) > KEPT_WORDS:
-            self.pieces.clear()
-        last, count, before = [""], [0], ""
-        for raw in sorted(found):
-            if len(raw) <= 256 and self._plain(raw):
-                piece, k = raw.translate(self.bytes), 0
-                for x, y in zip(before, piece, strict=False):
-                    if x != y:
-                        break
-                    k += 1
-                del last[k + 1 :], count[k + 1 :]
-                self.extend(piece, last, count)
-                counts, before = self._by_char(raw, count), piece
-                self.pieces[raw] = array("h", map(sub, counts[1:], counts)).tobytes()
-        for w, pieces in cut.items():
+    def of_piece(self, piece: str) -> bytes:
+        """Changes of what ``_PIECES`` finds; those that begin with a space are kept with the words."""
+        if piece[0] == " " and self._plain(piece):
+            got = self.spaced.get(piece[1:])
+            if got is None:
+                counts = self.piece(piece)
+                got = array("h", map(sub, counts[1:], counts)).tobytes()
+            return got
+        return self.pieces[piece]
+
+    def learn(self, words: set[str]) -> None:
+        """Get words ready that follow a space.  Their pre-tokens go in order: each goes on from what it shares with the one before."""
+        spaced = self.spaced
+        fresh = words.difference(spaced)
+        if len(spaced) + len(fresh) > KEPT_WORDS // 2:  # what is in use moves over, the rest is forgotten
+            self.before, self.spaced = spaced, _Joined(self)
+            spaced, fresh = self.spaced, words
+        for w in fresh & self.before.keys():
+            spaced[w] = self.before[w]
+        fresh = fresh.difference(spaced)
+        cut, whole = {}, []
+        for w in fresh:
             if len(w) <= 256:
-                self.spaced[w] = b"".join(map(self.pieces.__getitem__, pieces))
+                own = _PIECES.findall(" " + w)
+                if len(own) == 1 and w and self._plain(own[0]):
+                    whole.append(w)
+                else:
+                    cut[w] = own
+        first = {own[0][1:] for own in cut.values() if own[0][0] == " " and len(own[0]) > 1 and self._plain(own[0])}
+        whole = sorted(first.difference(spaced).union(whole))
+        last, count, before, table = [""], [0], "", self.bytes
+        for w in whole:
+            piece, k = f" {w}".translate(table), 0
+            for x, y in zip(before, piece, strict=False):
+                if x != y:
+                    break
+                k += 1
+            del last[k + 1 :], count[k + 1 :]
+            self.extend(piece, last, count)
+            counts, before = count if len(piece) == len(w) + 1 else self._by_char(f" {w}", count), piece
+            spaced[w] = array("h", map(sub, counts[1:], counts)).tobytes()
+        for w, own in cut.items():
+            spaced[w] = b"".join(map(self.of_piece, own))
+
+    def many(self, texts: list[str]) -> list[bytes]:
+        """``changes`` of several texts."""
+        cut = [t.split(" ") if _simple(t) and not (self.cut and self.cut.search(t)) else None for t in texts]
+        self.learn(set().union(*(c[1:] for c in cut if c)))
+        return [self.changes(t) if c is None else self._of_cut(c) for t, c in zip(texts, cut, strict=True)]
+
+    def _of_cut(self, words: list[str]) -> bytes:
+        return b"".join((*map(self.of_piece, _PIECES.findall(words[0])), *map(self.spaced.__getitem__, words[1:])))
 
     def word(self, word: str) -> list[int]:
         """Counts at the prefixes of 0 to len(word) characters of ordinary text."""
@@ -196,11 +234,10 @@ class PrefixCounter:
         return out
 
     def ordinary(self, text: str) -> bytes:
-        if not _AWKWARD.search(text):
-            first, *rest = text.split(" ")
-            return b"".join((*map(self.pieces.__getitem__, _PIECES.findall(first)), *map(self.spaced.__getitem__, rest)))
+        if _simple(text):
+            return self._of_cut(text.split(" "))
         if not _NOT_PLAIN.search(text):
-            return b"".join(map(self.pieces.__getitem__, _PIECES.findall(text)))
+            return b"".join(map(self.of_piece, _PIECES.findall(text)))
         return b"".join(map(self.words.__getitem__, cut_words(text)))
 
     def changes(self, text: str) -> bytes:
@@ -245,8 +282,7 @@ def prefix_counts(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", id_col:
                     held += size[end]
                     end += 1
                 part = [t or "" for t in texts[at:end].to_pylist()]
-                count.learn(part)
-                changes = [count.changes(t) for t in part]
+                changes = count.many(part)
                 n_bytes = pa.array([len(t.encode()) for t in part], pa.int64())
                 n_tokens = pa.array([int(np.frombuffer(c, "<i2").sum(dtype=np.int64)) for c in changes], pa.int64())
                 yield pa.RecordBatch.from_arrays([ids[at:end], n_bytes, n_tokens, pa.array(changes, pa.binary())], names)

@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 SAMPLE, FOLDS, BITS = 8000, 4, 20
 #: Words a model looks at: those in at least MIN_DOCS rows whose presence tells most.
-FEATURES, MIN_DOCS = 500, 5
-PENALTY, ROUNDS = 2e-4, 200
+FEATURES, MIN_DOCS = 500, 3
+SELECT, PENALTY, ROUNDS = 4e-4, 2e-5, 150
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
@@ -50,8 +50,26 @@ def _sigmoid(z):
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+def _descend(x: np.ndarray, y: np.ndarray, penalty: float, prior: float) -> np.ndarray:
+    """Accelerated proximal gradient steps; the last column is the bias, which isn't penalised."""
+    n, w = len(y), np.zeros(x.shape[1], np.float32)
+    w[-1] = np.log(prior / (1 - prior))
+    v, step, t = w.copy(), np.ones(x.shape[1], np.float32), 1.0
+    for _ in range(10):  # the largest eigenvalue of the curvature, by powers
+        step = x.T @ (x @ step)
+        norm = np.linalg.norm(step)
+        step = step / norm
+    rate = 4 * n / (1.05 * norm)
+    for _ in range(ROUNDS):
+        new = v - rate * (x.T @ (_sigmoid(x @ v) - y).astype(np.float32)) / n
+        new[:-1] = np.sign(new[:-1]) * np.maximum(np.abs(new[:-1]) - rate * penalty, 0)
+        t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
+        v, w, t = (new + (t - 1) / t_new * (new - w)).astype(np.float32), new.astype(np.float32), t_new
+    return w
+
+
 def fit_linear(rows: list[np.ndarray], before: np.ndarray, y: np.ndarray) -> Linear:
-    """L1 logistic regression by accelerated proximal gradient steps; ``before``: rows x earlier categories.
+    """L1 logistic regression in two fits; ``before``: rows x earlier categories.
 
     Without rows it predicts 0; with one class, close to that class.
     """
@@ -78,20 +96,11 @@ def fit_linear(rows: list[np.ndarray], before: np.ndarray, y: np.ndarray) -> Lin
     x[row[col >= 0], col[col >= 0]] = 1
     x[:, len(top) : -1] = before
     x[:, -1] = 1
-    w = np.zeros(x.shape[1], np.float32)
-    w[-1] = np.log(prior / (1 - prior))
-    v, step = w.copy(), np.ones(x.shape[1])
-    for _ in range(10):  # the largest eigenvalue of the curvature, by powers
-        step = x.T @ (x @ step)
-        norm = np.linalg.norm(step)
-        step = step / norm
-    rate, t = 4 * n / (1.05 * norm), 1.0
-    for _ in range(ROUNDS):
-        g = x.T @ (_sigmoid(x @ v) - y) / n
-        new = v - rate * g
-        new[:-1] = np.sign(new[:-1]) * np.maximum(np.abs(new[:-1]) - rate * PENALTY, 0)
-        t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        v, w, t = new + (t - 1) / t_new * (new - w), new, t_new
+    w = _descend(x, y, SELECT, prior)
+    # Fitted again with next to no penalty on the words that stayed: the first fit chooses, and shrinks what it chooses.
+    kept = np.flatnonzero(np.r_[w[: len(top)] != 0, np.ones(before.shape[1] + 1, bool)])
+    w[:] = 0
+    w[kept] = _descend(x[:, kept], y, PENALTY, prior)
     words = {int(ids[i]): float(c) for i, c in zip(top, w[: len(top)], strict=True) if c}
     return Linear(float(w[-1]), words, [float(c) for c in w[len(top) : -1]])
 
@@ -168,7 +177,7 @@ def categories_of(labels: DataFrame) -> dict[str, Column]:
     return {"low_quality": 1 - labels["quality"], "toxic": labels["toxic"]}
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, sample: int = SAMPLE) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: int = SAMPLE) -> DataFrame:
     """``(doc_id, p_low_quality, p_toxic, toxic)`` of every row of ``docs``; other columns are left out.
 
     Without labels nothing is toxic.  Ids may be null or repeat.
@@ -184,7 +193,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, sample:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).mapInArrow(each, "doc_id long, p_low_quality double, p_toxic double, toxic boolean")
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, sample: int = SAMPLE) -> DataFrame:
+def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: int = SAMPLE) -> DataFrame:
     """The rows of ``docs`` below the threshold; columns as they came."""
     models = train(docs, labels, categories_of(labels), sample)
     return docs.where(F.element_at(scores(models, docs["text"]), -1) < threshold)
