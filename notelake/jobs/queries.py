@@ -259,7 +259,7 @@ def g9_density_by_folder(spark, d):
 
 def l1_note_vectors(spark, d):
     v = similarity.note_vectors(views.chunk_vecs(spark, d))
-    return v.select("path", F.posexplode("vec").alias("at", "value")).select("path", "at", F.round("value", 6).alias("value"))
+    return v.select("path", F.posexplode("vec").alias("dim", "value")).select("path", "dim", F.round("value", 6).alias("value"))
 
 
 def _pairs(spark, d, least):

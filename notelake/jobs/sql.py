@@ -1,3 +1,149 @@
-"""DuckDB SQL with the results of ``queries``."""
+"""DuckDB SQL with the results of ``queries``; each text is whole and stands by itself."""
 
-ORACLE_SQL: dict[str, str] = {}
+from __future__ import annotations
+
+from ..functions import text as T
+from ..operators import graph, scan
+from . import views
+
+_list = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"
+_TOKENS = lambda c: f"regexp_extract_all(lower({c}), '{T.TOKEN}')"
+_TAGS = r"""list_sort(list_distinct(regexp_extract_all(regexp_replace(text, '(?s)```.*?(?:```|\z)', '', 'g'), '(?:^|\s)#([A-Za-z][A-Za-z0-9_/\-]*)', 1)))"""
+
+#: Name -> what a text may read by it.
+_PARTS = {
+    "vault_notes": views.SQL_NOTES,
+    "raw_docs": views.SQL_RAW,
+    "live": views.SQL_LIVE,
+    "paragraphs": views.SQL_PARAGRAPHS,
+    "queries": views.SQL_QUERIES,
+    "names": r"SELECT path, lower(regexp_replace(regexp_extract(path, '([^/]*)$', 1), '\.[^.]*$', '')) AS base, regexp_replace(lower(path), '\.md$', '') AS full_ FROM vault_notes",
+    "raw_links": r"SELECT path, trim(target) AS target FROM (SELECT path, unnest(regexp_extract_all(text, '\[\[([^\]|#]+)', 1)) AS target FROM vault_notes) WHERE trim(target) <> ''",
+    "links": f"SELECT path, target, regexp_replace(lower(target), '\\.md$', '') AS k FROM raw_links WHERE NOT regexp_matches(target, '{graph.NO_LINK}')",
+    "found": "SELECT k, min(n.path) AS dst, count(DISTINCT n.path) AS n FROM (SELECT DISTINCT k FROM links) JOIN names n ON k = n.base OR k = n.full_ GROUP BY k",
+    "edges": "SELECT DISTINCT path AS src, dst FROM links JOIN found USING (k) WHERE dst <> path",
+    "degree": "SELECT path, (SELECT count(*) FROM edges WHERE src = path) AS n_out, (SELECT count(*) FROM edges WHERE dst = path) AS n_in FROM vault_notes",
+    "broken": "SELECT path, target FROM links WHERE k NOT IN (SELECT k FROM found)",
+    "ends": "SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges",
+    "reach": "SELECT path AS a, path AS b FROM vault_notes UNION SELECT reach.a, ends.b FROM reach JOIN ends ON reach.b = ends.a",
+    "components": "SELECT a AS path, min(b) AS component FROM reach GROUP BY a",
+    "edited": "SELECT doc_id, 'n' || CAST(doc_id AS VARCHAR) || '.md' AS path, text FROM vault_notes",
+    "mean": "SELECT path, dim, avg(v) AS v FROM (SELECT 'n' || CAST(vec_id % 100 AS VARCHAR) || '.md' AS path, unnest(range(len(embedding))) AS dim, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings) GROUP BY path, dim",
+    "unit": "SELECT path, dim, v / sqrt(sum(v * v) OVER (PARTITION BY path)) AS v FROM mean",
+    "pairs": "SELECT x.path AS a, y.path AS b, sum(x.v * y.v) AS score FROM unit x JOIN unit y ON x.dim = y.dim AND x.path < y.path GROUP BY 1, 2",
+    "known": "SELECT 'n' || CAST(i AS VARCHAR) || '.md' AS src, 'n' || CAST((7 * i + 1) % 100 AS VARCHAR) || '.md' AS dst FROM range(100) t(i) WHERE i <> (7 * i + 1) % 100",
+    "payloads": """SELECT doc_id, path, size_, body, CASE WHEN doc_id % 31 = 0 THEN 'Note not found' WHEN doc_id % 29 = 0 THEN '' WHEN ends_with(path, '.pdf') THEN body
+        WHEN doc_id % 7 = 0 THEN substr(body, 1, 1000) ELSE body END AS content FROM (SELECT *, octet_length(encode(body)) AS size_ FROM live)""",
+    "verified": """SELECT path, size_ AS expected, CASE WHEN bad THEN NULL ELSE n END AS got,
+        CASE WHEN bad THEN 'unreadable' WHEN size_ > 0 AND (n - size_) / size_ < -0.1 THEN 'short' WHEN size_ > 0 AND (n - size_) / size_ > 0.1 THEN 'inflated' ELSE 'ok' END AS status
+        FROM (SELECT path, size_, octet_length(encode(content)) AS n, starts_with(content, 'Note not found') OR (content = '' AND size_ > 0) AS bad FROM payloads)""",
+    "snaps": "SELECT printf('202401%02d-030000', d) AS snapshot, path, size_ AS size FROM payloads, range(1, 13) t(d) WHERE (doc_id + d) % 13 <> 0",
+    "versions": """SELECT path, CASE WHEN doc_id % 14 = 0 THEN 'Note not found: x' WHEN doc_id % 7 = 0 THEN text || ' x' ELSE text END AS now, text AS was, doc_id % 10 AS m FROM vault_notes""",
+    "terms": f"SELECT qid, list_sort(list_distinct(flatten([t, list_transform(flatten(list_transform(t, lambda x: coalesce(s[x], []))), lambda y: y)]))) AS terms, query FROM (SELECT *, {_TOKENS('query')} AS t, MAP {{{', '.join(f'{chr(39)}{k}{chr(39)}: {_list(v)}' for k, v in T.SYNONYMS.items())}}} AS s FROM queries)",
+    "asked": f"SELECT qid, unnest(list_distinct(CASE WHEN len(k) > 0 THEN k ELSE t END)) AS term FROM (SELECT qid, {_TOKENS('query')} AS t, list_filter({_TOKENS('query')}, lambda x: length(x) > 1 AND NOT list_contains({_list(T.STOP_WORDS)}, x)) AS k FROM queries)",
+    "tokens": f"SELECT path, ord, unnest({_TOKENS('text')}) AS term FROM paragraphs",
+    "lexical": "SELECT qid, path, ord, count(*) / 100 AS score, row_number() OVER (PARTITION BY qid ORDER BY count(*) DESC, path, ord) AS rank FROM tokens JOIN asked USING (term) GROUP BY qid, path, ord",
+    "staged": """SELECT qid, path, CASE WHEN (length(q) > 0 AND contains(name, q)) OR (length(al) > 0 AND contains(name, al)) THEN 1 WHEN n > 0 THEN 2
+        WHEN len(list_filter(long_, lambda t: contains(low, t))) > 0 THEN 3 END AS stage, n FROM (
+        SELECT qid, path, lower(query) AS q, array_to_string(terms, ' ') AS al, list_filter(terms, lambda t: length(t) > 2) AS long_, lower(regexp_extract(path, '([^/]*)$', 1)) AS name, lower(text) AS low,
+        len(list_intersect(list_distinct(regexp_extract_all(lower(regexp_extract(path, '([^/]*)$', 1)), '[a-z0-9]+')), list_distinct(regexp_extract_all(array_to_string(terms, ' '), '[a-z0-9]+')))) AS n
+        FROM terms, vault_notes)""",
+    "candidates": """SELECT qid, path, stage, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY stage, CASE WHEN stage = 2 THEN n ELSE 0 END DESC, path) AS rank FROM
+        (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY stage, CASE WHEN stage = 2 THEN n ELSE 0 END DESC, path) AS r FROM staged WHERE stage IS NOT NULL) WHERE stage > 1 OR r <= 20) WHERE rank <= 60""",
+    "cand_chunks": f"SELECT qid, path, ord, {_TOKENS('text')} AS toks, terms FROM candidates JOIN paragraphs USING (path) JOIN terms USING (qid)",
+    "hits": "SELECT qid, path, ord, term, len(toks) AS m, len(terms) AS nt, count(*) AS c FROM (SELECT *, unnest(toks) AS term FROM cand_chunks) WHERE list_contains(terms, term) GROUP BY ALL",
+    "idf": "SELECT qid, term, ln(1 + (SELECT count(*) FROM cand_chunks x WHERE x.qid = h.qid) / (1 + count(*))) AS idf FROM hits h GROUP BY qid, term",
+    "eops": "SELECT 'n' || CAST(user_id AS VARCHAR) || '.md' AS path, event_type AS op, coalesce(CAST(props AS VARCHAR), '') AS c, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events",
+    "fold": """SELECT path, CAST(0 AS BIGINT) AS k, max(text) AS text FROM (SELECT path, text FROM edited UNION ALL SELECT DISTINCT path, NULL FROM eops) GROUP BY path
+        UNION ALL SELECT f.path, e.k, CASE op WHEN 'signup' THEN c WHEN 'view' THEN coalesce(text, '') || c WHEN 'click' THEN c || coalesce(text, '')
+        WHEN 'purchase' THEN CASE WHEN strpos(text, '1') > 0 THEN substr(text, 1, strpos(text, '1') - 1) || c || substr(text, strpos(text, '1') + 1) ELSE text END ELSE NULL END
+        FROM fold f JOIN eops e ON e.path = f.path AND e.k = f.k + 1""",
+    "lines": r"SELECT source || '/' || CAST(doc_id AS VARCHAR) || '.txt' AS path, i AS line, p[i] AS content FROM (SELECT source, doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT source, doc_id, string_split(text, chr(10)) AS p FROM documents))",
+}
+
+
+def _sql(body: str) -> str:
+    """``body`` with the parts that it reads, and those that they read."""
+    import re
+
+    used: dict[str, None] = {}
+
+    def add(text: str) -> None:
+        for name in _PARTS:
+            if name not in used and re.search(rf"\b{name}\b", re.sub(r"'[^']*'", "", text)):
+                used[name] = None
+                add(_PARTS[name])
+                used[name] = used.pop(name)  # after what it reads
+
+    add(body)
+    return ("WITH RECURSIVE " + ", ".join(f"{n} AS ({_PARTS[n]})" for n in used) + " " if used else "") + body
+
+
+def _scan() -> str:
+    rules = [r for r in scan.load_rules(scan.GENERIC_RULES + "\nemail:[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}\n")]
+    hit = ", ".join(f"CASE WHEN regexp_matches(content, '{p}') THEN '{c}' END" for c, p, _ in rules)
+    shown = "content"
+    for _, p, _ in rules:
+        shown = f"regexp_replace({shown}, '{p}', '{scan.HIDDEN}', 'g')"
+    return f"SELECT path, line, list_sort(list_distinct(list_filter([{hit}], lambda x: x IS NOT NULL))) AS cats, substr({shown}, 1, 160) AS shown FROM lines WHERE len(list_filter([{hit}], lambda x: x IS NOT NULL)) > 0 AND NOT regexp_matches(path || ':' || content, '^src3/')"
+
+
+_STATS = """SELECT count(*) AS notes, count(*) FILTER (n_out > 0) AS linking, count(*) FILTER (n_in > 0) AS receiving, count(*) FILTER (n_out = 0) AS orphans,
+  count(*) FILTER (n_out = 0 AND n_in = 0) AS islands, (SELECT count(DISTINCT component) FROM components) AS components, (SELECT count(*) FROM edges) AS edges, (SELECT count(*) FROM broken) AS broken FROM degree"""
+_PROPOSED = """SELECT CASE WHEN one THEN a ELSE b END AS src, CASE WHEN one THEN b ELSE a END AS dst, round(score, 6) AS score FROM (
+  SELECT least(s, t) AS a, greatest(s, t) AS b, max(score) AS score, length(least(s, t)) <= length(greatest(s, t)) AS one FROM (
+    SELECT *, row_number() OVER (PARTITION BY s ORDER BY score DESC, t) AS r FROM (SELECT a AS s, b AS t, score FROM pairs WHERE score >= 0.25 UNION ALL SELECT b, a, score FROM pairs WHERE score >= 0.25)
+    WHERE (s, t) NOT IN (SELECT (src, dst) FROM known)) WHERE r <= 4 GROUP BY 1, 2)"""
+_NEAR = "SELECT a, b, score FROM pairs WHERE score >= 0.30 AND (a, b) NOT IN (SELECT (src, dst) FROM known) AND (b, a) NOT IN (SELECT (src, dst) FROM known)"
+
+_BODIES = {
+    "s2_live_docs": "SELECT path, CAST(size AS BIGINT) AS size, CAST(mtime AS BIGINT) AS mtime FROM live",
+    "s3_clean_note_text": "SELECT path, md5(text) AS clean FROM vault_notes",
+    "s4_decode_payload": """SELECT path, ends_with(path, '.pdf') AS is_binary, CASE WHEN doc_id % 31 = 0 AND ends_with(path, '.pdf') THEN md5(from_base64('Notenotfound')) ELSE md5(content) END AS decoded FROM payloads""",
+    "n1_list_notes": f"SELECT path FROM vault_notes WHERE starts_with(path, 'src5/') AND list_contains({_TAGS}, 'en')",
+    "n2_list_folders": "SELECT DISTINCT regexp_extract(path, '^(.*)/[^/]*$', 1) AS folder FROM vault_notes WHERE contains(path, '/')",
+    "n3_list_tags": f"SELECT tag, count(*) AS n FROM (SELECT unnest({_TAGS}) AS tag FROM vault_notes) GROUP BY tag",
+    "n4_note_metadata": f"SELECT path, length(text) AS size, strftime(mtime, '%Y-%m-%dT%H:%M:%S') AS mtime, array_to_string({_TAGS}, ',') AS tags, (SELECT count(*) FROM edges WHERE dst = path) AS backlinks FROM vault_notes",
+    "n5_search_names": "SELECT qid, path, CAST(rank AS INTEGER) AS rank FROM (SELECT item_id AS qid, path, row_number() OVER (PARTITION BY item_id ORDER BY path) AS rank FROM benchmark, vault_notes WHERE contains(lower(path), 'n' || CAST(item_id % 30 AS VARCHAR))) WHERE rank <= 10",
+    "n6_vault_inventory": r"""SELECT kind, CASE WHEN kind = 'live' THEN lower(regexp_extract(path, '\.([^./]+)$', 1)) ELSE '' END AS extension, count(*) AS n, CAST(sum(coalesce(size, 0)) AS BIGINT) AS bytes FROM (
+        SELECT *, CASE WHEN starts_with(_id, 'h:') THEN 'block' WHEN starts_with(_id, '_') THEN 'system' WHEN deleted THEN 'tombstone' WHEN coalesce(path, '') <> '' THEN 'live' ELSE 'other' END AS kind FROM raw_docs) GROUP BY 1, 2""",
+    "e_apply_edits": "SELECT path, md5(text) AS text FROM (SELECT path, arg_max(k, k) AS k, max(k) AS top FROM fold GROUP BY path) m JOIN fold USING (path, k) WHERE text IS NOT NULL",
+    "e4_move_notes": "SELECT CASE WHEN doc_id % 10 = 0 THEN 'm/' ELSE '' END || path AS path, md5(text) AS text FROM edited",
+    "c3_tokens": f"SELECT path, md5(array_to_string(t, ' ')) AS tokens, CAST(CASE WHEN len(k) > 0 THEN len(k) ELSE len(t) END AS BIGINT) AS n_key_terms, sha1(text) AS hash, md5(substr(text, 1, 600)) AS excerpt FROM (SELECT path, text, {_TOKENS('text')} AS t, list_filter({_TOKENS('text')}, lambda x: length(x) > 1 AND NOT list_contains({_list(T.STOP_WORDS)}, x)) AS k FROM vault_notes)",
+    "c5_expand_query": _PARTS["terms"].replace("SELECT qid, list_sort", "SELECT qid, array_to_string(list_sort").replace(" AS terms, query FROM", ", ' ') AS terms FROM").replace("FROM queries)", "FROM (SELECT qid, query || CASE WHEN qid % 2 = 0 THEN ' docker backup Tarea' ELSE '' END AS query FROM queries))"),
+    "c7_doc_freq": f"SELECT term, count(*) AS n FROM (SELECT unnest(list_distinct({_TOKENS('text')})) AS term FROM paragraphs) GROUP BY term",
+    "m4_cosine": "SELECT x.vec_id, round(least(1.0, greatest(0.0, list_cosine_similarity(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])))), 6) AS cosine FROM embeddings x JOIN embeddings y ON y.vec_id = x.vec_id + 1",
+    "r1_candidates": "SELECT qid, path, stage, CAST(rank AS INTEGER) AS rank FROM candidates",
+    "r2_tfidf": "SELECT c.qid, c.path, c.ord, round(coalesce(s, 0), 6) AS tfidf FROM cand_chunks c LEFT JOIN (SELECT qid, path, ord, sum(c / m * idf) / any_value(nt) AS s FROM hits JOIN idf USING (qid, term) GROUP BY qid, path, ord) USING (qid, path, ord)",
+    "r9_lexical_search": "SELECT qid, CAST(rank AS INTEGER) AS rank, path, ord, round(score, 6) AS score FROM lexical WHERE rank <= 5",
+    "r10_neighbors": "SELECT qid, CAST(rank AS INTEGER) AS rank, path, ord, path IN (SELECT dst FROM edges WHERE ends_with(src, 'Index.md')) AS already FROM lexical WHERE rank <= 8",
+    "i1_diff_notes": "SELECT path, sha1(now) AS hash, CASE WHEN starts_with(now, 'Note not found') THEN 'failed' WHEN m = 0 THEN 'new' WHEN now <> was THEN 'changed' ELSE 'same' END AS status FROM versions WHERE m <> 1",
+    "i2_stale_notes": "SELECT path FROM versions WHERE m = 1",
+    "g2_extract_links": "SELECT path, target, count(*) AS n FROM links GROUP BY path, target",
+    "g3_resolve_links": "SELECT src, dst FROM edges",
+    "g4_broken_links": "SELECT path, target FROM broken",
+    "g4_ambiguous_links": "SELECT path, target, n FROM links JOIN found USING (k) WHERE n > 1",
+    "g5_degrees": "SELECT path, n_out, n_in FROM degree",
+    "g6_roles": "SELECT path, 'orphan' AS kind FROM degree WHERE n_out = 0 UNION ALL SELECT path, 'island' FROM degree WHERE n_out = 0 AND n_in = 0 UNION ALL SELECT path, 'leaf' FROM degree WHERE n_in = 0",
+    "g7_connected_components": "SELECT path, component FROM components",
+    "g8_graph_stats": f"SELECT *, CAST(floor(100 * linking / notes) AS BIGINT) AS pct_linking, components < notes / 2 AND linking > notes / 2 AS healthy FROM ({_STATS})",
+    "g9_density_by_folder": f"SELECT folder, notes, linking, CAST(floor(100 * linking / notes) AS BIGINT) AS pct, floor(100 * linking / notes) < 20 AND notes >= 2 AS sparse FROM (SELECT CASE WHEN contains(path, '/') THEN regexp_extract(path, '^(.*)/[^/]*$', 1) ELSE '{graph.ROOT}' END AS folder, count(*) AS notes, count(*) FILTER (n_out > 0) AS linking FROM degree GROUP BY 1)",
+    "l1_note_vectors": "SELECT path, CAST(dim AS INTEGER) AS dim, round(v, 6) AS value FROM unit",
+    "l3_current_links": r"SELECT DISTINCT l.path AS src, n.path AS dst FROM raw_links l JOIN names n ON regexp_replace(lower(target), '\.md$', '') = n.base WHERE l.path <> n.path",
+    "l4_similar_pairs": "SELECT a, b, round(score, 6) AS score FROM pairs WHERE score >= 0.25",
+    "l5_propose_links": _PROPOSED,
+    "l8_near_duplicates": f"SELECT a, b, round(score, 6) AS score FROM ({_NEAR})",
+    "l9_pick_canonical": f"""SELECT round(score, 6) AS score, CASE WHEN one THEN a ELSE b END AS canonical, CASE WHEN one THEN b ELSE a END AS duplicate FROM
+        (SELECT *, (SELECT count(*) FROM known WHERE dst = a) >= (SELECT count(*) FROM known WHERE dst = b) AS one FROM ({_NEAR}))""",
+    "b1_verify_payloads": "SELECT path, expected, got, status FROM verified",
+    "b2_snapshot_manifest": "SELECT '20240112-030000' AS snapshot, count(*) AS files_in_vault, count(*) FILTER (status <> 'unreadable') AS exported, CAST(coalesce(sum(got), 0) AS BIGINT) AS bytes, count(*) FILTER (status = 'unreadable') AS n_errors, count(*) FILTER (status IN ('short', 'inflated')) AS n_truncated, bool_and(status = 'ok') AS ok FROM verified",
+    "b3_verify_snapshot": """SELECT snapshot, files, live_files, bytes, live_bytes, files = live_files AS count_ok, bytes >= 0.9 * live_bytes AS bytes_ok, true AS age_ok FROM
+        (SELECT snapshot, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes FROM snaps WHERE snapshot = '20240112-030000' GROUP BY 1), (SELECT count(*) AS live_files, CAST(sum(size_) AS BIGINT) AS live_bytes FROM payloads)""",
+    "b4_missing_files": "SELECT path, 'not saved' AS side FROM payloads WHERE path NOT IN (SELECT path FROM snaps WHERE snapshot = '20240112-030000')",
+    "b5_retention": "SELECT DISTINCT snapshot, 'notes' AS kind FROM snaps WHERE snapshot < '20240106-000000' UNION ALL SELECT snapshot, 'manifest' FROM (SELECT DISTINCT snapshot FROM snaps) WHERE snapshot < '20240104-000000'",
+    "b6_restore": "SELECT path, max(snapshot) AS snapshot, arg_max(size, snapshot) AS size FROM snaps GROUP BY path",
+    "p2_scan": f"SELECT path, line, array_to_string(cats, ',') AS categories, shown FROM ({_scan()})",
+    "p6_scan_summary": f"SELECT category, count(*) AS n FROM (SELECT unnest(cats) AS category FROM ({_scan()})) GROUP BY category",
+}
+
+ORACLE_SQL = {name: _sql(body) for name, body in _BODIES.items()}
