@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import math
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -29,32 +30,82 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 #: Words a worker keeps the ids of; at that number it starts anew.
-KEPT_WORDS = 500_000
+KEPT_WORDS = 400_000
 #: Documents of a shard, about.
-SHARD_DOCS = 20_000
+SHARD_DOCS = 10_000
 #: Characters of the texts that a worker takes at once.
 _CHUNK_CHARS = 2 << 20
 
 
+#: Texts of plain characters are lower-cased here and cut into pre-tokens by a pattern of our own.
+_LETTER, _DIGIT = "a-zA-ZªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾"
+_PIECES = re.compile(rf"'(?:s|t|re|ve|m|ll|d)|[{_LETTER}]+|[{_DIGIT}]|[^ \n\t\r{_LETTER}{_DIGIT}]+")
+_AWKWARD = ("<|", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x1f", "\x85", "\xa0")
+
+
+def _plain(text: str) -> bool:
+    if not text.isascii():
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return False
+    return not any(x in text for x in _AWKWARD)
+
+
 class WordIds:
-    """Token ids of texts for a tokenizer that drops white space: each word is encoded once."""
+    """Token ids of texts for a tokenizer that lower-cases, drops white space and marks the ends of pre-tokens.
+
+    Pre-tokens are independent, so each is encoded once; new ones go through the
+    library together and are told apart by their last tokens.  Texts with other
+    than plain characters are cut at white space and their words encoded whole.
+    """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.kept: dict[str, bytes] = {"": b""}
+        self.last = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.last[i] = token.endswith("</w>")
+        self.words: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.whole: dict[str, bytes] = {}
+
+    def _whole(self, words: list[str], kept: dict[str, bytes]) -> None:
+        for at in range(0, len(words), 5000):
+            part = words[at : at + 5000]
+            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                kept[w] = np.array(e.ids, "<u4").tobytes()
+
+    def _learn_pieces(self, pieces: list[str]) -> None:
+        for at in range(0, len(pieces), 20_000):
+            part = pieces[at : at + 20_000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ends = (np.flatnonzero(self.last[ids]) + 1).tolist()
+            if len(ends) != len(part):
+                self._whole(part, self.pieces)
+                continue
+            data, start = ids.tobytes(), 0
+            for p, end in zip(part, ends, strict=True):
+                self.pieces[p] = data[4 * start : 4 * end]
+                start = end
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, little-endian unsigned 32-bit."""
-        cut = [t.replace("\n", " ").split(" ") for t in texts]
-        fresh = list(set().union(*cut).difference(self.kept)) if cut else []
-        if len(self.kept) + len(fresh) > KEPT_WORDS:
-            self.kept = {"": b""}
-            fresh = list(set().union(*cut).difference(self.kept))
-        for at in range(0, len(fresh), 5000):
-            part = fresh[at : at + 5000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.kept[w] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join(map(self.kept.__getitem__, words)) for words in cut]
+        plain = [_plain(t) for t in texts]
+        cut = [(t.lower() if p else t).replace("\n", " ").split(" ") for t, p in zip(texts, plain, strict=True)]
+        asked = [set().union(*(c for c, p in zip(cut, plain, strict=True) if p is side)) for side in (True, False)]
+        kept = [self.words, self.whole]
+        for words, own in zip(asked, kept, strict=True):
+            if len(own) + len(words) > KEPT_WORDS:
+                own.clear()
+        self._whole(list(asked[1].difference(self.whole)), self.whole)
+        found = {w: _PIECES.findall(w) for w in asked[0].difference(self.words)}
+        if len(self.pieces) > KEPT_WORDS:
+            self.pieces.clear()
+        self._learn_pieces(list(set().union(*found.values()).difference(self.pieces)))
+        of = self.pieces.__getitem__
+        for w, own in found.items():
+            self.words[w] = of(own[0]) if len(own) == 1 else b"".join(map(of, own))
+        return [b"".join(map(kept[not p].__getitem__, c)) for c, p in zip(cut, plain, strict=True)]
 
 
 @lru_cache(4)
