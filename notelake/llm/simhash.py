@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from .common import connected_components, materialize
 
 SEED = 42
-#: Variants that a task holds at once.
-CELL_VARIANTS = 1 << 22
+#: Variants of a cell, about, and those that a task holds at once.
+CELL_VARIANTS, HELD_VARIANTS = 1 << 22, 1 << 20
 
 
 def fingerprint(text: str | None, words: int = 4) -> int:
@@ -79,7 +79,7 @@ def _meet(low: np.ndarray, off: np.ndarray, who: np.ndarray, bits: int, radius:
         return
     count = np.bincount(off, minlength=radius + 1)
     size = [sum(math.comb(bits, i) for i in range(radius - k + 1)) for k in range(radius + 1)]
-    if int(np.dot(count, size)) > CELL_VARIANTS and bits > 1:
+    if int(np.dot(count, size)) > HELD_VARIANTS and bits > 1:
         top = np.uint64(1 << (bits - 1))
         one = (low & top) != 0
         for side in (False, True):

@@ -46,7 +46,6 @@ def test_fingerprint(text):
 
 @pytest.mark.parametrize("limit", [1 << 22, 500])
 def test_components_against_all_pairs(spark, monkeypatch, limit):
-    monkeypatch.setattr(simhash, "CELL_VARIANTS", 1 << 22)
     rng = random.Random(limit)
     prints = []
     for _ in range(12):  # clusters with chains, ties and unlinked neighbours
@@ -59,7 +58,7 @@ def test_components_against_all_pairs(spark, monkeypatch, limit):
         import numpy as np
 
         fp = np.array([x for _, x in prints], np.uint64)
-        monkeypatch.setattr(simhash, "CELL_VARIANTS", limit)
+        monkeypatch.setattr(simhash, "HELD_VARIANTS", limit)
         found = set()
         for group, member in simhash._meet(np.unique(fp), np.zeros(len(np.unique(fp)), np.int64), np.arange(len(np.unique(fp))), 64, 2):
             for g in set(group.tolist()):
