@@ -7,7 +7,7 @@ Models are logistic regressions with an L1 penalty on the presence of words
 (hashed), so long texts don't gather noise from thousands of small weights.
 
 Training takes a bounded sample of labelled rows (``sample``, by default
-8,000: those with the smallest hash of their id); only their word hashes come
+20,000: those with the smallest hash of their id); only their word hashes come
 to the driver.  Scoring runs over all rows, one pass, no shuffle.
 """
 
@@ -24,10 +24,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE, FOLDS, BITS = 8000, 4, 20
-#: Words a model looks at: those in at least MIN_DOCS rows whose presence tells most.
-FEATURES, MIN_DOCS = 500, 3
-SELECT, PENALTY, ROUNDS = 4e-4, 2e-5, 150
+SAMPLE, FOLDS, BITS = 20_000, 4, 20
+#: Words a model looks at: those in at least MIN_DOCS rows whose presence tells most, from MIN_Z standard deviations
+#: on (among a million words that tell nothing, none is expected beyond it).
+FEATURES, MIN_DOCS, MIN_Z = 500, 3, 5.0
+PENALTY, ROUNDS = 2e-5, 200
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
@@ -69,7 +70,7 @@ def _descend(x: np.ndarray, y: np.ndarray, penalty: float, prior: float) -> np.n
 
 
 def fit_linear(rows: list[np.ndarray], before: np.ndarray, y: np.ndarray) -> Linear:
-    """L1 logistic regression in two fits; ``before``: rows x earlier categories.
+    """L1 logistic regression; ``before``: rows x earlier categories.
 
     Without rows it predicts 0; with one class, close to that class.
     """
@@ -88,7 +89,7 @@ def fit_linear(rows: list[np.ndarray], before: np.ndarray, y: np.ndarray) -> Lin
     tells = np.abs(hits - count * mean) / np.sqrt(count * mean * (1 - mean) + 1e-9)
     tells[count < MIN_DOCS] = 0
     top = np.argsort(-tells, kind="stable")[:FEATURES]
-    top = np.sort(top[tells[top] > 0])
+    top = np.sort(top[tells[top] >= MIN_Z])
     place = np.full(len(ids) + 1, -1)
     place[top] = np.arange(len(top))
     x = np.zeros((n, len(top) + before.shape[1] + 1), np.float32)
@@ -96,11 +97,7 @@ def fit_linear(rows: list[np.ndarray], before: np.ndarray, y: np.ndarray) -> Lin
     x[row[col >= 0], col[col >= 0]] = 1
     x[:, len(top) : -1] = before
     x[:, -1] = 1
-    w = _descend(x, y, SELECT, prior)
-    # Fitted again with next to no penalty on the words that stayed: the first fit chooses, and shrinks what it chooses.
-    kept = np.flatnonzero(np.r_[w[: len(top)] != 0, np.ones(before.shape[1] + 1, bool)])
-    w[:] = 0
-    w[kept] = _descend(x[:, kept], y, PENALTY, prior)
+    w = _descend(x, y, PENALTY, prior)
     words = {int(ids[i]): float(c) for i, c in zip(top, w[: len(top)], strict=True) if c}
     return Linear(float(w[-1]), words, [float(c) for c in w[len(top) : -1]])
 
@@ -110,31 +107,47 @@ def predict_linear(model: Linear, rows: list, before: np.ndarray) -> np.ndarray:
     return _sigmoid(z + model.bias + before @ np.array(model.chain, float).reshape(before.shape[1]))
 
 
+def predict_rows(model: Linear, rows: list[np.ndarray], before: np.ndarray) -> np.ndarray:
+    """As ``predict_linear``, for sorted arrays of hashes."""
+    ids = np.array(sorted(model.words), np.int64)
+    weight = np.array([model.words[i] for i in ids.tolist()] + [0.0])
+    every, row = np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    at = np.searchsorted(ids, every)
+    at[(at == len(ids)) | (np.append(ids, -1)[at] != every)] = len(ids)
+    z = np.bincount(row, weight[at], len(rows))
+    return _sigmoid(z + model.bias + before @ np.array(model.chain, float).reshape(before.shape[1]))
+
+
 def fit_chain(rows: list[np.ndarray], labels: np.ndarray, folds: int = FOLDS) -> list[Linear]:
     """A model a column of ``labels``, in order.  Row i is held out in fold i mod ``folds``."""
     n, k = labels.shape
-    sets = [set(r.tolist()) for r in rows]
+    if n:  # words in too few rows can't be chosen anyhow
+        ids, count = np.unique(np.concatenate(rows), return_counts=True)
+        ids = np.append(ids[count >= MIN_DOCS], 1 << BITS)
+        rows = [r[ids[np.searchsorted(ids, r)] == r] for r in rows]
     before, models, fold = np.zeros((n, 0)), [], np.arange(n) % folds
     for c in range(k):
         y = labels[:, c].astype(float)
         models.append(fit_linear(rows, before, y))
         if c + 1 < k:
             held = np.zeros(n)
-            for f in range(folds):
+            for f in range(min(folds, n)):
                 out, own = np.flatnonzero(fold == f), np.flatnonzero(fold != f)
                 m = fit_linear([rows[i] for i in own], before[own], y[own])
-                held[out] = predict_linear(m, [sets[i] for i in out], before[out])
+                held[out] = predict_rows(m, [rows[i] for i in out], before[out])
             before = np.c_[before, held]
     return models
 
 
 def predict_chain(models: list[Linear], texts) -> np.ndarray:
-    """Probabilities, texts x categories."""
-    rows = [word_hashes(t) for t in texts]
-    p = np.zeros((len(rows), 0))
-    for m in models:
-        p = np.c_[p, predict_linear(m, rows, p)]
-    return p
+    """Probabilities, texts x categories; one text's words are held at a time."""
+    out = []
+    for t in texts:
+        words, p = word_hashes(t), np.zeros((1, 0))
+        for m in models:
+            p = np.c_[p, predict_linear(m, [words], p)]
+        out.append(p[0])
+    return np.array(out).reshape(len(out), len(models))
 
 
 def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], sample: int = SAMPLE) -> list[Linear]:
@@ -187,7 +200,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample:
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            p = predict_chain(models, b.column(1).to_pylist())
+            p = predict_chain(models, (t.as_py() for t in b.column(1)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p[:, 0]), pa.array(p[:, -1]), pa.array(p[:, -1] >= threshold)], ["doc_id", "p_low_quality", "p_toxic", "toxic"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).mapInArrow(each, "doc_id long, p_low_quality double, p_toxic double, toxic boolean")
