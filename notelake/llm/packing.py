@@ -30,11 +30,11 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 #: Words a worker keeps the ids of; at that number it starts anew.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 600_000
 #: Documents of a shard, about.
 SHARD_DOCS = 10_000
 #: Characters of the texts that a worker takes at once.
-_CHUNK_CHARS = 2 << 20
+_CHUNK_CHARS = 4 << 20
 
 
 #: Texts of plain characters are lower-cased here and cut into pre-tokens by a pattern of our own.
@@ -66,6 +66,7 @@ class WordIds:
         for token, i in self.tokenizer.get_vocab().items():
             self.last[i] = token.endswith("</w>")
         self.words: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
         self.whole: dict[str, bytes] = {}
 
@@ -93,18 +94,23 @@ class WordIds:
         plain = [_plain(t) for t in texts]
         cut = [(t.lower() if p else t).replace("\n", " ").split(" ") for t, p in zip(texts, plain, strict=True)]
         asked = [set().union(*(c for c, p in zip(cut, plain, strict=True) if p is side)) for side in (True, False)]
-        kept = [self.words, self.whole]
-        for words, own in zip(asked, kept, strict=True):
-            if len(own) + len(words) > KEPT_WORDS:
-                own.clear()
+        if len(self.whole) + len(asked[1]) > KEPT_WORDS // 2:
+            self.whole.clear()
         self._whole(list(asked[1].difference(self.whole)), self.whole)
-        found = {w: _PIECES.findall(w) for w in asked[0].difference(self.words)}
-        if len(self.pieces) > KEPT_WORDS:
+        fresh = asked[0].difference(self.words)
+        if len(self.words) + len(fresh) > KEPT_WORDS // 2:  # what is in use moves over, the rest is forgotten
+            self.before, self.words, fresh = self.words, {}, asked[0]
+        words, before = self.words, self.before
+        for w in fresh & before.keys():
+            words[w] = before[w]
+        found = {w: _PIECES.findall(w) for w in fresh.difference(words)}
+        if len(self.pieces) > KEPT_WORDS // 2:
             self.pieces.clear()
         self._learn_pieces(list(set().union(*found.values()).difference(self.pieces)))
         of = self.pieces.__getitem__
         for w, own in found.items():
-            self.words[w] = of(own[0]) if len(own) == 1 else b"".join(map(of, own))
+            words[w] = of(own[0]) if len(own) == 1 else b"".join(map(of, own))
+        kept = [words, self.whole]
         return [b"".join(map(kept[not p].__getitem__, c)) for c, p in zip(cut, plain, strict=True)]
 
 
