@@ -44,7 +44,7 @@ def candidates(expanded: DataFrame, notes: DataFrame, max_candidates: int = 20)
     )
     name = F.lower(T.file_name(F.col("path")))
     own = notes.select("path", name.alias("name"), F.regexp_extract_all(name, F.lit("[a-z0-9]+"), F.lit(0)).alias("parts"), F.lower("text").alias("low"))
-    pair = own.crossJoin(F.broadcast(asked.limit(MAX_QUERIES)))
+    pair = own.crossJoin(F.broadcast(asked) if asked.count() <= MAX_QUERIES else asked)
     shared = F.size(F.array_intersect("parts", "words"))
     whole = ((F.length("q") > 0) & F.contains("name", F.col("q"))) | ((F.length("all") > 0) & F.contains("name", F.col("all")))
     inside = F.exists("long", lambda t: F.contains(F.col("low"), t))
