@@ -129,16 +129,16 @@ def r1_candidates(spark, d):
 
 
 def r2_tfidf(spark, d):
-    expanded = retrieval.expand_query(views.queries(spark, d))
+    expanded = checkpoint(retrieval.expand_query(views.queries(spark, d)))
     found = retrieval.candidates(expanded, views.vault_notes(spark, d))
-    chunks = found.select("qid", "path").join(views.paragraphs(spark, d), "path")
+    chunks = checkpoint(found.select("qid", "path").join(views.paragraphs(spark, d), "path"))
     return _round(retrieval.tfidf(expanded, chunks), "tfidf")
 
 
 def r6_rag_search(spark, d):
     v = views.vault_notes(spark, d)
     meta = v.select("path", "mtime").join(notes.note_metadata(v, graph.resolve_links(v)).select("path", "backlinks"), "path")
-    return retrieval.rag_search(views.queries(spark, d), v, meta, chunking.chunk_notes, F.lit(NOW), V.hashing_embedder)
+    return retrieval.rag_search(views.queries(spark, d), v, meta, chunking.chunk_notes, F.lit(NOW), V.hashing_embedder, checkpoint=checkpoint)
 
 
 def _index_hits(spark, d):

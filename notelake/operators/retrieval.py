@@ -100,15 +100,16 @@ def top_k(scored: DataFrame, k: int, key: str = "qid") -> DataFrame:
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def rag_search(queries: DataFrame, notes: DataFrame, metadata: DataFrame, chunker, now: Column, embedder: V.Embedder | None = None, k: int = 5, alpha: float = 0.6, max_candidates: int = 20) -> DataFrame:
+def rag_search(queries: DataFrame, notes: DataFrame, metadata: DataFrame, chunker, now: Column, embedder: V.Embedder | None = None, k: int = 5, alpha: float = 0.6, max_candidates: int = 20, checkpoint=lambda df: df) -> DataFrame:
     """The whole pipeline: expansion, candidates, chunks, hybrid score, boosts, the k best of each query.
 
-    ``notes(path, text)``, ``metadata(path, mtime, backlinks)``.
+    ``notes(path, text)``, ``metadata(path, mtime, backlinks)``.  The candidates
+    and their chunks are read several times: ``checkpoint`` keeps them.
     """
-    expanded = expand_query(queries)
-    found = candidates(expanded, notes, max_candidates).select("qid", "path")
+    expanded = checkpoint(expand_query(queries))
+    found = checkpoint(candidates(expanded, notes, max_candidates).select("qid", "path"))
     wanted = notes.join(found.select("path").distinct(), "path", "left_semi").where(F.length(T.strip(F.col("text"))) >= 20)
-    chunks = found.join(chunker(wanted), "path")
+    chunks = checkpoint(found.join(chunker(wanted), "path"))
     scored = chunks.join(tfidf(expanded, chunks), ["qid", "path", "ord"]).join(expanded.select("qid", "query", "terms"), "qid")
     if embedder:
         texts = V.embed(chunks.select(F.sha1("text").alias("h"), "text").dropDuplicates(["h"]), embedder, "h", "text")
