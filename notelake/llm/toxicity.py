@@ -7,7 +7,7 @@ Models are logistic regressions with an L1 penalty on the presence of words
 (hashed), so long texts don't gather noise from thousands of small weights.
 
 Training takes a bounded sample of labelled rows (``sample``, by default
-20,000: those with the smallest hash of their id); only their word hashes come
+10,000: those with the smallest hash of their id); only their word hashes come
 to the driver.  Scoring runs over all rows, one pass, no shuffle.
 """
 
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE, FOLDS, BITS = 20_000, 4, 20
+SAMPLE, FOLDS, BITS = 10_000, 4, 20
 #: Words a model looks at: those in at least MIN_DOCS rows whose presence tells most, from MIN_Z standard deviations
 #: on (among a million words that tell nothing, none is expected beyond it).
 FEATURES, MIN_DOCS, MIN_Z = 500, 3, 5.0
@@ -80,7 +80,7 @@ def fit_linear(rows: list[np.ndarray], before: np.ndarray, y: np.ndarray) -> Lin
     prior = (y.sum() + 0.01) / (n + 0.02)
     if y.min() == y.max():
         return Linear(float(np.log(prior / (1 - prior))), {}, [0.0] * before.shape[1])
-    every = np.concatenate(rows) if rows else np.empty(0, np.int64)
+    every = np.concatenate(rows) if rows else np.empty(0, np.int32)
     size = np.array([len(r) for r in rows])
     label = np.repeat(y, size)
     ids, at, count = np.unique(every, return_inverse=True, return_counts=True)
@@ -123,7 +123,7 @@ def fit_chain(rows: list[np.ndarray], labels: np.ndarray, folds: int = FOLDS) ->
     n, k = labels.shape
     if n:  # words in too few rows can't be chosen anyhow
         ids, count = np.unique(np.concatenate(rows), return_counts=True)
-        ids = np.append(ids[count >= MIN_DOCS], 1 << BITS)
+        ids = np.append(ids[count >= MIN_DOCS], 1 << BITS).astype(np.int32)
         rows = [r[ids[np.searchsorted(ids, r)] == r] for r in rows]
     before, models, fold = np.zeros((n, 0)), [], np.arange(n) % folds
     for c in range(k):
@@ -170,9 +170,9 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], sam
     d = docs.select(F.col("doc_id").cast("long").alias("d"), F.col("text").alias("t")).join(F.broadcast(y), F.col("d") == F.col("k"))
     d = d.select("k", "t", *names).mapInArrow(each, ", ".join(["k long", "ids binary", *(f"{c} int" for c in names)]))
     got = d.groupBy("k").agg(F.min(F.struct("ids", *names)).alias("s")).select("k", "s.*").collect()
-    got = sorted(got, key=lambda r: r["k"])
-    rows = [np.frombuffer(r["ids"], "<i4").astype(np.int64) for r in got]
-    return fit_chain(rows, np.array([[r[c] for c in names] for r in got], np.int64).reshape(len(got), len(names)))
+    got = sorted(((r["k"], bytes(r["ids"]), [r[c] for c in names]) for r in got), key=lambda r: r[0])
+    y = np.array([r[2] for r in got], np.int64).reshape(len(got), len(names))
+    return fit_chain([np.frombuffer(r[1], "<i4") for r in got], y)
 
 
 def scores(models: list[Linear], text: Column) -> Column:
