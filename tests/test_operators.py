@@ -202,3 +202,14 @@ def test_restore_and_retention(spark):
     assert {(r.path, r["size"]) for r in snapshots.restore(s, want).collect()} == {("a", 1), ("b", 3)}
     assert [r["size"] for r in snapshots.restore(s).collect()] == [3]
     assert {tuple(r) for r in snapshots.retention(s, NOW, keep_manifests=2).collect()} == {("20240101-000000", "notes"), ("20240101-000000", "manifest")}
+
+
+def test_bodies_and_ranking(spark):
+    chunks = spark.createDataFrame([("a", 1, "two"), ("a", 0, "one"), ("b", 0, "x")], "path string, ord int, text string")
+    assert dict(map(tuple, graph.note_bodies(chunks).collect())) == {"a": "one\ntwo", "b": "x"}
+    proposals = spark.createDataFrame([("a", "x", 0.8), ("b", "y", 0.9), ("a", "z", 0.85)], "src string, dst string, score double")
+    got = [(r.src, r.dst, r.link_rank) for r in similarity.rank_proposals(proposals).collect()]
+    assert got == [("b", "y", 1), ("a", "z", 1), ("a", "x", 2)]
+    v = vault(spark, x__a="", x__b="", y="")
+    assert [r.path for r in notes.list_notes(v, "x", limit=1).collect()] == ["x/a.md"]
+    assert {r.folder for r in notes.list_folders(v).collect()} == {"x"}
