@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -29,15 +30,21 @@ from .common import connected_components, materialize
 SEED = 42
 #: Variants of a cell, about, and those that a task holds at once.
 CELL_VARIANTS, HELD_VARIANTS = 1 << 22, 1 << 20
+#: The same for six bits, where a fingerprint has 43,745 variants: more of them a cell, so that fewer rows are shuffled.
+WIDE_CELL_VARIANTS = 1 << 28
+#: Documents and shingles of a tile, about, in which near copies are verified.
+TILE_DOCS, TILE_SHINGLES = 1 << 11, 1 << 20
+#: Of pairs at a similarity of 0.8, 99.97 % share one of so many min-hashes.
+MIN_HASHES = 5
 
 
-def fingerprint(text: str | None, words: int = 4) -> int:
-    """64-bit SimHash of the word shingles of ``text``, repeats included; 0 without words."""
-    found = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    n = len(found)
-    if not n:
-        return 0
-    joined = b" ".join(found)
+def _words(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
+def _shingles(found: list[bytes], words: int) -> np.ndarray:
+    """64-bit hashes of the word shingles, repeats included; of the whole where it has fewer words."""
+    n, joined = len(found), b" ".join(found)
     if n <= words:
         hashes = [xxhash.xxh64_intdigest(joined, SEED)]
     else:
@@ -46,13 +53,30 @@ def fingerprint(text: str | None, words: int = 4) -> int:
         start = (end - size)[: n - words + 1].tolist()
         digest = xxhash.xxh64_intdigest
         hashes = [digest(joined[a:b], SEED) for a, b in zip(start, end[words - 1 :].tolist(), strict=True)]
-    h, ones = np.array(hashes, "<u8"), np.zeros(64, np.int64)
+    return np.array(hashes, "<u8")
+
+
+def _majority(h: np.ndarray) -> int:
+    """The bits that more than half of the hashes have."""
+    ones = np.zeros(64, np.int64)
     for at in range(0, len(h), 1 << 14):
         part = np.unpackbits(h[at : at + (1 << 14)].view(np.uint8), bitorder="little").reshape(-1, 64)
         ones += part.sum(0, dtype=np.int32)
     return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str | None, words: int = 4) -> int:
+    """64-bit SimHash of the word shingles of ``text``, repeats included; 0 without words."""
+    found = _words(text)
+    return _majority(_shingles(found, words)) if found else 0
+
+
+def wide_print(found: list[bytes]) -> int:
+    """32 bits of the single words below 32 bits of the word pairs: an edit changes fewer of them than of longer shingles."""
+    low = (1 << 32) - 1
+    return (_majority(_shingles(found, 1)) & low) | (_majority(_shingles(found, 2)) & low) << 32 if found else 0
+
+
 def fingerprints(docs: DataFrame, words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, fp long)`` of every row; a null text counts as empty.  Other columns are left out."""
 
@@ -65,6 +89,7 @@ def fingerprints(docs: DataFrame, words: int = 4, id_col: str = "doc_id", text_c
     return known.mapInArrow(each, "doc_id long, fp long")
 
 
+@lru_cache(256)
 def _masks(bits: int, radius: int) -> np.ndarray:
     """All values of ``bits`` bits with at most ``radius`` ones."""
     return np.array([sum(1 << i for i in c) for k in range(min(bits, radius) + 1) for c in combinations(range(bits), k)], np.uint64)
@@ -135,7 +160,7 @@ def _link_cell(table: pa.Table, bits: int, radius: int) -> pa.Table:
     return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
 
 
-def near_components(prints: DataFrame, max_bits: int = 4) -> DataFrame:
+def near_components(prints: DataFrame, max_bits: int = 4, cell_variants: int | None = None) -> DataFrame:
     """``prints(doc_id, fp)`` -> ``(doc_id, fp, component_id)``: fingerprints link at ``max_bits`` or fewer differing bits.
 
     ``component_id`` is the smallest doc_id reachable.  Equal fingerprints
@@ -151,7 +176,7 @@ def near_components(prints: DataFrame, max_bits: int = 4) -> DataFrame:
     nodes = materialize(nodes)
     n = nodes.count()
     variants = n * sum(math.comb(64, k) for k in range(radius + 1))
-    bits = min(24, max(4, math.ceil(math.log2(max(1, variants / CELL_VARIANTS)))))
+    bits = min(24, max(4, math.ceil(math.log2(max(1, variants / (cell_variants or CELL_VARIANTS))))))
     masks = ",".join(str(int(m)) for m in _masks(bits, radius))
     cells = nodes.select(
         F.expr(f"explode(transform(array({masks}), m -> cast(shiftrightunsigned(fp, {64 - bits}) as int) ^ m))").alias("cell"), "fp", "rep"
@@ -180,14 +205,109 @@ def simhash_components(docs: DataFrame, words: int = 4, max_bits: int = 4, id_co
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_copies(docs: DataFrame, words: int = 5, max_bits: int = 4) -> DataFrame:
+def _verify(table: pa.Table, threshold: float, across: bool) -> pa.Table:
+    """Edges ``(a, b)`` that span what is linked: each text of a tile held against all others that it isn't yet linked with."""
+    table = table.combine_chunks()
+    rep, root = table.column("rep").to_numpy(), table.column("label").to_numpy().copy()
+    side = table.column("tile").to_numpy() if across else None
+    lists = table.column("sh").combine_chunks()
+    ids = np.unique(lists.flatten().to_numpy(), return_inverse=True)[1]
+    size = lists.value_lengths().to_numpy().astype(np.int64)
+    end = np.cumsum(size)
+    start, mark = end - size, np.zeros(len(ids), bool)
+    for p in range(len(rep)):
+        free = (root != root[p]) & (size >= threshold * size[p] - 1e-9) & (size[p] >= threshold * size - 1e-9)
+        if across:
+            free &= side != side[p]
+        free[: p + 1] = False
+        at = np.flatnonzero(free)
+        if not len(at):
+            continue
+        own = ids[start[p] : end[p]]
+        mark[own] = True
+        if len(at) <= 64:
+            common = np.array([np.count_nonzero(mark[ids[start[q] : end[q]]]) for q in at])
+        else:
+            common = np.add.reduceat(mark[ids], start, dtype=np.int64)[at]
+        mark[own] = False
+        linked = at[common >= threshold * (size[p] + size[at] - common) - 1e-9]
+        if len(linked):
+            merged = np.unique(np.append(root[linked], root[p]))
+            root[np.isin(root, merged)] = merged[0]
+    moved = np.flatnonzero(root != rep)
+    return pa.table({"a": rep[moved], "b": root[moved]})
+
+
+def near_copy_links(docs: DataFrame, nodes: DataFrame, words: int, threshold: float, max_bits: int) -> DataFrame:
+    """``nodes(doc_id, fp)`` of unlike texts -> ``(node, component)`` as ``connected_components`` has it.
+
+    What links at ``max_bits`` makes candidate groups.  Chains make some of them
+    large, so a group is dealt by MIN_HASHES min-hashes of the shingles: a pair
+    at similarity J meets at one of them with probability 1 - (1 - J)^MIN_HASHES.
+    What meets is dealt to tiles of bounded size; in a tile, and against the
+    first text, all that isn't linked yet is compared by its sets of shingles.
+    Where several tiles are left apart, they are compared tile by tile.
+    """
+    near = near_components(nodes, max_bits, WIDE_CELL_VARIANTS).select(F.col("doc_id").alias("rep"), F.col("component_id").alias("comp"))
+    near = materialize(near)
+    groups = near.groupBy("comp").agg(F.count("*").alias("n")).where("n > 1").select(F.col("comp").alias("c"))
+    near = near.join(groups, near.comp == F.col("c")).drop("c").distinct()
+    odd = np.random.Generator(np.random.PCG64(SEED)).integers(0, 1 << 63, MIN_HASHES, np.uint64) * np.uint64(2) + np.uint64(1)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sh = [np.unique(_shingles(_words(t.as_py()), words)) for t in b.column(2)]
+            least = [np.array([((h ^ (h >> np.uint64(29))) * a).min() for a in odd], "<u8").view("<i8") for h in sh]
+            held = [pa.array([h.view("<i8") for h in sh], pa.list_(pa.int64())), pa.array(least, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *held], ["rep", "comp", "sh", "least"])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("d"), "text")
+    texts = near.join(texts, near.rep == texts.d).select("rep", "comp", "text")
+    held = materialize(texts.mapInArrow(each, "rep long, comp long, sh array<long>, least array<long>"))
+    keys = held.select("rep", F.size("sh").alias("n"), "comp", F.posexplode("least").alias("k", "m"))
+    tiles = F.ceil(F.greatest(F.count("*") / TILE_DOCS, F.sum("n") / TILE_SHINGLES)).cast("int").alias("tiles")
+    sizes = keys.groupBy("comp", "k", "m").agg(F.min("rep").alias("head"), F.count("*").alias("members"), tiles).where("members > 1")
+    dealt = keys.join(sizes, ["comp", "k", "m"]).select(F.col("rep").alias("r"), "comp", "k", "m", "head", "tiles", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int").alias("home"))
+    dealt = materialize(dealt)
+    sets = held.select("rep", "sh")
+    everywhere = F.when(F.col("r") == F.col("head"), F.sequence(F.lit(0), F.col("tiles") - 1)).otherwise(F.array("home"))
+    cells = dealt.select("r", "comp", "k", "m", F.explode(everywhere).alias("tile"))
+    cells = cells.join(sets, cells.r == sets.rep).select("comp", "k", "m", "rep", F.col("rep").alias("label"), "sh", "tile")
+    links = materialize(cells.groupBy("comp", "k", "m", "tile").applyInArrow(lambda t: _verify(t, threshold, False), "a long, b long"))
+    roots = connected_components(links)
+    if dealt.where("tiles > 1").isEmpty():
+        return roots
+    parts = dealt.where("tiles > 1").join(roots, F.col("r") == F.col("node"), "left").select("comp", "k", "m", "r", "tiles", "home", F.coalesce("component", "r").alias("label"))
+    apart = parts.groupBy("comp", "k", "m").agg(F.min("label").alias("l"), F.max("label").alias("u")).where("l < u").select("comp", "k", "m")
+    other = F.explode(F.filter(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: t != F.col("home"))).alias("other")
+    cells = parts.join(apart, ["comp", "k", "m"]).select("comp", "k", "m", "r", "label", F.col("home").alias("tile"), other)
+    cells = cells.join(sets, cells.r == sets.rep).select("comp", "k", "m", "rep", "label", "sh", "tile", F.least("tile", "other").alias("x"), F.greatest("tile", "other").alias("y"))
+    more = cells.groupBy("comp", "k", "m", "x", "y").applyInArrow(lambda t: _verify(t, threshold, True), "a long, b long")
+    return connected_components(links.union(more))
+
+
+def drop_near_copies(docs: DataFrame, words: int = 5, threshold: float = 0.8, max_bits: int = 6) -> DataFrame:
     """The rows of ``docs`` whose doc_id is the smallest of its group; columns as they came.
 
+    Texts of the same words in order are copies.  Others are linked where the
+    sets of their shingles of ``words`` words (as 64-bit hashes) have a Jaccard
+    similarity of at least ``threshold``; those are looked for among texts whose
+    ``wide_print`` chains in steps of ``max_bits`` or fewer bits, and all verified.
     Rows without a doc_id cannot be told apart and stay.  Of rows that repeat a doc_id, one stays.
     """
-    kept = near_components(fingerprints(docs, words), max_bits).where("component_id = doc_id").groupBy("doc_id").agg(F.count("*").alias("n"))
-    kept = materialize(kept.select(F.col("doc_id").alias("__kept"), F.col("n").alias("__n")))
-    out = docs.join(kept.select("__kept"), docs["doc_id"] == F.col("__kept"), "left_semi")
-    if not kept.where("__n > 1").isEmpty():
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [_words(t.as_py()) for t in b.column(1)]
+            fp = np.array([wide_print(w) for w in found], "<u8").view("<i8")
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp), pa.array([xxhash.xxh3_128_digest(b" ".join(w)) for w in found], pa.binary())], ["doc_id", "fp", "same"])
+
+    known = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    prints = materialize(known.mapInArrow(each, "doc_id long, fp long, same binary"))
+    nodes = materialize(prints.groupBy("same", "fp").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "fp"))
+    roots = near_copy_links(docs, nodes, words, threshold, max_bits)
+    kept = materialize(nodes.select("doc_id").distinct().join(roots, nodes.doc_id == roots.node, "left_anti").select(F.col("doc_id").alias("__kept")))
+    out = docs.join(kept, docs["doc_id"] == F.col("__kept"), "left_semi")
+    if not prints.groupBy("doc_id").count().where("count > 1").isEmpty():
         out = out.dropDuplicates(["doc_id"])
     return out.unionByName(docs.where(docs["doc_id"].isNull()))

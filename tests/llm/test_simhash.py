@@ -100,3 +100,47 @@ def test_component_rounds(spark):
     got = {r.node: r.component for r in common.connected_components(edges).collect()}
     assert got == {i: 0 for i in range(1, 101)} | {500: 400}
     assert common.connected_components(edges.limit(0)).count() == 0
+
+
+def shingle_set(text):
+    words = (text or "").lower().split()
+    return {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def slow_near_copies(rows):
+    """Smallest doc_id reachable by a Jaccard similarity of 0.8 of five-word shingles, all pairs."""
+    sets = {d: shingle_set(t) for d, t in rows}
+    root = {d: d for d in sets}
+    for a, b in itertools.combinations(sorted(sets), 2):
+        x, y = sets[a], sets[b]
+        if root[a] != root[b] and 5 * len(x & y) >= 4 * len(x | y):
+            lo, hi = sorted((root[a], root[b]))
+            root = {d: lo if r == hi else r for d, r in root.items()}
+    return {d for d, r in root.items() if r == d}
+
+
+def test_near_copies_of_documents(spark):
+    from conftest import DATA
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
+    assert {r.doc_id for r in simhash.drop_near_copies(docs).collect()} == slow_near_copies([tuple(r) for r in docs.collect()])
+
+
+@pytest.mark.parametrize("tile", [1 << 11, 3])
+def test_near_copies_are_verified(spark, monkeypatch, tile):
+    monkeypatch.setattr(simhash, "TILE_DOCS", tile)
+    rng = random.Random(7)
+    words = [f"w{i}" for i in range(400)]
+    rows = []
+    for _ in range(6):  # copies with a few words changed, and texts that differ beside one repeated line
+        text = rng.choices(words, k=300)
+        for _ in range(7):
+            rows.append((len(rows), " ".join(text)))
+            text = list(text)
+            for i in rng.sample(range(300), 3):
+                text[i] = rng.choice(words)
+    line = " ".join(rng.choices(words, k=12)) + "\n"
+    rows += [(len(rows) + i, line * 200 + " ".join(rng.choices(words, k=60))) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id for r in simhash.drop_near_copies(docs).collect()}
+    assert got == slow_near_copies(rows) and len(got) == 18
