@@ -52,7 +52,7 @@ def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return editprint.edited_pairs(_table(spark, sf_dir, "documents"))
+    return editprint.similar_groups(editprint.edited_pairs(_table(spark, sf_dir, "documents")))
 
 
 def op10_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:

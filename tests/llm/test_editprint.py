@@ -88,3 +88,23 @@ def test_groups(spark):
     a, b = "0" * 60 + "1234", "0" * 60 + "1299"
     got = spark.range(1).select(editprint.likeness_of(*(__import__("pyspark").sql.functions.lit(x) for x in (a, b))).alias("v")).first().v
     assert got == pytest.approx(editprint.likeness(a, b))
+
+
+@pytest.mark.parametrize("tile", [1024, 3])
+def test_groups_against_all_pairs(spark, monkeypatch, tile):
+    monkeypatch.setattr(editprint, "TILE", tile)
+    rng, rows = random.Random(3), []
+    for _ in range(4):  # copies with up to 6 digits changed, in bands that unlike prints share
+        base = "00000" + "".join(rng.choices("0123456789abcdef", k=59))
+        for _ in range(6):
+            p = list(base)
+            for i in rng.sample(range(5, 64), 6):
+                p[i] = rng.choice("0123456789abcdef")
+            rows.append((len(rows), "".join(p)))
+    near = {a: {b for b, q in rows if b != a and editprint.likeness(p, q) >= 0.8} for a, p in rows}
+    root = {a: a for a in near}
+    for _ in rows:
+        root = {a: min([root[a], *(root[b] for b in near[a])]) for a in near}
+    got = editprint.similar_groups(spark.createDataFrame(rows, "doc_id long, fingerprint string")).collect()
+    assert {(r.doc_id, r.component_id, r.n_near) for r in got} == {(a, root[a], len(near[a])) for a in near}
+    assert any(near.values())
