@@ -43,13 +43,13 @@ _PARTS = {
     "asked": f"SELECT qid, unnest(list_distinct(CASE WHEN len(k) > 0 THEN k ELSE t END)) AS term FROM (SELECT qid, {_TOKENS('query')} AS t, list_filter({_TOKENS('query')}, lambda x: length(x) > 1 AND NOT list_contains({_list(T.STOP_WORDS)}, x)) AS k FROM queries)",
     "tokens": f"SELECT path, ord, unnest({_TOKENS('text')}) AS term FROM paragraphs",
     "lexical": "SELECT qid, path, ord, count(*) / 100 AS score, row_number() OVER (PARTITION BY qid ORDER BY count(*) DESC, path, ord) AS rank FROM tokens JOIN asked USING (term) GROUP BY qid, path, ord",
-    "staged": """SELECT qid, path, CASE WHEN (length(q) > 0 AND contains(name, q)) OR (length(al) > 0 AND contains(name, al)) THEN 1 WHEN n > 0 THEN 2
-        WHEN len(list_filter(long_, lambda t: contains(low, t))) > 0 THEN 3 END AS stage, n FROM (
-        SELECT qid, path, lower(query) AS q, array_to_string(terms, ' ') AS al, list_filter(terms, lambda t: length(t) > 2) AS long_, lower(regexp_extract(path, '([^/]*)$', 1)) AS name, lower(text) AS low,
-        len(list_intersect(list_distinct(regexp_extract_all(lower(regexp_extract(path, '([^/]*)$', 1)), '[a-z0-9]+')), list_distinct(regexp_extract_all(array_to_string(terms, ' '), '[a-z0-9]+')))) AS n
-        FROM terms, vault_notes)""",
-    "candidates": """SELECT qid, path, stage, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY stage, CASE WHEN stage = 2 THEN n ELSE 0 END DESC, path) AS rank FROM
-        (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY stage, CASE WHEN stage = 2 THEN n ELSE 0 END DESC, path) AS r FROM staged WHERE stage IS NOT NULL) WHERE stage > 1 OR r <= 20) WHERE rank <= 60""",
+    "named": r"""SELECT qid, path, terms, (length(query) > 0 AND contains(name, lower(query))) OR (len(terms) > 0 AND contains(name, array_to_string(terms, ' '))) AS whole,
+        len(list_intersect(list_distinct(regexp_extract_all(name, '[a-z0-9]+')), terms)) AS n,
+        len(list_filter(terms, lambda t: length(t) > 2 AND contains(low, t))) > 0 AS inside
+        FROM terms, (SELECT path, lower(regexp_extract(path, '([^/]*)$', 1)) AS name, lower(text) AS low FROM vault_notes)""",
+    "staged": """SELECT qid, path, n, CASE WHEN whole AND row_number() OVER (PARTITION BY qid, whole ORDER BY path) <= 20 THEN 1 WHEN n > 0 THEN 2 WHEN inside THEN 3 END AS stage FROM named""",
+    "candidates": """SELECT qid, path, stage, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY stage, CASE WHEN stage = 2 THEN n ELSE 0 END DESC, path) AS rank
+        FROM staged WHERE stage IS NOT NULL) WHERE rank <= 60""",
     "cand_chunks": f"SELECT qid, path, ord, {_TOKENS('text')} AS toks, terms FROM candidates JOIN paragraphs USING (path) JOIN terms USING (qid)",
     "hits": "SELECT qid, path, ord, term, len(toks) AS m, len(terms) AS nt, count(*) AS c FROM (SELECT *, unnest(toks) AS term FROM cand_chunks) WHERE list_contains(terms, term) GROUP BY ALL",
     "idf": "SELECT qid, term, ln(1 + (SELECT count(*) FROM cand_chunks x WHERE x.qid = h.qid) / (1 + count(*))) AS idf FROM hits h GROUP BY qid, term",

@@ -14,6 +14,8 @@ from ..functions import vectors as V
 
 #: Queries of a batch that are sent to every task; more go in several batches.
 MAX_QUERIES = 10_000
+#: First characters of a name query by which names are met.
+GRAM = 6
 
 
 def doc_freq(chunks: DataFrame) -> DataFrame:
@@ -22,39 +24,77 @@ def doc_freq(chunks: DataFrame) -> DataFrame:
 
 
 def expand_query(queries: DataFrame, stems: DataFrame | None = None, synonyms: dict[str, list[str]] | None = None) -> DataFrame:
-    """``queries(qid, query)`` with ``terms``: tokens, their synonyms and, where given, stems(term, stem); sorted, distinct."""
+    """``queries(qid, query)`` with ``terms``: tokens, those of their synonyms and, where given, of stems(term, stem); sorted, distinct."""
     synonyms = T.SYNONYMS if synonyms is None else synonyms
     words = queries.select("qid", F.explode(T.tokenize(F.col("query"))).alias("term")).distinct()
-    table = F.create_map(*[x for k, v in synonyms.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
-    every = words.union(words.select("qid", F.explode(table[F.col("term")])))
+    table = F.create_map(*[x for k, v in synonyms.items() for x in (F.lit(k), F.lit(" ".join(v)))])
+    every = words.union(words.select("qid", F.explode(T.tokenize(table[F.col("term")]))))
     if stems is not None:
-        every = every.union(words.join(stems, "term").select("qid", "stem"))
+        every = every.union(words.join(stems, "term").select("qid", F.explode(T.tokenize(F.col("stem")))))
     terms = every.groupBy("qid").agg(F.array_sort(F.collect_set("term")).alias("terms"))
-    return queries.join(terms.withColumnRenamed("qid", "q"), F.col("qid") == F.col("q"), "left").drop("q").withColumn("terms", F.coalesce("terms", F.array().cast("array<string>")))
+    both = queries.join(terms.withColumnRenamed("qid", "q"), F.col("qid") == F.col("q"), "left").drop("q")
+    return both.withColumn("terms", F.coalesce("terms", F.array().cast("array<string>")))
+
+
+def holding(names: DataFrame, asked: DataFrame) -> DataFrame:
+    """Distinct ``(qid, path)`` where the lower-case ``low`` of ``names(path, low)`` contains ``q`` of ``asked(qid, q)``.
+
+    An equi-join: a string that contains ``q`` contains its first characters
+    (GRAM of them, or all), so names are met by their substrings of that many
+    and then tested.  Names are short; an empty or null ``q`` is in none.
+    """
+    asked = asked.where("length(q) > 0").withColumn("gram", F.substring("q", 1, GRAM))
+    lengths = sorted(r["n"] for r in asked.select(F.length("gram").alias("n")).distinct().collect())  # at most GRAM
+    none, size = F.array().cast("array<string>"), F.length("low")
+
+    def parts(n: int) -> Column:
+        return F.when(size >= n, F.transform(F.sequence(F.lit(1), size - n + 1), lambda i: F.substring("low", i, F.lit(n)))).otherwise(none)
+
+    cut = names.select("path", "low", F.explode(F.array_distinct(F.concat(none, *map(parts, lengths)))).alias("gram"))
+    return cut.join(asked, "gram").where(F.contains("low", F.col("q"))).select("qid", "path").distinct()
 
 
 def candidates(expanded: DataFrame, notes: DataFrame, max_candidates: int = 20) -> DataFrame:
-    """``(qid, path, stage, rank)``: notes whose name holds the query (at most ``max_candidates``), then those that share
-    words with it by their number, then those whose text contains a term of more than two letters; at most
-    ``max(60, max_candidates)`` a query.  Queries are few and go to every task; a note is read once.
+    """``(qid, path, stage, rank)``, at most ``max(60, max_candidates)`` a query, in three stages.
+
+    First the ``max_candidates`` notes, by path, whose name holds the query or
+    its terms in a row; then the others that share words with it, by their
+    number; then the others whose text contains a term of more than two letters.
+
+    Every join is on equal keys.  A term consists of a token's characters, so a
+    text that contains it has a token that does: terms are looked up in the
+    corpus' distinct tokens, not in texts.  Of notes that no query can tell
+    apart (the same words in the name, the same term in the text) only the first
+    ``cap`` by path can get in, so no more of them leave a task.
     """
-    asked = expanded.select(
-        "qid", F.lower("query").alias("q"), F.array_join("terms", " ").alias("all"), "terms",
-        F.filter("terms", lambda t: F.length(t) > 2).alias("long"), F.regexp_extract_all(F.array_join("terms", " "), F.lit("[a-z0-9]+"), F.lit(0)).alias("words"),
-    )
-    name = F.lower(T.file_name(F.col("path")))
-    own = notes.select("path", name.alias("name"), F.regexp_extract_all(name, F.lit("[a-z0-9]+"), F.lit(0)).alias("parts"), F.lower("text").alias("low"))
-    pair = own.crossJoin(F.broadcast(asked) if asked.count() <= MAX_QUERIES else asked)
-    shared = F.size(F.array_intersect("parts", "words"))
-    whole = ((F.length("q") > 0) & F.contains("name", F.col("q"))) | ((F.length("all") > 0) & F.contains("name", F.col("all")))
-    inside = F.exists("long", lambda t: F.contains(F.col("low"), t))
-    stage = F.when(whole, 1).when(shared > 0, 2).when(inside, 3)
-    hits = pair.select("qid", "path", stage.alias("stage"), F.when(stage == 2, shared).otherwise(0).alias("overlap")).where("stage is not null")
-    # Those beyond the cap of the first stage fall to the second where they share words.
-    first = F.row_number().over(Window.partitionBy("qid").orderBy("stage", F.desc("overlap"), "path"))
-    hits = hits.withColumn("r", first).where((F.col("stage") > 1) | (F.col("r") <= max_candidates))
-    rank = F.row_number().over(Window.partitionBy("qid").orderBy("stage", F.desc("overlap"), "path"))
-    return hits.select("qid", "path", "stage", rank.alias("rank")).where(F.col("rank") <= max(60, max_candidates))
+    cap = max(60, max_candidates)
+    by_path = lambda key: Window.partitionBy(key).orderBy("path")
+    names = notes.select("path", F.lower(T.file_name(F.col("path"))).alias("low"))
+    terms = expanded.select("qid", F.explode("terms").alias("term"))
+
+    whole = expanded.select("qid", F.explode(F.array(F.lower("query"), F.array_join("terms", " "))).alias("q")).distinct()
+    first = holding(names, whole).withColumn("r", F.row_number().over(by_path("qid"))).where(F.col("r") <= max_candidates)
+    first = first.select("qid", "path", F.lit(1).alias("stage"), F.lit(0).alias("overlap"))
+
+    words = names.select("path", F.explode(F.array_distinct(F.regexp_extract_all("low", F.lit("[a-z0-9]+"), F.lit(0)))).alias("term"))
+    shared = words.join(terms.select("term").distinct(), "term", "left_semi").groupBy("path").agg(F.array_sort(F.collect_set("term")).alias("shared"))
+    alike = shared.withColumn("r", F.row_number().over(by_path("shared"))).where(F.col("r") <= cap).drop("r")
+    overlap = alike.select("shared").distinct().select("shared", F.explode("shared").alias("term")).join(terms, "term")
+    overlap = overlap.groupBy("qid", "shared").agg(F.count("*").cast("int").alias("overlap"))
+    second = overlap.join(alike, "shared").select("qid", "path", F.lit(2).alias("stage"), "overlap")
+
+    tokens = notes.select("path", F.explode(F.array_distinct(T.tokenize(F.col("text")))).alias("token"))
+    known = tokens.select(F.col("token").alias("path"), F.col("token").alias("low")).distinct()
+    long = terms.where("length(term) > 2")
+    inside = holding(known, long.select(F.col("term").alias("qid"), F.col("term").alias("q")).distinct())
+    found = tokens.join(inside.select(F.col("qid").alias("term"), F.col("path").alias("token")), "token").select("term", "path")
+    # The dense rank counts a note once, however many of its tokens hold the term.
+    found = found.withColumn("r", F.dense_rank().over(by_path("term"))).where(F.col("r") <= cap).select("term", "path").distinct()
+    third = found.join(long, "term").select("qid", "path", F.lit(3).alias("stage"), F.lit(0).alias("overlap")).distinct()
+
+    best = first.union(second).union(third).groupBy("qid", "path").agg(F.min(F.struct("stage", "overlap")).alias("s"))
+    rank = F.row_number().over(Window.partitionBy("qid").orderBy("s.stage", F.desc("s.overlap"), "path"))
+    return best.withColumn("rank", rank).where(F.col("rank") <= cap).select("qid", "path", F.col("s.stage").alias("stage"), "rank")
 
 
 def tfidf(expanded: DataFrame, chunks: DataFrame) -> DataFrame:
