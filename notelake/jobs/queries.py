@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import datetime as dt
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +11,7 @@ from ..functions import chunking
 from ..functions import text as T
 from ..functions import vectors as V
 from ..operators import graph, index, notes, retrieval, scan, similarity, snapshots
+from ..shared import materialize as checkpoint
 from ..sources.notes import live_docs
 from . import views
 
@@ -19,14 +19,6 @@ NOW = dt.datetime(2024, 1, 13, tzinfo=dt.UTC)
 RULES = scan.load_rules(scan.GENERIC_RULES + "\nemail:[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}\n!email:^src3/")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage in the folder that the session names; a temporary one where it names none."""
-    spark = df.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="notelake-"))
-    return df.checkpoint()
-
-
 def _round(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({c: F.round(c, 6) for c in names})
 
@@ -83,9 +75,13 @@ def e_apply_edits(spark, d):
 
 
 def e4_move_notes(spark, d):
-    n = _edited_notes(spark, d)
-    moves = n.where("cast(substring(path, 2, length(path) - 4) as int) % 10 = 0").select("path", F.concat(F.lit("m/"), F.col("path")).alias("to_path"))
-    return notes.move_notes(n, moves).select("path", F.md5("text").alias("text"))
+    """Moves with collisions, chains that end free or at a note that stays, and swaps."""
+    n = views.vault_notes(spark, d).select("doc_id", F.expr("concat('n', doc_id, '.md')").alias("path"), "text")
+    to = F.expr("""CASE doc_id % 10 WHEN 0 THEN concat('m/n', doc_id, '.md') WHEN 1 THEN concat('n', doc_id + 1, '.md') WHEN 2 THEN concat('n', doc_id + 1, '.md')
+        WHEN 3 THEN concat('n', doc_id + 1, '.md') WHEN 5 THEN concat('n', doc_id + 1, '.md') WHEN 6 THEN concat('n', doc_id - 1, '.md')
+        WHEN 7 THEN concat('c/', doc_id div 20, '.md') WHEN 8 THEN concat('n', doc_id - 1, '.md') WHEN 9 THEN concat('n', doc_id + 1, '.md') END""")
+    moves = n.select("path", to.alias("to_path")).where("to_path is not null")
+    return notes.move_notes(n.select("path", "text"), moves).select("path", F.md5("text").alias("text"))
 
 
 def c1_chunk_notes(spark, d):
@@ -241,12 +237,12 @@ def g6_roles(spark, d):
 
 def g7_connected_components(spark, d):
     v, edges, _ = _degree(spark, d)
-    return graph.connected_components(v, edges, checkpoint)
+    return graph.connected_components(v, edges)
 
 
 def _stats(spark, d):
     v, edges, degree = _degree(spark, d)
-    return graph.graph_stats(degree, edges, graph.broken_links(v), graph.connected_components(v, edges, checkpoint))
+    return graph.graph_stats(degree, edges, graph.broken_links(v), graph.connected_components(v, edges))
 
 
 def g8_graph_stats(spark, d):

@@ -58,6 +58,12 @@ _PARTS = {
         UNION ALL SELECT f.path, e.k, CASE op WHEN 'signup' THEN c WHEN 'view' THEN coalesce(text, '') || c WHEN 'click' THEN c || coalesce(text, '')
         WHEN 'purchase' THEN CASE WHEN strpos(text, '1') > 0 THEN substr(text, 1, strpos(text, '1') - 1) || c || substr(text, strpos(text, '1') + 1) ELSE text END ELSE NULL END
         FROM fold f JOIN eops e ON e.path = f.path AND e.k = f.k + 1""",
+    "moving": """SELECT path, text, CASE doc_id % 10 WHEN 0 THEN 'm/n' || doc_id || '.md' WHEN 1 THEN 'n' || (doc_id + 1) || '.md' WHEN 2 THEN 'n' || (doc_id + 1) || '.md'
+        WHEN 3 THEN 'n' || (doc_id + 1) || '.md' WHEN 5 THEN 'n' || (doc_id + 1) || '.md' WHEN 6 THEN 'n' || (doc_id - 1) || '.md'
+        WHEN 7 THEN 'c/' || (doc_id // 20) || '.md' WHEN 8 THEN 'n' || (doc_id - 1) || '.md' WHEN 9 THEN 'n' || (doc_id + 1) || '.md' END AS target FROM edited""",
+    "refused": """SELECT path, target FROM moving WHERE target IN (SELECT target FROM moving WHERE target IS NOT NULL GROUP BY target HAVING count(*) > 1)
+        OR target IN (SELECT path FROM moving WHERE target IS NULL)
+        UNION SELECT m.path, m.target FROM moving m JOIN refused r ON m.target = r.path""",
     "lines": r"SELECT source || '/' || CAST(doc_id AS VARCHAR) || '.txt' AS path, i AS line, p[i] AS content FROM (SELECT source, doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT source, doc_id, string_split(text, chr(10)) AS p FROM documents))",
 }
 
@@ -108,7 +114,7 @@ _BODIES = {
     "n6_vault_inventory": r"""SELECT kind, CASE WHEN kind = 'live' THEN lower(regexp_extract(path, '\.([^./]+)$', 1)) ELSE '' END AS extension, count(*) AS n, CAST(sum(coalesce(size, 0)) AS BIGINT) AS bytes FROM (
         SELECT *, CASE WHEN starts_with(_id, 'h:') THEN 'block' WHEN starts_with(_id, '_') THEN 'system' WHEN deleted THEN 'tombstone' WHEN coalesce(path, '') <> '' THEN 'live' ELSE 'other' END AS kind FROM raw_docs) GROUP BY 1, 2""",
     "e_apply_edits": "SELECT path, md5(text) AS text FROM (SELECT path, arg_max(k, k) AS k, max(k) AS top FROM fold GROUP BY path) m JOIN fold USING (path, k) WHERE text IS NOT NULL",
-    "e4_move_notes": "SELECT CASE WHEN doc_id % 10 = 0 THEN 'm/' ELSE '' END || path AS path, md5(text) AS text FROM edited",
+    "e4_move_notes": """SELECT CASE WHEN target IS NULL OR path IN (SELECT path FROM refused) THEN path ELSE target END AS path, md5(text) AS text FROM moving""",
     "c3_tokens": f"SELECT path, md5(array_to_string(t, ' ')) AS tokens, CAST(CASE WHEN len(k) > 0 THEN len(k) ELSE len(t) END AS BIGINT) AS n_key_terms, sha1(text) AS hash, md5(substr(text, 1, 600)) AS excerpt FROM (SELECT path, text, {_TOKENS('text')} AS t, list_filter({_TOKENS('text')}, lambda x: length(x) > 1 AND NOT list_contains({_list(T.STOP_WORDS)}, x)) AS k FROM vault_notes)",
     "c5_expand_query": _PARTS["terms"].replace("SELECT qid, list_sort", "SELECT qid, array_to_string(list_sort").replace(" AS terms, query FROM", ", ' ') AS terms FROM").replace("FROM queries)", "FROM (SELECT qid, query || CASE WHEN qid % 2 = 0 THEN ' docker backup Tarea' ELSE '' END AS query FROM queries))"),
     "c7_doc_freq": f"SELECT term, count(*) AS n FROM (SELECT unnest(list_distinct({_TOKENS('text')})) AS term FROM paragraphs) GROUP BY term",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import shared
 from ..functions import text as T
 
 LINK = r"\[\[([^\]|#]+)"
@@ -79,23 +80,10 @@ def leaves(degree: DataFrame) -> DataFrame:
     return degree.where("n_in = 0").select("path")
 
 
-def connected_components(notes: DataFrame, edges: DataFrame, checkpoint) -> DataFrame:
-    """``(path, component)``: the smallest path that a note reaches, links taken both ways.
-
-    Large-star and small-star rounds over joins; ``checkpoint`` cuts the
-    lineage of a round (a function from DataFrame to DataFrame).
-    """
-    e = checkpoint(edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct())
-    before = None
-    while (state := tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())) != before and state[0]:
-        before = state
-        ends = e.union(e.select("v", "u"))
-        least = ends.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
-        large = e.join(least, e.v == least.k).select("u", F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), "m")
-        small = large.join(low, large.u == low.k).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = checkpoint(small.union(low.select("k", "m")).distinct())
-    return notes.select("path").join(e, F.col("path") == F.col("u"), "left").select("path", F.coalesce("v", "path").alias("component"))
+def connected_components(notes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``(path, component)``: the smallest path that a note reaches, links taken both ways."""
+    roots = shared.connected_components(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")))
+    return notes.select("path").join(roots, F.col("path") == F.col("node"), "left").select("path", F.coalesce("component", "path").alias("component"))
 
 
 def component_sizes(components: DataFrame) -> DataFrame:

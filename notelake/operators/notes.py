@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import shared
 from ..functions import text as T
 
 
@@ -82,13 +83,41 @@ def apply_edits(notes: DataFrame, ops: DataFrame) -> DataFrame:
 
 
 def move_notes(notes: DataFrame, moves: DataFrame) -> DataFrame:
-    """Notes under their new paths, ``moves(path, to_path)``.
+    """Notes under their new paths, ``moves(path, to_path)``; the smallest target of a path that has several.
 
     A target that several notes want, or that a note has which stays, is
-    refused: those notes keep their paths.
+    refused: those notes keep their paths, and so refuse who wants these.  Notes
+    that move round in a circle all move.  Paths of notes are unique.
     """
-    moves = moves.groupBy("path").agg(F.min("to_path").alias("to")).select(F.col("path").alias("source"), "to")
-    want = notes.join(moves, notes.path == moves.source, "left").drop("source")
-    target = F.coalesce("to", "path")
-    crowd = F.count("*").over(Window.partitionBy(target))
-    return want.withColumn("path", F.when(crowd > 1, F.col("path")).otherwise(target)).drop("to")
+    wanted = moves.join(notes.select("path"), "path", "left_semi").groupBy("path").agg(F.min("to_path").alias("to")).where("to <> path")
+    refused = refused_moves(wanted, notes.select("path")).select(F.col("path").alias("source"))
+    going = wanted.join(refused, wanted.path == refused.source, "left_anti").select(F.col("path").alias("source"), "to")
+    # Texts meet the moves once, by their own path.
+    return notes.join(going, notes.path == going.source, "left").drop("source").withColumn("path", F.coalesce("to", "path")).drop("to")
+
+
+def refused_moves(wanted: DataFrame, paths: DataFrame) -> DataFrame:
+    """``(path)`` of ``wanted(path, to)`` that can't move, among notes at ``paths(path)``.
+
+    Uncontested moves form chains: each waits for the note at its target.  The
+    end of every chain is found by doubling the step, in a number of rounds that
+    is the logarithm of the longest chain.
+    """
+    crowd = wanted.groupBy("to").agg(F.count("*").alias("n")).where("n > 1").select("to")
+    movers = wanted.join(crowd, "to", "left_anti")
+    occupied = paths.join(movers.select("path"), "path", "left_anti").select(F.col("path").alias("taken"))
+    start = movers.join(occupied, movers["to"] == occupied.taken, "left")
+    spark, folder, left = wanted.sparkSession, None, None
+    chain = start.select("path", F.col("to").alias("next"), F.col("taken").isNotNull().alias("refused"))
+    while True:
+        state, after = shared.keep(chain)
+        if folder:
+            shared.remove(spark, folder)
+        folder, before = after, left
+        left = state.where("not refused and next is not null").count()
+        if not left or left == before:  # what still goes on goes in circles
+            return wanted.join(crowd, "to", "left_semi").select("path").union(state.where("refused").select("path"))
+        ahead = state.select(F.col("path").alias("p"), F.col("next").alias("beyond"), F.col("refused").alias("stops"))
+        joined = state.join(ahead, state.next == ahead.p, "left")
+        stopped = F.col("refused") | F.coalesce("stops", F.lit(False))
+        chain = joined.select("path", F.when(~stopped, F.col("beyond")).alias("next"), stopped.alias("refused"))

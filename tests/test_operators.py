@@ -79,14 +79,14 @@ def test_links(spark):
     assert {tuple(r) for r in graph.ambiguous_links(v).collect()} == {("b.md", "a", 2), ("x/a.md", "a", 2)}
     degree = graph.degrees(v, graph.resolve_links(v))
     assert {r.path for r in graph.islands(degree).collect()} == {"y/a.md"}
-    parts = {r.path: r.component for r in graph.connected_components(v, graph.resolve_links(v), checkpoint).collect()}
+    parts = {r.path: r.component for r in graph.connected_components(v, graph.resolve_links(v)).collect()}
     assert parts == {"x/a.md": "b.md", "b.md": "b.md", "c.md": "b.md", "y/a.md": "y/a.md", "cmd.md": "cmd.md", "d.md": "cmd.md"}
 
 
 def test_graph_without_edges(spark):
     v = vault(spark, a="", b="")
     edges = graph.resolve_links(v)
-    parts = graph.connected_components(v, edges, checkpoint)
+    parts = graph.connected_components(v, edges)
     stats = graph.graph_stats(graph.degrees(v, edges), edges, graph.broken_links(v), parts)
     assert stats.first().components == 2 and not graph.graph_health(stats).first().healthy
     assert {r.metric: (r.before, r.after) for r in graph.compare_graphs(stats, stats).collect()}["islands"] == (2, 2)
@@ -96,7 +96,7 @@ def test_long_chain_is_one_component(spark):
     n = 64
     edges = spark.range(n - 1).select(F.format_string("n%03d", F.col("id")).alias("src"), F.format_string("n%03d", F.col("id") + 1).alias("dst"))
     v = spark.range(n).select(F.format_string("n%03d", "id").alias("path"))
-    assert {r.component for r in graph.connected_components(v, edges.orderBy(F.rand(1)), checkpoint).collect()} == {"n000"}
+    assert {r.component for r in graph.connected_components(v, edges.orderBy(F.rand(1))).collect()} == {"n000"}
 
 
 def test_proposals(spark):
