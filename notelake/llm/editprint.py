@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize
+from ..shared import connected_components, materialize
 from .simhash import spanning
 
 #: Hex digits of a fingerprint, period of the random bits, characters hashed at a place.

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize
+from ..shared import connected_components, materialize
 from .simhash import spanning
 
 #: Vectors of a block, about, and of a tile.

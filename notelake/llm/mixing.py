@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from ..shared import materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Buckets of a source's keys.

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize
+from ..shared import connected_components, materialize
 
 SEED = 42
 #: Variants of a cell, about, and those that a task holds at once.

@@ -26,7 +26,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize
+from ..shared import materialize
 
 #: Payloads from this many bytes on are stored once.
 REVISIT_BYTES = 100

@@ -5,7 +5,8 @@ import re
 import pytest
 import xxhash
 
-from notelake.llm import common, simhash
+from notelake import shared
+from notelake.llm import simhash
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -97,9 +98,9 @@ def test_edge_cases(spark):
 
 def test_component_rounds(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(100)] + [(500, 400), (400, 500), (7, 7), (None, 3)], "a long, b long")
-    got = {r.node: r.component for r in common.connected_components(edges).collect()}
+    got = {r.node: r.component for r in shared.connected_components(edges).collect()}
     assert got == {i: 0 for i in range(1, 101)} | {500: 400}
-    assert common.connected_components(edges.limit(0)).count() == 0
+    assert shared.connected_components(edges.limit(0)).count() == 0
 
 
 def shingle_set(text):
