@@ -35,50 +35,61 @@ def letter_share(text: Column) -> Column:
     return F.when(n > 0, F.lit(0.25) + F.lit(0.75) * plain / n).otherwise(F.lit(0.25))
 
 
-def sources_to_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), rounds: int = 64) -> DataFrame:
+def _ranked(sizes: DataFrame) -> DataFrame:
+    """``sizes`` with ``__rank``, from 0: by code point, null last.  Sources are sorted by ranges, so that no task has them all."""
+    order = [F.col("source").isNull(), F.col("source")]
+    s = materialize(sizes.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
+    # A row a partition, not a source.
+    before = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+    start = s.groupBy(F.col("__part").alias("p")).agg(F.count("*").alias("n")).select("p", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    own = F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1
+    return s.join(F.broadcast(start), F.col("__part") == F.col("p")).withColumn("__rank", own + F.col("start")).drop("p", "start", "__part")
+
+
+def sources_to_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
     """``sizes(source, source_size)`` -> with ``target``.
 
     Sources by code point, null last, weigh ``weights`` in turn and share all
     words.  A target stops at MAX_EPOCHS times its source's size; what is above
-    goes to the others by weight until none is above.  The sources are few rows
-    (one each); this runs over windows of them, so nothing is collected.
+    goes to the others by weight until none is above.  A round of sharing is one
+    sum over the sources; each fills at least one more, so rounds end.
     """
-    order = Window.orderBy(F.col("source").isNull(), F.col("source"))
-    # Sources as rows of one window: their number is that of the sources, not of the documents.
-    cycle = F.element_at(F.array(*map(F.lit, weights)), ((F.row_number().over(order) - 1) % len(weights) + 1).cast("int"))
-    t = sizes.withColumn("__w", cycle.cast("double"))
-    # Water-filling: a source with a small size per weight is the first to be full.  In that order source k stays
-    # below its cap exactly when what the k-1 before it leave, shared by weight, does not exceed its cap.
-    cap = F.lit(float(MAX_EPOCHS)) * F.col("source_size")
-    up = Window.orderBy((F.col("source_size") / F.col("__w")), F.col("source").isNull(), F.col("source"))
-    before, every = up.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(F.lit(1))
-    t = (
-        t.withColumn("__all", F.sum("source_size").over(every).cast("double"))
-        .withColumn("__left", F.col("__all") - F.coalesce(F.sum(cap).over(before), F.lit(0.0)))
-        .withColumn("__weight", F.sum("__w").over(every) - F.coalesce(F.sum("__w").over(before), F.lit(0.0)))
-        .withColumn("__open", F.col("__left") / F.col("__weight") * F.col("__w") <= cap)
-        .withColumn("__first", F.min(F.when(F.col("__open"), F.col("source_size") / F.col("__w"))).over(every))
-    )
-    full = ~(F.col("source_size") / F.col("__w") >= F.col("__first"))
-    t = t.withColumn("__full", F.coalesce(full, F.lit(True)))
-    rest = F.col("__all") - F.coalesce(F.sum(F.when(F.col("__full"), cap)).over(every), F.lit(0.0))
-    open_w = F.sum(F.when(~F.col("__full"), F.col("__w"))).over(every)
-    return t.withColumn("target", F.when(F.col("__full"), cap).otherwise(rest * F.col("__w") / open_w)).select("source", "source_size", "target")
-
-
-def _drawn(docs: DataFrame, seed: int, quality, id_col: str, text_col: str) -> tuple[Column, Column, Column, Column]:
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("__rank") % len(weights) + 1).cast("int")).cast("double")
+    t = materialize(_ranked(sizes).select("source", "source_size", weight.alias("__w")))
+    cap = float(MAX_EPOCHS) * F.col("source_size")
+    share, full = 0.0, -1
+    while True:
+        over = F.col("__w") * share > cap
+        r = t.agg(
+            F.sum("source_size").alias("all"), F.count_if(over).alias("full"),
+            F.sum(F.when(over, cap)).alias("capped"), F.sum(F.when(~over, F.col("__w"))).alias("open"),
+        ).first()
+        if r["full"] == full or not r["open"]:
+            break
+        share, full = (float(r["all"]) - (r["capped"] or 0.0)) / r["open"], r["full"]
+    over = F.col("__w") * share > cap
+    return t.select("source", "source_size", F.when(over, cap).otherwise(F.col("__w") * share).alias("target"))
+
+
+def _drawn(docs: DataFrame, seed: int, quality, id_col: str, text_col: str) -> tuple[Column, Column, Column]:
     """Size, bucket, and what orders a source's documents: the key first."""
-    text, doc = F.col(text_col), F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).cast("long")
-    u = (F.conv(F.substring(F.md5(F.concat(doc.cast("string"), F.lit(f":{seed}"))), 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
+    text, doc = F.col(text_col), F.col(id_col).cast("long")
+    # Without an id the text draws, lest all such rows draw alike.
+    own = F.coalesce(doc.cast("string"), F.md5(F.coalesce(text, F.lit(""))))
+    u = (F.conv(F.substring(F.md5(F.concat(own, F.lit(f":{seed}"))), 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
     weight = F.greatest(F.coalesce(quality(text).cast("double"), F.lit(0.01)), F.lit(0.01))
     key = -F.log(u) / weight
     # Keys of a source spread as exponential ones do, about: this brings them near equal numbers in each bucket.
     bucket = F.least(F.floor(F.lit(BUCKETS) * (1 - F.exp(-key))).cast("int"), F.lit(BUCKETS - 1))
-    return n_words(text), bucket, key, F.struct(key.alias("key"), doc.alias("doc"), F.xxhash64(text).alias("tie"))
+    return n_words(text), bucket, F.struct(key.alias("key"), F.coalesce(doc, F.lit(-1)).alias("doc"), F.xxhash64(text).alias("tie"))
 
 
 def _plan(drawn: DataFrame, weights: tuple[int, ...]) -> DataFrame:
-    """``drawn(source, size, bucket, rank)`` -> per source what decides on each of its documents; a few columns, a row a source."""
+    """``drawn(source, size, bucket, rank)`` -> per source what decides on each of its documents; a few columns, a row a source.
+
+    Rows that nothing tells apart are one row with a number here: of the last
+    such group that the sample reaches, ``__mix_some`` of ``__mix_equal`` are taken.
+    """
     t = sources_to_targets(drawn.groupBy("source").agg(F.sum("size").alias("source_size")), weights)
     t = t.select(
         F.col("source").alias("__mix_source"), F.col("source_size").alias("__mix_source_size"), F.col("target").alias("__mix_target"),
@@ -91,10 +102,13 @@ def _plan(drawn: DataFrame, weights: tuple[int, ...]) -> DataFrame:
     cut = sums.groupBy("source").agg(F.min(F.struct("bucket", (F.col("upto") - F.col("words")).alias("before"))).alias("c"))
     t = t.join(cut.select("source", F.col("c.bucket").alias("__mix_cut"), F.col("c.before").alias("__mix_before")), same, "left").drop("source")
     t = materialize(t)
-    edge = drawn.join(_small(t), same & (F.col("bucket") == F.col("__mix_cut")))
-    upto = F.col("__mix_before") + F.sum("size").over(Window.partitionBy("source").orderBy("rank"))
-    taken = edge.withColumn("__upto", upto).where("size > 0 and __upto - size / 2 <= __mix_room and __mix_room > 0")
-    last = taken.groupBy("source").agg(F.max("rank").alias("__mix_last"))
+    edge = drawn.where("size > 0").join(_small(t), same & (F.col("bucket") == F.col("__mix_cut")))
+    edge = edge.groupBy("source", "rank").agg(F.first("size").alias("size"), F.count("*").alias("equal"), F.first("__mix_before").alias("b"), F.first("__mix_room").alias("room"))
+    before = F.sum(F.col("size") * F.col("equal")).over(Window.partitionBy("source").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1))
+    left = F.col("room") - F.col("b") - F.coalesce(before, F.lit(0))
+    edge = edge.withColumn("some", F.least(F.floor(left / F.col("size") + 0.5), F.col("equal"))).where("some > 0 and room > 0")
+    last = edge.groupBy("source").agg(F.max(F.struct("rank", "some", "equal")).alias("l"))
+    last = last.select("source", F.col("l.rank").alias("__mix_last"), F.col("l.some").alias("__mix_some"), F.col("l.equal").alias("__mix_equal"))
     return materialize(t.join(last, same, "left").drop("source"))
 
 
@@ -103,10 +117,24 @@ def _small(plan: DataFrame) -> DataFrame:
     return F.broadcast(plan) if plan.count() <= 100_000 else plan
 
 
-def _times() -> Column:
-    more = (F.col("__mix_bucket") < F.col("__mix_cut")) | (F.col("__mix_bucket") == F.col("__mix_cut")) & (F.col("__mix_rank") <= F.col("__mix_last"))
-    more = F.when(F.col("__mix_cut").isNull(), F.col("__mix_room") > 0).otherwise(F.coalesce(more, F.lit(False)))
-    return F.col("__mix_epochs") + F.when(more & (F.col("__mix_size") > 0), 1).otherwise(0)
+def _decided(rows: DataFrame, source: Column, plan: DataFrame) -> DataFrame:
+    """``rows`` (with __mix_bucket, __mix_rank, __mix_size) with ``__mix_times``."""
+    rows = rows.join(_small(plan), source.eqNullSafe(F.col("__mix_source")), "left")
+    below = (F.col("__mix_bucket") < F.col("__mix_cut")) | (F.col("__mix_bucket") == F.col("__mix_cut")) & (F.col("__mix_rank") <= F.col("__mix_last"))
+    more = F.when(F.col("__mix_cut").isNull(), F.col("__mix_room") > 0).otherwise(F.coalesce(below, F.lit(False)))
+    times = lambda more: F.col("__mix_epochs") + F.when(more & (F.col("__mix_size") > 0), 1).otherwise(0)
+    if plan.where("__mix_some < __mix_equal").isEmpty():  # no group of equal rows is taken in part
+        return rows.withColumn("__mix_times", times(more))
+    split = F.coalesce((F.col("__mix_some") < F.col("__mix_equal")) & (F.col("__mix_rank") == F.col("__mix_last")) & (F.col("__mix_bucket") == F.col("__mix_cut")), F.lit(False))
+    # Equal rows are numbered where they lie, after being written; any of them will do.
+    part = materialize(rows.where(split).withColumn("__mix_part", F.spark_partition_id()))
+    counts = part.groupBy(F.col("__mix_source").alias("s"), F.col("__mix_part").alias("p")).agg(F.count("*").alias("n"))
+    before = Window.partitionBy("s").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("s", "p", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__mix_start"))
+    part = part.join(starts, F.col("__mix_source").eqNullSafe(F.col("s")) & (F.col("__mix_part") == F.col("p"))).drop("s", "p")
+    number = F.row_number().over(Window.partitionBy("__mix_source", "__mix_part").orderBy("__mix_size")) + F.col("__mix_start")
+    part = part.withColumn("__mix_number", number).withColumn("__mix_times", times(F.col("__mix_number") <= F.col("__mix_some")))
+    return rows.where(~split).withColumn("__mix_times", times(more)).unionByName(part.drop("__mix_part", "__mix_start", "__mix_number"))
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), seed: int = 7, quality=letter_share, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -115,24 +143,29 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), seed: int = 7,
     ``times`` is how often the mix takes the document and ``taken`` its words
     times that; the last document of a sample is taken if at least half of it
     fits.  The random numbers come from an MD5 of id and seed, so reruns agree.
-    A null text has size 0, a null id draws as -1 does, and null is a source of
-    its own, the last.  Rows alike in id and text are taken alike.  Documents
-    without words are taken with the epochs only.  A quality that is null or
-    below 0.01 counts as 0.01.
+    A null text has size 0, a row without an id draws by its text, and null is a
+    source of its own, the last.  Of rows alike in id and text as many are taken
+    as fit, any of them.  Documents without words are taken with the epochs
+    only.  A quality that is null or below 0.01 counts as 0.01.  No rows in, no
+    rows out; other columns are left out.
     """
-    size, bucket, _, rank = _drawn(docs, seed, quality, id_col, text_col)
+    size, bucket, rank = _drawn(docs, seed, quality, id_col, text_col)
     d = materialize(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), bucket.alias("bucket"), rank.alias("rank")))
     plan = _plan(d, weights)
-    d = d.join(_small(plan), F.col("source").eqNullSafe(F.col("__mix_source")), "left")
-    d = d.withColumnsRenamed({"bucket": "__mix_bucket", "rank": "__mix_rank"}).withColumn("__mix_size", F.col("size")).withColumn("times", _times())
-    return d.select("doc_id", "size", F.col("__mix_source_size").alias("source_size"), F.col("__mix_target").alias("target"), (F.col("size") * F.col("times")).alias("taken"), "times")
+    d = d.withColumnsRenamed({"bucket": "__mix_bucket", "rank": "__mix_rank"}).withColumn("__mix_size", F.col("size"))
+    d = _decided(d, F.col("source"), plan)
+    taken = (F.col("size") * F.col("__mix_times")).alias("taken")
+    return d.select("doc_id", "size", F.col("__mix_source_size").alias("source_size"), F.col("__mix_target").alias("target"), taken, F.col("__mix_times").alias("times"))
 
 
 def mix_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), seed: int = 7, quality=letter_share) -> DataFrame:
-    """The rows of ``docs`` as often as the mix takes them; columns as they came.  Texts are not shuffled."""
-    size, bucket, _, rank = _drawn(docs, seed, quality, "doc_id", "text")
+    """The rows of ``docs`` as often as the mix takes them (``mixed`` says what of nulls, ties and repeats); columns as they came.
+
+    Texts are not shuffled, but for equal rows that are taken in part.  A column
+    of ``docs`` may not begin with ``__mix_``.
+    """
+    size, bucket, rank = _drawn(docs, seed, quality, "doc_id", "text")
     plan = _plan(materialize(docs.select("source", size.alias("size"), bucket.alias("bucket"), rank.alias("rank"))), weights)
-    own = [F.col(f"d.`{c}`") for c in docs.columns]
-    d = docs.withColumns({"__mix_bucket": bucket, "__mix_rank": rank, "__mix_size": size}).alias("d")
-    d = d.join(_small(plan), F.col("d.source").eqNullSafe(F.col("__mix_source")), "left")
-    return d.withColumn("__mix_time", F.explode(F.array_repeat(F.lit(1), _times()))).select(*own)
+    d = docs.withColumns({"__mix_bucket": bucket, "__mix_rank": rank, "__mix_size": size})
+    d = _decided(d, F.col("source"), plan)
+    return d.withColumn("__mix_time", F.explode(F.array_repeat(F.lit(1), F.col("__mix_times")))).select(*[F.col(f"`{c}`") for c in docs.columns])

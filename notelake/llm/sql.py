@@ -37,7 +37,7 @@ FROM k GROUP BY conv_id
 OP6 = f"""
 WITH RECURSIVE d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size,
-    -ln((CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '-1') || ':7'), 1, 12) AS BIGINT) + 0.5) / 281474976710656.0)
+    -ln((CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), md5(coalesce(text, ''))) || ':7'), 1, 12) AS BIGINT) + 0.5) / 281474976710656.0)
       / CASE WHEN length(text) > 0 THEN 0.25 + 0.75 * length(regexp_replace(text, '[\\x21-\\x40\\x5B-\\x60\\x7B-\\x7E]+', '', 'g')) / length(text) ELSE 0.25 END AS key
   FROM documents),
 s AS (SELECT source, CAST(sum(size) AS DOUBLE) AS n, CAST(1 + (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 AS DOUBLE) AS w FROM d GROUP BY source),
@@ -51,7 +51,7 @@ t AS (
   FROM fill WHERE round = 40),
 e AS (
   SELECT d.*, t.n, t.target, CASE WHEN n > 0 THEN least(floor(target / n), {mixing.MAX_EPOCHS}) ELSE 0 END AS epochs,
-    sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id) AS upto
+    sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id ROWS UNBOUNDED PRECEDING) AS upto
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(n AS BIGINT) AS source_size, target,
   CAST(size * (epochs + CASE WHEN size > 0 AND target - epochs * n > 0 AND upto - size / 2.0 <= target - epochs * n THEN 1 ELSE 0 END) AS BIGINT) AS taken

@@ -64,3 +64,41 @@ def test_edge_cases(spark):
     assert mixing.mixed(df.limit(0)).count() == 0
     assert mixing.mix_documents(df.limit(0)).columns == df.columns
     assert mixing.mix_documents(df).count() == sum(r.times for r in got)
+
+
+def near_targets(spark, rows):
+    """Each source's taken words are within one document of its target, and copies stand as often as they are taken."""
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mixed(df).withColumnRenamed("doc_id", "d").collect()
+    assert len(got) == len(rows)
+    again = sorted(map(tuple, mixing.mixed(df.repartition(3)).collect()), key=str)
+    assert again == sorted(map(tuple, got), key=str)
+    by_target, largest = {}, max(r.size for r in got)
+    for r in got:
+        t = by_target.setdefault((r.target, r.source_size), [0])
+        t[0] += r.taken
+        assert 0 <= r.taken <= 3 * r.size
+    assert all(abs(taken - target) <= largest for (target, _), (taken,) in by_target.items())
+    assert mixing.mix_documents(df).count() == sum(r.times for r in got)
+    return by_target
+
+
+def test_equal_rows_without_ids(spark):
+    text = "one two three four five six seven eight nine ten"
+    targets = near_targets(spark, [(None, text, "a")] * 1000 + [(i, text, "b") for i in range(1000)])
+    assert sorted(round(t) for t, _ in targets) == [6667, 13333]
+
+
+def test_repeated_rows(spark):
+    near_targets(spark, [(7, "the same row again", "a")] * 700 + [(i, f"text {i}", "a") for i in range(50)] + [(i, "other words", "b") for i in range(400)])
+
+
+def test_texts_without_ids_draw_apart(spark):
+    near_targets(spark, [(None, f"text number {i}", "a" if i % 2 else None) for i in range(600)])
+
+
+def test_many_sources(spark):
+    sizes = [(i * 7919) % 1000 + 1 for i in range(500)]
+    df = spark.createDataFrame([(f"s{i:04d}", n) for i, n in enumerate(sizes)], "source string, source_size long")
+    got = [r.target for r in mixing.sources_to_targets(df.repartition(5)).orderBy("source").collect()]
+    assert got == pytest.approx(fill(sizes))
