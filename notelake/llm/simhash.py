@@ -8,8 +8,10 @@ is linked.  The variants are not shuffled one by one (2,081 a fingerprint at
 fingerprint is sent once to each cell that holds some of its variants
 (``1 + b + b (b - 1) / 2`` cells), and the cell's task expands and sorts them.
 ``b`` follows the number of fingerprints, so a cell's work stays the same at
-any size; a crowded cell is halved bit by bit inside its task, which bounds
-its memory.  A cell returns a spanning star of what it linked, not pairs.
+any size.  A hot cell (a family of texts that agree in the first bits) is dealt
+again by the bits that follow, to as many tasks as it needs; a task halves what
+it expands bit by bit, which bounds its memory.  A cell returns edges that span
+what it linked, not pairs.
 """
 
 from __future__ import annotations
@@ -30,6 +32,10 @@ from ..shared import connected_components, materialize
 SEED = 42
 #: Variants of a cell, about, and those that a task holds at once.
 CELL_VARIANTS, HELD_VARIANTS = 1 << 22, 1 << 20
+#: Rows of a cell from which it is dealt again by so many further bits.
+HOT_ROWS, SPLIT_BITS = 1 << 20, 4
+#: Tasks that cells are dealt to, at most; a task takes its cells one by one.
+MAX_TASKS = 1 << 14
 #: The same for six bits, where a fingerprint has 43,745 variants: more of them a cell, so that fewer rows are shuffled.
 WIDE_CELL_VARIANTS = 1 << 28
 #: Documents and shingles of a tile, about, in which near copies are verified.
@@ -142,24 +148,56 @@ def spanning(group: np.ndarray, member: np.ndarray, label: np.ndarray) -> np.nda
             return label
 
 
-def _link_cell(table: pa.Table, bits: int, radius: int) -> pa.Table:
+def _link_cell(table: pa.Table, radius: int) -> pa.Table:
     fp = table.column("fp").to_numpy().view(np.uint64)
     rep = table.column("rep").to_numpy()
-    cell, low_bits = int(table.column("cell")[0].as_py()), 64 - bits
-    off = np.bitwise_count((fp >> np.uint64(low_bits)) ^ np.uint64(cell)).astype(np.int64)
+    low_bits = 64 - table.column("depth")[0].as_py()
+    cell = table.column("cell").to_numpy()[:1].view(np.uint64)[0]
+    off = np.bitwise_count((fp >> np.uint64(low_bits)) ^ cell).astype(np.int64)
     low = fp & np.uint64((1 << low_bits) - 1)
-    a, b = [np.array([], np.int64)], [np.array([], np.int64)]
+    root, a, b = rep.copy(), [], []
+
+    def note(one: np.ndarray, other: np.ndarray) -> None:
+        pairs = np.unique(np.stack([one, other], 1), axis=0)
+        a.append(pairs[:, 0])
+        b.append(pairs[:, 1])
+
+    # What is linked already has one root, so that a link found again costs nothing more.
     for group, member in _meet(low, off, np.arange(len(fp)), low_bits, radius):
-        first = np.full(group.max() + 1, len(fp))
-        np.minimum.at(first, group, member)
-        near = np.bitwise_count(fp[member] ^ fp[first[group]]) <= 2 * radius
-        label = spanning(group[near], member[near], rep)
-        moved = np.flatnonzero(label != rep)
-        a.append(rep[moved])
-        b.append(label[moved])
+        label = spanning(group, member, root)
+        moved = np.flatnonzero(label != root)
+        note(root[moved], label[moved])
+        root = label
+    moved = np.flatnonzero(root != rep)
+    note(rep[moved], root[moved])
     return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
 
 
+def _dealt(nodes: DataFrame, bits: int, radius: int) -> DataFrame:
+    """``nodes(fp, rep)`` in each cell that holds some of their variants: ``(depth, cell, fp, rep)``, the cell being the first ``depth`` bits.
+
+    Each variant lies in one cell: hot cells are replaced by those of SPLIT_BITS more bits until none is hot.
+    """
+    masks = lambda n: ",".join(str(int(m)) for m in _masks(n, radius))
+    level, depth, done = nodes.select(F.expr(f"explode(transform(array({masks(bits)}), m -> shiftrightunsigned(fp, {64 - bits}) ^ cast(m as long)))").alias("cell"), "fp", "rep"), bits, []
+    while depth < 64:
+        hot = materialize(level.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > HOT_ROWS).select(F.col("cell").alias("hot")))
+        if hot.isEmpty():
+            break
+        done.append(level.join(hot, F.col("cell") == F.col("hot"), "left_anti").select(F.lit(depth).alias("depth"), "cell", "fp", "rep"))
+        step = min(SPLIT_BITS, 64 - depth)
+        off = f"bit_count(cell ^ {f'shiftrightunsigned(fp, {64 - depth})' if depth < 64 else 'fp'})"
+        ahead = f"shiftrightunsigned(fp, {64 - depth - step}) & {(1 << step) - 1}"
+        own = F.expr(f"filter(array({masks(step)}), m -> {off} + bit_count(m) <= {radius})")
+        level = level.join(hot, F.col("cell") == F.col("hot"), "left_semi").withColumn("m", F.explode(own))
+        level = level.select(F.expr(f"shiftleft(cell, {step}) | (({ahead}) ^ cast(m as long))").alias("cell"), "fp", "rep")
+        depth += step
+    out = level.select(F.lit(depth).alias("depth"), "cell", "fp", "rep")
+    for cold in done:
+        out = out.union(cold)
+    return out
+
+
 def near_components(prints: DataFrame, max_bits: int = 4, cell_variants: int | None = None) -> DataFrame:
     """``prints(doc_id, fp)`` -> ``(doc_id, fp, component_id)``: fingerprints link at ``max_bits`` or fewer differing bits.
 
@@ -177,15 +215,12 @@ def near_components(prints: DataFrame, max_bits: int = 4, cell_variants: int | N
     n = nodes.count()
     variants = n * sum(math.comb(64, k) for k in range(radius + 1))
     bits = min(24, max(4, math.ceil(math.log2(max(1, variants / (cell_variants or CELL_VARIANTS))))))
-    masks = ",".join(str(int(m)) for m in _masks(bits, radius))
-    cells = nodes.select(
-        F.expr(f"explode(transform(array({masks}), m -> cast(shiftrightunsigned(fp, {64 - bits}) as int) ^ m))").alias("cell"), "fp", "rep"
-    )
-    tasks = max(2**bits // 4, min(2**bits, int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    tasks = min(MAX_TASKS, max(2**bits // 4, min(2**bits, int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
     links = (
-        cells.repartition(tasks, "cell")
-        .groupBy("cell")
-        .applyInArrow(lambda t: _link_cell(t, bits, radius), "a long, b long")
+        _dealt(nodes, bits, radius)
+        .repartition(tasks, "depth", "cell")
+        .groupBy("depth", "cell")
+        .applyInArrow(lambda t: _link_cell(t, radius), "a long, b long")
     )
     roots = connected_components(links)
     named = nodes.join(roots, nodes.rep == roots.node, "left").select(
@@ -239,7 +274,7 @@ def _verify(table: pa.Table, threshold: float, across: bool) -> pa.Table:
 
 
 def near_copy_links(docs: DataFrame, nodes: DataFrame, words: int, threshold: float, max_bits: int) -> DataFrame:
-    """``nodes(doc_id, fp)`` of unlike texts -> ``(node, component)`` as ``connected_components`` has it.
+    """``nodes(node, doc_id, raw, fp)`` of unlike texts -> ``(node, component)`` as ``connected_components`` has it.
 
     What links at ``max_bits`` makes candidate groups.  Chains make some of them
     large, so a group is dealt by MIN_HASHES min-hashes of the shingles: a pair
@@ -248,10 +283,10 @@ def near_copy_links(docs: DataFrame, nodes: DataFrame, words: int, threshold: fl
     first text, all that isn't linked yet is compared by its sets of shingles.
     Where several tiles are left apart, they are compared tile by tile.
     """
-    near = near_components(nodes, max_bits, WIDE_CELL_VARIANTS).select(F.col("doc_id").alias("rep"), F.col("component_id").alias("comp"))
-    near = materialize(near)
+    near = near_components(nodes.select(F.col("node").alias("doc_id"), "fp"), max_bits, WIDE_CELL_VARIANTS)
+    near = materialize(near.select(F.col("doc_id").alias("rep"), F.col("component_id").alias("comp")))
     groups = near.groupBy("comp").agg(F.count("*").alias("n")).where("n > 1").select(F.col("comp").alias("c"))
-    near = near.join(groups, near.comp == F.col("c")).drop("c").distinct()
+    near = near.join(groups, near.comp == F.col("c"), "left_semi")
     odd = np.random.Generator(np.random.PCG64(SEED)).integers(0, 1 << 63, MIN_HASHES, np.uint64) * np.uint64(2) + np.uint64(1)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,27 +296,31 @@ def near_copy_links(docs: DataFrame, nodes: DataFrame, words: int, threshold: fl
             held = [pa.array([h.view("<i8") for h in sh], pa.list_(pa.int64())), pa.array(least, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *held], ["rep", "comp", "sh", "least"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("d"), "text")
-    texts = near.join(texts, near.rep == texts.d).select("rep", "comp", "text")
-    held = materialize(texts.mapInArrow(each, "rep long, comp long, sh array<long>, least array<long>"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("r"), "text")
+    asked = near.join(nodes.select("node", "doc_id", "raw"), near.rep == F.col("node")).select("rep", "comp", "doc_id", "raw")
+    texts = asked.join(texts, (F.col("doc_id") == F.col("d")) & (F.col("raw") == F.col("r"))).select("rep", "comp", "text")
+    # A row that is repeated as a whole would be its node's text twice.
+    held = materialize(texts.mapInArrow(each, "rep long, comp long, sh array<long>, least array<long>").dropDuplicates(["rep"]))
     keys = held.select("rep", F.size("sh").alias("n"), "comp", F.posexplode("least").alias("k", "m"))
     tiles = F.ceil(F.greatest(F.count("*") / TILE_DOCS, F.sum("n") / TILE_SHINGLES)).cast("int").alias("tiles")
     sizes = keys.groupBy("comp", "k", "m").agg(F.min("rep").alias("head"), F.count("*").alias("members"), tiles).where("members > 1")
-    dealt = keys.join(sizes, ["comp", "k", "m"]).select(F.col("rep").alias("r"), "comp", "k", "m", "head", "tiles", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int").alias("home"))
-    dealt = materialize(dealt)
+    home = F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int").alias("home")
+    dealt = materialize(keys.join(sizes, ["comp", "k", "m"]).select(F.col("rep").alias("r"), "comp", "k", "m", "head", "tiles", home))
     sets = held.select("rep", "sh")
     everywhere = F.when(F.col("r") == F.col("head"), F.sequence(F.lit(0), F.col("tiles") - 1)).otherwise(F.array("home"))
     cells = dealt.select("r", "comp", "k", "m", F.explode(everywhere).alias("tile"))
     cells = cells.join(sets, cells.r == sets.rep).select("comp", "k", "m", "rep", F.col("rep").alias("label"), "sh", "tile")
     links = materialize(cells.groupBy("comp", "k", "m", "tile").applyInArrow(lambda t: _verify(t, threshold, False), "a long, b long"))
     roots = connected_components(links)
-    if dealt.where("tiles > 1").isEmpty():
+    if dealt.where("tiles > 1").isEmpty():  # nothing to compare beyond
         return roots
-    parts = dealt.where("tiles > 1").join(roots, F.col("r") == F.col("node"), "left").select("comp", "k", "m", "r", "tiles", "home", F.coalesce("component", "r").alias("label"))
+    parts = dealt.where("tiles > 1").join(roots, F.col("r") == F.col("node"), "left")
+    parts = parts.select("comp", "k", "m", "r", "tiles", "home", F.coalesce("component", "r").alias("label"))
     apart = parts.groupBy("comp", "k", "m").agg(F.min("label").alias("l"), F.max("label").alias("u")).where("l < u").select("comp", "k", "m")
     other = F.explode(F.filter(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: t != F.col("home"))).alias("other")
     cells = parts.join(apart, ["comp", "k", "m"]).select("comp", "k", "m", "r", "label", F.col("home").alias("tile"), other)
-    cells = cells.join(sets, cells.r == sets.rep).select("comp", "k", "m", "rep", "label", "sh", "tile", F.least("tile", "other").alias("x"), F.greatest("tile", "other").alias("y"))
+    sides = [F.least("tile", "other").alias("x"), F.greatest("tile", "other").alias("y")]
+    cells = cells.join(sets, cells.r == sets.rep).select("comp", "k", "m", "rep", "label", "sh", "tile", *sides)
     more = cells.groupBy("comp", "k", "m", "x", "y").applyInArrow(lambda t: _verify(t, threshold, True), "a long, b long")
     return connected_components(links.union(more))
 
@@ -293,21 +332,29 @@ def drop_near_copies(docs: DataFrame, words: int = 5, threshold: float = 0.8, ma
     sets of their shingles of ``words`` words (as 64-bit hashes) have a Jaccard
     similarity of at least ``threshold``; those are looked for among texts whose
     ``wide_print`` chains in steps of ``max_bits`` or fewer bits, and all verified.
-    Rows without a doc_id cannot be told apart and stay.  Of rows that repeat a doc_id, one stays.
+    A null text is empty, texts without words are copies of each other, and
+    texts of fewer words than ``words`` have one shingle.  Rows without a doc_id
+    cannot be told apart and stay.  Rows that share a doc_id are texts of their
+    own; of those that share the text too, one stays.
     """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [_words(t.as_py()) for t in b.column(1)]
+            found = [_words(t.as_py()) for t in b.column(2)]
             fp = np.array([wide_print(w) for w in found], "<u8").view("<i8")
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp), pa.array([xxhash.xxh3_128_digest(b" ".join(w)) for w in found], pa.binary())], ["doc_id", "fp", "same"])
-
-    known = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    prints = materialize(known.mapInArrow(each, "doc_id long, fp long, same binary"))
-    nodes = materialize(prints.groupBy("same", "fp").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "fp"))
+            same = pa.array([xxhash.xxh3_128_digest(b" ".join(w)) for w in found], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp), same], ["doc_id", "raw", "fp", "same"])
+
+    known = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("raw"), "text")
+    prints = materialize(known.mapInArrow(each, "doc_id long, raw long, fp long, same binary"))
+    first = prints.groupBy("same", "fp").agg(F.min(F.struct("doc_id", "raw")).alias("first"))
+    # Numbers are fixed by being written.
+    nodes = materialize(first.select(F.monotonically_increasing_id().alias("node"), "first.*", "fp"))
     roots = near_copy_links(docs, nodes, words, threshold, max_bits)
-    kept = materialize(nodes.select("doc_id").distinct().join(roots, nodes.doc_id == roots.node, "left_anti").select(F.col("doc_id").alias("__kept")))
-    out = docs.join(kept, docs["doc_id"] == F.col("__kept"), "left_semi")
-    if not prints.groupBy("doc_id").count().where("count > 1").isEmpty():
-        out = out.dropDuplicates(["doc_id"])
+    groups = nodes.join(roots.withColumnRenamed("node", "n"), nodes.node == F.col("n"), "left").groupBy(F.coalesce("component", "node").alias("g"))
+    kept = materialize(groups.agg(F.min(F.struct("doc_id", "raw")).alias("k")).select(F.col("k.doc_id").alias("__kept"), F.col("k.raw").alias("__raw")))
+    out = docs.join(kept, (docs["doc_id"] == F.col("__kept")) & (F.xxhash64(docs["text"]) == F.col("__raw")), "left_semi")
+    if not prints.groupBy("doc_id", "raw").count().where("count > 1").isEmpty():  # else texts needn't be shuffled for it
+        own = out.withColumns({"__id": F.col("doc_id"), "__raw": F.xxhash64("text")})
+        out = own.dropDuplicates(["__id", "__raw"]).drop("__id", "__raw")
     return out.unionByName(docs.where(docs["doc_id"].isNull()))

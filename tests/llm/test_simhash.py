@@ -145,3 +145,30 @@ def test_near_copies_are_verified(spark, monkeypatch, tile):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id for r in simhash.drop_near_copies(docs).collect()}
     assert got == slow_near_copies(rows) and len(got) == 18
+
+
+def test_rows_that_share_an_id(spark):
+    x, y, z = (" ".join(f"{c}{i}" for i in range(40)) for c in "xyz")
+    kept = lambda rows: sorted(map(tuple, simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert kept([(2, x), (4, y), (4, x)]) == [(2, x), (4, y)]
+    assert kept([(4, y), (4, z)]) == [(4, y), (4, z)]
+    got = simhash.drop_near_copies(spark.createDataFrame([(4, y), (4, y), (5, y + " end"), (None, y)], "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got), key=str) == [(4, y), (None, y)]
+
+
+def test_hot_cells_are_dealt_again(spark, monkeypatch):
+    rng = random.Random(5)
+    base = rng.getrandbits(64)
+    prints = []
+    for i in range(300):  # one family that agrees in the first 40 bits, and others
+        x = base
+        for b in rng.sample(range(24), rng.randint(0, 9)):
+            x ^= 1 << b
+        prints.append((i, x))
+    prints += [(i, rng.getrandbits(64)) for i in range(300, 350)]
+    monkeypatch.setattr(simhash, "HOT_ROWS", 40)
+    df = spark.createDataFrame([(d, signed(x)) for d, x in prints], "doc_id long, fp long")
+    nodes = df.select("fp", df.doc_id.alias("rep"))
+    assert simhash._dealt(nodes, 4, 2).select("depth").distinct().count() > 3
+    got = {r.doc_id: r.component_id for r in simhash.near_components(df).collect()}
+    assert got == slow_components(prints)
