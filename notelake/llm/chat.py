@@ -81,26 +81,47 @@ def format_conversations(turns: DataFrame, id_col: str = "conv_id", turn_col: st
     return whole.withColumn("recovered", parse(F.col("formatted"))).select("conv_id", "formatted", "recovered", F.coalesce(F.col("recovered") == F.col("source"), F.lit(False)).alias("identical"))
 
 
+def _productions(formatted: DataFrame, *more: str) -> DataFrame:
+    """``(conv_id, k, part, at)`` and ``more`` columns: the formatted text's productions in order and where each begins."""
+    parts = F.filter(F.split("formatted", _CLOSING), lambda p: p != "")
+    rows = formatted.select("conv_id", *more, F.posexplode(parts).alias("k", "part"))
+    before = Window.partitionBy("conv_id").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn("at", F.coalesce(F.sum(F.length("part")).over(before), F.lit(0)))
+
+
+def _masked() -> Column:
+    """Where in the formatted text the production's loss lies, (start, length) from 0; null where it has none."""
+    mask = F.struct((F.col("at") + 3).alias("start"), (F.length("part") - 7).cast("long").alias("length"))
+    return F.when(F.col("part").startswith("<s>") & F.col("part").endswith("</s>"), mask)
+
+
 def loss_spans(formatted: DataFrame) -> DataFrame:
-    """``(conv_id, start, length)`` in characters of ``formatted``: the assistants' texts, as they stand there."""
-    parts = formatted.select("conv_id", F.posexplode(F.filter(F.split("formatted", _CLOSING), lambda p: p != "")).alias("k", "part"))
-    order = Window.partitionBy("conv_id").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
-    at = F.coalesce(F.sum(F.length("part")).over(order), F.lit(0))
-    parts = parts.withColumn("at", at).where(F.col("part").startswith("<s>"))
-    return parts.select("conv_id", (F.col("at") + 3).alias("start"), (F.length("part") - 7).cast("long").alias("length"))
+    """``(conv_id, start, length)`` in characters of ``formatted``: the assistants' texts, as they stand there.
+
+    A conversation without an assistant's turn, or with a null text, has none.
+    """
+    spans = _productions(formatted).select("conv_id", _masked().alias("m")).where("m is not null")
+    return spans.select("conv_id", "m.*")
 
 
 def digests(formatted: DataFrame) -> DataFrame:
-    """What the contract asks of each conversation, from the turns read back."""
-    turns = F.col("recovered")
-    said = F.array_join(F.transform(turns, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    loss = F.array_join(F.transform(F.filter(turns, lambda t: t["role"] == "assistant"), lambda t: t["text"]), "")
-    return formatted.select(
-        "conv_id",
-        F.size(turns).cast("long").alias("n_turns"),
-        F.sha2(said.cast("binary"), 256).alias("turns_sha256"),
-        F.length(loss).cast("long").alias("loss_chars"),
-        F.sha2(loss.cast("binary"), 256).alias("loss_sha256"),
-        F.length("formatted").cast("long").alias("formatted_chars"),
-        "identical",
+    """What the contract asks of each conversation, all read back from the formatted text.
+
+    Turns come from the parser; the loss is what lies under ``loss_spans`` in
+    ``formatted``, cut out and then unescaped.
+    """
+    rows = _productions(formatted.withColumn("chars", F.length("formatted")), "chars", "identical").withColumn("mask", _masked())
+    cut = F.substring("part", (F.col("mask.start") - F.col("at") + 1).cast("int"), F.col("mask.length").cast("int"))
+    turn, loss = _turn(F.col("part")), F.when(F.col("mask").isNotNull(), unescape(cut))
+    said = F.concat(turn["role"], F.lit("\n"), turn["text"], F.lit("\n"))
+    rows = rows.select("conv_id", "chars", "identical", F.struct("k", said.alias("said"), loss.alias("loss")).alias("t"))
+    whole = rows.groupBy("conv_id").agg(
+        F.count("*").cast("long").alias("n_turns"), F.first("chars").cast("long").alias("formatted_chars"), F.first("identical").alias("identical"), F.sort_array(F.collect_list("t")).alias("t")
+    )
+    text = lambda field: F.array_join(F.transform("t", lambda t: t[field]), "")
+    whole = whole.select("*", text("said").alias("said"), text("loss").alias("loss"))
+    digest = lambda c: F.sha2(F.col(c).cast("binary"), 256)
+    return whole.select(
+        "conv_id", "n_turns", digest("said").alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"),
+        digest("loss").alias("loss_sha256"), "formatted_chars", "identical",
     )

@@ -62,3 +62,17 @@ def test_edge_cases(spark):
     got = {r.conv_id: [t.text for t in r.recovered] for r in chat.format_conversations(df).collect()}
     assert got == {1: ["first", "a", "a", "b"], None: ["y" * 300_000]}
     assert chat.digests(chat.format_conversations(df.limit(0))).count() == 0
+
+
+def test_loss_is_cut_out_of_the_text_by_the_mask(spark, monkeypatch):
+    df = spark.createDataFrame([(1, 0, "user", "ask"), (1, 1, "assistant", "</s>[x]"), (1, 2, "assistant", "b")], SCHEMA)
+    out = chat.format_conversations(df)
+    text = out.first().formatted
+    cut = "".join(text[r.start : r.start + r.length] for r in chat.loss_spans(out).orderBy("start").collect())
+    assert cut.replace("\\3", "]").replace("\\2", "<").replace("\\1", "[") == "</s>[x]b"
+    assert chat.digests(out).first().loss_chars == 8
+    mask = chat._masked
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(chat, "_masked", lambda: F.when(F.col("k") == 2, mask()))
+    assert chat.digests(out).first().loss_chars == 1  # the mask decides, not the role
