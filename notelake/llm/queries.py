@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import shared_folder
 from . import chat, editprint, embed_dedup, licenses, mixing, packing, simhash, sql, tokens, toxicity, warc
 
 
@@ -17,15 +18,16 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_warc_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = warc.shared_folder(spark, "warc")
-    directory = warc.write_index(warc.write_archives(_table(spark, sf_dir, "pages"), folder), folder)
-    records = warc.read_records(warc.captures_of(directory), payloads=False)
+    pages, folder = _table(spark, sf_dir, "pages"), shared_folder(spark, "warc")
+    directory = warc.write_index(warc.write_archives(pages, folder), folder)
+    records = warc.read_records(warc.lookup(directory, pages), payloads=False)
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
-    own = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    own = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.lit(said).alias("text"))
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(own)
     return chat.digests(chat.format_conversations(turns)).drop("identical")
 
@@ -35,7 +37,7 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = tokens.prefix_counts(_table(spark, sf_dir, "documents"))
+    counts = tokens.prefix_counts(_table(spark, sf_dir, "documents"), changes=False)
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
 
 

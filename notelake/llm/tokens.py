@@ -260,9 +260,11 @@ def counter(path: str) -> PrefixCounter:
     return PrefixCounter(path)
 
 
-def prefix_counts(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def prefix_counts(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", id_col: str = "doc_id", text_col: str = "text", changes: bool = True) -> DataFrame:
     """``(doc_id, n_bytes, n_tokens, changes)`` of every row; ``changes`` answers for every prefix.
 
+    With ``changes=False`` they stay in the task, and the column is left out.
+
     ``tokenizer`` names a file of the public tokenizers, found anew on each
     executor.  Special strings inside a text are special tokens, as is the
     library's default; none are added.  A null text counts as empty: no tokens,
@@ -272,7 +274,7 @@ def prefix_counts(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", id_col:
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(public_tokenizers.path(tokenizer))
-        names = ["doc_id", "n_bytes", "n_tokens", "changes"]
+        names = ["doc_id", "n_bytes", "n_tokens", *(["changes"] if changes else [])]
         for b in batches:
             ids, texts = b.column(0), b.column(1)
             at, size = 0, pc.utf8_length(texts).fill_null(0).to_pylist()
@@ -282,14 +284,14 @@ def prefix_counts(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", id_col:
                     held += size[end]
                     end += 1
                 part = [t or "" for t in texts[at:end].to_pylist()]
-                changes = count.many(part)
+                every = count.many(part)
                 n_bytes = pa.array([len(t.encode()) for t in part], pa.int64())
-                n_tokens = pa.array([int(np.frombuffer(c, "<i2").sum(dtype=np.int64)) for c in changes], pa.int64())
-                yield pa.RecordBatch.from_arrays([ids[at:end], n_bytes, n_tokens, pa.array(changes, pa.binary())], names)
+                n_tokens = pa.array([int(np.frombuffer(c, "<i2").sum(dtype=np.int64)) for c in every], pa.int64())
+                yield pa.RecordBatch.from_arrays([ids[at:end], n_bytes, n_tokens, *([pa.array(every, pa.binary())] if changes else [])], names)
                 at = end
 
     known = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return known.mapInArrow(each, "doc_id long, n_bytes long, n_tokens long, changes binary")
+    return known.mapInArrow(each, "doc_id long, n_bytes long, n_tokens long" + (", changes binary" if changes else ""))
 
 
 def tokens_at(changes: Column, n_chars: Column) -> Column:

@@ -4,8 +4,9 @@ Archives are ``.warc.gz`` files with one gzip member a record, so that any
 record can be read by a range.  The index has the captures in order of their
 reversed-host URL keys, in compressed blocks of some lines; a sparse directory
 has one row a block: its first and last key and where it lies.  A lookup
-searches the directory by bisection, reads the one or few blocks by range, and
-the records by range.
+searches the directory by bisection for each key, reads only the blocks that may
+hold it, by range and each once, and the records by range.  A directory too
+large for one task is itself cut at fence keys, which are searched first.
 
 Tasks write through ``pyarrow.fs``, to the shared folder; each attempt has file
 names of its own and only what a finished task reports is ever read.
@@ -15,15 +16,15 @@ from __future__ import annotations
 
 import hashlib
 import json
-import tempfile
 import uuid
 import zlib
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..shared import materialize
@@ -34,20 +35,16 @@ REVISIT_BYTES = 100
 BLOCK_LINES = 1000
 #: Bytes of an archive that a task reads at once.
 READ_BYTES = 8 << 20
-#: Blocks of a directory that a lookup may broadcast; a larger one is joined.
-BROADCAST_BLOCKS = 200_000
+#: Blocks of a directory that a lookup may broadcast; of a larger one, about so many fence keys.
+BROADCAST_BLOCKS = 50_000
+#: Digests of payloads that are stored once which a scan of the pages may be given whole; more are joined by shuffle.
+BROADCAST_DIGESTS = 500_000
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 _INDEX = "key string, page_id long, file string, offset long, length long"
 _DIRECTORY = "first_key string, last_key string, file string, offset long, length long, lines long"
 _RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder's URI under ``spark.checkpoint.dir``; a temporary one where a session has none."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='notelake-')}"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def _open(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri) if "://" in uri else (fs.FileSystem.from_uri(f"file://{uri}") if uri.startswith("/") else fs.FileSystem.from_uri(uri.replace("file:/", "file:///", 1)))
 
@@ -70,8 +67,9 @@ def with_revisits(pages: DataFrame) -> DataFrame:
     html = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html")).withColumns({"size": F.octet_length("html").cast("long"), "digest": F.sha2("html", 256)})
     first = p.where(F.col("size") >= REVISIT_BYTES).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
-    first = first.where("n > 1 and first is not null").select(F.col("digest").alias("d"), "first")
-    p = p.join(first, p.digest == first.d, "left")
+    first = materialize(first.where("n > 1 and first is not null").select(F.col("digest").alias("d"), "first"))
+    # Where few payloads repeat, pages needn't be shuffled.
+    p = p.join(F.broadcast(first) if first.count() <= BROADCAST_DIGESTS else first, p.digest == first.d, "left")
     refers = F.when(F.col("page_id") != F.col("first"), F.col("first"))
     return p.select("page_id", "url", F.when(refers.isNull(), F.col("html")).alias("html"), "size", "digest", refers.alias("refers_to"))
 
@@ -180,16 +178,15 @@ def write_index(captures: DataFrame, folder: str, lines: int = BLOCK_LINES) -> D
     return materialize(dealt.mapInArrow(each, _DIRECTORY))
 
 
-def _lines_of(blocks: Iterator[dict], kept=None) -> Iterator[tuple]:
-    """The captures of index blocks, each block read by its range."""
-    for r in blocks:
-        store, path = _open(r["file"])
-        with store.open_input_file(path) as f:
-            data = f.read_at(r["length"], r["offset"])
-        for line in zlib.decompress(data, 31).decode().splitlines():
-            got = json.loads(line)
-            if kept is None or kept(got[0]):
-                yield tuple(got)
+_CAPTURE_KINDS, _CAPTURE_NAMES = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()], ["key", "page_id", "file", "offset", "length"]
+
+
+def _read_block(file: str, offset: int, length: int) -> list[list]:
+    """The lines of one index block, read by its range."""
+    store, path = _open(file)
+    with store.open_input_file(path) as f:
+        data = f.read_at(length, offset)
+    return [json.loads(line) for line in zlib.decompress(data, 31).decode().splitlines()]
 
 
 def captures_of(directory: DataFrame) -> DataFrame:
@@ -198,35 +195,88 @@ def captures_of(directory: DataFrame) -> DataFrame:
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
-                if rows := list(_lines_of(iter([r]))):
-                    yield _batch(rows, [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()], ["key", "page_id", "file", "offset", "length"])
+                yield _batch([tuple(x) for x in _read_block(r["file"], r["offset"], r["length"])], _CAPTURE_KINDS, _CAPTURE_NAMES)
 
     return directory.mapInArrow(each, _INDEX)
 
 
+_BLOCK = ["first_key", "last_key", "file", "offset", "length"]
+
+
+def _holding(keys: list[str], blocks: list[dict]) -> list[tuple]:
+    """(key, file, offset, length) of the blocks that may hold each key, by bisection in ``blocks`` in order of their keys."""
+    firsts, lasts = [r["first_key"] for r in blocks], [r["last_key"] for r in blocks]
+    return [(k, r["file"], r["offset"], r["length"]) for k in keys for r in blocks[bisect_left(lasts, k) : bisect_right(firsts, k)]]
+
+
+def blocks_of(directory: DataFrame, keys: DataFrame) -> DataFrame:
+    """``(k, file, offset, length)``: the blocks that may hold each of the distinct ``keys(k)``, by bisection.
+
+    A directory of up to BROADCAST_BLOCKS blocks (their number is checked) goes
+    to every task.  A larger one is cut at fence keys, of which there are about
+    as many: keys and blocks are dealt to the stretch between two fences, and
+    each stretch is searched by a task.  Blocks of one key only, which a hot key
+    may have any number of, are met by equality, so that no stretch has them.
+    """
+    spark, kinds = directory.sparkSession, [pa.string(), pa.string(), pa.int64(), pa.int64()]
+    names, schema = ["k", "file", "offset", "length"], "k string, file string, offset long, length long"
+    n = directory.count()
+    if n <= BROADCAST_BLOCKS:
+        blocks = sorted((r.asDict() for r in directory.select(*_BLOCK).collect()), key=lambda r: (r["first_key"], r["last_key"]))
+        sent = spark.sparkContext.broadcast(blocks)
+
+        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if rows := _holding(b.column(0).to_pylist(), sent.value):
+                    yield _batch(rows, kinds, names)
+
+        return keys.mapInArrow(each, schema)
+    uniform = directory.where("first_key = last_key")
+    equal = keys.join(uniform, keys.k == uniform.first_key).select(*names)
+    mixed = directory.where("first_key <> last_key").select(*_BLOCK)
+    drawn = mixed.where(F.pmod(F.xxhash64("file", "offset"), F.lit(-(-n // BROADCAST_BLOCKS))) == 0)
+    fences = sorted({r["first_key"] for r in drawn.select("first_key").distinct().collect()})
+    sent = spark.sparkContext.broadcast(fences)
+
+    @F.pandas_udf("array<int>")
+    def stretches(first: pd.Series, last: pd.Series) -> pd.Series:
+        own = sent.value
+        return pd.Series([list(range(bisect_right(own, a), bisect_right(own, z) + 1)) for a, z in zip(first, last, strict=True)])
+
+    def search(left: pa.Table, right: pa.Table) -> pa.Table:
+        blocks = sorted(right.select(_BLOCK).to_pylist(), key=lambda r: (r["first_key"], r["last_key"]))
+        rows = _holding(left.column("k").to_pylist(), blocks)
+        return pa.Table.from_batches([_batch(rows, kinds, names)]) if rows else pa.table({c: pa.array([], t) for c, t in zip(names, kinds, strict=True)})
+
+    dealt = keys.select("k", F.explode(stretches("k", "k")).alias("stretch"))
+    laid = mixed.select(*_BLOCK, F.explode(stretches("first_key", "last_key")).alias("stretch"))
+    return equal.union(dealt.groupBy("stretch").cogroup(laid.groupBy("stretch")).applyInArrow(search, schema))
+
+
 def lookup(directory: DataFrame, urls: DataFrame) -> DataFrame:
     """Captures of the keys of ``urls(url)``: bisection in the directory, then range reads of the blocks that may hold them.
 
-    A directory of up to BROADCAST_BLOCKS blocks (their number is checked) goes
-    to every task; with a larger one the blocks are read and joined on the key.
+    Keys are distinct, so a capture comes once however often its url is asked
+    for; a null url asks for the captures without one.  What is asked of a block
+    comes to one task, which reads it once; a key's blocks go to different tasks.
     """
     keys = urls.select(url_key(F.col("url")).alias("k")).distinct()
-    if directory.count() > BROADCAST_BLOCKS:
-        found = captures_of(directory)
-        return found.join(keys, found.key == keys.k, "left_semi")
-    blocks = sorted((r.asDict() for r in directory.collect()), key=lambda r: (r["first_key"], r["last_key"]))
-    sent = directory.sparkSession.sparkContext.broadcast(blocks)
+    asked = blocks_of(directory, keys).repartition("file", "offset").sortWithinPartitions("file", "offset")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = sent.value
-        firsts, lasts = [r["first_key"] for r in own], [r["last_key"] for r in own]
+        held, lines = None, {}
         for b in batches:
-            for k in b.column(0).to_pylist():
-                may = own[bisect_left(lasts, k) : bisect_right(firsts, k)]
-                if rows := list(_lines_of(iter(may), lambda x, k=k: x == k)):
-                    yield _batch(rows, [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()], ["key", "page_id", "file", "offset", "length"])
-
-    return keys.mapInArrow(each, _INDEX)
+            rows: list[tuple] = []
+            for k, *block in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if block != held:
+                    held, lines = block, {}
+                    for line in _read_block(*block):
+                        lines.setdefault(line[0], []).append(tuple(line))
+                rows += lines.get(k, ())
+            if rows:
+                yield _batch(rows, _CAPTURE_KINDS, _CAPTURE_NAMES)
+
+    return asked.mapInArrow(each, _INDEX)
 
 
 def read_records(captures: DataFrame, payloads: bool = True) -> DataFrame:

@@ -60,3 +60,34 @@ def test_edge_cases(spark, tmp_path):
     )
     empty = build(spark, df.limit(0), tmp_path / "e")
     assert empty.count() == 0 and warc.read_records(warc.captures_of(empty)).count() == 0 and warc.lookup(empty, df.select("url")).count() == 0
+
+
+def test_lookup_finds_every_record(spark, tmp_path, monkeypatch):
+    """A url with a third of the pages, keys that straddle blocks, urls asked for twice or in vain, the null url; both forms of the search."""
+    rows = [(i, "http://hot.example.com/" if i % 3 == 0 else f"http://{'abcdefg'[i % 7]}.example.com/p{i % 90}" if i % 50 else None, f"page {i}") for i in range(900)]
+    directory = build(spark, spark.createDataFrame(rows, SCHEMA), tmp_path, 10)
+    asked = spark.createDataFrame([(u,) for u in {r[1] for r in rows}] * 2 + [("http://zzz/",), ("http://a.example.com/p",)], "url string")
+    read: list[int] = []
+    for limit in (warc.BROADCAST_BLOCKS, 5):
+        monkeypatch.setattr(warc, "BROADCAST_BLOCKS", limit)
+        found = warc.lookup(directory, asked)
+        assert sorted(r.page_id for r in found.collect()) == list(range(900))
+        read.append(warc.blocks_of(directory, asked.limit(0).select(warc.url_key(asked.url).alias("k"))).count())
+        one = warc.blocks_of(directory, spark.createDataFrame([("com,example,b)/p1",)], "k string"))
+        assert 1 <= one.count() <= 3  # and not all ninety
+    assert read == [0, 0]
+    assert warc.lookup(directory, asked.limit(0)).count() == 0
+
+
+def test_query_searches_the_directory(spark, monkeypatch):
+    """The query's records are those that the search finds: it gives nothing where the search does."""
+    from notelake.llm import queries
+
+    def none(directory):
+        raise AssertionError("the whole index is read")
+
+    monkeypatch.setattr(warc, "captures_of", none)
+    assert queries.op2_warc_capture_index(spark, DATA).count() == spark.read.parquet(f"{DATA}/pages.parquet").count()
+    blocks_of = warc.blocks_of
+    monkeypatch.setattr(warc, "blocks_of", lambda directory, keys: blocks_of(directory, keys).limit(0))
+    assert queries.op2_warc_capture_index(spark, DATA).count() == 0
