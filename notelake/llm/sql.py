@@ -62,7 +62,7 @@ def _list(words) -> str:
     return "[" + ", ".join(f"'{w}'" for w in words) + "]"
 
 
-_TEMPLATES = ", ".join(f"('{label}', {_list(sorted(set(t.split())))}, {licenses.need(t)})" for label, t in licenses.TEMPLATES)
+_TEMPLATES = ", ".join(f"('{label}', {_list(sorted(set(licenses.words_of(t))))}, {licenses.need(t)}, {licenses.step_of(t)})" for label, t in licenses.TEMPLATES)
 OP7 = f"""
 WITH d AS (
   SELECT doc_id, row_number() OVER () AS k, list_filter(string_split(regexp_replace(translate(coalesce(text, ''),
@@ -72,10 +72,11 @@ b AS (
   SELECT *, list_filter(range(len(w)), lambda i: w[i+1] = 'cc' AND w[i+2] = 'by') AS a,
     list_filter(range(len(w)), lambda i: w[i+1] = 'general' AND w[i+2] = 'public' AND w[i+3] = 'license') AS g,
     list_filter(range(len(w)), lambda i: w[i+1] = 'all' AND w[i+2] = 'rights' AND w[i+3] = 'reserved') AS r FROM d),
-t(label, own, need) AS (VALUES {_TEMPLATES}),
-blocks AS (SELECT k, unnest(list_transform(range(greatest(1, CAST(ceil((len(w) - 16) / 16.0) AS BIGINT))), lambda i: w[i*16+1 : i*16+32])) AS block FROM d),
-hits AS (SELECT k, label, len(list_filter(own, lambda x: list_contains(block, x))) / len(own) AS contained FROM blocks, t
-  WHERE len(list_filter(own, lambda x: list_contains(block, x))) >= need),
+t(label, own, need, step) AS (VALUES {_TEMPLATES}),
+steps AS (SELECT DISTINCT step FROM t),
+blocks AS (SELECT k, step, unnest(list_transform(range(greatest(1, CAST(ceil((len(w) - step) / step) AS BIGINT))), lambda i: w[i*step+1 : i*step+2*step])) AS block FROM d, steps),
+hits AS (SELECT k, label, len(list_intersect(own, block)) / len(own) AS contained FROM blocks JOIN t USING (step)
+  WHERE len(list_intersect(own, block)) >= need),
 found AS (SELECT k, list(DISTINCT label) AS labels, max(contained) AS contained FROM hits GROUP BY k),
 o AS (SELECT b.*, found.labels AS more, contained, list_concat(a, list_concat(g, r)) AS spots,
   list_concat(CASE WHEN len(a) > 0 THEN ['cc-by'] ELSE [] END, list_concat(CASE WHEN len(g) > 0 THEN ['gpl'] ELSE [] END, CASE WHEN len(r) > 0 THEN ['reserved'] ELSE [] END)) AS own
