@@ -26,8 +26,10 @@ from pyspark.sql import functions as F
 from ..shared import connected_components, materialize
 from .simhash import spanning
 
-#: Vectors of a block, about, and of a tile.
-BLOCK, TILE = 8192, 1024
+#: Vectors of a block, at most and at least, about; and of a tile.
+BLOCK, SMALL_BLOCK, TILE = 8192, 256, 1024
+#: Tasks that cells are dealt to, at most; a task takes its cells one by one.
+MAX_TASKS = 1 << 14
 #: Pairs computed again at once.
 EXACT = 1 << 16
 
@@ -111,16 +113,19 @@ def embedding_components(vectors: DataFrame, threshold: float = 0.9, id_col: str
     with nothing and has a null component; rows that repeat an id are rows of
     their own.  Other columns are left out.
     """
-    v = F.col(vector_col).cast("array<double>")
+    # Single floats are sent as they are and widened in the task.
+    v = F.col(vector_col)
+    v = v if dict(vectors.dtypes)[vector_col] == "array<float>" else v.cast("array<double>")
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     usable = F.coalesce((F.size(v) > 0) & ~bad & F.exists(v, lambda x: x != 0) & F.col(id_col).isNotNull(), F.lit(False))
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.when(usable, v).alias("v"))
     nodes = materialize(rows.where("v is not null").groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")))
-    blocks = max(1, math.ceil(nodes.count() / BLOCK))
+    n, cores = nodes.count(), vectors.sparkSession.sparkContext.defaultParallelism
+    blocks = max(1, math.ceil(n / BLOCK), min(math.ceil(n / SMALL_BLOCK), math.ceil(math.sqrt(8 * cores))))  # a few cells a core where there are that many vectors
     dealt = nodes.select("rep", "n", F.size("v").alias("d"), "v", F.pmod(F.xxhash64("rep"), F.lit(blocks)).cast("int").alias("home"))
     cells = dealt.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other"))
     cells = cells.select(F.least("home", "other").alias("x"), F.greatest("home", "other").alias("y"), F.col("rep").alias("own"), "rep", "n", "d", "v", "home")
-    found = cells.repartition(blocks * (blocks + 1) // 2, "x", "y").groupBy("x", "y").applyInArrow(lambda t: _cell(t, threshold), "rep long, links long, root long")
+    found = cells.repartition(min(MAX_TASKS, blocks * (blocks + 1) // 2), "x", "y").groupBy("x", "y").applyInArrow(lambda t: _cell(t, threshold), "rep long, links long, root long")
     found = materialize(found)
     roots = connected_components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     sums = found.groupBy("rep").agg(F.sum("links").alias("links")).withColumnRenamed("rep", "r")

@@ -64,3 +64,15 @@ def test_edge_cases(spark):
     df = spark.createDataFrame([(*r, "n", 1) for r in rows], SCHEMA + ", n_links string, n int")
     assert got(df) == slow(rows)
     assert got(df.limit(0)) == []
+
+
+def test_tasks_are_bounded_and_many(spark, monkeypatch):
+    """Some cells a core where there are vectors enough, and never more tasks than MAX_TASKS."""
+    rng = np.random.default_rng(4)
+    rows = [(i, v) for i, v in enumerate(rng.normal(size=(600, 8)).tolist())]
+    df = spark.createDataFrame(rows, SCHEMA)
+    monkeypatch.setattr(embed_dedup, "SMALL_BLOCK", 50)
+    want = slow(rows)
+    assert got(df) == want
+    monkeypatch.setattr(embed_dedup, "MAX_TASKS", 3)
+    assert got(df) == want
