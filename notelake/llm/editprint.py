@@ -10,7 +10,7 @@ The fingerprint samples K places of the written string, the same for all texts:
 for a string of length L the k-th place is that of a jump hash into L, so texts of
 different lengths share as many places as their lengths allow.  At each place it
 keeps four bits of a hash of the written character and those that follow it in
-the text, one hex digit.  Digits are banded to find candidate pairs, which are
+the text, one hex digit.  Bands of sampled digits find candidate pairs, which are
 then verified by the share of equal digits.
 
 The bits repeat after PERIOD steps, so the steps over two characters depend only
@@ -20,6 +20,7 @@ on these and the step's phase: they are kept in a table of pairs.
 from __future__ import annotations
 
 import hashlib
+import math
 import zlib
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
@@ -38,6 +39,10 @@ from .simhash import spanning
 DIGITS, PERIOD, REACH = 64, 64, 6
 #: Fingerprints of a tile, about, in which a band's candidates are verified.
 TILE = 1024
+#: Of pairs just at the threshold, so many share a band (digits taken as independent).
+RECALL = 0.99
+#: Orders rows without an id before all others.
+NO_ID = -(1 << 63)
 
 
 @lru_cache(1)
@@ -128,7 +133,16 @@ def likeness_of(a: Column, b: Column) -> Column:
     return F.greatest(F.lit(0.0), (same / F.lit(float(DIGITS)) - 1 / 16) / (1 - 1 / 16))
 
 
-def _band_cell(table: pa.Table, threshold: float, band: int) -> pa.Table:
+def sampled_bands(n: int, threshold: float) -> list[list[int]]:
+    """The digits of each band: as many a band as keep unlike prints apart among ``n``, and as many bands as RECALL asks for."""
+    width = min(16, max(5, math.ceil(math.log(max(n, 2), 16))))
+    share = (threshold * 15 + 1) / 16  # of digits that are equal at the threshold
+    number = 1 if share >= 1 else math.ceil(math.log(1 - RECALL) / math.log(1 - share**width))
+    draw = np.random.Generator(np.random.PCG64(20240118))
+    return [sorted(draw.choice(DIGITS, width, replace=False).tolist()) for _ in range(number)]
+
+
+def _band_cell(table: pa.Table, threshold: float, bands: list[list[int]]) -> pa.Table:
     """For each print that is linked in this cell: with how many, counted in the first band a pair shares, and an edge of a spanning star."""
     table = table.combine_chunks()
     rep, home, here = table.column("rep").to_numpy(), table.column("home").to_numpy(), table.column("k")[0].as_py()
@@ -142,8 +156,8 @@ def _band_cell(table: pa.Table, threshold: float, band: int) -> pa.Table:
         if across:
             ok &= home[p + 1 :] != home[p]
         at = np.flatnonzero(ok)
-        if here and len(at):
-            at = at[~same[at, : here * band].reshape(len(at), here, band).all(2).any(1)]
+        for band in bands[:here] if len(at) else ():
+            at = at[~same[at][:, band].all(1)]
         near[p] += len(at)
         near[at + p + 1] += 1
         left.append(np.full(len(at), p))
@@ -155,24 +169,28 @@ def _band_cell(table: pa.Table, threshold: float, band: int) -> pa.Table:
     return pa.table({"rep": rep[has], "near": near[has], "root": root[has]})
 
 
-def similar_groups(prints: DataFrame, threshold: float = 0.8, band: int = 5) -> DataFrame:
+def similar_groups(prints: DataFrame, threshold: float = 0.8) -> DataFrame:
     """``prints(doc_id, fingerprint, ...)`` -> the same with ``(component_id, n_near)``.
 
-    Distinct fingerprints that agree in one of the bands of ``band`` digits are
-    candidates, and all candidates of a band are verified, in tiles of a bounded
-    size.  At 0.8 prints have 81 % of their digits equal; with 12 bands of 5
-    digits such a pair shares one with a probability of 99.5 % (digits taken as
-    independent).  ``n_near`` counts the verified candidates.
+    Distinct fingerprints that agree in one of the sampled bands are candidates,
+    and all candidates of a band are verified, in tiles of a bounded size.
+    ``n_near`` counts the verified candidates, other prints than its own;
+    ``component_id`` is the smallest doc_id reachable.  Rows with equal prints
+    are one group.  A row without a doc_id links nothing, and has its print's
+    group if a row with an id has that print, else null.
     """
     prints = materialize(prints)
     nodes = materialize(prints.where("doc_id is not null").groupBy("fingerprint").agg(F.min("doc_id").alias("rep")))
-    bands = F.array(*[F.struct(F.lit(k).alias("k"), F.substring("fingerprint", k * band + 1, band).alias("digits")) for k in range(DIGITS // band)])
+    sampled = sampled_bands(nodes.count(), threshold)
+    digits = lambda band: F.concat(*[F.substring("fingerprint", i + 1, 1) for i in band])
+    bands = F.array(*[F.struct(F.lit(k).alias("k"), digits(band).alias("digits")) for k, band in enumerate(sampled)])
     dealt = nodes.select("rep", "fingerprint", F.explode(bands).alias("b")).select("rep", "fingerprint", "b.*")
-    sizes = dealt.groupBy("k", "digits").agg(F.count("*").alias("n")).where("n > 1").select("k", "digits", F.ceil(F.col("n") / TILE).cast("int").alias("tiles"))
+    tiles = F.ceil(F.col("n") / TILE).cast("int").alias("tiles")
+    sizes = dealt.groupBy("k", "digits").agg(F.count("*").alias("n")).where("n > 1").select("k", "digits", tiles)
     dealt = dealt.join(sizes, ["k", "digits"]).withColumn("home", F.pmod(F.xxhash64("fingerprint"), F.col("tiles")).cast("int"))
     cells = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
     cells = cells.select("k", "digits", F.least("home", "other").alias("x"), F.greatest("home", "other").alias("y"), "rep", "fingerprint", "home")
-    found = cells.groupBy("k", "digits", "x", "y").applyInArrow(lambda t: _band_cell(t, threshold, band), "rep long, near long, root long")
+    found = cells.groupBy("k", "digits", "x", "y").applyInArrow(lambda t: _band_cell(t, threshold, sampled), "rep long, near long, root long")
     found = materialize(found)
     roots = connected_components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     n = found.groupBy("rep").agg(F.sum("near").alias("n_near")).withColumnRenamed("rep", "x")
@@ -188,32 +206,48 @@ def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     near_edited, near_next)``.  The edited text has its last ``floor(n / 2)``
     characters replaced by as many of the next document (or all), in order of id
     (rows that repeat one: of text); the last one's next is the first.  A null
-    id comes first, a null text is empty.  Documents are cut by id into parts of
-    about equal number; the first of each part also goes to the end of the part
-    before, and each part is sorted and read in one pass.
+    id comes first, a null text is empty.  Documents are cut by id, and where one
+    has many rows by the hash of their text, into parts of about equal number
+    (rows alike in both lie together); the first of each part also goes to the
+    end of the part before, and each part is sorted and read in one pass.
     """
-    d = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("i"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    d = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("i"), F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
     parts = 4 * max(2, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     known = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("double").alias("i"))
-    cuts = sorted({int(x) for x in known.approxQuantile("i", [k / parts for k in range(1, parts)], 0.25 / parts)})
-    bounds = np.array(cuts, np.int64)
+    cuts = {(int(x), NO_ID) for x in known.approxQuantile("i", [k / parts for k in range(1, parts)], 0.25 / parts)}
+    # An id of many rows, or the missing one, is cut further by the hash that orders its rows; there are fewer such than parts.
+    counts = d.groupBy("i").agg(F.count("*").alias("n"))
+    some = max(1, d.count() // parts)
+    for i, n in counts.where(F.col("n") > 2 * some).collect():
+        cuts |= {(i, NO_ID + k * (2**64 // (n // some + 1))) for k in range(n // some + 1)}
+    cuts = sorted(cuts)
+    ids_cut, ties_cut = (np.array(c, np.int64) for c in (zip(*cuts, strict=True) if cuts else ((), ())))
+
+    def part(i: np.ndarray, tie: np.ndarray) -> np.ndarray:
+        """How many cuts come at or before each (i, tie)."""
+        low, high = np.searchsorted(ids_cut, i, "left"), np.searchsorted(ids_cut, i, "right")
+        out = low.copy()
+        for k in np.unique(low[high > low]):
+            own = (low == k) & (high > low)
+            out[own] += np.searchsorted(ties_cut[k : high[own][0]], tie[own], "right")
+        return out.astype("int32")
 
     @F.pandas_udf("int")
-    def part_of(i: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(bounds, i.to_numpy(), "right").astype("int32"))
+    def part_of(i: pd.Series, tie: pd.Series) -> pd.Series:
+        return pd.Series(part(i.to_numpy(), tie.to_numpy()))
 
-    ids = d.select(part_of("i").alias("part"), "i", F.xxhash64("text").alias("tie"))
-    heads = ids.groupBy("part").agg(F.min(F.struct("i", "tie")).alias("h")).select("part", "h.*").collect()  # a row a part
-    heads = sorted((r["part"], r["i"], r["tie"]) for r in heads)
+    d = d.withColumn("tie", F.xxhash64("text"))
+    heads = d.select(part_of("i", "tie").alias("part"), "i", "tie").groupBy("part").agg(F.min(F.struct("i", "tie")).alias("h"))
+    heads = sorted((r["part"], r["i"], r["tie"]) for r in heads.select("part", "h.*").collect())  # a row a part
     # The first document of a part also closes the part before; that of the first part closes the last.
     closes = {(i, tie): heads[k - 1][0] for k, (_, i, tie) in enumerate(heads)}
 
     @F.pandas_udf("array<int>")
     def parts_of(i: pd.Series, tie: pd.Series) -> pd.Series:
-        own = np.searchsorted(bounds, i.to_numpy(), "right").tolist()
+        own = part(i.to_numpy(), tie.to_numpy()).tolist()
         return pd.Series([[p, closes[k]] if (k := (x, t)) in closes else [p] for p, x, t in zip(own, i.tolist(), tie.tolist(), strict=True)])
 
-    d = d.select("i", "doc_id", "text", F.xxhash64("text").alias("tie"))
     d = d.select("i", "doc_id", "text", "tie", F.posexplode(parts_of("i", "tie")).alias("guard", "part"))
     dealt = d.repartition(parts, "part").sortWithinPartitions("part", "guard", "i", "tie").select("part", "guard", "doc_id", "text")
 

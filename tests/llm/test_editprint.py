@@ -1,29 +1,56 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 from conftest import DATA
 
 from notelake.llm import editprint
 
 
+def walk_steps():
+    """Steps over each kind of character from each phase, by trying one bit after the other."""
+    bits = np.random.Generator(np.random.PCG64(20240117)).integers(0, 2, (256, 64))
+    out = []
+    for row in bits.tolist():
+        if not any(row):
+            row[0] = 1
+        out.append([])
+        for phase in range(64):
+            n = 1
+            while not row[(phase + n - 1) % 64]:
+                n += 1
+            out[-1].append(n)
+    return out
+
+
+def sampled_place(k, length):
+    """The k-th place of a string of this length: the published jump consistent hash."""
+    key, b, j = int.from_bytes(hashlib.sha256(f"place {k}".encode()).digest()[:8], "big"), -1, 0
+    while j < length:
+        b = j
+        key = (key * 2862933555777941757 + 1) & 0xFFFFFFFFFFFFFFFF
+        j = int((b + 1) * (float(1 << 31) / ((key >> 33) + 1)))
+    return b
+
+
 def slow(text):
     """Step by step: write the character, move on where its bit says so; then look at the sampled places."""
     if not text:
-        return "0" * editprint.DIGITS
-    kinds = [editprint._kind(c) for c in text]
+        return "0" * 64
+    kinds = [ord(c) if ord(c) < 256 else (ord(c) * 2654435761 // 256) % 256 for c in text]
     kinds += [0] * (len(kinds) % 2)
-    steps, written, i, j = editprint._steps(), [], 0, 0
+    steps, written, i, j = walk_steps(), [], 0, 0
     while i < len(kinds):
         written.append(i)
-        n = steps[kinds[i]][j % editprint.PERIOD]
+        n = steps[kinds[i]][j % 64]
         written += [i] * (n - 1)
         j += n
         i += 1
     out = []
-    for own in editprint._places():
-        at = written[max(p for p in own if p < len(written))]
-        out.append("0123456789abcdef"[__import__("zlib").crc32(text[at : at + editprint.REACH].encode()) * 2654435761 >> 20 & 15])
+    for k in range(64):
+        at = written[sampled_place(k, len(written))]
+        out.append("0123456789abcdef"[__import__("zlib").crc32(text[at : at + 6].encode()) * 2654435761 >> 20 & 15])
     return "".join(out)
 
 
@@ -108,3 +135,47 @@ def test_groups_against_all_pairs(spark, monkeypatch, tile):
     got = editprint.similar_groups(spark.createDataFrame(rows, "doc_id long, fingerprint string")).collect()
     assert {(r.doc_id, r.component_id, r.n_near) for r in got} == {(a, root[a], len(near[a])) for a in near}
     assert any(near.values())
+
+
+def test_recall_of_edited_copies(spark):
+    """Of planted pairs at a likeness of 0.8 or more, at least 0.9 are found; most are near the threshold."""
+    rng, rows = random.Random(9), []
+    words = [f"w{i}" for i in range(3000)]
+    for k in range(150):
+        text = list(" ".join(rng.choices(words, k=rng.randint(150, 500))))
+        rows.append((2 * k, "".join(text)))
+        for _ in range(rng.randint(1, 12)):  # few edits bring a pair of texts down to the threshold
+            at = rng.randrange(len(text))
+            text[at : at + rng.randint(0, 2)] = rng.choice(["", "x", "yz"])
+        rows.append((2 * k + 1, "".join(text)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    prints = {r.doc_id: r.fingerprint for r in editprint.fingerprints(df).collect()}
+    pairs = [(a, b, like) for a in prints for b in prints if a < b and (like := editprint.likeness(prints[a], prints[b])) >= 0.8]
+    groups = {r.doc_id: r.component_id for r in editprint.similar_groups(editprint.fingerprints(df)).collect()}
+    found = [groups[a] == groups[b] for a, b, _ in pairs]
+    low = [f for f, (_, _, like) in zip(found, pairs, strict=True) if like < 0.9]
+    assert len(pairs) > 40 and len(low) > 10 and sum(found) >= 0.97 * len(found) and sum(low) >= 0.9 * len(low)
+    assert all(groups[a] == min(d for d, g in groups.items() if g == groups[a]) for a in groups)
+
+
+def test_query_has_groups(spark):
+    from notelake.llm import queries
+
+    got = queries.op9_edit_fingerprints(spark, DATA).collect()
+    prints = {r.doc_id: r.fingerprint for r in got}
+    near = {a: {b for b in prints if b != a and prints[a] != prints[b] and editprint.likeness(prints[a], prints[b]) >= 0.8} for a in prints}
+    links = sum(len({prints[b] for b in near[r.doc_id]}) for r in got)
+    assert sum(r.n_near for r in got) >= 0.95 * links
+    group = {r.doc_id: r.component_id for r in got}
+    assert all(group[a] == group[b] for a in prints for b in prints if prints[a] == prints[b])
+
+
+def test_crowded_ids_are_cut(spark):
+    rng = random.Random(4)
+    rows = [(None, f"no id {i} " + "x" * rng.randint(0, 30)) for i in range(300)] + [(5, f"five {i}") for i in range(300)] + [(i, f"t{i}") for i in range(6, 300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    from pyspark.sql import functions as F
+
+    order = df.select("doc_id", "text", F.xxhash64("text").alias("h")).collect()
+    order = [(r.doc_id, r.text) for r in sorted(order, key=lambda r: (-(1 << 63) if r.doc_id is None else r.doc_id, r.h))]
+    assert sorted((tuple(r) for r in editprint.edited_pairs(df.repartition(6)).collect()), key=str) == sorted(pairs(order), key=str)
