@@ -7,8 +7,10 @@ Models are logistic regressions with an L1 penalty on the presence of words
 (hashed), so long texts don't gather noise from thousands of small weights.
 
 Training takes a bounded sample of labelled rows (``sample``, by default
-10,000: those with the smallest hash of their id); only their word hashes come
-to the driver.  Scoring runs over all rows, one pass, no shuffle.
+10,000: those with the smallest hash of their id).  Spark counts the sample's
+words by fold and label and chooses those that some model of the chain may look
+at; of each row only these come to the driver, whatever the length of its text.
+Scoring runs over all rows, one pass, no shuffle.
 """
 
 from __future__ import annotations
@@ -21,9 +23,11 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import materialize
+
 SAMPLE, FOLDS, BITS = 10_000, 4, 20
 #: Words a model looks at: those in at least MIN_DOCS rows whose presence tells most, from MIN_Z standard deviations
 #: on (among a million words that tell nothing, none is expected beyond it).
@@ -150,26 +154,63 @@ def predict_chain(models: list[Linear], texts) -> np.ndarray:
     return np.array(out).reshape(len(out), len(models))
 
 
+def _looked_at(rows: DataFrame, names: list[str], folds: int = FOLDS) -> set[int]:
+    """Of ``rows(ids, fold, names)`` the hashes that a model of the chain may look at: at most FEATURES a model and fold."""
+    totals = {r["fold"]: r for r in rows.groupBy("fold").agg(F.count("*").alias("n"), *(F.sum(c).alias(c) for c in names)).collect()}
+    sums = [F.count_if(F.col("fold") == f).alias(f"n{f}") for f in totals] + [F.sum(F.when(F.col("fold") == f, F.col(c)).otherwise(0)).alias(f"{c}_{f}") for f in totals for c in names]
+    if not totals:
+        return set()
+    words = materialize(rows.select(F.explode("ids").alias("w"), "fold", *names).groupBy("w").agg(*sums))
+    best = []
+    for c in names:
+        for out in [None, *totals] if c != names[-1] else [None]:  # the last link has no use for predictions out of fold
+            own = [f for f in totals if f != out]
+            n, mean = sum(totals[f]["n"] for f in own), 0.0
+            if n:
+                mean = sum(totals[f][c] for f in own) / n
+            if not 0 < mean < 1:
+                continue
+            count, hits = (sum((F.col(x.format(f)) for f in own), F.lit(0)) for x in ("n{}", c + "_{}"))
+            tells = F.abs(hits - count * mean) / F.sqrt(count * (mean * (1 - mean)) + 1e-9)
+            told = words.select("w", F.when(count >= MIN_DOCS, tells).alias("tells")).where(F.col("tells") >= MIN_Z)
+            best.append(told.orderBy(F.desc("tells"), "w").limit(FEATURES).select("w"))
+    every = best[0] if best else words.limit(0).select("w")
+    for more in best[1:]:
+        every = every.union(more)
+    return {r["w"] for r in every.distinct().collect()}
+
+
 def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], sample: int = SAMPLE) -> list[Linear]:
     """Chain over ``categories`` (name -> 0/1 column of ``labels``) from at most ``sample`` labelled rows of ``docs``.
 
     Labels repeated for an id count as 1 if any is; rows with a null label, and
-    labels without a document, teach nothing.
+    labels without a document, teach nothing.  Of rows that repeat an id one
+    teaches.  A null text has no words.
     """
-    y = labels.select(F.col("doc_id").cast("long").alias("k"), *(c.cast("int").alias(f"y{i}") for i, c in enumerate(categories.values()))).dropna()
-    y = y.groupBy("k").agg(*(F.max(f"y{i}").alias(f"y{i}") for i in range(len(categories))))
+    names = [f"y{i}" for i in range(len(categories))]
+    y = labels.select(F.col("doc_id").cast("long").alias("k"), *(c.cast("int").alias(n) for n, c in zip(names, categories.values(), strict=True))).dropna()
+    y = y.groupBy("k").agg(*(F.max(n).alias(n) for n in names))
     y = y.orderBy(F.xxhash64("k"), "k").limit(sample)
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = [np.array(sorted(word_hashes(t.as_py())), "<i4").tobytes() for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary()), *b.columns[2:]], ["k", "ids", *b.schema.names[2:]])
+            ids = pa.array([sorted(word_hashes(t.as_py())) for t in b.column(1)], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([b.column(0), ids, *b.columns[2:]], ["k", "ids", *names])
 
-    names = [f"y{i}" for i in range(len(categories))]
-    # The sample's number of rows is bounded, so is its broadcast.
+    # The sample's number of rows is bounded, so is its broadcast, and so are the windows over it.
     d = docs.select(F.col("doc_id").cast("long").alias("d"), F.col("text").alias("t")).join(F.broadcast(y), F.col("d") == F.col("k"))
-    d = d.select("k", "t", *names).mapInArrow(each, ", ".join(["k long", "ids binary", *(f"{c} int" for c in names)]))
-    got = d.groupBy("k").agg(F.min(F.struct("ids", *names)).alias("s")).select("k", "s.*").collect()
+    schema = ", ".join(["k long", "ids array<int>", *(f"{c} int" for c in names)])
+    d = d.select("k", "t", *names).mapInArrow(hashed, schema)
+    d = d.groupBy("k").agg(F.min(F.struct("ids", *names)).alias("s")).select("k", "s.*")
+    rows = materialize(d.withColumn("fold", (F.row_number().over(Window.orderBy("k")) - 1) % FOLDS))
+    used = np.array(sorted(_looked_at(rows, names)), np.int32)
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = pa.array([np.intersect1d(np.asarray(x.values, np.int32), used, True).astype("<i4").tobytes() for x in b.column(1)], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), ids, *b.columns[2:]], ["k", "ids", *names])
+
+    got = rows.select("k", "ids", *names).mapInArrow(kept, schema.replace("array<int>", "binary")).collect()
     got = sorted(((r["k"], bytes(r["ids"]), [r[c] for c in names]) for r in got), key=lambda r: r[0])
     y = np.array([r[2] for r in got], np.int64).reshape(len(got), len(names))
     return fit_chain([np.frombuffer(r[1], "<i4") for r in got], y)
@@ -186,27 +227,38 @@ def scores(models: list[Linear], text: Column) -> Column:
 
 
 def categories_of(labels: DataFrame) -> dict[str, Column]:
-    """The chain over the supplied labels: low quality first, toxic last."""
-    return {"low_quality": 1 - labels["quality"], "toxic": labels["toxic"]}
+    """The chain over the supplied labels: toxic rows of low and of high quality, then toxic rows, which both tell of.
+
+    The labels say no more of a row than its quality and whether it is toxic.
+    """
+    toxic, good = labels["toxic"], labels["quality"]
+    return {"toxic_low_quality": toxic * (1 - good), "toxic_high_quality": toxic * good, "toxic": toxic}
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: int = SAMPLE) -> DataFrame:
-    """``(doc_id, p_low_quality, p_toxic, toxic)`` of every row of ``docs``; other columns are left out.
+    """``(doc_id, p_toxic_low_quality, p_toxic_high_quality, p_toxic, toxic)`` of every row of ``docs``; other columns are left out.
 
-    Without labels nothing is toxic.  Ids may be null or repeat.
+    Without labels nothing is toxic.  A null text is empty.  Ids may be null or
+    repeat: each row is answered by its text, equal texts alike.
     """
     categories = categories_of(labels)
-    models = train(docs, labels, categories, sample)
+    models, names = train(docs, labels, categories, sample), [f"p_{c}" for c in categories]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             p = predict_chain(models, (t.as_py() for t in b.column(1)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p[:, 0]), pa.array(p[:, -1]), pa.array(p[:, -1] >= threshold)], ["doc_id", "p_low_quality", "p_toxic", "toxic"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x) for x in p.T), pa.array(p[:, -1] >= threshold)], ["doc_id", *names, "toxic"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).mapInArrow(each, "doc_id long, p_low_quality double, p_toxic double, toxic boolean")
+    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
+    return known.mapInArrow(each, ", ".join(["doc_id long", *(f"{c} double" for c in names), "toxic boolean"]))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: int = SAMPLE) -> DataFrame:
-    """The rows of ``docs`` below the threshold; columns as they came."""
+    """The rows of ``docs`` below the threshold; columns as they came.
+
+    A row is judged by its text alone, so repeated rows, and rows without an id,
+    stay or go like any other; an empty or null text stays unless most labelled
+    rows are toxic.  No rows in, no rows out; without labels all stay.
+    """
     models = train(docs, labels, categories_of(labels), sample)
     return docs.where(F.element_at(scores(models, docs["text"]), -1) < threshold)

@@ -63,3 +63,48 @@ def test_sample_is_bounded(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "fit_chain", lambda rows, y, folds=4: seen.append(len(rows)) or [])
     toxicity.train(spark.createDataFrame(rows + rows, DOCS), spark.createDataFrame(labels + labels, LABELS), {"toxic": __import__("pyspark").sql.functions.col("toxic")}, sample=50)
     assert seen == [50]
+
+
+def dense_chain(rows, labels, asked, folds=4):
+    """The chain in plain dense matrices: ``rows`` and ``asked`` are sets of words; probabilities of ``asked``."""
+    vocabulary = sorted(set().union(*rows))
+    see = lambda group, words: np.array([[w in r for w in words] for r in group], float).reshape(len(group), len(words))
+
+    def fit(group, before, y):
+        x, mean = see(group, vocabulary), y.mean()
+        n = x.sum(0)
+        z = np.abs(x.T @ y - n * mean) / np.sqrt(n * mean * (1 - mean) + 1e-9)
+        words = [vocabulary[i] for i in np.argsort(-z, kind="stable")[:500] if n[i] >= 3 and z[i] >= 5]
+        x = np.hstack([see(group, words), before, np.ones((len(group), 1))])
+        w = np.zeros(x.shape[1])
+        prior = (y.sum() + 0.01) / (len(y) + 0.02)
+        w[-1] = np.log(prior / (1 - prior))
+        rate = 4 * len(y) / (1.05 * np.linalg.norm(x, 2) ** 2)
+        v, t = w.copy(), 1.0
+        for _ in range(200):
+            new = v - rate * x.T @ (1 / (1 + np.exp(-x @ v)) - y) / len(y)
+            new[:-1] = np.sign(new[:-1]) * np.maximum(np.abs(new[:-1]) - rate * 2e-5, 0)
+            after = (1 + np.sqrt(1 + 4 * t * t)) / 2
+            v, w, t = new + (t - 1) / after * (new - w), new, after
+        return lambda some, before: 1 / (1 + np.exp(-np.hstack([see(some, words), before, np.ones((len(some), 1))]) @ w))
+
+    n = len(rows)
+    before, out = np.zeros((n, 0)), np.zeros((len(asked), 0))
+    for c in range(labels.shape[1]):
+        y = labels[:, c].astype(float)
+        held = np.zeros(n)
+        for f in range(folds):
+            own, rest = [i for i in range(n) if i % folds != f], [i for i in range(n) if i % folds == f]
+            held[rest] = fit([rows[i] for i in own], before[own], y[own])([rows[i] for i in rest], before[rest])
+        out, before = np.c_[out, fit(rows, before, y)(asked, out)], np.c_[before, held]
+    return out
+
+
+def test_against_dense_version(spark):
+    rows, labels = make(500, seed=3)
+    docs, known = spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels[:400], LABELS)
+    words = [set(t.split()) for _, t, _ in rows]
+    y = np.array([[t * (1 - q), t * q, t] for _, q, t in labels[:400]])
+    want = dense_chain(words[:400], y, words)
+    got = {r.doc_id: (r.p_toxic_low_quality, r.p_toxic_high_quality, r.p_toxic) for r in toxicity.toxicity(docs, known).collect()}
+    assert np.abs(np.array([got[i] for i, _, _ in rows]) - want).max() < 0.02
