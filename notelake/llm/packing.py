@@ -198,7 +198,7 @@ def vector_best_fit(lengths: np.ndarray, capacity: tuple[float, float, float], w
 
 
 def pack(pieces: DataFrame, length: int = 2048, max_docs: int | None = None, max_cost: float | None = None, shards: int = 1, weights: tuple[float, float, float] = (1.0, 0.05, 0.05), rule: str = "norm") -> DataFrame:
-    """The rows of ``pieces`` with ``sequence_id`` and ``offset``; extra columns stay.
+    """The rows of ``pieces`` with ``sequence_id`` and ``offset``, which replace columns of these names; extra columns stay.
 
     ``max_docs`` and ``max_cost`` (sum of squared lengths) bound a sequence
     beside its tokens; left out, they can't bind.  Full pieces keep to
@@ -212,12 +212,18 @@ def pack(pieces: DataFrame, length: int = 2048, max_docs: int | None = None, max
         bins, offset = vector_best_fit(table.column("length").to_numpy(), cap, weights, rule)
         return table.append_column("sequence_id", pa.array(shard * (1 << 32) + bins)).append_column("offset", pa.array(offset))
 
+    pieces = pieces.drop("sequence_id", "offset", "__shard")
     dealt = pieces.withColumn("__shard", F.pmod(F.xxhash64("doc_id", "piece", "start", "length"), F.lit(shards)).cast("long"))
     schema = ", ".join([*(f"`{c}` {t}" for c, t in pieces.dtypes), "sequence_id long", "offset long"])
     return dealt.repartition(shards, "__shard").groupBy("__shard").applyInArrow(each, schema)
 
 
 def pack_documents(docs: DataFrame, length: int = 2048, tokenizer: str = "word_bpe_49k.json", **limits) -> DataFrame:
-    """Tokenize and pack; one row a piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+    """Tokenize and pack; one row a piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+
+    Nulls, repeats and missing ids as ``pieces`` has it; of equal pieces any
+    comes first; no rows in, no rows out.  Without ``max_docs`` and ``max_cost``
+    only tokens bind: fewest sequences is then what the other two are for.
+    """
     shards = max(1, math.ceil(docs.count() / SHARD_DOCS))
     return pack(pieces(docs, tokenizer, length), length, shards=shards, **limits)

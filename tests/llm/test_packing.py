@@ -92,3 +92,18 @@ def test_edge_cases(spark):
     assert kept.ids == b"\0\0\0\0" and kept.length == 1
     limited = packing.pack(packing.pieces(df), max_docs=2).groupBy("sequence_id").count().collect()
     assert max(r["count"] for r in limited) <= 2
+
+
+def test_clashing_columns_are_replaced(spark):
+    df = packing.pieces(spark.createDataFrame([(i, "some words " * i) for i in range(20)], "doc_id long, text string"))
+    from pyspark.sql import functions as F
+
+    had = df.select("*", F.lit("x").alias("sequence_id"), F.lit(9).alias("offset"), F.lit(1).alias("__shard"), F.lit("kept").alias("lang"))
+    got = packing.pack(had, max_docs=3).collect()
+    assert len(got) == 20 and {r.lang for r in got} == {"kept"}
+    places = {}
+    for r in got:
+        places.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for own in places.values():
+        own.sort()
+        assert len(own) <= 3 and [o for o, _ in own] == [sum(n for _, n in own[:k]) for k in range(len(own))]
