@@ -17,6 +17,7 @@ what it linked, not pairs.
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import combinations
@@ -30,14 +31,16 @@ from pyspark.sql import functions as F
 from ..shared import connected_components, materialize
 
 SEED = 42
+_ODD, _SALTS = np.uint64(0x9E3779B97F4A7C15), np.arange(1, 65, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
 #: Variants of a cell, about, and those that a task holds at once.
 CELL_VARIANTS, HELD_VARIANTS = 1 << 22, 1 << 20
 #: Rows of a cell from which it is dealt again by so many further bits.
 HOT_ROWS, SPLIT_BITS = 1 << 20, 4
 #: Tasks that cells are dealt to, at most; a task takes its cells one by one.
 MAX_TASKS = 1 << 14
-#: The same for six bits, where a fingerprint has 43,745 variants: more of them a cell, so that fewer rows are shuffled.
-WIDE_CELL_VARIANTS = 1 << 28
+#: Prints of a text by which near copies are looked for: at a similarity of 0.8 two of four often differ in more than
+#: four bits, all of them rarely.
+PRINTS = 4
 #: Documents and shingles of a tile, about, in which near copies are verified.
 TILE_DOCS, TILE_SHINGLES = 1 << 11, 1 << 20
 #: Of pairs at a similarity of 0.8, 99.97 % share one of so many min-hashes.
@@ -77,10 +80,24 @@ def fingerprint(text: str | None, words: int = 4) -> int:
     return _majority(_shingles(found, words)) if found else 0
 
 
-def wide_print(found: list[bytes]) -> int:
-    """32 bits of the single words below 32 bits of the word pairs: an edit changes fewer of them than of longer shingles."""
-    low = (1 << 32) - 1
-    return (_majority(_shingles(found, 1)) & low) | (_majority(_shingles(found, 2)) & low) << 32 if found else 0
+def word_prints(found: list[bytes], prints: int = PRINTS) -> np.ndarray:
+    """``prints`` 64-bit SimHashes of the single words, each by other bits of their hashes; zeros without words.
+
+    An edit changes fewer words than longer shingles.  A word counts by the root
+    of its number, lest the frequent words, which unlike texts share, decide all.
+    """
+    if not found:
+        return np.zeros(prints, "<u8")
+    count = Counter(found)
+    h = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in count), np.uint64, len(count))
+    weight = np.rint(8 * np.sqrt(np.fromiter(count.values(), np.int64, len(count)))).astype(np.float32)
+    h = (h[:, None] ^ _SALTS[:prints]) * _ODD
+    h = ((h ^ (h >> np.uint64(32))) * _ODD).astype("<u8")
+    ones = np.zeros(64 * prints)
+    for at in range(0, len(h), 1 << 12):
+        part = np.unpackbits(h[at : at + (1 << 12)].view(np.uint8), bitorder="little").reshape(-1, 64 * prints)
+        ones += weight[at : at + (1 << 12)] @ part.astype(np.float32)
+    return np.packbits(2 * ones > weight.sum(dtype=float), bitorder="little").view("<u8")
 
 
 def fingerprints(docs: DataFrame, words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -174,31 +191,47 @@ def _link_cell(table: pa.Table, radius: int) -> pa.Table:
 
 
 def _dealt(nodes: DataFrame, bits: int, radius: int) -> DataFrame:
-    """``nodes(fp, rep)`` in each cell that holds some of their variants: ``(depth, cell, fp, rep)``, the cell being the first ``depth`` bits.
+    """``nodes(k, fp, rep)`` in each cell that holds some of their variants: ``(k, depth, cell, fp, rep)``, the cell being the first ``depth`` bits.
 
     Each variant lies in one cell: hot cells are replaced by those of SPLIT_BITS more bits until none is hot.
     """
     masks = lambda n: ",".join(str(int(m)) for m in _masks(n, radius))
-    level, depth, done = nodes.select(F.expr(f"explode(transform(array({masks(bits)}), m -> shiftrightunsigned(fp, {64 - bits}) ^ cast(m as long)))").alias("cell"), "fp", "rep"), bits, []
+    level, depth, done = nodes.select(F.expr(f"explode(transform(array({masks(bits)}), m -> shiftrightunsigned(fp, {64 - bits}) ^ cast(m as long)))").alias("cell"), "k", "fp", "rep"), bits, []
     while depth < 64:
-        hot = materialize(level.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > HOT_ROWS).select(F.col("cell").alias("hot")))
+        hot = materialize(level.groupBy("k", "cell").agg(F.count("*").alias("n")).where(F.col("n") > HOT_ROWS).select(F.col("k").alias("hot_k"), F.col("cell").alias("hot")))
         if hot.isEmpty():
             break
-        done.append(level.join(hot, F.col("cell") == F.col("hot"), "left_anti").select(F.lit(depth).alias("depth"), "cell", "fp", "rep"))
+        is_hot = (F.col("cell") == F.col("hot")) & (F.col("k") == F.col("hot_k"))
+        done.append(level.join(hot, is_hot, "left_anti").select("k", F.lit(depth).alias("depth"), "cell", "fp", "rep"))
         step = min(SPLIT_BITS, 64 - depth)
         off = f"bit_count(cell ^ {f'shiftrightunsigned(fp, {64 - depth})' if depth < 64 else 'fp'})"
         ahead = f"shiftrightunsigned(fp, {64 - depth - step}) & {(1 << step) - 1}"
         own = F.expr(f"filter(array({masks(step)}), m -> {off} + bit_count(m) <= {radius})")
-        level = level.join(hot, F.col("cell") == F.col("hot"), "left_semi").withColumn("m", F.explode(own))
-        level = level.select(F.expr(f"shiftleft(cell, {step}) | (({ahead}) ^ cast(m as long))").alias("cell"), "fp", "rep")
+        level = level.join(hot, is_hot, "left_semi").withColumn("m", F.explode(own))
+        level = level.select(F.expr(f"shiftleft(cell, {step}) | (({ahead}) ^ cast(m as long))").alias("cell"), "k", "fp", "rep")
         depth += step
-    out = level.select(F.lit(depth).alias("depth"), "cell", "fp", "rep")
+    out = level.select("k", F.lit(depth).alias("depth"), "cell", "fp", "rep")
     for cold in done:
         out = out.union(cold)
     return out
 
 
-def near_components(prints: DataFrame, max_bits: int = 4, cell_variants: int | None = None) -> DataFrame:
+def ball_links(nodes: DataFrame, max_bits: int) -> DataFrame:
+    """``nodes(k, fp, rep)``, distinct in k and fp -> edges ``(a, b)`` of reps that span all links at ``max_bits`` or fewer differing bits within a k."""
+    if max_bits % 2 or not 0 <= max_bits <= 8:
+        raise ValueError("max_bits must be even, from 0 to 8: the balls of half the radius meet in the middle")
+    radius = max_bits // 2
+    most = nodes.groupBy("k").count().agg(F.max("count"), F.count("*")).first()
+    n, prints = most[0] or 0, most[1]
+    variants = n * sum(math.comb(64, k) for k in range(radius + 1))
+    bits = min(24, max(4, math.ceil(math.log2(max(1, variants / CELL_VARIANTS)))))
+    cells = prints * 2**bits
+    tasks = max(1, min(MAX_TASKS, max(cells // 4, min(cells, int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))))))
+    dealt = _dealt(nodes, bits, radius).repartition(tasks, "k", "depth", "cell")
+    return dealt.groupBy("k", "depth", "cell").applyInArrow(lambda t: _link_cell(t, radius), "a long, b long")
+
+
+def near_components(prints: DataFrame, max_bits: int = 4) -> DataFrame:
     """``prints(doc_id, fp)`` -> ``(doc_id, fp, component_id)``: fingerprints link at ``max_bits`` or fewer differing bits.
 
     ``component_id`` is the smallest doc_id reachable.  Equal fingerprints
@@ -206,23 +239,9 @@ def near_components(prints: DataFrame, max_bits: int = 4, cell_variants: int | N
     copies of any size cost one row here.  A row without a doc_id keeps its
     fingerprint, links nothing and gets a null component.  No rows in, no rows out.
     """
-    if max_bits % 2 or not 0 <= max_bits <= 8:
-        raise ValueError("max_bits must be even, from 0 to 8: the balls of half the radius meet in the middle")
-    radius = max_bits // 2
     prints = materialize(prints)
-    nodes = prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    nodes = materialize(nodes)
-    n = nodes.count()
-    variants = n * sum(math.comb(64, k) for k in range(radius + 1))
-    bits = min(24, max(4, math.ceil(math.log2(max(1, variants / (cell_variants or CELL_VARIANTS))))))
-    tasks = min(MAX_TASKS, max(2**bits // 4, min(2**bits, int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
-    links = (
-        _dealt(nodes, bits, radius)
-        .repartition(tasks, "depth", "cell")
-        .groupBy("depth", "cell")
-        .applyInArrow(lambda t: _link_cell(t, radius), "a long, b long")
-    )
-    roots = connected_components(links)
+    nodes = materialize(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")))
+    roots = connected_components(ball_links(nodes.select(F.lit(0).alias("k"), "fp", "rep"), max_bits))
     named = nodes.join(roots, nodes.rep == roots.node, "left").select(
         F.col("fp").alias("f"), F.coalesce("component", "rep").alias("component_id")
     )
@@ -274,19 +293,23 @@ def _verify(table: pa.Table, threshold: float, across: bool) -> pa.Table:
 
 
 def near_copy_links(docs: DataFrame, nodes: DataFrame, words: int, threshold: float, max_bits: int) -> DataFrame:
-    """``nodes(node, doc_id, raw, fp)`` of unlike texts -> ``(node, component)`` as ``connected_components`` has it.
+    """``nodes(node, doc_id, raw, fps)`` of unlike texts -> ``(node, component)`` as ``connected_components`` has it.
 
-    What links at ``max_bits`` makes candidate groups.  Chains make some of them
+    What links at ``max_bits`` in one of its prints makes candidate groups.  Chains make some of them
     large, so a group is dealt by MIN_HASHES min-hashes of the shingles: a pair
     at similarity J meets at one of them with probability 1 - (1 - J)^MIN_HASHES.
     What meets is dealt to tiles of bounded size; in a tile, and against the
     first text, all that isn't linked yet is compared by its sets of shingles.
     Where several tiles are left apart, they are compared tile by tile.
     """
-    near = near_components(nodes.select(F.col("node").alias("doc_id"), "fp"), max_bits, WIDE_CELL_VARIANTS)
-    near = materialize(near.select(F.col("doc_id").alias("rep"), F.col("component_id").alias("comp")))
-    groups = near.groupBy("comp").agg(F.count("*").alias("n")).where("n > 1").select(F.col("comp").alias("c"))
-    near = near.join(groups, near.comp == F.col("c"), "left_semi")
+    own = nodes.select("node", F.posexplode("fps").alias("k", "fp"))
+    prints = materialize(own.groupBy("k", "fp").agg(F.min("node").alias("rep"), F.count("*").alias("equal")))
+    equal = prints.where("equal > 1").select(F.col("k").alias("q"), F.col("fp").alias("f"), "rep")
+    equal = own.join(equal, (F.col("k") == F.col("q")) & (F.col("fp") == F.col("f"))).select(F.col("node").alias("a"), F.col("rep").alias("b"))
+    near = connected_components(ball_links(prints.select("k", "fp", "rep"), max_bits).union(equal))
+    # A component's smallest node isn't in it.
+    near = near.select(F.col("node").alias("rep"), F.col("component").alias("comp"))
+    near = materialize(near.union(near.select("comp", "comp").distinct()))
     odd = np.random.Generator(np.random.PCG64(SEED)).integers(0, 1 << 63, MIN_HASHES, np.uint64) * np.uint64(2) + np.uint64(1)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -325,13 +348,14 @@ def near_copy_links(docs: DataFrame, nodes: DataFrame, words: int, threshold: fl
     return connected_components(links.union(more))
 
 
-def drop_near_copies(docs: DataFrame, words: int = 5, threshold: float = 0.8, max_bits: int = 6) -> DataFrame:
+def drop_near_copies(docs: DataFrame, words: int = 5, threshold: float = 0.8, max_bits: int = 4) -> DataFrame:
     """The rows of ``docs`` whose doc_id is the smallest of its group; columns as they came.
 
     Texts of the same words in order are copies.  Others are linked where the
     sets of their shingles of ``words`` words (as 64-bit hashes) have a Jaccard
-    similarity of at least ``threshold``; those are looked for among texts whose
-    ``wide_print`` chains in steps of ``max_bits`` or fewer bits, and all verified.
+    similarity of at least ``threshold``; those are looked for among texts of
+    which one of the ``word_prints`` chains in steps of ``max_bits`` or fewer
+    bits, and all verified.
     A null text is empty, texts without words are copies of each other, and
     texts of fewer words than ``words`` have one shingle.  Rows without a doc_id
     cannot be told apart and stay.  Rows that share a doc_id are texts of their
@@ -341,15 +365,15 @@ def drop_near_copies(docs: DataFrame, words: int = 5, threshold: float = 0.8, ma
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [_words(t.as_py()) for t in b.column(2)]
-            fp = np.array([wide_print(w) for w in found], "<u8").view("<i8")
+            fps = pa.array([word_prints(w).view("<i8") for w in found], pa.list_(pa.int64()))
             same = pa.array([xxhash.xxh3_128_digest(b" ".join(w)) for w in found], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp), same], ["doc_id", "raw", "fp", "same"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), fps, same], ["doc_id", "raw", "fps", "same"])
 
     known = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("raw"), "text")
-    prints = materialize(known.mapInArrow(each, "doc_id long, raw long, fp long, same binary"))
-    first = prints.groupBy("same", "fp").agg(F.min(F.struct("doc_id", "raw")).alias("first"))
+    prints = materialize(known.mapInArrow(each, "doc_id long, raw long, fps array<long>, same binary"))
+    first = prints.groupBy("same").agg(F.min(F.struct("doc_id", "raw")).alias("first"), F.first("fps").alias("fps"))
     # Numbers are fixed by being written.
-    nodes = materialize(first.select(F.monotonically_increasing_id().alias("node"), "first.*", "fp"))
+    nodes = materialize(first.select(F.monotonically_increasing_id().alias("node"), "first.*", "fps"))
     roots = near_copy_links(docs, nodes, words, threshold, max_bits)
     groups = nodes.join(roots.withColumnRenamed("node", "n"), nodes.node == F.col("n"), "left").groupBy(F.coalesce("component", "node").alias("g"))
     kept = materialize(groups.agg(F.min(F.struct("doc_id", "raw")).alias("k")).select(F.col("k.doc_id").alias("__kept"), F.col("k.raw").alias("__raw")))

@@ -169,6 +169,6 @@ def test_hot_cells_are_dealt_again(spark, monkeypatch):
     monkeypatch.setattr(simhash, "HOT_ROWS", 40)
     df = spark.createDataFrame([(d, signed(x)) for d, x in prints], "doc_id long, fp long")
     nodes = df.select("fp", df.doc_id.alias("rep"))
-    assert simhash._dealt(nodes, 4, 2).select("depth").distinct().count() > 3
+    assert simhash._dealt(nodes.selectExpr("0 as k", "fp", "rep"), 4, 2).select("depth").distinct().count() > 3
     got = {r.doc_id: r.component_id for r in simhash.near_components(df).collect()}
     assert got == slow_components(prints)
