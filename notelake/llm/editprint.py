@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..shared import connected_components, materialize
+from ..shared import connected_components, keep, materialize
 from .simhash import spanning
 
 #: Hex digits of a fingerprint, period of the random bits, characters hashed at a place.
@@ -41,6 +41,8 @@ DIGITS, PERIOD, REACH = 64, 64, 6
 TILE = 1024
 #: Of pairs just at the threshold, so many share a band (digits taken as independent).
 RECALL = 0.99
+#: Prints with a group that a scan of all prints may be given whole; more are joined by shuffle.
+BROADCAST_NAMED = 200_000
 #: Orders rows without an id before all others.
 NO_ID = -(1 << 63)
 
@@ -147,7 +149,8 @@ def _band_cell(table: pa.Table, threshold: float, bands: list[list[int]]) -> pa.
     table = table.combine_chunks()
     rep, home, here = table.column("rep").to_numpy(), table.column("home").to_numpy(), table.column("k")[0].as_py()
     across = table.column("x")[0] != table.column("y")[0]
-    digits = np.frombuffer("".join(table.column("fingerprint").to_pylist()).encode(), np.uint8).reshape(-1, DIGITS)
+    packed = np.frombuffer(b"".join(table.column("print").to_pylist()), np.uint8)
+    digits = np.stack([packed >> 4, packed & 15], 1).reshape(-1, DIGITS)
     passes = np.array([max(0.0, (n / DIGITS - 1 / 16) / (1 - 1 / 16)) >= threshold for n in range(DIGITS + 1)])
     near, left, right = np.zeros(len(rep), np.int64), [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     for p in range(len(rep)):
@@ -179,24 +182,32 @@ def similar_groups(prints: DataFrame, threshold: float = 0.8) -> DataFrame:
     are one group.  A row without a doc_id links nothing, and has its print's
     group if a row with an id has that print, else null.
     """
-    prints = materialize(prints)
-    nodes = materialize(prints.where("doc_id is not null").groupBy("fingerprint").agg(F.min("doc_id").alias("rep")))
+    prints = keep(prints)[0]
+    digest = F.unhex("fingerprint")
+    nodes = prints.groupBy(digest.alias("print")).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("rep is not null")
+    nodes = materialize(nodes)
     sampled = sampled_bands(nodes.count(), threshold)
-    digits = lambda band: F.concat(*[F.substring("fingerprint", i + 1, 1) for i in band])
-    bands = F.array(*[F.struct(F.lit(k).alias("k"), digits(band).alias("digits")) for k, band in enumerate(sampled)])
-    dealt = nodes.select("rep", "fingerprint", F.explode(bands).alias("b")).select("rep", "fingerprint", "b.*")
+    digits = lambda band: F.concat(*[F.substring(F.hex("print"), i + 1, 1) for i in band])
+    # A band is dealt by a hash of its digits: bands that happen to share one are told apart no more than candidates are.
+    bands = F.array(*[F.struct(F.lit(k).alias("k"), F.xxhash64(F.lit(k), digits(band)).alias("band")) for k, band in enumerate(sampled)])
+    dealt = nodes.select("rep", F.explode(bands).alias("b")).select("rep", "b.*").repartition("k", "band")
     tiles = F.ceil(F.col("n") / TILE).cast("int").alias("tiles")
-    sizes = dealt.groupBy("k", "digits").agg(F.count("*").alias("n")).where("n > 1").select("k", "digits", tiles)
-    dealt = dealt.join(sizes, ["k", "digits"]).withColumn("home", F.pmod(F.xxhash64("fingerprint"), F.col("tiles")).cast("int"))
-    cells = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
-    cells = cells.select("k", "digits", F.least("home", "other").alias("x"), F.greatest("home", "other").alias("y"), "rep", "fingerprint", "home")
-    found = cells.groupBy("k", "digits", "x", "y").applyInArrow(lambda t: _band_cell(t, threshold, sampled), "rep long, near long, root long")
+    sizes = dealt.groupBy("k", "band").agg(F.count("*").alias("n")).where("n > 1").select("k", "band", tiles)
+    # Only what shares a band gets its print.
+    members = dealt.join(sizes, ["k", "band"]).join(nodes.select(F.col("rep").alias("r"), "print"), F.col("rep") == F.col("r")).drop("r")
+    members = members.withColumn("home", F.pmod(F.xxhash64("print"), F.col("tiles")).cast("int"))
+    cells = members.select("*", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
+    cells = cells.select("k", "band", F.least("home", "other").alias("x"), F.greatest("home", "other").alias("y"), "rep", "print", "home")
+    found = cells.groupBy("k", "band", "x", "y").applyInArrow(lambda t: _band_cell(t, threshold, sampled), "rep long, near long, root long")
     found = materialize(found)
     roots = connected_components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     n = found.groupBy("rep").agg(F.sum("near").alias("n_near")).withColumnRenamed("rep", "x")
-    named = nodes.join(roots, nodes.rep == roots.node, "left").join(n, nodes.rep == n.x, "left")
-    named = named.select(F.col("fingerprint").alias("f"), F.coalesce("component", "rep").alias("component_id"), F.coalesce("n_near", F.lit(0)).alias("n_near"))
-    return prints.join(named, prints.fingerprint == named.f, "left").drop("f")
+    named = nodes.join(n, nodes.rep == n.x, "left").join(roots, nodes.rep == roots.node, "left").where("copies > 1 or n_near is not null")
+    named = named.select(F.col("print").alias("f"), F.coalesce("component", "rep").alias("component"), F.coalesce("n_near", F.lit(0)).alias("near"))
+    named = materialize(named)
+    # Prints that are a document's own and link nothing aren't named; where few are, prints needn't be shuffled.
+    out = prints.join(F.broadcast(named) if named.count() <= BROADCAST_NAMED else named, digest == named.f, "left")
+    return out.select(*[prints[c] for c in prints.columns], F.coalesce("component", prints["doc_id"]).alias("component_id"), F.coalesce("near", F.lit(0)).alias("n_near"))
 
 
 def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
