@@ -258,13 +258,27 @@ def l1_note_vectors(spark, d):
     return v.select("path", F.posexplode("vec").alias("dim", "value")).select("path", "dim", F.round("value", 6).alias("value"))
 
 
-def _pairs(spark, d, least):
-    return checkpoint(similarity.similar_pairs(similarity.note_vectors(views.chunk_vecs(spark, d)), least))
+#: Thresholds of proposed links and of near-duplicates.
+LINK_SCORE, DUPLICATE_SCORE = 0.78, 0.80
 
 
-def _pair_links(spark):
-    """Some of the notes n0 to n99 link already: n to 7 n + 1."""
-    return spark.range(100).select(F.expr("concat('n', id, '.md')").alias("src"), F.expr("concat('n', (7 * id + 1) % 100, '.md')").alias("dst")).where("src <> dst")
+def _vectors(spark, d):
+    return checkpoint(similarity.note_vectors(views.chunk_vecs(spark, d)))
+
+
+def _names(spark, d):
+    return checkpoint(similarity.link_names(views.vec_notes(spark, d)))
+
+
+def _proposed(spark, d):
+    names = _names(spark, d)
+    return similarity.propose_links(similarity.nearest_pairs(_vectors(spark, d), names, LINK_SCORE), names)
+
+
+def l2_eligible_notes(spark, d):
+    v = views.vault_notes(spark, d)
+    folder = F.when(F.col("doc_id") % 6 == 0, "05-Archive/").when(F.col("doc_id") % 6 == 1, "03-Personal/Secrets/").otherwise("")
+    return similarity.eligible_notes(v.select(F.concat(folder, "path").alias("path"))).select("path")
 
 
 def l3_current_links(spark, d):
@@ -272,26 +286,32 @@ def l3_current_links(spark, d):
 
 
 def l4_similar_pairs(spark, d):
-    return _round(_pairs(spark, d, 0.25), "score")
+    return _round(similarity.similar_pairs(_vectors(spark, d), LINK_SCORE), "score")
 
 
 def l5_propose_links(spark, d):
-    return _round(similarity.propose_links(_pairs(spark, d, 0.25), _pair_links(spark)), "score")
+    return _round(_proposed(spark, d), "score")
+
+
+def l6_rank_proposals(spark, d):
+    return _round(similarity.rank_proposals(checkpoint(_proposed(spark, d))), "score", "best")
 
 
 def l7_apply_links(spark, d):
-    n = views.vault_notes(spark, d).where("doc_id < 100").select(F.expr("concat('n', doc_id, '.md')").alias("path"), "text")
-    return similarity.apply_links(n, similarity.propose_links(_pairs(spark, d, 0.25), _pair_links(spark)))
+    return similarity.apply_links(views.vec_notes(spark, d), checkpoint(_proposed(spark, d)))
+
+
+def _near(spark, d):
+    return similarity.near_duplicates(similarity.similar_pairs(_vectors(spark, d), DUPLICATE_SCORE), _names(spark, d))
 
 
 def l8_near_duplicates(spark, d):
-    return _round(similarity.near_duplicates(_pairs(spark, d, 0.30), _pair_links(spark)), "score")
+    return _round(_near(spark, d), "score")
 
 
 def l9_pick_canonical(spark, d):
-    links = _pair_links(spark)
-    n = spark.range(100).select(F.expr("concat('n', id, '.md')").alias("path"))
-    return _round(similarity.pick_canonical(similarity.near_duplicates(_pairs(spark, d, 0.30), links), graph.degrees(n, links)), "score")
+    n = views.vec_notes(spark, d)
+    return _round(similarity.pick_canonical(_near(spark, d), graph.degrees(n, similarity.current_links(n))), "score")
 
 
 def b1_verify_payloads(spark, d):
@@ -345,7 +365,7 @@ QUERIES = {
         r1_candidates, r2_tfidf, r6_rag_search, r7_index_search, r8_relevance_floor, r9_lexical_search, r10_neighbors,
         i1_diff_notes, i2_stale_notes, i3_build_index, i4_index_status,
         g2_extract_links, g3_resolve_links, g4_broken_links, g4_ambiguous_links, g5_degrees, g6_roles, g7_connected_components, g8_graph_stats, g9_density_by_folder,
-        l1_note_vectors, l3_current_links, l4_similar_pairs, l5_propose_links, l7_apply_links, l8_near_duplicates, l9_pick_canonical,
+        l1_note_vectors, l2_eligible_notes, l3_current_links, l4_similar_pairs, l5_propose_links, l6_rank_proposals, l7_apply_links, l8_near_duplicates, l9_pick_canonical,
         b1_verify_payloads, b2_snapshot_manifest, b3_verify_snapshot, b4_missing_files, b5_retention, b6_restore, p2_scan, p6_scan_summary,
     )
 }

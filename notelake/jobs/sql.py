@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..functions import text as T
-from ..operators import graph, scan
+from ..operators import graph, scan, similarity
 from . import views
 
 _list = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"
@@ -28,10 +28,13 @@ _PARTS = {
     "reach": "SELECT path AS a, path AS b FROM vault_notes UNION SELECT reach.a, ends.b FROM reach JOIN ends ON reach.b = ends.a",
     "components": "SELECT a AS path, min(b) AS component FROM reach GROUP BY a",
     "edited": "SELECT doc_id, 'n' || CAST(doc_id AS VARCHAR) || '.md' AS path, text FROM vault_notes",
-    "mean": "SELECT path, dim, avg(v) AS v FROM (SELECT 'n' || CAST(vec_id % 100 AS VARCHAR) || '.md' AS path, unnest(range(len(embedding))) AS dim, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings) GROUP BY path, dim",
+    "vec_chunks": views.SQL_VEC_CHUNKS,
+    "vec_notes": views.SQL_VEC_NOTES,
+    "mean": "SELECT path, dim, avg(v) AS v FROM (SELECT path, unnest(range(len(embedding))) AS dim, CAST(unnest(embedding) AS DOUBLE) AS v FROM vec_chunks) GROUP BY path, dim",
     "unit": "SELECT path, dim, v / sqrt(sum(v * v) OVER (PARTITION BY path)) AS v FROM mean",
-    "pairs": "SELECT x.path AS a, y.path AS b, sum(x.v * y.v) AS score FROM unit x JOIN unit y ON x.dim = y.dim AND x.path < y.path GROUP BY 1, 2",
-    "known": "SELECT 'n' || CAST(i AS VARCHAR) || '.md' AS src, 'n' || CAST((7 * i + 1) % 100 AS VARCHAR) || '.md' AS dst FROM range(100) t(i) WHERE i <> (7 * i + 1) % 100",
+    "unit_list": "SELECT path, list(v ORDER BY dim) AS v FROM unit GROUP BY path",
+    "pairs": "SELECT x.path AS a, y.path AS b, list_inner_product(x.v, y.v) AS score FROM unit_list x JOIN unit_list y ON x.path < y.path",
+    "known": "SELECT path AS src, to_next AS dst FROM vec_notes WHERE to_next IS NOT NULL UNION SELECT path, to_half FROM vec_notes WHERE to_half IS NOT NULL AND to_half <> path",
     "payloads": """SELECT doc_id, path, size_, body, CASE WHEN doc_id % 31 = 0 THEN 'Note not found' WHEN doc_id % 29 = 0 THEN '' WHEN ends_with(path, '.pdf') THEN body
         WHEN doc_id % 7 = 0 THEN substr(body, 1, 1000) ELSE body END AS content FROM (SELECT *, octet_length(encode(body)) AS size_ FROM live)""",
     "verified": """SELECT path, size_ AS expected, CASE WHEN bad THEN NULL ELSE n END AS got,
@@ -97,10 +100,12 @@ def _scan() -> str:
 _STATS = """SELECT count(*) AS notes, count(*) FILTER (n_out > 0) AS linking, count(*) FILTER (n_in > 0) AS receiving, count(*) FILTER (n_out = 0) AS orphans,
   count(*) FILTER (n_out = 0 AND n_in = 0) AS islands, (SELECT count(DISTINCT component) FROM components) AS components, (SELECT count(*) FROM edges) AS edges, (SELECT count(*) FROM broken) AS broken FROM degree"""
 _PROPOSED = """SELECT CASE WHEN one THEN a ELSE b END AS src, CASE WHEN one THEN b ELSE a END AS dst, round(score, 6) AS score FROM (
-  SELECT least(s, t) AS a, greatest(s, t) AS b, max(score) AS score, length(least(s, t)) <= length(greatest(s, t)) AS one FROM (
-    SELECT *, row_number() OVER (PARTITION BY s ORDER BY score DESC, t) AS r FROM (SELECT a AS s, b AS t, score FROM pairs WHERE score >= 0.25 UNION ALL SELECT b, a, score FROM pairs WHERE score >= 0.25)
+  SELECT least(s, t) AS a, greatest(s, t) AS b, max(score) AS score, length(regexp_extract(least(s, t), '([^/]*)$', 1)) <= length(regexp_extract(greatest(s, t), '([^/]*)$', 1)) AS one FROM (
+    SELECT *, row_number() OVER (PARTITION BY s ORDER BY score DESC, t) AS r FROM (SELECT a AS s, b AS t, score FROM pairs WHERE score >= 0.78 UNION ALL SELECT b, a, score FROM pairs WHERE score >= 0.78)
     WHERE (s, t) NOT IN (SELECT (src, dst) FROM known)) WHERE r <= 4 GROUP BY 1, 2)"""
-_NEAR = "SELECT a, b, score FROM pairs WHERE score >= 0.30 AND (a, b) NOT IN (SELECT (src, dst) FROM known) AND (b, a) NOT IN (SELECT (src, dst) FROM known)"
+_base = lambda c: f"lower(regexp_replace(regexp_extract({c}, '([^/]*)$', 1), '\\.[^.]*$', ''))"
+_canonical = lambda c: f"((SELECT count(*) FROM known WHERE dst = {c}) - 1.5 * len(list_filter({_list(similarity.DERIVED)}, lambda w: contains({_base(c)}, w))) - greatest(0, length({_base(c)}) - 20) / 40)"
+_NEAR = "SELECT a, b, score FROM pairs WHERE score >= 0.80 AND (a, b) NOT IN (SELECT (src, dst) FROM known) AND (b, a) NOT IN (SELECT (src, dst) FROM known)"
 
 _BODIES = {
     "s2_live_docs": "SELECT path, CAST(size AS BIGINT) AS size, CAST(mtime AS BIGINT) AS mtime FROM live",
@@ -135,12 +140,14 @@ _BODIES = {
     "g8_graph_stats": f"SELECT *, CAST(floor(100 * linking / notes) AS BIGINT) AS pct_linking, components < notes / 2 AND linking > notes / 2 AS healthy FROM ({_STATS})",
     "g9_density_by_folder": f"SELECT folder, notes, linking, CAST(floor(100 * linking / notes) AS BIGINT) AS pct, floor(100 * linking / notes) < 20 AND notes >= 2 AS sparse FROM (SELECT CASE WHEN contains(path, '/') THEN regexp_extract(path, '^(.*)/[^/]*$', 1) ELSE '{graph.ROOT}' END AS folder, count(*) AS notes, count(*) FILTER (n_out > 0) AS linking FROM degree GROUP BY 1)",
     "l1_note_vectors": "SELECT path, CAST(dim AS INTEGER) AS dim, round(v, 6) AS value FROM unit",
+    "l2_eligible_notes": "SELECT path FROM vault_notes WHERE doc_id % 6 > 1",
+    "l6_rank_proposals": f"""SELECT *, max(score) OVER (PARTITION BY src) AS best, CAST(row_number() OVER (PARTITION BY src ORDER BY score DESC, dst) AS INTEGER) AS link_rank FROM ({_PROPOSED})""",
     "l3_current_links": r"SELECT DISTINCT l.path AS src, n.path AS dst FROM raw_links l JOIN names n ON regexp_replace(lower(target), '\.md$', '') = n.base WHERE l.path <> n.path",
-    "l4_similar_pairs": "SELECT a, b, round(score, 6) AS score FROM pairs WHERE score >= 0.25",
+    "l4_similar_pairs": "SELECT a, b, round(score, 6) AS score FROM pairs WHERE score >= 0.78",
     "l5_propose_links": _PROPOSED,
     "l8_near_duplicates": f"SELECT a, b, round(score, 6) AS score FROM ({_NEAR})",
     "l9_pick_canonical": f"""SELECT round(score, 6) AS score, CASE WHEN one THEN a ELSE b END AS canonical, CASE WHEN one THEN b ELSE a END AS duplicate FROM
-        (SELECT *, (SELECT count(*) FROM known WHERE dst = a) >= (SELECT count(*) FROM known WHERE dst = b) AS one FROM ({_NEAR}))""",
+        (SELECT *, {_canonical('a')} >= {_canonical('b')} AS one FROM ({_NEAR}))""",
     "b1_verify_payloads": "SELECT path, expected, got, status FROM verified",
     "b2_snapshot_manifest": "SELECT '20240112-030000' AS snapshot, count(*) AS files_in_vault, count(*) FILTER (status <> 'unreadable') AS exported, CAST(coalesce(sum(got), 0) AS BIGINT) AS bytes, count(*) FILTER (status = 'unreadable') AS n_errors, count(*) FILTER (status IN ('short', 'inflated')) AS n_truncated, bool_and(status = 'ok') AS ok FROM verified",
     "b3_verify_snapshot": """SELECT snapshot, files, live_files, bytes, live_bytes, files = live_files AS count_ok, bytes >= 0.9 * live_bytes AS bytes_ok, true AS age_ok FROM

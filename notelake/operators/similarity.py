@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +21,8 @@ EXCLUDED_FOLDERS = ("03-Personal/Secrets", "06-Todo", "05-Archive", ".obsidian")
 INDEX_NOTE = "00-INDEX.md"
 DERIVED = ("investigacion", "setup", "informe", "research", "test", "notas", "draft", "wip", "deep-dive")
 SECTION = "Notas relacionadas"
-#: Vectors of a block.
-BLOCK = 4096
+#: Vectors of a block; tasks that pairs of blocks are dealt to, at most.
+BLOCK, MAX_TASKS = 4096, 1 << 14
 
 
 def note_vectors(chunks: DataFrame) -> DataFrame:
@@ -37,50 +38,137 @@ def eligible_notes(notes: DataFrame) -> DataFrame:
     return notes.where(out)
 
 
+def link_names(notes: DataFrame, compat: bool = False) -> DataFrame:
+    """Distinct ``(src, key)``: the names that a note links to, in lower case."""
+    key = F.regexp_replace(F.lower("target"), r"[.md]+$" if compat else r"\.md$", "")
+    return raw_links(notes).select(F.col("path").alias("src"), key.alias("key")).distinct()
+
+
 def current_links(notes: DataFrame, compat: bool = False) -> DataFrame:
-    """Distinct ``(src, dst)`` by name alone, to every note of that name but the note itself."""
-    links = raw_links(notes).select(F.col("path").alias("src"), F.regexp_replace(F.lower("target"), r"[.md]+$" if compat else r"\.md$", "").alias("key")).distinct()
+    """Distinct ``(src, dst)`` by name alone, to every note of that name but the note itself.
+
+    Its size is that of links times notes of a name; to hold pairs against what
+    is linked, ``unlinked`` needs the names only.
+    """
     names = notes.select(F.col("path").alias("dst"), T.base_name(F.col("path")).alias("key"))
-    return links.join(names, "key").where("src <> dst").select("src", "dst").distinct()
+    return link_names(notes, compat).join(names, "key").where("src <> dst").select("src", "dst").distinct()
+
+
+def unlinked(pairs: DataFrame, links: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
+    """The pairs of which ``src`` doesn't link to ``dst``: ``links`` has notes ``(src, dst)``, or names ``(src, key)``."""
+    if "key" in links.columns:
+        own = links.select(F.col("src").alias("__s"), F.col("key").alias("__k"))
+        return pairs.join(own, (F.col(src) == F.col("__s")) & (T.base_name(F.col(dst)) == F.col("__k")), "left_anti")
+    own = links.select(F.col("src").alias("__s"), F.col("dst").alias("__d"))
+    return pairs.join(own, (F.col(src) == F.col("__s")) & (F.col(dst) == F.col("__d")), "left_anti")
+
+
+def _cell(table: pa.Table, min_score: float, top: bool) -> pa.Table:
+    """Pairs of two blocks from ``min_score`` on; with ``top`` only those that are among the best ``most`` of one of their notes here."""
+    t = table.combine_chunks()
+    paths, home = np.array(t.column("path").to_pylist(), object), t.column("home").to_numpy()
+    m = np.asarray(t.column("vec").combine_chunks().flatten(), np.float64).reshape(len(paths), -1)
+    same, first = t.column("x")[0] == t.column("y")[0], t.column("x")[0].as_py()
+    i = np.arange(len(paths)) if same else np.flatnonzero(home == first)
+    j = i if same else np.flatnonzero(home != first)
+    a, b, s = [np.empty(0, int)], [np.empty(0, int)], [np.empty(0)]
+    for at in range(0, len(i), 1024):
+        product = m[i[at : at + 1024]] @ m[j].T
+        u, v = np.nonzero(product >= min_score)
+        keep = i[at + u] < j[v] if same else np.ones(len(u), bool)
+        a.append(i[at + u[keep]])
+        b.append(j[v[keep]])
+        s.append(product[u[keep], v[keep]])
+    a, b, s = map(np.concatenate, (a, b, s))
+    if top and len(s):
+        most = t.column("most").to_numpy()
+        ends, score = np.r_[a, b], np.r_[s, s]
+        order = np.lexsort((-score, ends))
+        ends, score = ends[order], score[order]
+        start = np.flatnonzero(np.r_[True, ends[1:] != ends[:-1]])
+        size = np.diff(np.r_[start, len(ends)])
+        # The score of the last place that counts; what ties with it goes on.
+        least = np.full(len(paths), -np.inf)
+        least[ends[start]] = score[start + np.minimum(most[ends[start]], size) - 1]
+        keep = (s >= least[a]) | (s >= least[b])
+        a, b, s = a[keep], b[keep], s[keep]
+    one, two = paths[a], paths[b]
+    swap = one > two
+    return pa.table({"a": pa.array(np.where(swap, two, one), pa.string()), "b": pa.array(np.where(swap, one, two), pa.string()), "score": pa.array(s, pa.float64())})
+
+
+def _all_cells(vectors: DataFrame, min_score: float, top: bool) -> DataFrame:
+    blocks = max(1, math.ceil(vectors.count() / BLOCK))
+    home = F.pmod(F.xxhash64("path"), F.lit(blocks)).cast("int")
+    most = [F.col("most")] if top else []
+    cells = vectors.select("path", F.col("vec").cast("array<double>").alias("vec"), *most, home.alias("home"))
+    cells = cells.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("o"))
+    cells = cells.select(F.least("home", "o").alias("x"), F.greatest("home", "o").alias("y"), "home", "path", "vec", *most)
+    tasks = min(MAX_TASKS, blocks * (blocks + 1) // 2)
+    return cells.repartition(tasks, "x", "y").groupBy("x", "y").applyInArrow(lambda t: _cell(t, min_score, top), "a string, b string, score double")
 
 
 def similar_pairs(vectors: DataFrame, min_score: float) -> DataFrame:
     """All ``(a, b, score)`` with ``a < b`` and a cosine of at least ``min_score``, for unit ``vectors(path, vec)``; exact.
 
     Vectors are dealt to blocks of a bounded number; each pair of blocks is one
-    task's matrix product, of which only pairs above the threshold leave.
+    task's matrix product, of which only pairs above the threshold leave.  The
+    work grows with the square of the vectors: beyond some millions, see
+    ``similar_pairs_hashed``.
     """
-    blocks = max(1, math.ceil(vectors.count() / BLOCK))
-    home = F.pmod(F.xxhash64("path"), F.lit(blocks)).cast("int")
-    cells = vectors.select("path", F.col("vec").cast("array<double>").alias("vec"), home.alias("home")).select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("o"))
-    cells = cells.select(F.least("home", "o").alias("x"), F.greatest("home", "o").alias("y"), "home", "path", "vec")
-
-    def each(t: pa.Table) -> pa.Table:
-        t = t.combine_chunks()
-        paths, home = np.array(t.column("path").to_pylist(), object), t.column("home").to_numpy()
-        m = np.array(t.column("vec").to_pylist(), np.float64)
-        same, first = t.column("x")[0] == t.column("y")[0], t.column("x")[0].as_py()
-        i = np.arange(len(paths)) if same else np.flatnonzero(home == first)
-        j = i if same else np.flatnonzero(home != first)
-        a, b, s = [], [], []
-        for at in range(0, len(i), 1024):
-            product = m[i[at : at + 1024]] @ m[j].T
-            u, v = np.nonzero(product >= min_score)
-            keep = i[at + u] < j[v] if same else np.ones(len(u), bool)
-            a.append(paths[i[at + u[keep]]])
-            b.append(paths[j[v[keep]]])
-            s.append(product[u[keep], v[keep]])
-        a, b, s = (np.concatenate(x) if x else np.array([]) for x in (a, b, s))
-        swap = a > b
-        return pa.table({"a": pa.array(np.where(swap, b, a), pa.string()), "b": pa.array(np.where(swap, a, b), pa.string()), "score": pa.array(s, pa.float64())})
-
-    return cells.groupBy("x", "y").applyInArrow(each, "a string, b string, score double")
+    return _all_cells(vectors, min_score, False)
+
+
+def nearest_pairs(vectors: DataFrame, names: DataFrame, min_score: float, top_k: int = 4) -> DataFrame:
+    """Of ``similar_pairs`` those that ``propose_links`` with ``names(src, key)`` can choose from.
+
+    A note's best unlinked ``top_k`` are among its best ``top_k`` and as many
+    more as it has linked notes, so a cell lets no more of a note's pairs out.
+    """
+    notes = vectors.groupBy(T.base_name(F.col("path")).alias("key")).agg(F.count("*").alias("n"))
+    linked = names.join(notes, "key").groupBy("src").agg(F.sum("n").alias("linked"))
+    most = F.least(F.coalesce("linked", F.lit(0)) + top_k, F.lit(1 << 30)).cast("int").alias("most")
+    return _all_cells(vectors.join(linked, vectors.path == linked.src, "left").select("path", "vec", most), min_score, True)
+
+
+def similar_pairs_hashed(vectors: DataFrame, min_score: float, recall: float = 0.95, bits: int | None = None, seed: int = 1) -> DataFrame:
+    """``similar_pairs`` by random hyperplanes: an expected ``recall`` of the pairs at ``min_score``, more of the nearer ones; none below.
+
+    Vectors on the same side of ``bits`` hyperplanes meet, in as many tables as
+    the recall asks for; ``bits`` follows the number of vectors.  What meets is
+    dealt to blocks as above and computed exactly.
+    """
+    n = vectors.count()
+    bits = bits or max(4, math.ceil(math.log2(max(2, n / 256))))
+    agree = (1 - math.acos(min(1.0, max(-1.0, min_score))) / math.pi) ** bits
+    tables = 1 if agree >= 1 else math.ceil(math.log(1 - recall) / math.log(1 - agree))
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        planes = None
+        for b in batches:
+            if not len(b):
+                continue
+            m = np.asarray(b.column(1).flatten(), np.float64).reshape(len(b), -1)
+            if planes is None:
+                planes = np.random.Generator(np.random.PCG64(seed)).standard_normal((m.shape[1], tables * bits))
+            sides = (m @ planes > 0).reshape(len(b), tables, bits)
+            keys = sides @ (1 << np.arange(bits, dtype=np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(list(keys), pa.list_(pa.int64()))], ["path", "vec", "keys"])
+
+    own = vectors.select("path", F.col("vec").cast("array<double>").alias("vec"))
+    met = own.mapInArrow(hashed, "path string, vec array<double>, keys array<long>").select("path", "vec", F.posexplode("keys").alias("t", "key"))
+    sizes = met.groupBy("t", "key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("n")).where("n > 1").drop("n")
+    met = met.join(sizes, ["t", "key"]).withColumn("home", F.pmod(F.xxhash64("path"), F.col("blocks")).cast("int"))
+    cells = met.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o"))
+    cells = cells.select("t", "key", F.least("home", "o").alias("x"), F.greatest("home", "o").alias("y"), "home", "path", "vec")
+    pairs = cells.groupBy("t", "key", "x", "y").applyInArrow(lambda t: _cell(t, min_score, False), "a string, b string, score double")
+    return pairs.groupBy("a", "b").agg(F.max("score").alias("score"))
 
 
 def propose_links(pairs: DataFrame, links: DataFrame, top_k: int = 4) -> DataFrame:
     """``(src, dst, score)``: each note's best ``top_k`` unlinked neighbours, one link a pair, from the shorter name (then path)."""
     both = pairs.select(F.col("a").alias("src"), F.col("b").alias("dst"), "score").union(pairs.select("b", "a", "score"))
-    both = both.join(links, ["src", "dst"], "left_anti")
+    both = unlinked(both, links)
     rank = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("score"), "dst"))
     best = both.withColumn("r", rank).where(F.col("r") <= top_k)
     pair = best.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), "score").groupBy("a", "b").agg(F.max("score").alias("score"))
@@ -114,8 +202,7 @@ def apply_links(notes: DataFrame, proposals: DataFrame, max_notes: int = 50) ->
 
 def near_duplicates(pairs: DataFrame, links: DataFrame) -> DataFrame:
     """Pairs of which neither links to the other."""
-    one = pairs.join(links.select(F.col("src").alias("a"), F.col("dst").alias("b")), ["a", "b"], "left_anti")
-    return one.join(links.select(F.col("src").alias("b"), F.col("dst").alias("a")), ["a", "b"], "left_anti")
+    return unlinked(unlinked(pairs, links, "a", "b"), links, "b", "a")
 
 
 def canonical_score(path: Column, n_links: Column) -> Column:
