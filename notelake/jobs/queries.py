@@ -137,10 +137,10 @@ def r6_rag_search(spark, d):
     return retrieval.rag_search(views.queries(spark, d), v, meta, chunking.chunk_notes, F.lit(NOW), V.hashing_embedder, checkpoint=checkpoint)
 
 
-def _index_hits(spark, d):
+def _index_hits(spark, d, k=5):
     v = views.vault_notes(spark, d)
     chunks = checkpoint(index.embed_with_cache(chunking.chunk_notes_index(v).withColumn("t", T.embed_text(F.col("path"), F.col("heading"), F.col("text"))), "t", spark.createDataFrame([], "h string, vec array<float>"), V.hashing_embedder)[0].drop("t"))
-    return retrieval.index_search(views.queries(spark, d), chunks, retrieval.doc_freq(chunks), chunks.count(), V.hashing_embedder)
+    return retrieval.index_search(views.queries(spark, d), chunks, retrieval.doc_freq(chunks), chunks.count(), V.hashing_embedder, k)
 
 
 def r7_index_search(spark, d):
@@ -157,9 +157,8 @@ def r9_lexical_search(spark, d):
 
 def r10_neighbors(spark, d):
     v = views.vault_notes(spark, d)
-    hits = retrieval.lexical_search(views.queries(spark, d), views.paragraphs(spark, d), 8)
     linked = graph.resolve_links(v).where(F.col("src").endswith("Index.md"))
-    return retrieval.neighbors(hits, linked).select("qid", "rank", "path", "ord", "already")
+    return retrieval.neighbors(_index_hits(spark, d, 8), linked).select("qid", "rank", "path", "ord", "already")
 
 
 def _versions(spark, d):
@@ -249,6 +248,19 @@ def g8_graph_stats(spark, d):
     return graph.graph_health(_stats(spark, d))
 
 
+def g10_compare_graphs(spark, d):
+    """The graph of the older version of the notes against that of the newer one."""
+    out = []
+    for v in _versions(spark, d):
+        edges = checkpoint(graph.resolve_links(v))
+        out.append(graph.graph_stats(graph.degrees(v, edges), edges, graph.broken_links(v), graph.connected_components(v, edges)))
+    return graph.compare_graphs(*out)
+
+
+def g1_note_bodies(spark, d):
+    return graph.note_bodies(views.paragraphs(spark, d)).select("path", F.md5("text").alias("text"))
+
+
 def g9_density_by_folder(spark, d):
     return graph.density_by_folder(_degree(spark, d)[2])
 
@@ -320,8 +332,11 @@ def b1_verify_payloads(spark, d):
 
 
 def b2_snapshot_manifest(spark, d):
-    m = snapshots.snapshot_manifest(b1_verify_payloads(spark, d), "20240112-030000")
-    return m.select("snapshot", "files_in_vault", "exported", "bytes", F.size("errors").cast("long").alias("n_errors"), F.size("truncated").cast("long").alias("n_truncated"), "ok")
+    return snapshots.snapshot_manifest(b1_verify_payloads(spark, d), "20240112-030000")
+
+
+def b2_snapshot_failures(spark, d):
+    return snapshots.snapshot_failures(b1_verify_payloads(spark, d), "20240112-030000")
 
 
 def _live(spark, d):
@@ -364,8 +379,8 @@ QUERIES = {
         e_apply_edits, e4_move_notes, c1_chunk_notes, c2_chunk_notes_index, c3_tokens, c5_expand_query, c7_doc_freq, m2_embed_with_cache, m4_cosine,
         r1_candidates, r2_tfidf, r6_rag_search, r7_index_search, r8_relevance_floor, r9_lexical_search, r10_neighbors,
         i1_diff_notes, i2_stale_notes, i3_build_index, i4_index_status,
-        g2_extract_links, g3_resolve_links, g4_broken_links, g4_ambiguous_links, g5_degrees, g6_roles, g7_connected_components, g8_graph_stats, g9_density_by_folder,
+        g1_note_bodies, g10_compare_graphs, g2_extract_links, g3_resolve_links, g4_broken_links, g4_ambiguous_links, g5_degrees, g6_roles, g7_connected_components, g8_graph_stats, g9_density_by_folder,
         l1_note_vectors, l2_eligible_notes, l3_current_links, l4_similar_pairs, l5_propose_links, l6_rank_proposals, l7_apply_links, l8_near_duplicates, l9_pick_canonical,
-        b1_verify_payloads, b2_snapshot_manifest, b3_verify_snapshot, b4_missing_files, b5_retention, b6_restore, p2_scan, p6_scan_summary,
+        b1_verify_payloads, b2_snapshot_manifest, b2_snapshot_failures, b3_verify_snapshot, b4_missing_files, b5_retention, b6_restore, p2_scan, p6_scan_summary,
     )
 }

@@ -127,9 +127,9 @@ _BODIES = {
     "r1_candidates": "SELECT qid, path, stage, CAST(rank AS INTEGER) AS rank FROM candidates",
     "r2_tfidf": "SELECT c.qid, c.path, c.ord, round(coalesce(s, 0), 6) AS tfidf FROM cand_chunks c LEFT JOIN (SELECT qid, path, ord, sum(c / m * idf) / any_value(nt) AS s FROM hits JOIN idf USING (qid, term) GROUP BY qid, path, ord) USING (qid, path, ord)",
     "r9_lexical_search": "SELECT qid, CAST(rank AS INTEGER) AS rank, path, ord, round(score, 6) AS score FROM lexical WHERE rank <= 5",
-    "r10_neighbors": "SELECT qid, CAST(rank AS INTEGER) AS rank, path, ord, path IN (SELECT dst FROM edges WHERE ends_with(src, 'Index.md')) AS already FROM lexical WHERE rank <= 8",
     "i1_diff_notes": "SELECT path, sha1(now) AS hash, CASE WHEN starts_with(now, 'Note not found') THEN 'failed' WHEN m = 0 THEN 'new' WHEN now <> was THEN 'changed' ELSE 'same' END AS status FROM versions WHERE m <> 1",
     "i2_stale_notes": "SELECT path FROM versions WHERE m = 1",
+    "g1_note_bodies": "SELECT path, md5(string_agg(text, chr(10) ORDER BY ord)) AS text FROM paragraphs GROUP BY path",
     "g2_extract_links": "SELECT path, target, count(*) AS n FROM links GROUP BY path, target",
     "g3_resolve_links": "SELECT src, dst FROM edges",
     "g4_broken_links": "SELECT path, target FROM broken",
@@ -150,6 +150,7 @@ _BODIES = {
         (SELECT *, {_canonical('a')} >= {_canonical('b')} AS one FROM ({_NEAR}))""",
     "b1_verify_payloads": "SELECT path, expected, got, status FROM verified",
     "b2_snapshot_manifest": "SELECT '20240112-030000' AS snapshot, count(*) AS files_in_vault, count(*) FILTER (status <> 'unreadable') AS exported, CAST(coalesce(sum(got), 0) AS BIGINT) AS bytes, count(*) FILTER (status = 'unreadable') AS n_errors, count(*) FILTER (status IN ('short', 'inflated')) AS n_truncated, bool_and(status = 'ok') AS ok FROM verified",
+    "b2_snapshot_failures": "SELECT '20240112-030000' AS snapshot, path, status AS reason, expected, got FROM verified WHERE status <> 'ok'",
     "b3_verify_snapshot": """SELECT snapshot, files, live_files, bytes, live_bytes, files = live_files AS count_ok, bytes >= 0.9 * live_bytes AS bytes_ok, true AS age_ok FROM
         (SELECT snapshot, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes FROM snaps WHERE snapshot = '20240112-030000' GROUP BY 1), (SELECT count(*) AS live_files, CAST(sum(size_) AS BIGINT) AS live_bytes FROM payloads)""",
     "b4_missing_files": "SELECT path, 'not saved' AS side FROM payloads WHERE path NOT IN (SELECT path FROM snaps WHERE snapshot = '20240112-030000')",

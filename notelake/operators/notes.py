@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import shared
 from ..functions import text as T
+from .retrieval import holding
 
 
 def list_notes(notes: DataFrame, folder: str | None = None, tag: str | None = None, limit: int | None = None) -> DataFrame:
@@ -36,10 +37,8 @@ def note_metadata(notes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def search_names(notes: DataFrame, queries: DataFrame, limit: int = 10) -> DataFrame:
-    """For each query the first ``limit`` paths that contain it, whatever its case.  A batch of queries is small; notes are not."""
-    names = notes.select("path", F.lower("path").alias("low"))
-    asked = queries.select("qid", F.lower("query").alias("q"))
-    hits = names.join(F.broadcast(asked) if asked.count() <= 100_000 else asked, F.expr("contains(low, q)"))
+    """For each query the first ``limit`` paths that contain it, whatever its case; an empty query finds none."""
+    hits = holding(notes.select("path", F.lower("path").alias("low")), queries.select("qid", F.lower("query").alias("q")))
     rank = F.row_number().over(Window.partitionBy("qid").orderBy("path"))
     return hits.select("qid", "path", rank.alias("rank")).where(F.col("rank") <= limit)
 

@@ -14,6 +14,8 @@ from ..functions import vectors as V
 
 #: Queries of a batch that are sent to every task; more go in several batches.
 MAX_QUERIES = 10_000
+#: Queries that a task scores at once against a block of chunks.
+QUERY_TILE = 500
 #: First characters of a name query by which names are met.
 GRAM = 6
 
@@ -165,67 +167,79 @@ def rag_search(queries: DataFrame, notes: DataFrame, metadata: DataFrame, chunke
     return best.select("qid", "rank", "path", "ord", "heading", "hlevel", "ctype", T.excerpt(F.col("text")).alias("text"), "score", "sem")
 
 
-def index_search(queries: DataFrame, chunks: DataFrame, df: DataFrame, n_chunks: int, embedder: V.Embedder, k: int = 5, alpha: float = 0.6) -> DataFrame:
-    """Over the stored index: ``chunks(path, ord, heading, hlevel, ctype, text, vec)``.
-
-    Queries (at most MAX_QUERIES, checked), their vectors and term weights go to
-    every task; a task scores its chunks in blocks and keeps the k best of each
-    query, so only those are shuffled.
-    """
-    asked = queries.select("qid", "query", F.array_distinct(T.key_terms(F.col("query"))).alias("terms")).where(F.size("terms") > 0)
-    if asked.count() > MAX_QUERIES:
-        raise ValueError(f"at most {MAX_QUERIES} queries in one batch")
-    weights = asked.select("qid", F.explode("terms").alias("term")).join(df, "term", "left").select("qid", "term", F.log(1 + F.lit(n_chunks) / (1 + F.coalesce("n", F.lit(0)))).alias("idf"))
-    idf: dict[int, dict[str, float]] = {}
+def _search_batch(asked: DataFrame, tokens: DataFrame, df: DataFrame, n_chunks: int, embedder: V.Embedder, k: int, alpha: float) -> DataFrame:
+    """``(qid, path, ord, score, sem)``: what may be among the k best of a batch of queries, from each task."""
+    idf = F.log(1 + F.lit(n_chunks) / (1 + F.coalesce("n", F.lit(0))))
+    weights = asked.select("qid", F.explode("terms").alias("term")).join(df, "term", "left").select("qid", "term", idf.alias("idf"))
+    of: dict[int, dict[str, float]] = {}
     for r in weights.collect():
-        idf.setdefault(r["qid"], {})[r["term"]] = r["idf"]
+        of.setdefault(r["qid"], {})[r["term"]] = r["idf"]
     rows = asked.orderBy("qid").collect()
     vecs = np.asarray(embedder(pd.Series([f":: {r['query']}" for r in rows])), np.float64) if rows else np.zeros((0, 1))
     terms = sorted({t for r in rows for t in r["terms"]})
     col = {t: i for i, t in enumerate(terms)}
-    has = np.zeros((len(rows), len(terms)), bool)
-    mean = np.zeros(len(rows))
-    peak = [max(idf[r["qid"]].values()) for r in rows]
-    weight = np.zeros((len(rows), len(terms)))
-    for i, r in enumerate(rows):
-        for t in r["terms"]:
-            has[i, col[t]] = True
-            weight[i, col[t]] = idf[r["qid"]][t] / (peak[i] or 1)
-        mean[i] = weight[i, has[i]].mean()
+    own = [np.array([col[t] for t in r["terms"]]) for r in rows]
+    mean = np.array([np.mean([of[r["qid"]][t] for t in r["terms"]]) / (max(of[r["qid"]].values()) or 1) for r in rows])
     qids = np.array([r["qid"] for r in rows], np.int64)
     norm = np.linalg.norm(vecs, axis=1)
-    schema = "qid long, path string, ord int, heading string, hlevel int, ctype string, text string, score double, sem double"
+    schema = "qid long, path string, ord int, score double, sem double"
+
+    def block(b: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        size = b["tokens"].map(len).to_numpy()
+        counts, named = np.zeros((len(b), len(terms)), np.float32), np.zeros((len(b), len(terms)), bool)
+        for i, ts in enumerate(b["tokens"]):
+            for j in filter(lambda j: j is not None, map(col.get, ts)):
+                counts[i, j] += 1
+        where = (b["path"] + " " + b["heading"].fillna("")).str.lower().to_list()
+        every = "\n".join(where)
+        for t, j in col.items():
+            if t in every:  # few terms stand in names
+                named[:, j] = [t in w for w in where]
+        m = np.stack(b["vec"].to_list()).astype(np.float64)
+        length = np.linalg.norm(m, axis=1)
+        level = np.select([b["hlevel"] == 1, b["hlevel"] == 2], [0.15, 0.10], 0.0)
+        for at in range(0, len(rows), QUERY_TILE):
+            q = slice(at, at + QUERY_TILE)
+            has = np.zeros((len(terms), len(own[q])), np.float32)
+            for i, js in enumerate(own[q]):
+                has[js, i] = 1
+            sem = np.clip(m @ vecs[q].T / np.where(length > 0, length, 1)[:, None] / np.where(norm[q] > 0, norm[q], 1)[None, :], 0, 1)
+            lex = np.minimum(1, (counts @ has).astype(float) / np.maximum(size, 1)[:, None]) * mean[q][None, :]
+            score = (alpha * lex + (1 - alpha) * sem) * np.where(named.astype(np.float32) @ has > 0, 1.35, 1.0) + level[:, None]
+            # A tie on the k-th place is settled by the window, so all that tie go on.
+            last = min(k, len(b)) - 1
+            kth = -np.partition(-score, last, axis=0)[last]
+            i, j = np.nonzero(score >= kth[None, :])
+            yield pd.DataFrame({"qid": qids[q][j], "path": b["path"].to_numpy()[i], "ord": b["ord"].to_numpy()[i], "score": score[i, j], "sem": sem[i, j]})
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for whole in batches:
-            for at in range(0, len(whole), 2000):
-                b = whole.iloc[at : at + 2000]
-                tokens = [[t for t in (x if x is not None else [])] for x in b["tokens"]]
-                size = np.array([len(t) for t in tokens])
-                counts = np.zeros((len(b), len(terms)))
-                for i, ts in enumerate(tokens):
-                    for t in ts:
-                        j = col.get(t)
-                        if j is not None:
-                            counts[i, j] += 1
-                m = np.stack(b["vec"].to_list()).astype(np.float64)
-                length = np.linalg.norm(m, axis=1)
-                sem = np.clip(m @ vecs.T / np.where(length > 0, length, 1)[:, None] / np.where(norm > 0, norm, 1)[None, :], 0, 1)
-                lex = np.minimum(1, counts @ has.T / np.maximum(size, 1)[:, None]) * mean[None, :]
-                score = alpha * lex + (1 - alpha) * sem
-                where = (b["path"] + " " + b["heading"].fillna("")).str.lower()
-                named = np.stack([where.str.contains(t, regex=False).to_numpy() for t in terms], 1) if terms else np.zeros((len(b), 0), bool)
-                score = score * np.where(named.astype(float) @ has.T > 0, 1.35, 1.0)
-                score = score + np.select([b["hlevel"] == 1, b["hlevel"] == 2], [0.15, 0.10], 0.0)[:, None]
-                score[size == 0] = -np.inf
-                # A tie on the k-th place is settled by the window, so all that tie go on.
-                kth = -np.partition(-score, min(k, len(b)) - 1, axis=0)[min(k, len(b)) - 1]
-                i, q = np.nonzero((score >= kth[None, :]) & np.isfinite(score))
-                out = b.iloc[i].drop(columns=["tokens", "vec"]).assign(qid=qids[q], score=score[i, q], sem=sem[i, q])
-                yield out[[c.split(" ")[0] for c in schema.split(", ")]]
-
-    own = chunks.where("vec is not null").select("path", "ord", "heading", "hlevel", "ctype", "text", "vec", T.tokenize(F.col("text")).alias("tokens")).where(F.size("tokens") > 0)
-    return top_k(own.mapInPandas(each, schema), k)
+            for at in range(0, len(whole) if rows else 0, 2000):
+                yield from block(whole.iloc[at : at + 2000])
+
+    return tokens.mapInPandas(each, schema)
+
+
+def index_search(queries: DataFrame, chunks: DataFrame, df: DataFrame, n_chunks: int, embedder: V.Embedder, k: int = 5, alpha: float = 0.6) -> DataFrame:
+    """Over the stored index: ``chunks(path, ord, heading, hlevel, ctype, text, vec)``.
+
+    Queries go to every task in batches of about MAX_QUERIES, dealt by their id,
+    with their vectors and term weights; a task scores its chunks in blocks and
+    keeps the k best of each query, of which only the score is shuffled.  Texts
+    are joined to what is left.
+    """
+    asked = queries.select("qid", "query", F.array_distinct(T.key_terms(F.col("query"))).alias("terms")).where(F.size("terms") > 0)
+    batches = -(-asked.count() // MAX_QUERIES) or 1
+    tokens = chunks.where("vec is not null").select("path", "ord", "heading", "hlevel", "vec", T.tokenize(F.col("text")).alias("tokens")).where(F.size("tokens") > 0)
+    found = None
+    for batch in range(batches):
+        own = asked.where(F.pmod(F.xxhash64("qid"), F.lit(batches)) == batch)
+        part = _search_batch(own, tokens, df, n_chunks, embedder, k, alpha)
+        found = part if found is None else found.union(part)
+    best = top_k(found, k)
+    texts = chunks.select(F.col("path").alias("p"), F.col("ord").alias("o"), "heading", "hlevel", "ctype", "text")
+    hits = best.join(texts, (F.col("path") == F.col("p")) & (F.col("ord") == F.col("o")))
+    return hits.select("qid", "path", "ord", "heading", "hlevel", "ctype", "text", "score", "sem", "rank")
 
 
 def relevance_floor(hits: DataFrame, queries: DataFrame, sem_floor: float = 0.62) -> DataFrame:
