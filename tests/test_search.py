@@ -148,8 +148,8 @@ def test_pairs_by_blocks_and_by_hashing(spark, monkeypatch):
 def test_best_pairs_are_enough_for_proposals(spark, monkeypatch):
     m, df = _vectors(spark)
     rng = random.Random(3)
-    names = spark.createDataFrame([(f"n{rng.randrange(400):03d}.md", f"n{rng.randrange(400):03d}") for _ in range(3000)], "src string, key string").distinct()
-    monkeypatch.setattr(similarity, "BLOCK", 60)
+    names = spark.createDataFrame([(f"n{rng.randrange(400):03d}.md", f"n{rng.randrange(400):03d}") for _ in range(300)], "src string, key string").distinct()
+    monkeypatch.setattr(similarity, "BLOCK", 200)
     every = similarity.propose_links(similarity.similar_pairs(df, 0.6), names, 2).collect()
     few = similarity.nearest_pairs(df, names, 0.6, 2)
     plain = lambda rows: sorted((r.src, r.dst, round(r.score, 9)) for r in rows)
