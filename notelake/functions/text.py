@@ -120,6 +120,16 @@ def decode_payload(path: Column, content: Column) -> Column:
     return F.when(is_binary(path), joined).otherwise(content.cast("binary"))
 
 
+def front_matter(text: Column) -> Column:
+    """The front matter's top-level keys with their values as they stand (nested lines too); the first of a repeated key; empty without any."""
+    front = F.regexp_extract(F.coalesce(text, F.lit("")), r"(?s)\A---\n(.*?)\n---", 1)
+    entries = F.transform(F.regexp_extract_all(front, F.lit(r"(?m)^([^\s:#-][^:\n]*:(?:[ \t][^\n]*|(?=\n|\z))(?:\n(?:[ \t]|-)[^\n]*)*)"), F.lit(1)), lambda e: F.struct(
+        F.trim(F.regexp_extract(e, r"\A([^:]*):", 1)).alias("key"), strip(F.regexp_extract(e, r"(?s)\A[^:]*:(.*)\z", 1)).alias("value"),
+    ))
+    keys = F.transform(entries, lambda e: e["key"])
+    return F.map_from_entries(F.filter(entries, lambda e, i: F.array_position(keys, e["key"]) == i + 1))
+
+
 def tags(text: Column) -> Column:
     """Distinct tags, sorted: front matter ``tags:`` (inline list or items) and ``#tag`` outside fences."""
     front = F.regexp_extract(text, r"(?s)\A---\n(.*?)\n---", 1)

@@ -52,7 +52,7 @@ def n3_list_tags(spark, d):
 
 def n4_note_metadata(spark, d):
     n = views.vault_notes(spark, d)
-    return notes.note_metadata(n, graph.resolve_links(n))
+    return notes.note_metadata(n, graph.resolve_links(n)).drop("front")  # no note of the view has any
 
 
 def n5_search_names(spark, d):

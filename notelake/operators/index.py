@@ -26,37 +26,52 @@ def stale_notes(notes: DataFrame, index_notes: DataFrame) -> DataFrame:
     return index_notes.select("path").join(notes.select("path"), "path", "left_anti")
 
 
-def embed_with_cache(df: DataFrame, text: str, cache: DataFrame, embedder: V.Embedder | None) -> tuple[DataFrame, DataFrame]:
-    """``df`` with ``vec`` and the cache with what was missing: each distinct text is embedded once; null vectors without a model."""
+def embed_missing(df: DataFrame, text: str, cache: DataFrame, embedder: V.Embedder | None, checkpoint=lambda df: df) -> tuple[DataFrame, DataFrame]:
+    """``df`` with ``vec``, and ``(h, vec)`` of the distinct texts that the cache lacked; null vectors without a model."""
     keyed = df.withColumn("__h", T.content_hash(F.col(text)))
     if embedder is None:
-        return keyed.drop("__h").withColumn("vec", F.lit(None).cast("array<float>")), cache
-    missing = keyed.select(F.col("__h").alias("h"), F.col(text).alias("t")).dropDuplicates(["h"]).join(cache, "h", "left_anti")
-    cache = cache.union(V.embed(missing, embedder, "h", "t"))
-    return keyed.join(cache.withColumnRenamed("h", "__k"), F.col("__h") == F.col("__k"), "left").drop("__h", "__k"), cache
+        return keyed.drop("__h").withColumn("vec", F.lit(None).cast("array<float>")), cache.limit(0)
+    wanted = keyed.select(F.col("__h").alias("h"), F.col(text).alias("t")).dropDuplicates(["h"])
+    fresh = checkpoint(V.embed(wanted.join(cache, "h", "left_anti"), embedder, "h", "t"))
+    # Of a cache that is larger than what is wanted, only the vectors in use go on.
+    used = cache.join(wanted.select("h"), "h", "left_semi").union(fresh)
+    return keyed.join(used.withColumnRenamed("h", "__k"), F.col("__h") == F.col("__k"), "left").drop("__h", "__k"), fresh
 
 
-def build_index(notes: DataFrame, previous: dict[str, DataFrame], chunker: Callable[[DataFrame], DataFrame], embedder: V.Embedder | None, now: Column, checkpoint, force: bool = False) -> dict[str, DataFrame]:
-    """The index after ``notes(path, text, mtime, size)``: tables notes, chunks, df, emb.
+def embed_with_cache(df: DataFrame, text: str, cache: DataFrame, embedder: V.Embedder | None) -> tuple[DataFrame, DataFrame]:
+    """``df`` with ``vec`` and the cache with what was missing: each distinct text is embedded once; null vectors without a model."""
+    out, fresh = embed_missing(df, text, cache, embedder)
+    return out, cache.union(fresh)
+
+
+def index_changes(notes: DataFrame, previous: dict[str, DataFrame], chunker: Callable[[DataFrame], DataFrame], embedder: V.Embedder | None, now: Column, checkpoint, force: bool = False) -> dict[str, DataFrame]:
+    """What ``notes(path, text, mtime, size)`` change in an index: ``gone`` paths, then new rows of notes, chunks and emb.
 
     Chunks of new and changed notes are made, those of changed and vanished
-    ones dropped; failed notes keep theirs.
+    ones gone; failed notes keep theirs.
     """
     diff = checkpoint(diff_notes(notes, previous["notes"], force))
     redo = diff.where("status in ('new', 'changed')").select("path", "hash")
-    drop = redo.select("path").union(stale_notes(notes, previous["notes"]))
+    gone = redo.select("path").union(stale_notes(notes, previous["notes"]))
     work = notes.join(redo, "path")
-    chunks = chunker(work)
-    vectors, emb = embed_with_cache(chunks.withColumn("__t", T.embed_text(F.col("path"), F.col("heading"), F.col("text"))), "__t", previous["emb"], embedder)
+    chunks = checkpoint(chunker(work))
+    texts = chunks.withColumn("__t", T.embed_text(F.col("path"), F.col("heading"), F.col("text")))
+    vectors, fresh = embed_missing(texts, "__t", previous["emb"], embedder, checkpoint)
     vectors = checkpoint(vectors.drop("__t").select("path", "ord", "heading", "hlevel", "ctype", "text", "vec"))
-    kept = previous["chunks"].join(drop, "path", "left_anti")
-    chunks = kept.unionByName(vectors)
     n = vectors.groupBy("path").agg(F.count("*").cast("int").alias("n_chunks"))
     rows = work.join(n, "path", "left").select(
         "path", F.unix_timestamp("mtime").cast("double").alias("mtime"), F.col("size").cast("long").alias("size"), "hash",
         F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"), now.alias("indexed_at"),
     )
-    return {"notes": previous["notes"].join(drop, "path", "left_anti").unionByName(rows), "chunks": chunks, "df": doc_freq(chunks), "emb": emb}
+    return {"gone": gone, "notes": rows, "chunks": vectors, "emb": fresh}
+
+
+def build_index(notes: DataFrame, previous: dict[str, DataFrame], chunker: Callable[[DataFrame], DataFrame], embedder: V.Embedder | None, now: Column, checkpoint, force: bool = False) -> dict[str, DataFrame]:
+    """The index after ``notes(path, text, mtime, size)``, which are all there are: tables notes, chunks, df, emb."""
+    new = index_changes(notes, previous, chunker, embedder, now, checkpoint, force)
+    kept = {t: previous[t].join(new["gone"], "path", "left_anti") for t in ("notes", "chunks")}
+    chunks = kept["chunks"].unionByName(new["chunks"])
+    return {"notes": kept["notes"].unionByName(new["notes"]), "chunks": chunks, "df": doc_freq(chunks), "emb": previous["emb"].union(new["emb"])}
 
 
 def build_line(diff: DataFrame) -> DataFrame:

@@ -30,9 +30,9 @@ def list_tags(notes: DataFrame) -> DataFrame:
 
 
 def note_metadata(notes: DataFrame, edges: DataFrame) -> DataFrame:
-    """path, size, mtime (19 characters), tags, backlinks (links from other notes, 0 where none)."""
+    """path, size, mtime (19 characters), front (a map of the front matter), tags, backlinks (links from other notes, 0 where none)."""
     incoming = edges.groupBy("dst").agg(F.count("*").alias("backlinks"))
-    own = notes.select("path", F.length("text").cast("long").alias("size"), F.date_format("mtime", "yyyy-MM-dd'T'HH:mm:ss").alias("mtime"), F.array_join(T.tags(F.col("text")), ",").alias("tags"))
+    own = notes.select("path", F.length("text").cast("long").alias("size"), F.date_format("mtime", "yyyy-MM-dd'T'HH:mm:ss").alias("mtime"), T.front_matter(F.col("text")).alias("front"), F.array_join(T.tags(F.col("text")), ",").alias("tags"))
     return own.join(incoming, own.path == incoming.dst, "left").drop("dst").fillna(0, ["backlinks"])
 
 

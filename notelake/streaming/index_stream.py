@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import schema
 from ..functions import vectors as V
-from ..operators.index import build_index
+from ..operators.index import index_changes
 from ..operators.retrieval import doc_freq
+from ..shared import remove
 from ..sources.notes import read_index
 
+#: Batches after which the index is written whole again.
+FOLD = 64
 EVENTS = "seq bigint, path string, text string, mtime timestamp, deleted boolean"
 
 
@@ -21,30 +25,84 @@ def latest(events: DataFrame) -> DataFrame:
     return events.withColumn("__r", last).where("__r = 1").drop("__r")
 
 
-def refresh(events: DataFrame, previous: dict[str, DataFrame], chunker, embedder: V.Embedder | None, now, checkpoint) -> dict[str, DataFrame]:
-    """The index after a batch of events: deleted notes vanish, written ones are chunked anew where their content differs."""
-    events = latest(events)
-    gone = events.where("deleted").select("path")
-    kept = {**previous, "notes": previous["notes"].join(gone, "path", "left_anti"), "chunks": previous["chunks"].join(gone, "path", "left_anti")}
+def changes(events: DataFrame, previous: dict[str, DataFrame], chunker, embedder: V.Embedder | None, now, checkpoint) -> dict[str, DataFrame]:
+    """What a batch of events changes: ``gone`` paths, new rows of notes, chunks and emb, and ``df`` as signed numbers.
+
+    Deleted notes vanish, written ones are chunked anew where their content
+    differs.  Only notes with an event are held against the index.
+    """
+    events = checkpoint(latest(events))
     written = events.where("not coalesce(deleted, false)").select("path", "text", "mtime", F.length("text").cast("long").alias("size"))
-    # Notes without an event stay: only those with one are held against the index.
-    touched = {**kept, "notes": kept["notes"].join(written.select("path"), "path", "left_semi"), "chunks": kept["chunks"].join(written.select("path"), "path", "left_semi")}
-    new = build_index(written, touched, chunker, embedder, now, checkpoint)
-    rest = {t: kept[t].join(written.select("path"), "path", "left_anti") for t in ("notes", "chunks")}
-    chunks = rest["chunks"].unionByName(new["chunks"])
-    return {"notes": rest["notes"].unionByName(new["notes"]), "chunks": chunks, "df": doc_freq(chunks), "emb": new["emb"]}
+    touched = {t: checkpoint(previous[t].join(events.select("path"), "path", "left_semi")) for t in ("notes", "chunks")}
+    known = touched["notes"].join(written.select("path"), "path", "left_semi")
+    new = index_changes(written, {"notes": known, "emb": previous["emb"]}, chunker, embedder, now, checkpoint)
+    gone = checkpoint(new["gone"].union(events.where("deleted").select("path")))
+    lost = doc_freq(touched["chunks"].join(gone, "path", "left_semi")).withColumn("n", -F.col("n"))
+    return {**new, "gone": gone, "df": summed(doc_freq(new["chunks"]).union(lost))}
+
+
+def summed(df: DataFrame) -> DataFrame:
+    """Signed term counts added up; terms that no chunk has any more go."""
+    return df.groupBy("term").agg(F.sum("n").alias("n")).where("n <> 0")
+
+
+def refresh(events: DataFrame, previous: dict[str, DataFrame], chunker, embedder: V.Embedder | None, now, checkpoint) -> dict[str, DataFrame]:
+    """The whole index after a batch of events."""
+    new = changes(events, previous, chunker, embedder, now, checkpoint)
+    rows = {t: previous[t].join(new["gone"], "path", "left_anti").unionByName(new[t]) for t in ("notes", "chunks")}
+    return {**rows, "df": summed(previous["df"].union(new["df"])), "emb": previous["emb"].union(new["emb"])}
+
+
+def _whole(folder: str, batch: int) -> str:
+    return f"{folder}/{batch}" if batch < 0 else f"{folder}/{batch}-whole"
+
+
+def current_index(spark: SparkSession, folder: str, batch: int, fold: int = FOLD) -> dict[str, DataFrame]:
+    """The index after ``batch``: the last one written whole, with the changes of the batches since."""
+    return _merged(spark, folder, (batch + 1) // fold * fold - 1, batch)
+
+
+def _merged(spark: SparkSession, folder: str, base: int, batch: int) -> dict[str, DataFrame]:
+    index = read_index(spark, _whole(folder, base))
+    since = range(base + 1, batch + 1)
+    if not since:
+        return index
+
+    def log(table: str, kind: str) -> DataFrame:
+        rows = spark.read.schema(kind).parquet(*[f"{folder}/{b}/{table}" for b in since])
+        return rows.withColumn("__b", F.regexp_extract("_metadata.file_path", rf"/(\d+)/{table}/[^/]+$", 1).cast("int"))
+
+    # A row holds until a later batch says that its path is gone.
+    gone = log("gone", "path string").groupBy(F.col("path").alias("p")).agg(F.max("__b").alias("last"))
+    out = {}
+    for table, kind in (("notes", schema.INDEX_NOTES), ("chunks", schema.CHUNKS)):
+        rows = index[table].withColumn("__b", F.lit(base)).unionByName(log(table, kind))
+        out[table] = rows.join(gone, (F.col("path") == F.col("p")) & (F.col("last") > F.col("__b")), "left_anti").drop("__b")
+    out["df"] = summed(index["df"].union(log("df", schema.DOC_FREQ).drop("__b")))
+    out["emb"] = index["emb"].union(log("emb", schema.EMBEDDINGS).drop("__b"))
+    return out
 
 
-def stream_index(events: DataFrame, folder: str, write: Callable[[dict[str, DataFrame], str], None], chunker, embedder: V.Embedder | None, now, checkpoint, checkpoint_location: str):
+def stream_index(events: DataFrame, folder: str, write: Callable[[dict[str, DataFrame], str], None], chunker, embedder: V.Embedder | None, now, checkpoint, checkpoint_location: str, fold: int = FOLD, trigger: dict | None = None):
     """A query that applies each micro-batch of ``events`` (see EVENTS) to the index below ``folder``.
 
-    A batch reads the index of the batch before and writes its own folder, so a
-    repeated batch gives the same index; the state is the index itself.
+    The index before the first batch lies in the folder ``-1``.  A batch writes
+    what it changes to its own folder, from the index of the batch before, so a
+    repeated batch gives the same; ``current_index`` puts them together.  Every
+    ``fold`` batches the index is written whole, and the folders that it and the
+    whole one before make needless are removed.  ``trigger`` takes the arguments
+    of the writer's trigger, all that is there and then the end by default.
     """
     spark = events.sparkSession
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        previous = read_index(spark, f"{folder}/{batch_id - 1}")
-        write(refresh(batch, previous, chunker, embedder, now, checkpoint), f"{folder}/{batch_id}")
+        previous = current_index(spark, folder, batch_id - 1, fold)
+        write(changes(batch, previous, chunker, embedder, now, checkpoint), f"{folder}/{batch_id}")
+        if (batch_id + 1) % fold == 0:
+            write(_merged(spark, folder, batch_id - fold, batch_id), _whole(folder, batch_id))
+            for b in range(max(0, batch_id - 2 * fold + 1), batch_id - fold + 1):
+                remove(spark, f"{folder}/{b}")
+            if batch_id >= 2 * fold:  # the folder -1 isn't the stream's
+                remove(spark, _whole(folder, batch_id - 2 * fold))
 
-    return events.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint_location).trigger(availableNow=True).start()
+    return events.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint_location).trigger(**(trigger or {"availableNow": True})).start()

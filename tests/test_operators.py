@@ -11,7 +11,7 @@ from notelake.functions import vectors as V
 from notelake.jobs.queries import checkpoint
 from notelake.operators import graph, index, notes, retrieval, scan, similarity, snapshots
 from notelake.sources.notes import live_docs, read_notes_dir, read_raw_docs, write_manifest, write_snapshot
-from notelake.streaming.index_stream import EVENTS, refresh, stream_index
+from notelake.streaming.index_stream import EVENTS, current_index, refresh, stream_index
 
 NOW = dt.datetime(2024, 1, 13, tzinfo=dt.UTC)
 
@@ -35,6 +35,15 @@ def test_text(spark):
     assert value(spark, T.tags(F.col("x")), x="---\ntags:\n- a\n- b c\n---\n") == ["a", "b c"]
 
 
+def test_front_matter(spark):
+    front = lambda x: value(spark, T.front_matter(F.col("x")), x=x)
+    assert front("---\ntitle: A: b\nempty:\ntags:\n- a\n  - b\n# no: key\ntitle: again\nurl:x\n---\nbody: no") == {"title": "A: b", "empty": "", "tags": "- a\n  - b"}
+    assert front("text\n---\na: b\n---\n") == front("") == front("---\na: b") == {}
+    v = vault(spark, a="---\nk: v\n---\n[[b]]", b=None).withColumn("mtime", F.lit(NOW))
+    meta = {r.path: r for r in notes.note_metadata(v, graph.resolve_links(v)).collect()}
+    assert meta["a.md"].front == {"k": "v"} and meta["b.md"].front == {} and meta["b.md"].backlinks == 1
+
+
 def test_blocked_base64(spark):
     blocks = "".join(base64.b64encode(b).decode() for b in (b"abcd", b"hello!!", b"zz"))
     assert bytes(value(spark, T.decode_payload(F.lit("x.PDF"), F.col("c")), c=blocks[:5] + "\n" + blocks[5:])) == b"abcdhello!!zz"
@@ -180,6 +189,34 @@ def test_stream_is_batch(spark, tmp_path):
     assert _rows(got, "path", "ord", "text") == _rows(want["chunks"], "path", "ord", "text") == [("a.md", 0, events[3][2])]
 
 
+def test_stream_writes_changes_only(spark, tmp_path):
+    from notelake.sources.notes import write_index
+
+    start = {"a.md": "alpha beta gamma delta words", "b.md": "gamma delta words of some length", "c.md": "this one stays as it is, always"}
+    day = dt.datetime(2024, 1, 2)
+    batches = [
+        [(1, "a.md", "alpha beta gamma epsilon words", day, False)],
+        [(2, "a.md", None, None, True), (3, "d.md", "delta is a new note of words", day, False)],
+        [(4, "a.md", start["a.md"], day, False), (5, "d.md", "Note not found: d", day, False)],
+        [(6, "b.md", start["b.md"], day, False), (7, "x.md", None, None, True), (8, "d.md", "delta is another note now", day, False)],
+        [(9, "b.md", None, None, True)],
+    ]
+    write_index(_build(spark, start, _index(spark)), str(tmp_path / "index" / "-1"))
+    (tmp_path / "events").mkdir()
+    folder, events = str(tmp_path / "index"), spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "events"))
+    want = {"a.md": start["a.md"], "c.md": start["c.md"], "d.md": "delta is another note now"}
+    for batch in batches:
+        spark.createDataFrame(batch, EVENTS).coalesce(1).write.mode("append").parquet(str(tmp_path / "events"))
+        stream_index(events, folder, write_index, chunking.chunk_notes_index, V.hashing_embedder, F.lit(NOW), checkpoint, str(tmp_path / "cp"), fold=2).awaitTermination()
+    full, got = _build(spark, want, _index(spark)), current_index(spark, folder, 4, 2)
+    for table, names in (("chunks", ("path", "ord", "text", "vec")), ("df", ("term", "n")), ("notes", ("path", "hash", "n_chunks"))):
+        assert _rows(got[table], *names) == _rows(full[table], *names)
+    assert got["emb"].count() == got["emb"].dropDuplicates(["h"]).count() == 6
+    # What is unchanged isn't written again; what is needless is gone.
+    assert [r.path for r in spark.read.schema(schema.CHUNKS).parquet(f"{folder}/3/chunks").collect()] == ["d.md"]
+    assert sorted(p.name for p in (tmp_path / "index").iterdir()) == ["-1", "1-whole", "2", "3", "3-whole", "4"]
+
+
 def test_search(spark):
     texts = {"docker.md": "# Docker\ncontainers on the host run here with volumes", "other.md": "# Other\nnothing of that kind, only 99315 in words", "third.md": "text about gardens and flowers of all sorts"}
     built = _build(spark, texts, _index(spark))
