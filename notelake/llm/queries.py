@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shared import shared_folder
-from . import chat, editprint, embed_dedup, licenses, mixing, packing, simhash, sql, tokens, toxicity, warc
+from . import chat, editprint, embed_dedup, kdmeans, licenses, merkle, mixing, packing, pii, simhash, sql, tokens, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,11 +61,25 @@ def op10_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return merkle.manifest(docs, merkle.with_changed_case(docs))
+
+
+def op12_kdtree_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kdmeans.kmeans(_table(spark, sf_dir, "embeddings"))[0]
+
+
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_simhash_near_dedup, op2_warc_capture_index, op3_chat_format, op4_best_fit_packing, op5_token_counts,
         op6_mix_sources, op7_license_scan, op8_embedding_near_dedup, op9_edit_fingerprints, op10_toxicity_chain,
+        op11_merkle_manifest, op12_kdtree_clusters, op13_personal_data,
     )
 }
 ORACLE_SQL = {
@@ -74,4 +88,7 @@ ORACLE_SQL = {
     "op6_mix_sources": sql.OP6,
     "op7_license_scan": sql.OP7,
     "op8_embedding_near_dedup": sql.OP8,
+    "op11_merkle_manifest": sql.OP11,
+    "op12_kdtree_clusters": sql.OP12,
+    "op13_personal_data": sql.OP13,
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import licenses, mixing
+from . import licenses, mixing, pii
 from .warc import REVISIT_BYTES
 
 OP2 = f"""
@@ -99,3 +99,108 @@ SELECT vec_id, CAST((SELECT count(*) FROM p WHERE x = vec_id) AS BIGINT) AS n_li
   (SELECT min(y) FROM c WHERE x = vec_id) AS component_id, (SELECT min(y) FROM c WHERE x = vec_id) = vec_id AS kept
 FROM embeddings
 """
+
+# SQL has no CRC-32: bytes are taken in one by one, each followed by eight shifts (-1).
+_CRC32 = """xor(list_reduce(list_concat([4294967295], flatten(list_transform(string_split({0}, ''), lambda c: [CAST(ascii(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda acc, x: CASE WHEN x >= 0 THEN xor(acc, x) WHEN acc % 2 = 1 THEN xor(acc // 2, 3988292384) ELSE acc // 2 END), 4294967295)"""
+_OP11_LEAF = "sha256(" + " || ".join(f"coalesce(octet_length(encode(CAST({c} AS VARCHAR))) || ':' || {c}, '-')" for c in ("doc_id", "source", "lang", "n_chars", "{text}")) + ")"
+OP11 = f"""
+WITH RECURSIVE l AS (
+  SELECT row_number() OVER () AS id, doc_id, coalesce('1' || source, '0') AS k, {_OP11_LEAF.format(text="text")} AS leaf,
+    CASE WHEN {_CRC32.format("CAST(doc_id AS VARCHAR)")} % 5 = 0
+      THEN {_OP11_LEAF.format(text="translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END AS other
+  FROM documents),
+p AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id NULLS FIRST, leaf, id) - 1 AS pos, count(*) OVER (PARTITION BY k) AS n FROM l),
+-- Nodes of each group, level by level; a run's digests are joined in order.
+t AS (
+  SELECT k, 0 AS lvl, pos, leaf AS digest, n FROM p
+  UNION ALL
+  SELECT k, lvl + 1, pos // 16, sha256(string_agg(digest, '' ORDER BY pos)), (any_value(n) + 15) // 16 FROM t WHERE n > 1 GROUP BY k, lvl, pos // 16),
+s AS (SELECT k, digest AS subroot, row_number() OVER (ORDER BY encode(k)) - 1 AS pos, count(*) OVER () AS n FROM t WHERE n = 1),
+u AS (
+  SELECT 0 AS lvl, pos, subroot AS digest, n FROM s
+  UNION ALL
+  SELECT lvl + 1, pos // 16, sha256(string_agg(digest, '' ORDER BY pos)), (any_value(n) + 15) // 16 FROM u WHERE n > 1 GROUP BY lvl, pos // 16),
+-- What stands left and right of each node in its run.
+sides AS (
+  SELECT a.k, a.lvl, a.pos, coalesce(string_agg(b.digest, '' ORDER BY b.pos) FILTER (b.pos < a.pos), '') AS l, coalesce(string_agg(b.digest, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '') AS r
+  FROM t a JOIN t b ON a.k = b.k AND a.lvl = b.lvl AND a.pos // 16 = b.pos // 16 AND a.n > 1 GROUP BY ALL
+  UNION ALL
+  SELECT NULL, a.lvl, a.pos, coalesce(string_agg(b.digest, '' ORDER BY b.pos) FILTER (b.pos < a.pos), ''), coalesce(string_agg(b.digest, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '')
+  FROM u a JOIN u b ON a.lvl = b.lvl AND a.pos // 16 = b.pos // 16 AND a.n > 1 GROUP BY ALL),
+step AS (
+  SELECT id, lvl AS step_no, l, r FROM p JOIN sides ON p.k = sides.k AND sides.pos = p.pos // (16 ** lvl)::BIGINT
+  UNION ALL
+  SELECT id, 100 + lvl, l, r FROM p JOIN s USING (k) JOIN sides ON sides.k IS NULL AND sides.pos = s.pos // (16 ** lvl)::BIGINT),
+path AS (SELECT id, list(l ORDER BY step_no) AS l, list(r ORDER BY step_no) AS r, string_agg(l || r, '' ORDER BY step_no) AS sibs FROM step GROUP BY id),
+f AS (
+  SELECT p.id, 1 AS i, coalesce(other, leaf) AS node, l, r FROM p LEFT JOIN path USING (id)
+  UNION ALL
+  SELECT id, i + 1, sha256(l[i] || node || r[i]), l, r FROM f WHERE i <= len(l)),
+top AS (SELECT digest AS root FROM u WHERE n = 1)
+SELECT doc_id, leaf, subroot, root, sha256(coalesce(sibs, '')) AS proof_sha256, node AS folded_root, node = root AS verified
+FROM p JOIN s USING (k) LEFT JOIN path USING (id) JOIN f USING (id) CROSS JOIN top WHERE i = coalesce(len(f.l), 0) + 1
+"""
+
+
+def _assigned(centroids: str) -> str:
+    """Each vector with its nearest centroid and the squared distance."""
+    far = "CAST(list_sum(list_transform(list_zip(e, m), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT)"
+    return f"SELECT id, c, d FROM (SELECT id, c, {far} AS d FROM v, {centroids}) QUALIFY row_number() OVER (PARTITION BY id ORDER BY d, c) = 1"
+
+
+def _moved(before: str, assigned: str) -> str:
+    """The floor of the mean of each centroid's vectors; an empty one stays."""
+    return f"""SELECT {before}.c, coalesce(new.m, {before}.m) AS m FROM {before} LEFT JOIN (
+    SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS m
+    FROM (SELECT c, i, sum(e[i]) AS s, count(*) AS n FROM {assigned} JOIN v USING (id), range(1, 65) t(i) GROUP BY c, i) GROUP BY c) new USING (c)"""
+
+
+OP12 = f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS id, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+m0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id) NULLS LAST, e) - 1 AS c, e AS m FROM v QUALIFY c < 16),
+a0 AS MATERIALIZED ({_assigned("m0")}), m1 AS MATERIALIZED ({_moved("m0", "a0")}),
+a1 AS MATERIALIZED ({_assigned("m1")}), m2 AS MATERIALIZED ({_moved("m1", "a1")}),
+a2 AS MATERIALIZED ({_assigned("m2")}), m3 AS MATERIALIZED ({_moved("m2", "a2")}),
+a3 AS MATERIALIZED ({_assigned("m3")})
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(m, ',')) AS centroid_sha256
+FROM a3 JOIN v USING (id) JOIN m3 USING (c)
+"""
+
+
+_LUHN = """list_sum(list_transform(range(1, length(d) + 1), lambda i:
+    CASE WHEN (length(d) - i) % 2 = 0 THEN CAST(d[i] AS INTEGER) ELSE (2 * CAST(d[i] AS INTEGER)) // 10 + (2 * CAST(d[i] AS INTEGER)) % 10 END)) % 10 = 0"""
+_MOD97 = """list_reduce(list_concat([0::BIGINT], list_transform(string_split(substr(replace(s, ' ', ''), 5) || substr(replace(s, ' ', ''), 1, 4), ''), lambda c:
+    CAST(CASE WHEN c BETWEEN '0' AND '9' THEN ascii(c) - 48 ELSE ascii(c) - 55 END AS BIGINT))),
+    lambda acc, x: (acc * CASE WHEN x < 10 THEN 10 ELSE 100 END + x) % 97) = 1"""
+#: What holds of a valid span ``s``, with its digits ``d``.
+_VALID = {
+    "ip": "list_max(list_transform(string_split(s, '.'), lambda p: coalesce(try_cast(p AS HUGEINT), 256))) <= 255",
+    "card": f"length(d) BETWEEN 13 AND 19 AND {_LUHN}",
+    "phone": "length(d) BETWEEN 9 AND 15",
+    "iban": _MOD97,
+    "ssn": "substr(s, 1, 3) NOT IN ('000', '666') AND s[1] <> '9' AND substr(s, 5, 2) <> '00' AND substr(s, 8) <> '0000'",
+}
+
+
+def _found(rank: int, kind: str) -> str:
+    """A row a valid span: a text is cut at the pattern's matches, so lengths of what is between and of the matches give the places."""
+    pattern, group = pii.PATTERNS[kind].replace("'", "''"), 2 if kind in pii.CUES else 0
+    return f"""SELECT id, {rank} AS rank, '{kind}' AS kind, upto - length(s) AS a, upto AS b FROM (
+    SELECT id, s, regexp_replace(s, '[^0-9]', '', 'g') AS d, CAST(list_sum(list_transform(gap[1:i], lambda x: length(x))) + list_sum(list_transform(hit[1:i], lambda x: length(x))) AS BIGINT) AS upto
+    FROM (SELECT id, gap, hit, unnest(own) AS s, unnest(range(1, len(own) + 1)) AS i FROM (
+      SELECT id, string_split_regex(text, '{pattern}') AS gap, regexp_extract_all(text, '{pattern}') AS hit, regexp_extract_all(text, '{pattern}', {group}) AS own FROM t)))
+  WHERE {_VALID.get(kind, "true")}"""
+
+
+_LISTED = "coalesce(string_agg(kind || ':' || a || ':' || b, ',' ORDER BY rank, a){0}, '')"
+OP13 = f"""
+WITH t AS MATERIALIZED (SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS text FROM documents),
+s AS ({" UNION ALL ".join(_found(k, kind) for k, kind in enumerate((*pii.BASE, *pii.MORE)))})
+SELECT doc_id, {", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in pii.BASE)},
+  sha256({_LISTED.format(f" FILTER (rank < {len(pii.BASE)})")}) AS base_sha256, {_LISTED.format("")} AS spans
+FROM t LEFT JOIN s USING (id) GROUP BY id, doc_id
+"""
