@@ -179,13 +179,15 @@ def similar_groups(prints: DataFrame, threshold: float = 0.8) -> DataFrame:
     and all candidates of a band are verified, in tiles of a bounded size.
     ``n_near`` counts the verified candidates, other prints than its own;
     ``component_id`` is the smallest doc_id reachable.  Rows with equal prints
-    are one group.  A row without a doc_id links nothing, and has its print's
+    are one group; rows that share a doc_id but not a print aren't, unless they
+    are linked.  A row without a doc_id links nothing, and has its print's
     group if a row with an id has that print, else null.
     """
     prints = keep(prints)[0]
     digest = F.unhex("fingerprint")
-    nodes = prints.groupBy(digest.alias("print")).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("rep is not null")
-    nodes = materialize(nodes)
+    nodes = prints.groupBy(digest.alias("print")).agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")).where("least is not null")
+    # Numbers are fixed by being written.
+    nodes = materialize(nodes.withColumn("rep", F.monotonically_increasing_id()))
     sampled = sampled_bands(nodes.count(), threshold)
     digits = lambda band: F.concat(*[F.substring(F.hex("print"), i + 1, 1) for i in band])
     # A band is dealt by a hash of its digits: bands that happen to share one are told apart no more than candidates are.
@@ -203,8 +205,9 @@ def similar_groups(prints: DataFrame, threshold: float = 0.8) -> DataFrame:
     roots = connected_components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     n = found.groupBy("rep").agg(F.sum("near").alias("n_near")).withColumnRenamed("rep", "x")
     named = nodes.join(n, nodes.rep == n.x, "left").join(roots, nodes.rep == roots.node, "left").where("copies > 1 or n_near is not null")
-    named = named.select(F.col("print").alias("f"), F.coalesce("component", "rep").alias("component"), F.coalesce("n_near", F.lit(0)).alias("near"))
-    named = materialize(named)
+    named = named.select(F.col("print").alias("f"), "least", F.coalesce("component", "rep").alias("group"), F.coalesce("n_near", F.lit(0)).alias("near"))
+    ids = named.groupBy(F.col("group").alias("g")).agg(F.min("least").alias("component"))
+    named = materialize(named.join(ids, named.group == ids.g).select("f", "component", "near"))
     # Prints that are a document's own and link nothing aren't named; where few are, prints needn't be shuffled.
     out = prints.join(F.broadcast(named) if named.count() <= BROADCAST_NAMED else named, digest == named.f, "left")
     return out.select(*[prints[c] for c in prints.columns], F.coalesce("component", prints["doc_id"]).alias("component_id"), F.coalesce("near", F.lit(0)).alias("n_near"))

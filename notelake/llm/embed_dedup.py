@@ -111,7 +111,7 @@ def embedding_components(vectors: DataFrame, threshold: float = 0.9, id_col: str
     that are null, empty or zero, or hold a null or non-finite component, link
     with nothing, nor do vectors of different length.  A row without an id links
     with nothing and has a null component; rows that repeat an id are rows of
-    their own.  Other columns are left out.
+    their own, which their id doesn't link.  Other columns are left out.
     """
     # Single floats are sent as they are and widened in the task.
     v = F.col(vector_col)
@@ -119,7 +119,9 @@ def embedding_components(vectors: DataFrame, threshold: float = 0.9, id_col: str
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     usable = F.coalesce((F.size(v) > 0) & ~bad & F.exists(v, lambda x: x != 0) & F.col(id_col).isNotNull(), F.lit(False))
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.when(usable, v).alias("v"))
-    nodes = materialize(rows.where("v is not null").groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")))
+    distinct = rows.where("v is not null").groupBy("v").agg(F.min("vec_id").alias("least"), F.count("*").alias("n"))
+    # Numbers are fixed by being written.
+    nodes = materialize(distinct.withColumn("rep", F.monotonically_increasing_id()))
     n, cores = nodes.count(), vectors.sparkSession.sparkContext.defaultParallelism
     blocks = max(1, math.ceil(n / BLOCK), min(math.ceil(n / SMALL_BLOCK), math.ceil(math.sqrt(8 * cores))))  # a few cells a core where there are that many vectors
     dealt = nodes.select("rep", "n", F.size("v").alias("d"), "v", F.pmod(F.xxhash64("rep"), F.lit(blocks)).cast("int").alias("home"))
@@ -130,8 +132,10 @@ def embedding_components(vectors: DataFrame, threshold: float = 0.9, id_col: str
     roots = connected_components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     sums = found.groupBy("rep").agg(F.sum("links").alias("links")).withColumnRenamed("rep", "r")
     named = nodes.join(sums, nodes.rep == sums.r, "left").join(roots, nodes.rep == roots.node, "left").select(
-        F.col("v").alias("w"), F.coalesce("component", "rep").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links")
+        F.col("v").alias("w"), "least", F.coalesce("component", "rep").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links")
     )
+    ids = named.groupBy(F.col("root").alias("id_root")).agg(F.min("least").alias("component"))
+    named = named.join(ids, named.root == ids.id_root).select("w", "links", "component")
     out = rows.join(named, rows.v == named.w, "left")
     component = F.coalesce("component", "vec_id")
     return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))

@@ -237,14 +237,16 @@ def near_components(prints: DataFrame, max_bits: int = 4) -> DataFrame:
     ``component_id`` is the smallest doc_id reachable.  Equal fingerprints
     (exact copies, and all texts without words) are one node, so groups of
     copies of any size cost one row here.  A row without a doc_id keeps its
-    fingerprint, links nothing and gets a null component.  No rows in, no rows out.
+    fingerprint, links nothing and gets a null component.  Rows that share an id
+    but not a fingerprint are nodes of their own: their id doesn't link them.
+    No rows in, no rows out.
     """
     prints = materialize(prints)
-    nodes = materialize(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    roots = connected_components(ball_links(nodes.select(F.lit(0).alias("k"), "fp", "rep"), max_bits))
-    named = nodes.join(roots, nodes.rep == roots.node, "left").select(
-        F.col("fp").alias("f"), F.coalesce("component", "rep").alias("component_id")
-    )
+    nodes = materialize(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("least")))
+    roots = connected_components(ball_links(nodes.select(F.lit(0).alias("k"), "fp", F.col("fp").alias("rep")), max_bits))
+    named = nodes.join(roots, nodes.fp == roots.node, "left").select(F.col("fp").alias("f"), "least", F.coalesce("component", "fp").alias("root"))
+    ids = named.groupBy(F.col("root").alias("r")).agg(F.min("least").alias("component_id"))
+    named = named.join(ids, named.root == ids.r).select("f", "component_id")
     return prints.join(named, (prints.fp == named.f) & prints.doc_id.isNotNull(), "left").select("doc_id", "fp", "component_id")
 
 

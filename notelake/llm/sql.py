@@ -89,15 +89,15 @@ FROM o
 """
 
 OP8 = """
-WITH RECURSIVE v AS (
-  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
-p AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+WITH RECURSIVE n AS MATERIALIZED (SELECT row_number() OVER () AS id, vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+v AS (SELECT * FROM n WHERE vec_id IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+p AS MATERIALIZED (SELECT a.id AS x, b.id AS y FROM v a JOIN v b ON a.id <> b.id AND len(a.e) = len(b.e)
   WHERE list_inner_product(a.e, b.e) / (sqrt(list_inner_product(a.e, a.e)) * sqrt(list_inner_product(b.e, b.e))) >= 0.9),
-c AS (SELECT vec_id AS x, vec_id AS y FROM embeddings UNION SELECT c.x, p.y FROM c JOIN p ON c.y = p.x)
-SELECT vec_id, CAST((SELECT count(*) FROM p WHERE x = vec_id) AS BIGINT) AS n_links,
-  (SELECT min(y) FROM c WHERE x = vec_id) AS component_id, (SELECT min(y) FROM c WHERE x = vec_id) = vec_id AS kept
-FROM embeddings
+c AS (SELECT id AS x, id AS y FROM n UNION SELECT c.x, p.y FROM c JOIN p ON c.y = p.x),
+r AS (SELECT c.x, min(n.vec_id) AS component FROM c JOIN n ON n.id = c.y GROUP BY c.x),
+k AS (SELECT x, count(*) AS links FROM p GROUP BY x)
+SELECT vec_id, CAST(coalesce(links, 0) AS BIGINT) AS n_links, component AS component_id, coalesce(component = vec_id, true) AS kept
+FROM n JOIN r ON r.x = n.id LEFT JOIN k ON k.x = n.id
 """
 
 # SQL has no CRC-32: bytes are taken in one by one, each followed by eight shifts (-1).

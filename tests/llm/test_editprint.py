@@ -179,3 +179,13 @@ def test_crowded_ids_are_cut(spark):
     order = df.select("doc_id", "text", F.xxhash64("text").alias("h")).collect()
     order = [(r.doc_id, r.text) for r in sorted(order, key=lambda r: (-(1 << 63) if r.doc_id is None else r.doc_id, r.h))]
     assert sorted((tuple(r) for r in editprint.edited_pairs(df.repartition(6)).collect()), key=str) == sorted(pairs(order), key=str)
+
+
+def test_unlike_prints_that_share_an_id(spark):
+    rng = random.Random(12)
+    draw = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(64))
+    a, b = draw(), draw()
+    rows = [(5, a), (5, b), (7, "0" + a[1:]), (5, a), (9, b), (9, draw())]
+    got = {(r.doc_id, r.fingerprint): (r.component_id, r.n_near) for r in editprint.similar_groups(spark.createDataFrame(rows, "doc_id long, fingerprint string")).collect()}
+    assert got[5, a] == (5, 1) and got[7, "0" + a[1:]] == (5, 1)
+    assert got[5, b] == (5, 0) and got[9, b] == (5, 0) and got[9, rows[-1][1]] == (9, 0)

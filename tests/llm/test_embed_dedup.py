@@ -76,3 +76,22 @@ def test_tasks_are_bounded_and_many(spark, monkeypatch):
     assert got(df) == want
     monkeypatch.setattr(embed_dedup, "MAX_TASKS", 3)
     assert got(df) == want
+
+
+def test_rows_that_share_an_id(spark):
+    """Vectors of one id that are unlike stay apart, and none takes the other's links; links between rows of one id count."""
+    v = [1.0, 0.0]
+    rows = [(1, v), (1, [0.0, 1.0]), (2, [1.0, 0.01]), (2, [1.0, 0.02]), (3, [-1.0, 0.0]), (3, [-1.0, 0.01]), (3, v)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert got(df) == slow(rows)
+    rng = np.random.default_rng(8)
+    rows = [(int(rng.integers(40)), (c + rng.normal(size=8) * 0.2).tolist()) for c in rng.normal(size=(30, 8)) for _ in range(6)]
+    assert got(spark.createDataFrame(rows, SCHEMA)) == slow(rows)
+    import duckdb
+
+    from notelake.llm import sql
+
+    d = duckdb.connect()
+    d.execute("CREATE TABLE embeddings (vec_id BIGINT, embedding FLOAT[])")
+    d.executemany("INSERT INTO embeddings VALUES (?, ?)", rows)
+    assert sorted((tuple(r) for r in d.execute(sql.OP8).fetchall()), key=str) == slow(rows)

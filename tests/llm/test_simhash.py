@@ -182,3 +182,19 @@ def test_recall_of_short_near_copies(spark):
         rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words + ["end"] if k % 2 else words[:-1]))]
     kept = {r.doc_id for r in simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert kept >= {2 * k for k in range(400)} and len(kept) <= 400 + 20
+
+
+def test_unlike_prints_that_share_an_id(spark):
+    """An id that stands at several prints links none of them."""
+    rng = random.Random(8)
+    prints = [(5, 0), (5, 0x0F0F0F0F0F0F0F0F), (3, 1)] + [(rng.randrange(20), rng.getrandbits(64)) for _ in range(60)]
+    prints += [(rng.randrange(20), x ^ 3) for _, x in prints[::4]]
+    root = list(range(len(prints)))
+    for i, j in itertools.combinations(range(len(prints)), 2):
+        if (prints[i][1] ^ prints[j][1]).bit_count() <= 4 and root[i] != root[j]:
+            lo, hi = sorted((root[i], root[j]))
+            root = [lo if r == hi else r for r in root]
+    least = {r: min(prints[k][0] for k in range(len(prints)) if root[k] == r) for r in root}
+    df = spark.createDataFrame([(d, signed(x)) for d, x in prints], "doc_id long, fp long")
+    got = sorted((r.doc_id, r.fp, r.component_id) for r in simhash.near_components(df).collect())
+    assert got == sorted((d, signed(x), least[r]) for (d, x), r in zip(prints, root))
