@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Edges that a task contracts at once.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 
 def shared_base(spark: SparkSession) -> str:
@@ -69,6 +69,11 @@ def remove(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def exists(spark: SparkSession, folder: str) -> bool:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+
 def _stars(edges: DataFrame) -> DataFrame:
     """``edges(u, v)`` -> edges that link the same, contracted within each task: each node to the smallest it reaches there.
 
@@ -116,8 +121,8 @@ def _stars(edges: DataFrame) -> DataFrame:
 def connected_components(edges: DataFrame) -> DataFrame:
     """``edges(a, b)`` -> ``(node, component)`` for every node that is not its component's smallest.
 
-    A round is one job.  Each task contracts the edges that it has; then all
-    edges of a node meet, and their task contracts again; where a node still has
+    A round is one job.  Each task contracts the edges that it has (the first
+    round drops repeated ones and so deals them out); then all edges of a node meet, and their task contracts again; where a node still has
     several parents the others hook to the smallest, and each node's parent is
     replaced by that one's.  What leaves a task is at most an edge a node, so
     no node's edges are many, and the join on parents, of which one may be many
@@ -130,7 +135,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     spark, folder = edges.sparkSession, None
     e = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     while True:
-        met = _stars(_stars(e).repartition("u")).groupBy("u").agg(F.array_sort(F.collect_set("v")).alias("vs"))
+        met = _stars(_stars(e if folder else e.distinct()).repartition("u")).groupBy("u").agg(F.array_sort(F.collect_set("v")).alias("vs"))
         # A node is contracted by few tasks, so it has few parents here.
         star = met.select("u", F.col("vs")[0].alias("v"), F.slice("vs", 2, F.size("vs")).alias("more"))
         parent = star.select(F.col("u").alias("k"), F.col("v").alias("p"))
