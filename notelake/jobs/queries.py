@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import chunking
 from ..functions import text as T
 from ..functions import vectors as V
-from ..operators import graph, index, notes, retrieval, scan, similarity, snapshots
+from ..operators import graph, index, notes, postings, retrieval, scan, similarity, snapshots
 from ..shared import materialize as checkpoint
 from ..sources.notes import live_docs
 from . import views
@@ -127,8 +127,9 @@ def r1_candidates(spark, d):
 def r2_tfidf(spark, d):
     expanded = checkpoint(retrieval.expand_query(views.queries(spark, d)))
     found = retrieval.candidates(expanded, views.vault_notes(spark, d))
-    chunks = checkpoint(found.select("qid", "path").join(views.paragraphs(spark, d), "path"))
-    return _round(retrieval.tfidf(expanded, chunks), "tfidf")
+    found = checkpoint(found.select("qid", "path"))
+    chunks = views.paragraphs(spark, d).join(found.select("path").distinct(), "path", "left_semi")
+    return _round(retrieval.tfidf(expanded, found, checkpoint(chunks)), "tfidf")
 
 
 def r6_rag_search(spark, d):
@@ -155,6 +156,15 @@ def r9_lexical_search(spark, d):
     return _round(retrieval.lexical_search(views.queries(spark, d), views.paragraphs(spark, d)), "score")
 
 
+def r9_postings_search(spark, d):
+    own = checkpoint(postings.postings(views.paragraphs(spark, d)))
+    return _round(postings.search(views.queries(spark, d), own, checkpoint(postings.weights(own))), "score")
+
+
+def r9_postings_skipped(spark, d):
+    return postings.skipped(views.queries(spark, d), postings.weights(postings.postings(views.paragraphs(spark, d))))
+
+
 def r10_neighbors(spark, d):
     v = views.vault_notes(spark, d)
     linked = graph.resolve_links(v).where(F.col("src").endswith("Index.md"))
@@ -377,7 +387,7 @@ QUERIES = {
     for f in (
         s2_live_docs, s3_clean_note_text, s4_decode_payload, n1_list_notes, n2_list_folders, n3_list_tags, n4_note_metadata, n5_search_names, n6_vault_inventory,
         e_apply_edits, e4_move_notes, c1_chunk_notes, c2_chunk_notes_index, c3_tokens, c5_expand_query, c7_doc_freq, m2_embed_with_cache, m4_cosine,
-        r1_candidates, r2_tfidf, r6_rag_search, r7_index_search, r8_relevance_floor, r9_lexical_search, r10_neighbors,
+        r1_candidates, r2_tfidf, r6_rag_search, r7_index_search, r8_relevance_floor, r9_lexical_search, r9_postings_search, r9_postings_skipped, r10_neighbors,
         i1_diff_notes, i2_stale_notes, i3_build_index, i4_index_status,
         g1_note_bodies, g10_compare_graphs, g2_extract_links, g3_resolve_links, g4_broken_links, g4_ambiguous_links, g5_degrees, g6_roles, g7_connected_components, g8_graph_stats, g9_density_by_folder,
         l1_note_vectors, l2_eligible_notes, l3_current_links, l4_similar_pairs, l5_propose_links, l6_rank_proposals, l7_apply_links, l8_near_duplicates, l9_pick_canonical,

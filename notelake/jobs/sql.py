@@ -127,6 +127,7 @@ _BODIES = {
     "r1_candidates": "SELECT qid, path, stage, CAST(rank AS INTEGER) AS rank FROM candidates",
     "r2_tfidf": "SELECT c.qid, c.path, c.ord, round(coalesce(s, 0), 6) AS tfidf FROM cand_chunks c LEFT JOIN (SELECT qid, path, ord, sum(c / m * idf) / any_value(nt) AS s FROM hits JOIN idf USING (qid, term) GROUP BY qid, path, ord) USING (qid, path, ord)",
     "r9_lexical_search": "SELECT qid, CAST(rank AS INTEGER) AS rank, path, ord, round(score, 6) AS score FROM lexical WHERE rank <= 5",
+    "r9_postings_search": "SELECT qid, CAST(rank AS INTEGER) AS rank, path, ord, round(score, 6) AS score FROM lexical WHERE rank <= 5",
     "i1_diff_notes": "SELECT path, sha1(now) AS hash, CASE WHEN starts_with(now, 'Note not found') THEN 'failed' WHEN m = 0 THEN 'new' WHEN now <> was THEN 'changed' ELSE 'same' END AS status FROM versions WHERE m <> 1",
     "i2_stale_notes": "SELECT path FROM versions WHERE m = 1",
     "g1_note_bodies": "SELECT path, md5(string_agg(text, chr(10) ORDER BY ord)) AS text FROM paragraphs GROUP BY path",

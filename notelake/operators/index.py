@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vectors as V
-from .retrieval import doc_freq
+from .postings import freq_of, postings, weights
 from .snapshots import UNREADABLE
 
 
@@ -67,11 +67,17 @@ def index_changes(notes: DataFrame, previous: dict[str, DataFrame], chunker: Cal
 
 
 def build_index(notes: DataFrame, previous: dict[str, DataFrame], chunker: Callable[[DataFrame], DataFrame], embedder: V.Embedder | None, now: Column, checkpoint, force: bool = False) -> dict[str, DataFrame]:
-    """The index after ``notes(path, text, mtime, size)``, which are all there are: tables notes, chunks, df, emb."""
+    """The index after ``notes(path, text, mtime, size)``, which are all there are: tables notes, chunks, df, emb, postings, weights.
+
+    Postings of chunks that stay are kept, so only new chunks are tokenised (all, if the index before had none).
+    """
     new = index_changes(notes, previous, chunker, embedder, now, checkpoint, force)
-    kept = {t: previous[t].join(new["gone"], "path", "left_anti") for t in ("notes", "chunks")}
+    kept = {t: previous[t].join(new["gone"], "path", "left_anti") for t in ("notes", "chunks", "postings") if t in previous}
     chunks = kept["chunks"].unionByName(new["chunks"])
-    return {"notes": kept["notes"].unionByName(new["notes"]), "chunks": chunks, "df": doc_freq(chunks), "emb": previous["emb"].union(new["emb"])}
+    own = kept["postings"].unionByName(postings(new["chunks"])) if "postings" in kept else postings(chunks)
+    own = checkpoint(own)
+    classes = checkpoint(weights(own))
+    return {"notes": kept["notes"].unionByName(new["notes"]), "chunks": chunks, "df": freq_of(classes), "emb": previous["emb"].union(new["emb"]), "postings": own, "weights": classes}
 
 
 def build_line(diff: DataFrame) -> DataFrame:

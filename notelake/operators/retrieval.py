@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +19,8 @@ from ..functions import vectors as V
 MAX_QUERIES = 10_000
 #: Queries that a task scores at once against a block of chunks.
 QUERY_TILE = 500
+#: Chunks of a block that a task scores at once.
+CHUNK_BLOCK = 2000
 #: First characters of a name query by which names are met.
 GRAM = 6
 
@@ -99,21 +104,25 @@ def candidates(expanded: DataFrame, notes: DataFrame, max_candidates: int = 20)
     return best.withColumn("rank", rank).where(F.col("rank") <= cap).select("qid", "path", F.col("s.stage").alias("stage"), "rank")
 
 
-def tfidf(expanded: DataFrame, chunks: DataFrame) -> DataFrame:
-    """``(qid, path, ord, tfidf)`` for ``chunks(qid, path, ord, text)``, the candidate chunks of each query.
+def tfidf(expanded: DataFrame, found: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``(qid, path, ord, tfidf)``: the score of every chunk of each query's notes, ``found(qid, path)``; ``chunks(path, ord, text)``.
 
     ``idf = ln(1 + N / (1 + df))`` over a query's candidates; the score is the sum of
     ``tf idf`` over its terms, divided by their number, and 0 without tokens.
+    A chunk is tokenised once, whatever number of queries want it, and only the
+    counts of terms that some query has are joined with the candidates.
     """
-    terms = expanded.select("qid", F.size("terms").alias("m"), "terms")
-    own = chunks.join(terms, "qid").select("qid", "path", "ord", "m", "terms", T.tokenize(F.col("text")).alias("tokens"))
-    n = own.groupBy("qid").agg(F.count("*").alias("N"))
-    hits = own.select("qid", "path", "ord", "m", F.size("tokens").alias("len"), F.explode(F.filter("tokens", lambda t: F.array_contains(F.col("terms"), t))).alias("term"))
-    tf = hits.groupBy("qid", "path", "ord", "m", "len", "term").agg(F.count("*").alias("c"))
-    df = tf.groupBy("qid", "term").agg(F.count("*").alias("df"))
-    w = df.join(n, "qid").select("qid", "term", F.log(1 + F.col("N") / (1 + F.col("df"))).alias("idf"))
-    scored = tf.join(w, ["qid", "term"]).groupBy("qid", "path", "ord").agg((F.sum(F.col("c") / F.col("len") * F.col("idf")) / F.first("m")).alias("tfidf"))
-    return own.select("qid", "path", "ord").join(scored, ["qid", "path", "ord"], "left").fillna(0.0, ["tfidf"])
+    terms = expanded.select("qid", F.size("terms").alias("m"), F.explode("terms").alias("term"))
+    tokens = chunks.select("path", "ord", T.tokenize(F.col("text")).alias("tokens")).select("path", "ord", F.size("tokens").alias("len"), F.explode("tokens").alias("term"))
+    tf = tokens.join(terms.select("term").distinct(), "term", "left_semi").groupBy("path", "ord", "len", "term").agg(F.count("*").alias("c"))
+    pairs = found.join(chunks.select("path", "ord"), "path")
+    n = pairs.groupBy("qid").agg(F.count("*").alias("N"))
+    # A query has few candidates, so few rows share a query and a term.
+    df = F.count("*").over(Window.partitionBy("qid", "term"))
+    hits = found.join(tf, "path").join(terms, ["qid", "term"]).withColumn("df", df).join(n, "qid")
+    idf = F.log(1 + F.col("N") / (1 + F.col("df")))
+    scored = hits.groupBy("qid", "path", "ord").agg((F.sum(F.col("c") / F.col("len") * idf) / F.first("m")).alias("tfidf"))
+    return pairs.join(scored, ["qid", "path", "ord"], "left").fillna(0.0, ["tfidf"])
 
 
 def hybrid(score: Column, cosine: Column, alpha: float = 0.6) -> Column:
@@ -151,10 +160,11 @@ def rag_search(queries: DataFrame, notes: DataFrame, metadata: DataFrame, chunke
     expanded = checkpoint(expand_query(queries))
     found = checkpoint(candidates(expanded, notes, max_candidates).select("qid", "path"))
     wanted = notes.join(found.select("path").distinct(), "path", "left_semi").where(F.length(T.strip(F.col("text"))) >= 20)
-    chunks = checkpoint(found.join(chunker(wanted), "path"))
-    scored = chunks.join(tfidf(expanded, chunks), ["qid", "path", "ord"]).join(expanded.select("qid", "query", "terms"), "qid")
+    own = checkpoint(chunker(wanted))
+    chunks = found.join(own, "path")
+    scored = chunks.join(tfidf(expanded, found, own), ["qid", "path", "ord"]).join(expanded.select("qid", "query", "terms"), "qid")
     if embedder:
-        texts = V.embed(chunks.select(F.sha1("text").alias("h"), "text").dropDuplicates(["h"]), embedder, "h", "text")
+        texts = V.embed(own.select(F.sha1("text").alias("h"), "text").dropDuplicates(["h"]), embedder, "h", "text")
         asked = V.embed(queries, embedder, "qid", "query").withColumnRenamed("vec", "qvec")
         scored = scored.withColumn("h", F.sha1("text")).join(texts, "h").join(asked, "qid").withColumn("sem", V.cosine(F.col("vec"), F.col("qvec"))).drop("h", "vec", "qvec")
     else:
@@ -178,46 +188,65 @@ def _search_batch(asked: DataFrame, tokens: DataFrame, df: DataFrame, n_chunks:
     vecs = np.asarray(embedder(pd.Series([f":: {r['query']}" for r in rows])), np.float64) if rows else np.zeros((0, 1))
     terms = sorted({t for r in rows for t in r["terms"]})
     col = {t: i for i, t in enumerate(terms)}
-    own = [np.array([col[t] for t in r["terms"]]) for r in rows]
     mean = np.array([np.mean([of[r["qid"]][t] for t in r["terms"]]) / (max(of[r["qid"]].values()) or 1) for r in rows])
     qids = np.array([r["qid"] for r in rows], np.int64)
     norm = np.linalg.norm(vecs, axis=1)
+    # The queries of each term, for each tile of queries: where they begin, and which they are.
+    asks = []
+    for at in range(0, len(rows), QUERY_TILE):
+        pair = sorted((col[t], i) for i, r in enumerate(rows[at : at + QUERY_TILE]) for t in r["terms"])
+        own_terms, own = (np.array(x, np.int64) for x in (zip(*pair, strict=True) if pair else ((), ())))
+        asks.append((np.searchsorted(own_terms, np.arange(len(terms) + 1)), own))
     schema = "qid long, path string, ord int, score double, sem double"
 
-    def block(b: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        size = b["tokens"].map(len).to_numpy()
-        counts, named = np.zeros((len(b), len(terms)), np.float32), np.zeros((len(b), len(terms)), bool)
-        for i, ts in enumerate(b["tokens"]):
-            for j in filter(lambda j: j is not None, map(col.get, ts)):
-                counts[i, j] += 1
-        where = (b["path"] + " " + b["heading"].fillna("")).str.lower().to_list()
-        every = "\n".join(where)
-        for t, j in col.items():
-            if t in every:  # few terms stand in names
-                named[:, j] = [t in w for w in where]
-        m = np.stack(b["vec"].to_list()).astype(np.float64)
+    def block(b: pa.RecordBatch, known: pa.Array, names: ahocorasick.Automaton) -> Iterator[pa.RecordBatch]:
+        tokens, n = b.column("tokens"), b.num_rows
+        size = tokens.value_lengths().to_numpy().astype(np.int64)
+        # (chunk, term) of each token that some query has, with its number there.
+        term = pc.index_in(tokens.flatten(), known)
+        has = np.flatnonzero(term.is_valid().to_numpy(zero_copy_only=False))
+        pair = np.repeat(np.arange(n), size)[has] * len(terms) + term.take(pa.array(has)).to_numpy().astype(np.int64)
+        pair, count = np.unique(pair, return_counts=True)
+        where = [f"{p} {h or ''}".lower() for p, h in zip(b.column("path").to_pylist(), b.column("heading").to_pylist(), strict=True)]
+        named = np.array(sorted({i * len(terms) + j for i, w in enumerate(where) for _, j in names.iter(w)}), np.int64)
+        m = np.asarray(b.column("vec").flatten(), np.float64).reshape(n, -1)
         length = np.linalg.norm(m, axis=1)
-        level = np.select([b["hlevel"] == 1, b["hlevel"] == 2], [0.15, 0.10], 0.0)
-        for at in range(0, len(rows), QUERY_TILE):
+        level = b.column("hlevel").to_numpy(zero_copy_only=False)
+        level = np.select([level == 1, level == 2], [0.15, 0.10], 0.0)
+
+        def spread(pair: np.ndarray, value: np.ndarray, first: np.ndarray, own: np.ndarray, out: np.ndarray) -> np.ndarray:
+            """Adds the value of each (chunk, term) to the chunk's place of each query that has the term."""
+            row, j = np.divmod(pair, len(terms))
+            times = first[j + 1] - first[j]
+            start = np.cumsum(times) - times
+            q = own[np.arange(times.sum()) - np.repeat(start - first[j], times)]
+            np.add.at(out, (np.repeat(row, times), q), np.repeat(value, times))
+            return out
+
+        for at, (first, own) in zip(range(0, len(rows), QUERY_TILE), asks, strict=True):
             q = slice(at, at + QUERY_TILE)
-            has = np.zeros((len(terms), len(own[q])), np.float32)
-            for i, js in enumerate(own[q]):
-                has[js, i] = 1
             sem = np.clip(m @ vecs[q].T / np.where(length > 0, length, 1)[:, None] / np.where(norm[q] > 0, norm[q], 1)[None, :], 0, 1)
-            lex = np.minimum(1, (counts @ has).astype(float) / np.maximum(size, 1)[:, None]) * mean[q][None, :]
-            score = (alpha * lex + (1 - alpha) * sem) * np.where(named.astype(np.float32) @ has > 0, 1.35, 1.0) + level[:, None]
+            places = spread(pair, count, first, own, np.zeros(sem.shape, np.int32))
+            is_named = spread(named, np.ones(len(named), np.int32), first, own, np.zeros(sem.shape, np.int32)) > 0
+            lex = np.minimum(1, places / np.maximum(size, 1)[:, None]) * mean[q][None, :]
+            score = (alpha * lex + (1 - alpha) * sem) * np.where(is_named, 1.35, 1.0) + level[:, None]
             # A tie on the k-th place is settled by the window, so all that tie go on.
-            last = min(k, len(b)) - 1
+            last = min(k, n) - 1
             kth = -np.partition(-score, last, axis=0)[last]
             i, j = np.nonzero(score >= kth[None, :])
-            yield pd.DataFrame({"qid": qids[q][j], "path": b["path"].to_numpy()[i], "ord": b["ord"].to_numpy()[i], "score": score[i, j], "sem": sem[i, j]})
+            at_i = pa.array(i)
+            yield pa.RecordBatch.from_arrays([pa.array(qids[q][j]), b.column("path").take(at_i), b.column("ord").take(at_i), pa.array(score[i, j]), pa.array(sem[i, j])], ["qid", "path", "ord", "score", "sem"])
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, names = pa.array(terms, pa.string()), ahocorasick.Automaton()
+        for t, j in col.items():
+            names.add_word(t, j)
+        names.make_automaton()
         for whole in batches:
-            for at in range(0, len(whole) if rows else 0, 2000):
-                yield from block(whole.iloc[at : at + 2000])
+            for at in range(0, whole.num_rows if rows else 0, CHUNK_BLOCK):
+                yield from block(whole.slice(at, CHUNK_BLOCK), known, names)
 
-    return tokens.mapInPandas(each, schema)
+    return tokens.mapInArrow(each, schema)
 
 
 def index_search(queries: DataFrame, chunks: DataFrame, df: DataFrame, n_chunks: int, embedder: V.Embedder, k: int = 5, alpha: float = 0.6) -> DataFrame:
@@ -225,8 +254,10 @@ def index_search(queries: DataFrame, chunks: DataFrame, df: DataFrame, n_chunks:
 
     Queries go to every task in batches of about MAX_QUERIES, dealt by their id,
     with their vectors and term weights; a task scores its chunks in blocks and
-    keeps the k best of each query, of which only the score is shuffled.  Texts
-    are joined to what is left.
+    keeps the k best of each query, of which only the score is shuffled.  Terms
+    are counted only where a chunk and a query share them: a task holds
+    CHUNK_BLOCK x QUERY_TILE numbers, whatever the number of terms.  Texts are
+    joined to what is left.
     """
     asked = queries.select("qid", "query", F.array_distinct(T.key_terms(F.col("query"))).alias("terms")).where(F.size("terms") > 0)
     batches = -(-asked.count() // MAX_QUERIES) or 1

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema
+from ..shared import exists
 
 
 def read_notes_dir(spark: SparkSession, folder: str) -> DataFrame:
@@ -32,14 +33,17 @@ def live_docs(raw: DataFrame) -> DataFrame:
 
 
 def write_index(index: dict[str, DataFrame], folder: str) -> None:
-    """Tables of an index as Parquet; chunks lie together by path."""
+    """Tables of an index as Parquet; chunks lie together by path, postings by term."""
     for name, df in index.items():
+        if name == "postings":
+            df = df.repartitionByRange("term", "cls", F.xxhash64("path")).sortWithinPartitions("term", "cls")
         (df.repartition("path") if name == "chunks" else df).write.mode("overwrite").parquet(f"{folder}/{name}")
 
 
 def read_index(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    kinds = {"notes": schema.INDEX_NOTES, "chunks": schema.CHUNKS, "df": schema.DOC_FREQ, "emb": schema.EMBEDDINGS}
-    return {name: spark.read.schema(kind).parquet(f"{folder}/{name}") for name, kind in kinds.items()}
+    """The tables that an index has; one that was written without some (by an older build) lacks them here too."""
+    there = lambda name: exists(spark, f"{folder}/{name}")
+    return {name: spark.read.schema(kind).parquet(f"{folder}/{name}") for name, kind in schema.INDEX.items() if there(name)}
 
 
 def write_snapshot(notes: DataFrame, folder: str, snapshot: str) -> None:
