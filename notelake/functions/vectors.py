@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 from collections.abc import Callable, Iterator
@@ -29,6 +30,18 @@ def hashing_embedder(texts: pd.Series, dim: int = 64) -> np.ndarray:
     return out / np.where(norm > 0, norm, 1)
 
 
+def shingle_embedder(texts: pd.Series, dim: int = 256, words: int = 3) -> np.ndarray:
+    """Signed hashed counts of ``words`` tokens in a row (of all where there are fewer), unit length: near for texts with the same wording, about 0 for others."""
+    out = np.zeros((len(texts), dim), np.float32)
+    for row, text in zip(out, texts, strict=True):
+        tokens = _TOKEN.findall((text or "").lower())
+        for i in range(max(1, len(tokens) - words + 1) if tokens else 0):
+            h = int.from_bytes(hashlib.md5(" ".join(tokens[i : i + words]).encode()).digest()[:4], "big")
+            row[h % dim] += 1 if h >> 31 else -1
+    norm = np.linalg.norm(out, axis=1, keepdims=True)
+    return out / np.where(norm > 0, norm, 1)
+
+
 def embed(df: DataFrame, embedder: Embedder, key: str, text: str) -> DataFrame:
     """``(key, vec)``, in Arrow batches."""
 

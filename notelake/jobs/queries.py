@@ -276,7 +276,7 @@ def g9_density_by_folder(spark, d):
 
 
 def l1_note_vectors(spark, d):
-    v = similarity.note_vectors(views.chunk_vecs(spark, d))
+    v = _vectors(spark, d)
     return v.select("path", F.posexplode("vec").alias("dim", "value")).select("path", "dim", F.round("value", 6).alias("value"))
 
 
@@ -284,12 +284,18 @@ def l1_note_vectors(spark, d):
 LINK_SCORE, DUPLICATE_SCORE = 0.78, 0.80
 
 
+def _eligible(spark, d):
+    return similarity.eligible_notes(views.filed_notes(spark, d))
+
+
 def _vectors(spark, d):
-    return checkpoint(similarity.note_vectors(views.chunk_vecs(spark, d)))
+    chunks = views.wording(_eligible(spark, d))
+    embedded = index.embed_with_cache(chunks, "text", spark.createDataFrame([], "h string, vec array<float>"), V.shingle_embedder)[0]
+    return checkpoint(similarity.note_vectors(embedded))
 
 
 def _names(spark, d):
-    return checkpoint(similarity.link_names(views.vec_notes(spark, d)))
+    return checkpoint(similarity.link_names(_eligible(spark, d)))
 
 
 def _proposed(spark, d):
@@ -298,9 +304,7 @@ def _proposed(spark, d):
 
 
 def l2_eligible_notes(spark, d):
-    v = views.vault_notes(spark, d)
-    folder = F.when(F.col("doc_id") % 6 == 0, "05-Archive/").when(F.col("doc_id") % 6 == 1, "03-Personal/Secrets/").otherwise("")
-    return similarity.eligible_notes(v.select(F.concat(folder, "path").alias("path"))).select("path")
+    return _eligible(spark, d).select("path")
 
 
 def l3_current_links(spark, d):
@@ -311,6 +315,14 @@ def l4_similar_pairs(spark, d):
     return _round(similarity.similar_pairs(_vectors(spark, d), LINK_SCORE), "score")
 
 
+def l4_similar_pairs_by_cells(spark, d):
+    return _round(similarity.similar_pairs_by_cells(_vectors(spark, d), LINK_SCORE), "score")
+
+
+def l4_cells_report(spark, d):
+    return similarity.cells_report(_vectors(spark, d), LINK_SCORE)
+
+
 def l5_propose_links(spark, d):
     return _round(_proposed(spark, d), "score")
 
@@ -320,7 +332,7 @@ def l6_rank_proposals(spark, d):
 
 
 def l7_apply_links(spark, d):
-    return similarity.apply_links(views.vec_notes(spark, d), checkpoint(_proposed(spark, d)))
+    return similarity.apply_links(_eligible(spark, d).select("path", "text"), checkpoint(_proposed(spark, d)))
 
 
 def _near(spark, d):
@@ -332,7 +344,7 @@ def l8_near_duplicates(spark, d):
 
 
 def l9_pick_canonical(spark, d):
-    n = views.vec_notes(spark, d)
+    n = _eligible(spark, d)
     return _round(similarity.pick_canonical(_near(spark, d), graph.degrees(n, similarity.current_links(n))), "score")
 
 
@@ -390,7 +402,7 @@ QUERIES = {
         r1_candidates, r2_tfidf, r6_rag_search, r7_index_search, r8_relevance_floor, r9_lexical_search, r9_postings_search, r9_postings_skipped, r10_neighbors,
         i1_diff_notes, i2_stale_notes, i3_build_index, i4_index_status,
         g1_note_bodies, g10_compare_graphs, g2_extract_links, g3_resolve_links, g4_broken_links, g4_ambiguous_links, g5_degrees, g6_roles, g7_connected_components, g8_graph_stats, g9_density_by_folder,
-        l1_note_vectors, l2_eligible_notes, l3_current_links, l4_similar_pairs, l5_propose_links, l6_rank_proposals, l7_apply_links, l8_near_duplicates, l9_pick_canonical,
+        l1_note_vectors, l2_eligible_notes, l3_current_links, l4_similar_pairs, l4_similar_pairs_by_cells, l4_cells_report, l5_propose_links, l6_rank_proposals, l7_apply_links, l8_near_duplicates, l9_pick_canonical,
         b1_verify_payloads, b2_snapshot_manifest, b2_snapshot_failures, b3_verify_snapshot, b4_missing_files, b5_retention, b6_restore, p2_scan, p6_scan_summary,
     )
 }

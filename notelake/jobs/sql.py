@@ -28,13 +28,21 @@ _PARTS = {
     "reach": "SELECT path AS a, path AS b FROM vault_notes UNION SELECT reach.a, ends.b FROM reach JOIN ends ON reach.b = ends.a",
     "components": "SELECT a AS path, min(b) AS component FROM reach GROUP BY a",
     "edited": "SELECT doc_id, 'n' || CAST(doc_id AS VARCHAR) || '.md' AS path, text FROM vault_notes",
-    "vec_chunks": views.SQL_VEC_CHUNKS,
-    "vec_notes": views.SQL_VEC_NOTES,
-    "mean": "SELECT path, dim, avg(v) AS v FROM (SELECT path, unnest(range(len(embedding))) AS dim, CAST(unnest(embedding) AS DOUBLE) AS v FROM vec_chunks) GROUP BY path, dim",
-    "unit": "SELECT path, dim, v / sqrt(sum(v * v) OVER (PARTITION BY path)) AS v FROM mean",
+    "filed": views.SQL_FILED,
+    "wording": views.SQL_WORDING,
+    "words": f"SELECT path, ord, {_TOKENS('text')} AS w FROM wording",
+    "shingles": """SELECT path, ord, CAST('0x' || substr(md5(s), 1, 8) AS BIGINT) AS h
+        FROM (SELECT path, ord, array_to_string(w[i : i + 2], ' ') AS s FROM (SELECT *, unnest(range(1, greatest(len(w) - 1, 2))) AS i FROM words WHERE len(w) > 0))""",
+    "counts": "SELECT path, ord, h % 256 AS dim, CAST(sum(CASE WHEN h >= 2147483648 THEN 1 ELSE -1 END) AS FLOAT) AS c FROM shingles GROUP BY ALL",
+    # Single floats as the embedder has them.
+    "chunk_unit": "SELECT path, ord, dim, CAST(c / CAST(sqrt(sum(c * c) OVER (PARTITION BY path, ord)) AS FLOAT) AS DOUBLE) AS v FROM counts WHERE c <> 0",
+    "mean": "SELECT path, dim, sum(v) / (SELECT count(*) FROM words w WHERE w.path = u.path) AS v FROM chunk_unit u GROUP BY path, dim",
+    "unit": """SELECT path, dim, coalesce(v, 0) / sqrt(sum(v * v) OVER (PARTITION BY path)) AS v
+        FROM (SELECT path, CAST(dim AS BIGINT) AS dim FROM (SELECT DISTINCT path FROM mean), range(256) t(dim)) LEFT JOIN mean USING (path, dim)""",
     "unit_list": "SELECT path, list(v ORDER BY dim) AS v FROM unit GROUP BY path",
-    "pairs": "SELECT x.path AS a, y.path AS b, list_inner_product(x.v, y.v) AS score FROM unit_list x JOIN unit_list y ON x.path < y.path",
-    "known": "SELECT path AS src, to_next AS dst FROM vec_notes WHERE to_next IS NOT NULL UNION SELECT path, to_half FROM vec_notes WHERE to_half IS NOT NULL AND to_half <> path",
+    "pairs": "SELECT x.path AS a, y.path AS b, round(list_inner_product(x.v, y.v), 9) AS score FROM unit_list x JOIN unit_list y ON x.path < y.path",
+    "known": r"""SELECT DISTINCT l.path AS src, n.path AS dst FROM raw_links l JOIN names n ON regexp_replace(lower(target), '\.md$', '') = n.base
+        WHERE l.path <> n.path AND l.path IN (SELECT path FROM filed) AND n.path IN (SELECT path FROM filed)""",
     "payloads": """SELECT doc_id, path, size_, body, CASE WHEN doc_id % 31 = 0 THEN 'Note not found' WHEN doc_id % 29 = 0 THEN '' WHEN ends_with(path, '.pdf') THEN body
         WHEN doc_id % 7 = 0 THEN substr(body, 1, 1000) ELSE body END AS content FROM (SELECT *, octet_length(encode(body)) AS size_ FROM live)""",
     "verified": """SELECT path, size_ AS expected, CASE WHEN bad THEN NULL ELSE n END AS got,
@@ -145,6 +153,7 @@ _BODIES = {
     "l6_rank_proposals": f"""SELECT *, max(score) OVER (PARTITION BY src) AS best, CAST(row_number() OVER (PARTITION BY src ORDER BY score DESC, dst) AS INTEGER) AS link_rank FROM ({_PROPOSED})""",
     "l3_current_links": r"SELECT DISTINCT l.path AS src, n.path AS dst FROM raw_links l JOIN names n ON regexp_replace(lower(target), '\.md$', '') = n.base WHERE l.path <> n.path",
     "l4_similar_pairs": "SELECT a, b, round(score, 6) AS score FROM pairs WHERE score >= 0.78",
+    "l4_similar_pairs_by_cells": "SELECT a, b, round(score, 6) AS score FROM pairs WHERE score >= 0.78",
     "l5_propose_links": _PROPOSED,
     "l8_near_duplicates": f"SELECT a, b, round(score, 6) AS score FROM ({_NEAR})",
     "l9_pick_canonical": f"""SELECT round(score, 6) AS score, CASE WHEN one THEN a ELSE b END AS canonical, CASE WHEN one THEN b ELSE a END AS duplicate FROM

@@ -75,32 +75,19 @@ def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.where("trim(text) <> ''")
 
 
-#: A note for each vector, by its id; some names are those of drafts, or long.
-_VEC_PATH = """CASE WHEN {id} % 7 = 3 THEN concat('v/research draft n', {id}, '.md') WHEN {id} % 11 = 5 THEN concat('v/n', {id}, ' with a name of many words.md')
-  ELSE concat('n', {id}, '.md') END"""
-#: Chunks of such a note: its vector and those that follow, which it shares with its neighbours.
-_RUN = 9
+#: Of a note's paragraphs those of so many characters are its wording; headings, tags and single items aren't.
+WORDING = 120
 
 
-def vec_path(id_col: str) -> Column:
-    return F.expr(_VEC_PATH.format(id=id_col))
+def filed_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The notes, a third of them in folders that similarity leaves out."""
+    folder = F.when(F.col("doc_id") % 6 == 0, "05-Archive/").when(F.col("doc_id") % 6 == 1, "03-Personal/Secrets/").otherwise("")
+    return vault_notes(spark, sf_dir).withColumn("path", F.concat(folder, "path"))
 
 
-def chunk_vecs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.posexplode(F.sequence(F.lit(0), F.lit(_RUN - 1))).alias("ord", "back"))
-    v = v.withColumn("note", F.col("vec_id") - F.col("back")).where("note >= 0")
-    return v.select(vec_path("note").alias("path"), "ord", F.col("embedding").alias("vec"))
-
-
-def vec_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Those notes' texts: a note links to the next one where both vectors have the same label or its id is even, and some to a third."""
-    v = table(spark, sf_dir, "embeddings").select("vec_id", "label")
-    after = v.select((F.col("vec_id") - 1).alias("k"), F.col("label").alias("next"))
-    v = v.join(after, v.vec_id == after.k, "left")
-    name = lambda c: F.regexp_replace(F.regexp_extract(c, "([^/]*)$", 1), r"\.md$", "")
-    to = F.when((F.col("label") == F.col("next")) | (F.col("vec_id") % 4 == 0) & F.col("next").isNotNull(), F.concat(F.lit(" [["), name(vec_path("(vec_id + 1)")), F.lit("]]"))).otherwise("")
-    third = F.when(F.col("vec_id") % 5 == 0, F.concat(F.lit(" [["), name(vec_path("(vec_id div 2)")), F.lit("|half]]"))).otherwise("")
-    return v.select(vec_path("vec_id").alias("path"), F.concat(F.lit("Note"), to, third).alias("text"))
+def wording(notes: DataFrame) -> DataFrame:
+    cut = notes.select("path", F.posexplode(F.split("text", "\n\n")).alias("ord", "text"))
+    return cut.where(F.length("text") >= WORDING)
 
 
 def ops(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,7 +106,5 @@ SQL_RAW = _duck(_RAW).format(raw="(SELECT d.doc_id, d.n_chars, d.text AS body, v
 SQL_LIVE = "SELECT doc_id, path, size, mtime, body FROM raw_docs WHERE NOT starts_with(_id, 'h:') AND NOT starts_with(_id, '_') AND coalesce(path, '') <> '' AND NOT deleted"
 SQL_PARAGRAPHS = "SELECT path, CAST(i - 1 AS INTEGER) AS ord, p[i] AS text FROM (SELECT path, p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT path, string_split(text, chr(10) || chr(10)) AS p FROM vault_notes)) WHERE trim(p[i], ' ') <> ''"
 SQL_QUERIES = "SELECT item_id AS qid, array_to_string(string_split(text, ' ')[1:4], ' ') AS query FROM benchmark UNION ALL SELECT -1, 'zqxjkv-9931'"
-_vec = lambda i: f"({_VEC_PATH.format(id=i)})"
-SQL_VEC_NOTES = f"""SELECT vec_id, {_vec('vec_id')} AS path, CASE WHEN label = next OR vec_id % 4 = 0 AND next IS NOT NULL THEN {_vec('(vec_id + 1)')} END AS to_next, CASE WHEN vec_id % 5 = 0 THEN {_vec('(vec_id // 2)')} END AS to_half
-  FROM (SELECT e.vec_id, e.label, n.label AS next FROM embeddings e LEFT JOIN embeddings n ON n.vec_id = e.vec_id + 1)"""
-SQL_VEC_CHUNKS = f"SELECT note, {_vec('note')} AS path, embedding FROM (SELECT vec_id - o AS note, embedding FROM embeddings, range({_RUN}) t(o)) WHERE note >= 0"
+SQL_FILED = "SELECT doc_id, path, text FROM vault_notes WHERE doc_id % 6 > 1"
+SQL_WORDING = f"SELECT p.path, p.ord, p.text FROM paragraphs p JOIN filed f ON p.path = f.path WHERE length(p.text) >= {WORDING}"

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vectors as V
+from ..shared import materialize
 from .graph import raw_links
 
 # Fixed values.
@@ -23,6 +24,12 @@ DERIVED = ("investigacion", "setup", "informe", "research", "test", "notas", "dr
 SECTION = "Notas relacionadas"
 #: Vectors of a block; tasks that pairs of blocks are dealt to, at most.
 BLOCK, MAX_TASKS = 4096, 1 << 14
+#: Decimals of a score, so that copies tie whatever the order in which a product is summed.
+DECIMALS = 9
+#: Vectors of the sample for each pivot: which are pivots decides how much is saved, not what is found.
+PIVOT_SAMPLE = 4
+#: Pivots, at most; rows of a stripe within a cell; what an angle may be off.
+MAX_PIVOTS, STRIPE, ANGLE_ERROR = 1024, 256, 1e-6
 
 
 def note_vectors(chunks: DataFrame) -> DataFrame:
@@ -78,7 +85,7 @@ def _cell(table: pa.Table, min_score: float, top: bool) -> pa.Table:
         keep = i[at + u] < j[v] if same else np.ones(len(u), bool)
         a.append(i[at + u[keep]])
         b.append(j[v[keep]])
-        s.append(product[u[keep], v[keep]])
+        s.append(np.round(product[u[keep], v[keep]], DECIMALS))
     a, b, s = map(np.concatenate, (a, b, s))
     if top and len(s):
         most = t.column("most").to_numpy()
@@ -119,6 +126,119 @@ def similar_pairs(vectors: DataFrame, min_score: float) -> DataFrame:
     return _all_cells(vectors, min_score, False)
 
 
+def _angles(m: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(m @ pivots.T, -1.0, 1.0))
+
+
+def _spread_out(sample: np.ndarray, number: int) -> np.ndarray:
+    """Up to ``number`` of the sample, each the farthest from those before it, so that a cluster has one before any has two."""
+    chosen, near = [0], sample @ sample[0]
+    while len(chosen) < min(number, len(sample)):
+        far = int(near.argmin())
+        if near[far] > 1 - ANGLE_ERROR:  # copies of those that are chosen
+            break
+        chosen.append(far)
+        near = np.maximum(near, sample @ sample[far])
+    return sample[chosen]
+
+
+def _ring(table: pa.Table, min_score: float) -> pa.Table:
+    """Pairs of two blocks of a cell from ``min_score`` on, and a row without names that says how many products were made.
+
+    Two vectors whose angles to the cell's pivot differ by more than the
+    threshold's angle are no pair, so both sides are sorted by that angle and a
+    stripe is held against the stretch of the other side that it can reach.
+    """
+    t = table.combine_chunks()
+    paths, home, angle = np.array(t.column("path").to_pylist(), object), t.column("home").to_numpy(), t.column("angle").to_numpy()
+    m = np.asarray(t.column("vec").combine_chunks().flatten(), np.float64).reshape(len(paths), -1)
+    same, first = t.column("x")[0] == t.column("y")[0], t.column("x")[0].as_py()
+    order = np.argsort(angle, kind="stable")
+    i = order if same else order[home[order] == first]
+    j = i if same else order[home[order] != first]
+    reach, made = math.acos(min(1.0, max(-1.0, min_score))) + ANGLE_ERROR, 0
+    a, b, s = [np.empty(0, int)], [np.empty(0, int)], [np.empty(0)]
+    for at in range(0, len(i), STRIPE):
+        rows = i[at : at + STRIPE]
+        low = max(at, 0) if same else np.searchsorted(angle[j], angle[rows[0]] - reach, "left")
+        cols = j[low : np.searchsorted(angle[j], angle[rows[-1]] + reach, "right")]
+        product = m[rows] @ m[cols].T
+        u, v = np.nonzero(product >= min_score)
+        keep = u + at < v + low if same else np.ones(len(u), bool)
+        made += len(rows) * len(cols) - (len(rows) * (len(rows) + 1) // 2 if same else 0)
+        a.append(rows[u[keep]])
+        b.append(cols[v[keep]])
+        s.append(np.round(product[u[keep], v[keep]], DECIMALS))
+    one, two, s = paths[np.concatenate(a)], paths[np.concatenate(b)], np.concatenate(s)
+    swap = one > two
+    names = [pa.array([*np.where(swap, x, y), None], pa.string()) for x, y in ((two, one), (one, two))]
+    return pa.table({"a": names[0], "b": names[1], "score": pa.array([*s, float(made)], pa.float64())})
+
+
+def _by_cells(vectors: DataFrame, min_score: float) -> DataFrame:
+    own = vectors.select("path", F.col("vec").cast("array<double>").alias("vec"))
+    n = own.count()
+    number = max(1, min(MAX_PIVOTS, 2 * math.isqrt(n)))
+    first = own.orderBy(F.xxhash64("path"), "path").limit(PIVOT_SAMPLE * number).select("vec").collect()  # at most PIVOT_SAMPLE * MAX_PIVOTS
+    pivots = _spread_out(np.array([r["vec"] for r in first]), number) if first else np.zeros((1, 1))
+    reach = math.acos(min(1.0, max(-1.0, min_score))) + ANGLE_ERROR
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if len(b):
+                far = _angles(np.asarray(b.column(1).flatten(), np.float64).reshape(len(b), -1), pivots)
+                near = far.argmin(1)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(near.astype(np.int32)), pa.array(far[np.arange(len(b)), near])], ["path", "vec", "cell", "angle"])
+
+    settled = materialize(own.mapInArrow(settle, "path string, vec array<double>, cell int, angle double"))
+    radius = np.full(len(pivots), -np.inf)
+    for r in settled.groupBy("cell").agg(F.max("angle").alias("r")).collect():  # a row a pivot
+        radius[r["cell"]] = r["r"]
+
+    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each vector in its own cell, and in those behind it that hold one it may be near to: within the cell's radius and the threshold's angle of the pivot."""
+        for b in batches:
+            if not len(b):
+                continue
+            far, cell = _angles(np.asarray(b.column(1).flatten(), np.float64).reshape(len(b), -1), pivots), b.column(2).to_numpy()
+            row, to = np.nonzero((far <= radius + reach) & (np.arange(len(pivots)) > cell[:, None]))
+            row, to, own_row = np.r_[np.arange(len(b)), row], np.r_[cell, to], np.r_[np.ones(len(b), bool), np.zeros(len(row), bool)]
+            at = pa.array(row)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(to.astype(np.int32)), pa.array(far[row, to]), pa.array(own_row)], ["path", "vec", "cell", "angle", "own"])
+
+    visits = materialize(settled.mapInArrow(visit, "path string, vec array<double>, cell int, angle double, own boolean"))
+    blocks = lambda c: F.ceil(F.count_if(c) / BLOCK).cast("int")
+    sizes = visits.groupBy("cell").agg(blocks(F.col("own")).alias("own_blocks"), blocks(~F.col("own")).alias("guest_blocks"))
+    dealt = visits.join(F.broadcast(sizes), "cell")  # a row a pivot
+    # A cell's own blocks come first; each meets all behind it, a block of guests only own ones.
+    share = lambda n: F.pmod(F.xxhash64("path"), F.greatest(n, F.lit(1))).cast("int")
+    home = F.when(F.col("own"), share(F.col("own_blocks"))).otherwise(F.col("own_blocks") + share(F.col("guest_blocks")))
+    dealt = dealt.withColumn("home", home)
+    other = F.sequence(F.lit(0), F.when(F.col("own"), F.col("own_blocks") + F.col("guest_blocks")).otherwise(F.col("own_blocks")) - 1)
+    dealt = dealt.select("cell", "path", "vec", "angle", "home", F.explode(other).alias("o"))
+    dealt = dealt.select("cell", F.least("home", "o").alias("x"), F.greatest("home", "o").alias("y"), "home", "path", "vec", "angle")
+    return dealt.groupBy("cell", "x", "y").applyInArrow(lambda t: _ring(t, min_score), "a string, b string, score double")
+
+
+def similar_pairs_by_cells(vectors: DataFrame, min_score: float) -> DataFrame:
+    """``similar_pairs``, exact too, which holds only cells against each other that can hold a pair.
+
+    Up to MAX_PIVOTS vectors, far from each other, are pivots, and a vector belongs to the nearest.  By
+    the triangle inequality of angles it goes to another cell only if its angle to
+    that pivot is at most the cell's radius and the threshold's angle, and within a
+    cell it is held only against vectors about as far from the pivot.  How much
+    that saves depends on the vectors: see ``cells_report``.
+    """
+    return _by_cells(vectors, min_score).where("a is not null")
+
+
+def cells_report(vectors: DataFrame, min_score: float) -> DataFrame:
+    """One row: all pairs of vectors, and of how many ``similar_pairs_by_cells`` makes the product."""
+    n = vectors.count()
+    made = _by_cells(vectors, min_score).where("a is null").agg(F.coalesce(F.sum("score"), F.lit(0.0)).cast("long").alias("compared"))
+    return made.select(F.lit(n * (n - 1) // 2).cast("long").alias("pairs"), "compared")
+
+
 def nearest_pairs(vectors: DataFrame, names: DataFrame, min_score: float, top_k: int = 4) -> DataFrame:
     """Of ``similar_pairs`` those that ``propose_links`` with ``names(src, key)`` can choose from.
 

@@ -155,3 +155,39 @@ def test_best_pairs_are_enough_for_proposals(spark, monkeypatch):
     plain = lambda rows: sorted((r.src, r.dst, round(r.score, 9)) for r in rows)
     assert plain(similarity.propose_links(few, names, 2).collect()) == plain(every)
     assert few.count() < similarity.similar_pairs(df, 0.6).count()
+
+
+@pytest.mark.parametrize(("spread", "block"), [(0.1, 4096), (0.1, 40), (3.0, 4096), (0.5, 60)])
+def test_pairs_by_cells(spark, monkeypatch, spread, block):
+    """The pairs of all pairs, on clustered and on random vectors; on clustered ones most products aren't made."""
+    monkeypatch.setattr(similarity, "BLOCK", block)
+    monkeypatch.setattr(similarity, "STRIPE", 16)
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(25, 24))
+    m = np.array([centres[i % 25] + spread * rng.normal(size=24) for i in range(500)] + [centres[0]] * 30)
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    df = queries.checkpoint(spark.createDataFrame([(f"n{i:04}", v.tolist()) for i, v in enumerate(m)], "path string, vec array<double>"))
+    for least in (0.78, 0.4):
+        product = m @ m.T
+        want = {(f"n{i:04}", f"n{j:04}") for i, j in zip(*np.nonzero(np.triu(product >= least, 1)), strict=True)}
+        got = [(r.a, r.b) for r in similarity.similar_pairs_by_cells(df, least).collect()]
+        assert len(got) == len(set(got)) and set(got) == want and want
+    report = similarity.cells_report(df, 0.78).first()
+    assert report.pairs == len(m) * (len(m) - 1) // 2 >= report.compared
+    if spread == 0.1:
+        assert report.compared < 0.3 * report.pairs
+    assert similarity.similar_pairs_by_cells(df.limit(0), 0.78).count() == 0
+
+
+def test_similar_notes_have_similar_wording(spark):
+    """Pairs aren't tied to neighbouring ids, and exact copies of documents are among them."""
+    pairs = {(r.a, r.b): r.score for r in queries.l4_similar_pairs(spark, DATA).collect()}
+    v = {r.path: r for r in views.filed_notes(spark, DATA).join(spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", F.col("text").alias("body")), "doc_id").collect()}
+    assert pairs and all(not p.startswith(("05-", "03-")) for ab in pairs for p in ab)
+    def shingles(text):
+        words = TOKEN.findall(text.lower())
+        return {tuple(words[i : i + 3]) for i in range(len(words) - 2)}
+    for a, b in pairs:
+        x, y = shingles(v[a].body), shingles(v[b].body)
+        assert len(x & y) > 0.4 * min(len(x), len(y))
+    assert any(abs(v[a].doc_id - v[b].doc_id) > 9 for a, b in pairs)
