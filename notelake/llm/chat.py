@@ -11,7 +11,8 @@ they differ its text (and role) is escaped: ``\\`` ``[`` ``<`` ``]`` become ``\\
 ``\\2`` ``\\3``, so no control string is left.  The parser cuts after each closing mark,
 takes the production by its first mark and undoes the escapes.  No closing mark
 can begin in another one, so turns that parse alone parse together; the whole is
-compared once more all the same (``identical``).
+parsed and compared all the same, and where it differs all its turns are escaped
+and it is parsed and compared again (``identical``).
 """
 
 from __future__ import annotations
@@ -77,8 +78,13 @@ def format_conversations(turns: DataFrame, id_col: str = "conv_id", turn_col: st
     part = F.when(F.coalesce(safe, F.lit(False)), plain).otherwise(_render(r, escape(x), escape(r)))
     rows = rows.select("conv_id", F.struct(F.col("t.turn"), F.col("t.role"), F.col("t.text"), part.alias("part")).alias("t"))
     whole = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
-    whole = whole.select("conv_id", F.array_join(F.transform("turns", lambda t: t["part"]), "").alias("formatted"), F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("source"))
-    return whole.withColumn("recovered", parse(F.col("formatted"))).select("conv_id", "formatted", "recovered", F.coalesce(F.col("recovered") == F.col("source"), F.lit(False)).alias("identical"))
+    joined = lambda part: F.array_join(F.transform("turns", part), "")
+    source = F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
+    equal = lambda formatted: F.coalesce(parse(F.col(formatted)) == F.col("source"), F.lit(False))
+    whole = whole.select("conv_id", "turns", source.alias("source"), joined(lambda t: t["part"]).alias("first"))
+    escaped = joined(lambda t: _render(t["role"], escape(t["text"]), escape(t["role"])))
+    whole = whole.withColumn("formatted", F.when(equal("first"), F.col("first")).otherwise(escaped))
+    return whole.select("conv_id", "formatted", parse(F.col("formatted")).alias("recovered"), equal("formatted").alias("identical"))
 
 
 def _productions(formatted: DataFrame, *more: str) -> DataFrame:
@@ -108,7 +114,8 @@ def digests(formatted: DataFrame) -> DataFrame:
     """What the contract asks of each conversation, all read back from the formatted text.
 
     Turns come from the parser; the loss is what lies under ``loss_spans`` in
-    ``formatted``, cut out and then unescaped.
+    ``formatted``, cut out and then unescaped.  A conversation that isn't
+    identical to its source is an error, never a row.
     """
     rows = _productions(formatted.withColumn("chars", F.length("formatted")), "chars", "identical").withColumn("mask", _masked())
     cut = F.substring("part", (F.col("mask.start") - F.col("at") + 1).cast("int"), F.col("mask.length").cast("int"))
@@ -123,5 +130,5 @@ def digests(formatted: DataFrame) -> DataFrame:
     digest = lambda c: F.sha2(F.col(c).cast("binary"), 256)
     return whole.select(
         "conv_id", "n_turns", digest("said").alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"),
-        digest("loss").alias("loss_sha256"), "formatted_chars", "identical",
+        digest("loss").alias("loss_sha256"), F.when(F.col("identical"), F.col("formatted_chars")).otherwise(F.raise_error(F.lit("a formatted conversation is not read back as its source")).cast("long")).alias("formatted_chars"),
     )

@@ -76,3 +76,19 @@ def test_loss_is_cut_out_of_the_text_by_the_mask(spark, monkeypatch):
 
     monkeypatch.setattr(chat, "_masked", lambda: F.when(F.col("k") == 2, mask()))
     assert chat.digests(out).first().loss_chars == 1  # the mask decides, not the role
+
+
+def test_the_whole_is_compared_in_the_query(spark):
+    """The comparison is part of the query's plan, and a text that isn't read back is an error."""
+    import pytest
+    from conftest import DATA
+    from pyspark.sql import functions as F
+
+    from notelake.llm import queries
+
+    plan = queries.op3_chat_format(spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert "raise_error" in plan and "identical" in plan
+    good = chat.format_conversations(spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "assistant", "b")], "conv_id long, turn int, role string, text string"))
+    with pytest.raises(Exception, match="not read back"):
+        chat.digests(good.withColumn("identical", F.lit(False))).collect()
+    assert chat.digests(good).count() == 1
