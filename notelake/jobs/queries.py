@@ -74,6 +74,10 @@ def e_apply_edits(spark, d):
     return out.select("path", F.md5("text").alias("text"))
 
 
+def e_apply_log(spark, d):
+    return notes.apply_log(_edited_notes(spark, d), views.log(spark, d)).select("path", F.md5("text").alias("text"))
+
+
 def e4_move_notes(spark, d):
     """Moves with collisions, chains that end free or at a note that stays, and swaps."""
     n = views.vault_notes(spark, d).select("doc_id", F.expr("concat('n', doc_id, '.md')").alias("path"), "text")
@@ -398,7 +402,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         s2_live_docs, s3_clean_note_text, s4_decode_payload, n1_list_notes, n2_list_folders, n3_list_tags, n4_note_metadata, n5_search_names, n6_vault_inventory,
-        e_apply_edits, e4_move_notes, c1_chunk_notes, c2_chunk_notes_index, c3_tokens, c5_expand_query, c7_doc_freq, m2_embed_with_cache, m4_cosine,
+        e_apply_edits, e_apply_log, e4_move_notes, c1_chunk_notes, c2_chunk_notes_index, c3_tokens, c5_expand_query, c7_doc_freq, m2_embed_with_cache, m4_cosine,
         r1_candidates, r2_tfidf, r6_rag_search, r7_index_search, r8_relevance_floor, r9_lexical_search, r9_postings_search, r9_postings_skipped, r10_neighbors,
         i1_diff_notes, i2_stale_notes, i3_build_index, i4_index_status,
         g1_note_bodies, g10_compare_graphs, g2_extract_links, g3_resolve_links, g4_broken_links, g4_ambiguous_links, g5_degrees, g6_roles, g7_connected_components, g8_graph_stats, g9_density_by_folder,

@@ -96,6 +96,14 @@ def ops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("event_id").alias("seq"), F.concat(F.lit("n"), F.col("user_id").cast("string"), F.lit(".md")).alias("path"), kind.alias("op"), F.col("props").cast("string").alias("content"), F.lit("1").alias("old_text"))
 
 
+def log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ops, every seventh of them a move instead."""
+    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), F.expr("concat('n', user_id + event_id % 11, '.md')").alias("to_path"))
+    both = ops(spark, sf_dir).join(e, "seq")
+    moves = F.col("seq") % 7 == 0
+    return both.withColumn("op", F.when(moves, "move").otherwise(F.col("op"))).withColumn("to_path", F.when(moves, F.col("to_path")))
+
+
 # The same in DuckDB SQL.
 _duck = lambda s: s.replace("AS STRING", "AS VARCHAR")
 SQL_NOTES = _duck(_NOTES).format(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,6 +82,76 @@ def apply_edits(notes: DataFrame, ops: DataFrame) -> DataFrame:
     return both.select(F.coalesce("path", "p").alias("path"), text.alias("text")).where("text is not null")
 
 
+_CHANGE = "path string, since long, origin string, born long"
+
+
+def note_intervals(notes: DataFrame, ops: DataFrame) -> DataFrame:
+    """``(path, since, origin, born)``: from ``since`` on the note at ``path`` is the one that began at ``origin`` at ``born``.
+
+    Only moves that take place make rows: the note must be there and its target
+    free at that moment.  Whether a note is there hangs on the other ops of its
+    path and on the moves before, so the paths that moves link are replayed
+    together, without texts, and of a path's ops only the last before each move.
+    """
+    moves = ops.where("op = 'move' and path is not null and to_path is not null and path <> to_path").select("seq", "path", "to_path")
+    linked = shared.connected_components(moves.select(F.col("path").alias("a"), F.col("to_path").alias("b")))
+    group = linked.union(linked.select("component", "component").distinct()).select(F.col("node").alias("p"), "component")
+    group = shared.materialize(group)
+    touched = moves.select("seq", "path", F.lit("move").alias("kind"), "to_path").union(moves.select("seq", "to_path", F.lit("target"), F.lit(None).cast("string")))
+    kind = F.when(F.col("op") == "delete", "gone").otherwise("there")
+    none = F.lit(None).cast("string").alias("to_path")
+    own = ops.where("op in ('write', 'delete', 'append', 'prepend')").select("seq", "path", kind.alias("kind"), none)
+    first = notes.select(F.lit(-1).cast("long").alias("seq"), "path", F.lit("there").alias("kind"), none)
+    every = touched.union(own.union(first).join(group, F.col("path") == F.col("p"), "left_semi"))
+    after = F.lead("kind").over(Window.partitionBy("path").orderBy("seq"))
+    every = every.withColumn("next", after).where("kind = 'move' or kind in ('there', 'gone') and next in ('move', 'target')")
+    told = every.join(group, F.col("path") == F.col("p")).select("component", "seq", "path", "kind", "to_path")
+
+    def replay(t: pa.Table) -> pa.Table:
+        there, slot, out = set(), {}, []
+        for row in t.sort_by([("seq", "ascending")]).to_pylist():
+            path, to = row["path"], row["to_path"]
+            if row["kind"] == "there":
+                there.add(path)
+            elif row["kind"] == "gone":
+                there.discard(path)
+            elif path in there and to not in there:
+                there.discard(path)
+                there.add(to)
+                slot[to], slot[path] = slot.get(path, (path, -1)), (path, row["seq"])
+                out += [(p, row["seq"], *slot[p]) for p in (to, path)]
+        columns = list(zip(*out, strict=True)) or [()] * 4
+        return pa.table([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int64(), pa.string(), pa.int64()), strict=True)], names=["path", "since", "origin", "born"])
+
+    return told.groupBy("component").applyInArrow(replay, _CHANGE)
+
+
+def apply_log(notes: DataFrame, ops: DataFrame) -> DataFrame:
+    """``notes(path, text)`` after ``ops(seq, path, op, content, old_text, to_path)``, moves among them, in order of seq.
+
+    What each op does is as in ``apply_edits``; a move takes a note to
+    ``to_path``, and does nothing where the note isn't there, ``to_path`` is null or its own, or a
+    note is there already.  Later ops at the old path make a new note.  Numbers
+    are unique and not negative; ops without a path or number do nothing.  Each
+    op is given to the note that its path was at that moment, and notes are then
+    folded each by itself.
+    """
+    ops = ops.where("path is not null and seq is not null")
+    changes = shared.materialize(note_intervals(notes, ops))
+    edits = ops.where("op <> 'move'").select("seq", "path", "op", "content", "old_text")
+    key = lambda origin, born: F.concat(origin, F.lit("\0"), F.coalesce(born, F.lit(-1)).cast("string"))
+    starts = changes.select(F.col("since").alias("seq"), "path", F.struct("origin", "born").alias("note"))
+    both = edits.unionByName(starts, allowMissingColumns=True)
+    was = F.last("note", ignorenulls=True).over(Window.partitionBy("path").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
+    own = both.withColumn("was", was).where("note is null")
+    own = own.withColumn("path", key(F.coalesce("was.origin", "path"), F.col("was.born"))).drop("was", "note")
+    folded = apply_edits(notes.select(key(F.col("path"), F.lit(-1)).alias("path"), "text"), own)
+    # Where a note is in the end: at its last place, or where it began.
+    ends = changes.groupBy(key(F.col("origin"), F.col("born")).alias("k")).agg(F.max_by("path", "since").alias("end"))
+    at = folded.join(ends, folded.path == ends.k, "left")
+    return at.select(F.coalesce("end", F.split_part("path", F.lit("\0"), F.lit(1))).alias("path"), "text")
+
+
 def move_notes(notes: DataFrame, moves: DataFrame) -> DataFrame:
     """Notes under their new paths, ``moves(path, to_path)``; the smallest target of a path that has several.
 
