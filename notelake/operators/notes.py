@@ -11,6 +11,10 @@ from ..functions import text as T
 from .retrieval import holding
 
 
+#: Additions to a note that are put together at once.
+PART = 1000
+
+
 def list_notes(notes: DataFrame, folder: str | None = None, tag: str | None = None, limit: int | None = None) -> DataFrame:
     """Paths in order, of a folder (and those below it), with a tag, at most ``limit``; all by default."""
     out = notes
@@ -60,25 +64,34 @@ def apply_edits(notes: DataFrame, ops: DataFrame) -> DataFrame:
     What comes before a path's last write or delete is dead and dropped first.
     ``replace`` changes the first occurrence of ``old_text``, none if there is none;
     an append or prepend to a missing note creates it, a replace there does nothing.
+    Additions between two other ops are put together in parts of PART before they
+    meet the text, so no row holds a path's ops one by one.  Other ops do nothing.
     """
     last = Window.partitionBy("path")
     resets = F.max(F.when(F.col("op").isin("write", "delete"), F.col("seq"))).over(last)
-    live = ops.withColumn("reset", resets).where("reset is null or seq >= reset")
-    folded = live.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("seq", "op", "content", "old_text"))).alias("ops"))
+    live = ops.where("op in ('write', 'delete', 'append', 'prepend', 'replace')").withColumn("reset", resets).where("reset is null or seq >= reset")
+    barrier = F.col("op").isin("write", "delete", "replace")
+    live = live.withColumn("run", F.sum(F.when(barrier, 1).otherwise(0)).over(last.orderBy("seq")))
+    live = live.withColumn("part", F.floor(F.row_number().over(Window.partitionBy("path", "run").orderBy("seq")) / PART))
+    said = F.struct("seq", F.coalesce("content", F.lit("")).alias("content"))
+    listed = lambda op, up: F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("op") == op, said)), up), lambda x: x["content"]), "")
+    # A run of additions is what comes before and what comes after: made in parts, then of the parts.
+    start = F.max(F.when(barrier, F.struct("op", F.coalesce("content", F.lit("")).alias("content"), "old_text"))).alias("start")
+    parts = live.groupBy("path", "run", "part").agg(start, listed("prepend", False).alias("before"), listed("append", True).alias("after"), F.max(~barrier).alias("adds"))
+    joined = lambda c, up: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("part", F.col(c).alias("x"))), up), lambda p: p["x"]), "")
+    runs = parts.groupBy("path", "run").agg(F.max("start").alias("start"), joined("before", False).alias("before"), joined("after", True).alias("after"), F.max("adds").alias("adds"))
+    folded = runs.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("run", "start", "before", "after", "adds"))).alias("runs"))
     # One side may lack the path: a missing note is a null text.
     both = notes.select("path", "text").join(folded.withColumnRenamed("path", "p"), F.col("path") == F.col("p"), "full_outer")
 
-    def step(text, o):
-        c, old = F.coalesce(o["content"], F.lit("")), o["old_text"]
+    def step(text, r):
+        op, c, old = r["start"]["op"], r["start"]["content"], r["start"]["old_text"]
         at = F.instr(text, old)
         replaced = F.when(at > 0, F.concat(F.substring(text, F.lit(1), at - 1), c, F.substring(text, at + F.length(old), F.length(text)))).otherwise(text)
-        return (
-            F.when(o["op"] == "write", c).when(o["op"] == "delete", F.lit(None).cast("string"))
-            .when(o["op"] == "append", F.concat(F.coalesce(text, F.lit("")), c)).when(o["op"] == "prepend", F.concat(c, F.coalesce(text, F.lit(""))))
-            .when((o["op"] == "replace") & (F.length(old) > 0), replaced).otherwise(text)
-        )
+        begun = F.when(op == "write", c).when(op == "delete", F.lit(None).cast("string")).when((op == "replace") & (F.length(old) > 0), replaced).otherwise(text)
+        return F.when(r["adds"], F.concat(r["before"], F.coalesce(begun, F.lit("")), r["after"])).otherwise(begun)
 
-    text = F.when(F.col("ops").isNull(), F.col("text")).otherwise(F.aggregate("ops", F.col("text"), step))
+    text = F.when(F.col("runs").isNull(), F.col("text")).otherwise(F.aggregate("runs", F.col("text"), step))
     return both.select(F.coalesce("path", "p").alias("path"), text.alias("text")).where("text is not null")
 
 

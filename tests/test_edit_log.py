@@ -38,8 +38,9 @@ def got(spark, state, log):
     return {r.path: r.text for r in rows}
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
-def test_random_logs(spark, seed):
+@pytest.mark.parametrize(("seed", "part"), [(1, 1000), (2, 2), (3, 1)])
+def test_random_logs(spark, monkeypatch, seed, part):
+    monkeypatch.setattr(notes, "PART", part)
     rng = random.Random(seed)
     names = [f"n{i}" for i in range(9)] + [f"far{i}" for i in range(5)]
     state = {n: f"text of {n}" for n in names[:5]}
@@ -73,3 +74,13 @@ def test_query(spark):
     want = {p: hashlib.md5(t.encode()).hexdigest() for p, t in replay(start, log).items()}
     assert {r.path: r.text for r in queries.e_apply_log(spark, DATA).collect()} == want
     assert sum(r[2] == "move" for r in log) > 50
+
+
+def test_a_path_with_many_ops(spark):
+    """Long runs of additions, in parts: the plain replay's text, nulls as empty."""
+    rng = random.Random(4)
+    log = [(i, "hot" if i % 9 else "new", rng.choice(["append", "append", "prepend"]) if i % 1500 else "replace", None if i % 50 == 0 else f"[{i}]", "[7", None) for i in range(6000)]
+    state = {"hot": "start", "still": "s"}
+    want = replay(state, log)
+    start = spark.createDataFrame(list(state.items()), "path string, text string")
+    assert {r.path: r.text for r in notes.apply_edits(start, spark.createDataFrame(log, OPS)).collect()} == want
