@@ -385,15 +385,19 @@ def b6_restore(spark, d):
     return snapshots.restore(views.snapshots(spark, d), _live(spark, d))
 
 
-def _findings(spark, d):
+def _findings(spark, d, scan_by=scan.scan):
     files = views.table(spark, d, "documents").select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), "text")
-    return scan.scan(files, RULES)
+    return scan_by(files, RULES)
 
 
 def p2_scan(spark, d):
     return _findings(spark, d).select("path", F.col("line").cast("long").alias("line"), F.array_join("categories", ",").alias("categories"), "shown")
 
 
+def p2_scan_many(spark, d):
+    return _findings(spark, d, scan.scan_many).select("path", F.col("line").cast("long").alias("line"), F.array_join("categories", ",").alias("categories"), "shown")
+
+
 def p6_scan_summary(spark, d):
     return scan.scan_summary(_findings(spark, d))
 
@@ -407,6 +411,6 @@ QUERIES = {
         i1_diff_notes, i2_stale_notes, i3_build_index, i4_index_status,
         g1_note_bodies, g10_compare_graphs, g2_extract_links, g3_resolve_links, g4_broken_links, g4_ambiguous_links, g5_degrees, g6_roles, g7_connected_components, g8_graph_stats, g9_density_by_folder,
         l1_note_vectors, l2_eligible_notes, l3_current_links, l4_similar_pairs, l4_similar_pairs_by_cells, l4_cells_report, l5_propose_links, l6_rank_proposals, l7_apply_links, l8_near_duplicates, l9_pick_canonical,
-        b1_verify_payloads, b2_snapshot_manifest, b2_snapshot_failures, b3_verify_snapshot, b4_missing_files, b5_retention, b6_restore, p2_scan, p6_scan_summary,
+        b1_verify_payloads, b2_snapshot_manifest, b2_snapshot_failures, b3_verify_snapshot, b4_missing_files, b5_retention, b6_restore, p2_scan, p2_scan_many, p6_scan_summary,
     )
 }

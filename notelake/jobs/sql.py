@@ -167,6 +167,7 @@ _BODIES = {
     "b5_retention": "SELECT DISTINCT snapshot, 'notes' AS kind FROM snaps WHERE snapshot < '20240106-000000' UNION ALL SELECT snapshot, 'manifest' FROM (SELECT DISTINCT snapshot FROM snaps) WHERE snapshot < '20240104-000000'",
     "b6_restore": "SELECT path, max(snapshot) AS snapshot, arg_max(size, snapshot) AS size FROM snaps GROUP BY path",
     "p2_scan": f"SELECT path, line, array_to_string(cats, ',') AS categories, shown FROM ({_scan()})",
+    "p2_scan_many": f"SELECT path, line, array_to_string(cats, ',') AS categories, shown FROM ({_scan()})",
     "p6_scan_summary": f"SELECT category, count(*) AS n FROM (SELECT unnest(cats) AS category FROM ({_scan()})) GROUP BY category",
 }
 
