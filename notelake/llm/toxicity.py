@@ -183,6 +183,8 @@ def _looked_at(rows: DataFrame, names: list[str], folds: int = FOLDS) -> set[int
 def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], sample: int = SAMPLE) -> list[Linear]:
     """Chain over ``categories`` (name -> 0/1 column of ``labels``) from at most ``sample`` labelled rows of ``docs``.
 
+    The sample is drawn by the hash of the id among all ids that have both a
+    label and a document, so labels of other documents take no places in it.
     Labels repeated for an id count as 1 if any is; rows with a null label, and
     labels without a document, teach nothing.  Of rows that repeat an id one
     teaches.  A null text has no words.
@@ -190,7 +192,9 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], sam
     names = [f"y{i}" for i in range(len(categories))]
     y = labels.select(F.col("doc_id").cast("long").alias("k"), *(c.cast("int").alias(n) for n, c in zip(names, categories.values(), strict=True))).dropna()
     y = y.groupBy("k").agg(*(F.max(n).alias(n) for n in names))
-    y = y.orderBy(F.xxhash64("k"), "k").limit(sample)
+    # Each id once, so that one which many rows share is one row here; both sides are dealt by id already.
+    here = docs.select(F.col("doc_id").cast("long").alias("k")).where("k is not null").distinct()
+    y = y.join(here, "k", "left_semi").orderBy(F.xxhash64("k"), "k").limit(sample)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

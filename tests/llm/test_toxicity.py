@@ -33,6 +33,16 @@ def test_held_out_accuracy(spark):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, t in got.items() if not t}
 
 
+def test_labels_of_other_documents_take_no_places(spark):
+    rows, labels = make(400)
+    docs = spark.createDataFrame([*rows, *rows[:50], (None, "x", 0.0)], DOCS)
+    others = [(1000 + i, i % 2, int(i % 3 == 0)) for i in range(4000)]
+    own = spark.createDataFrame(labels, LABELS)
+    with_others = spark.createDataFrame(labels + others, LABELS)
+    score = lambda y: sorted((r.doc_id or -1, round(r.p_toxic, 9)) for r in toxicity.toxicity(docs, y, sample=300).collect())
+    assert score(with_others) == score(own)
+
+
 def test_later_models_see_held_out_predictions():
     rng = np.random.default_rng(0)
     rows = [np.array(sorted(set(rng.integers(0, 400, 30).tolist()))) for _ in range(600)]
