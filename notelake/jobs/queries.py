@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import chunking
 from ..functions import text as T
 from ..functions import vectors as V
-from ..operators import graph, index, notes, postings, retrieval, scan, similarity, snapshots
+from ..operators import graph, graph_state, index, notes, postings, retrieval, scan, similarity, snapshots
 from ..shared import materialize as checkpoint
 from ..sources.notes import live_docs
 from . import views
@@ -64,6 +64,10 @@ def n6_vault_inventory(spark, d):
     return notes.vault_inventory(views.raw_docs(spark, d))
 
 
+def n6_note_blocks(spark, d):
+    return notes.note_blocks(views.raw_blocks(spark, d))
+
+
 def _edited_notes(spark, d):
     v = views.vault_notes(spark, d)
     return v.select(F.concat(F.lit("n"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), "text")
@@ -271,6 +275,14 @@ def g10_compare_graphs(spark, d):
     return graph.compare_graphs(*out)
 
 
+def g7_kept_graph(spark, d):
+    """Degrees and components after a change of the notes, of the graph that was made before it."""
+    first = views.vault_notes(spark, d).select("path", "text", F.col("doc_id").alias("seq"))
+    state = {k: checkpoint(v) for k, v in graph_state.update_graph(graph_state.empty(spark), first).items()}
+    state = graph_state.update_graph(state, views.note_changes(spark, d))
+    return state["degrees"].join(state["components"], "path")
+
+
 def g1_note_bodies(spark, d):
     return graph.note_bodies(views.paragraphs(spark, d)).select("path", F.md5("text").alias("text"))
 
@@ -385,6 +397,11 @@ def b6_restore(spark, d):
     return snapshots.restore(views.snapshots(spark, d), _live(spark, d))
 
 
+def b6_restore_check(spark, d):
+    """The newest snapshot against the manifest of its day, which leaves unreadable files out."""
+    return snapshots.restore_check(snapshots.restore(views.snapshots(spark, d)), b2_snapshot_manifest(spark, d))
+
+
 def _findings(spark, d, scan_by=scan.scan):
     files = views.table(spark, d, "documents").select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), "text")
     return scan_by(files, RULES)
@@ -405,12 +422,12 @@ def p6_scan_summary(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        s2_live_docs, s3_clean_note_text, s4_decode_payload, n1_list_notes, n2_list_folders, n3_list_tags, n4_note_metadata, n5_search_names, n6_vault_inventory,
+        s2_live_docs, s3_clean_note_text, s4_decode_payload, n1_list_notes, n2_list_folders, n3_list_tags, n4_note_metadata, n5_search_names, n6_vault_inventory, n6_note_blocks,
         e_apply_edits, e_apply_log, e4_move_notes, c1_chunk_notes, c2_chunk_notes_index, c3_tokens, c5_expand_query, c7_doc_freq, m2_embed_with_cache, m4_cosine,
         r1_candidates, r2_tfidf, r6_rag_search, r7_index_search, r8_relevance_floor, r9_lexical_search, r9_postings_search, r9_postings_skipped, r10_neighbors,
         i1_diff_notes, i2_stale_notes, i3_build_index, i4_index_status,
-        g1_note_bodies, g10_compare_graphs, g2_extract_links, g3_resolve_links, g4_broken_links, g4_ambiguous_links, g5_degrees, g6_roles, g7_connected_components, g8_graph_stats, g9_density_by_folder,
+        g1_note_bodies, g10_compare_graphs, g2_extract_links, g3_resolve_links, g4_broken_links, g4_ambiguous_links, g5_degrees, g6_roles, g7_connected_components, g7_kept_graph, g8_graph_stats, g9_density_by_folder,
         l1_note_vectors, l2_eligible_notes, l3_current_links, l4_similar_pairs, l4_similar_pairs_by_cells, l4_cells_report, l5_propose_links, l6_rank_proposals, l7_apply_links, l8_near_duplicates, l9_pick_canonical,
-        b1_verify_payloads, b2_snapshot_manifest, b2_snapshot_failures, b3_verify_snapshot, b4_missing_files, b5_retention, b6_restore, p2_scan, p2_scan_many, p6_scan_summary,
+        b1_verify_payloads, b2_snapshot_manifest, b2_snapshot_failures, b3_verify_snapshot, b4_missing_files, b5_retention, b6_restore, b6_restore_check, p2_scan, p2_scan_many, p6_scan_summary,
     )
 }

@@ -13,6 +13,7 @@ _TAGS = r"""list_sort(list_distinct(regexp_extract_all(regexp_replace(text, '(?s
 #: Name -> what a text may read by it.
 _PARTS = {
     "vault_notes": views.SQL_NOTES,
+    "first_notes": views.SQL_NOTES,
     "raw_docs": views.SQL_RAW,
     "live": views.SQL_LIVE,
     "paragraphs": views.SQL_PARAGRAPHS,
@@ -79,21 +80,22 @@ _PARTS = {
 }
 
 
-def _sql(body: str) -> str:
-    """``body`` with the parts that it reads, and those that they read."""
+def _sql(body: str, **other: str) -> str:
+    """``body`` with the parts that it reads, and those that they read; ``other`` are parts in the place of those of that name."""
     import re
 
+    parts = _PARTS | other
     used: dict[str, None] = {}
 
     def add(text: str) -> None:
-        for name in _PARTS:
+        for name in parts:
             if name not in used and re.search(rf"\b{name}\b", re.sub(r"'[^']*'", "", text)):
                 used[name] = None
-                add(_PARTS[name])
+                add(parts[name])
                 used[name] = used.pop(name)  # after what it reads
 
     add(body)
-    return ("WITH RECURSIVE " + ", ".join(f"{n} AS ({_PARTS[n]})" for n in used) + " " if used else "") + body
+    return ("WITH RECURSIVE " + ", ".join(f"{n} AS ({parts[n]})" for n in used) + " " if used else "") + body
 
 
 def _scan() -> str:
@@ -158,6 +160,18 @@ _BODIES = {
     "l8_near_duplicates": f"SELECT a, b, round(score, 6) AS score FROM ({_NEAR})",
     "l9_pick_canonical": f"""SELECT round(score, 6) AS score, CASE WHEN one THEN a ELSE b END AS canonical, CASE WHEN one THEN b ELSE a END AS duplicate FROM
         (SELECT *, {_canonical('a')} >= {_canonical('b')} AS one FROM ({_NEAR}))""",
+    "l7_apply_links": rf"""SELECT path, regexp_replace(text, '\s+$', '') || chr(10) || chr(10) || '## {similarity.SECTION}' || chr(10) || chr(10) || lines || chr(10) AS text
+  FROM filed JOIN (
+    SELECT path, max(score) AS best, string_agg('- [[' || name || ']]', chr(10) ORDER BY score DESC, dst) AS lines FROM (
+      SELECT path, text, score, dst, regexp_replace(regexp_extract(dst, '([^/]*)$', 1), '\.md$', '') AS name
+      FROM filed JOIN ({_PROPOSED.replace("round(score, 6) AS score", "score")}) ON path = src)
+    WHERE NOT contains(text, '{similarity.SECTION}') AND NOT contains(text, '[[' || name || ']]')
+      AND NOT contains(text, '[[' || regexp_replace(dst, '\.md$', '') || ']]')
+    GROUP BY path ORDER BY best DESC, path LIMIT 50) USING (path)""",
+    "n6_note_blocks": f"""SELECT path, count(DISTINCT child) AS blocks, count(DISTINCT child) FILTER (child NOT IN (SELECT _id FROM raw_docs WHERE starts_with(_id, 'h:'))) AS missing
+  FROM (SELECT path, unnest(list_transform(range(0, doc_id % 3 + 1), lambda k: 'h:' || CAST(doc_id - doc_id % 4 + 4 * k AS VARCHAR))) AS child FROM live) GROUP BY path""",
+    "b6_restore_check": """SELECT '20240112-030000' AS snapshot, restored, exported, restored = exported AS complete FROM
+  (SELECT count(DISTINCT path) AS restored FROM snaps WHERE snapshot = '20240112-030000'), (SELECT count(*) FILTER (status <> 'unreadable') AS exported FROM verified)""",
     "b1_verify_payloads": "SELECT path, expected, got, status FROM verified",
     "b2_snapshot_manifest": "SELECT '20240112-030000' AS snapshot, count(*) AS files_in_vault, count(*) FILTER (status <> 'unreadable') AS exported, CAST(coalesce(sum(got), 0) AS BIGINT) AS bytes, count(*) FILTER (status = 'unreadable') AS n_errors, count(*) FILTER (status IN ('short', 'inflated')) AS n_truncated, bool_and(status = 'ok') AS ok FROM verified",
     "b2_snapshot_failures": "SELECT '20240112-030000' AS snapshot, path, status AS reason, expected, got FROM verified WHERE status <> 'ok'",
@@ -172,3 +186,19 @@ _BODIES = {
 }
 
 ORACLE_SQL = {name: _sql(body) for name, body in _BODIES.items()}
+
+ORACLE_SQL["g7_kept_graph"] = _sql("SELECT path, n_out, n_in, component FROM degree JOIN components USING (path)", vault_notes=views.SQL_CHANGED)
+
+_METRICS = ["notes", "linking", "receiving", "orphans", "islands", "components", "edges", "broken", "pct_linking"]
+
+
+def _metrics(name: str, notes: str) -> str:
+    """``(metric, name)`` of the graph of other notes."""
+    stats = _sql(f"SELECT *, CAST(floor(100 * linking / notes) AS BIGINT) AS pct_linking FROM ({_STATS})", vault_notes=notes)
+    return f"SELECT unnest({_list(_METRICS)}) AS metric, unnest([{', '.join(_METRICS)}]) AS {name} FROM ({stats})"
+
+
+_OLD = "SELECT doc_id, path, text FROM first_notes WHERE doc_id % 10 <> 0"
+_NEW = """SELECT doc_id, path, CASE WHEN doc_id % 14 = 0 THEN 'Note not found: x' WHEN doc_id % 7 = 0 THEN text || ' x' ELSE text END AS text
+  FROM first_notes WHERE doc_id % 10 <> 1"""
+ORACLE_SQL["g10_compare_graphs"] = f"SELECT metric, before, after FROM ({_metrics('before', _OLD)}) JOIN ({_metrics('after', _NEW)}) USING (metric)"

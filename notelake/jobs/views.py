@@ -21,6 +21,11 @@ _NOTES = """SELECT doc_id,
  timestamp '2024-01-01 00:00:00' + {mtime} AS mtime
 FROM {documents}"""
 
+#: Changes of the notes: some move to another folder, some gain a link, some vanish; ``seq`` orders those of one path.
+_CHANGES = """SELECT path, CASE WHEN doc_id % 10 = 5 THEN text || ' [[n' || CAST(doc_id + 3 AS STRING) || ']]' END AS text, doc_id AS seq
+ FROM {notes} WHERE doc_id % 10 IN (4, 5) OR doc_id % 20 = 6
+UNION ALL SELECT 'moved/' || path, text, doc_id FROM {notes} WHERE doc_id % 10 = 4"""
+
 _RAW = """SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'h:' || CAST(doc_id AS STRING) WHEN doc_id % 41 = 0 THEN '_design/' || CAST(doc_id AS STRING) ELSE lower(path) END AS _id,
  CASE WHEN doc_id % 23 <> 0 THEN CASE WHEN doc_id % 19 = 3 THEN replace(path, '.md', '.pdf') ELSE path END END AS path,
  n_chars AS size, doc_id AS mtime, doc_id % 9 = 0 AS deleted, body
@@ -37,12 +42,22 @@ def vault_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(sql, documents=table(spark, sf_dir, "documents"))
 
 
+def note_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(_CHANGES, notes=vault_notes(spark, sf_dir))
+
+
 def raw_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars", F.col("text").alias("body"))
     notes = vault_notes(spark, sf_dir).select(F.col("doc_id").alias("k"), "path")
     return spark.sql(_RAW.format(raw="{raw}"), raw=docs.join(notes, docs.doc_id == notes.k).drop("k"))
 
 
+def raw_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The raw documents with the blocks that each names."""
+    children = F.expr("transform(sequence(0, cast(doc_id % 3 as int)), k -> 'h:' || cast(doc_id - doc_id % 4 + 4 * k as string))")
+    return raw_docs(spark, sf_dir).withColumn("children", children)
+
+
 def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What was read of each live file: whole, cut, empty, missing; PDF files as base64 blocks."""
     from ..sources.notes import live_docs
@@ -110,6 +125,9 @@ SQL_NOTES = _duck(_NOTES).format(
     body=f"array_to_string(list_transform(string_split(text, chr(10)), lambda l, k: {_LINE.replace('i %', '(k-1) %')}), chr(10))",
     mtime="to_days(CAST(doc_id % 120 AS INTEGER))", documents="documents",
 )
+#: The notes after the changes; of rows with one path the last.
+SQL_CHANGED = f"""SELECT path, text FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY v DESC, seq DESC) AS r FROM (
+ SELECT path, text, doc_id AS seq, 0 AS v FROM first_notes UNION ALL SELECT path, text, seq, 1 FROM ({_duck(_CHANGES).format(notes="first_notes")}))) WHERE r = 1 AND text IS NOT NULL"""
 SQL_RAW = _duck(_RAW).format(raw="(SELECT d.doc_id, d.n_chars, d.text AS body, v.path FROM documents d JOIN vault_notes v ON d.doc_id = v.doc_id)")
 SQL_LIVE = "SELECT doc_id, path, size, mtime, body FROM raw_docs WHERE NOT starts_with(_id, 'h:') AND NOT starts_with(_id, '_') AND coalesce(path, '') <> '' AND NOT deleted"
 SQL_PARAGRAPHS = "SELECT path, CAST(i - 1 AS INTEGER) AS ord, p[i] AS text FROM (SELECT path, p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT path, string_split(text, chr(10) || chr(10)) AS p FROM vault_notes)) WHERE trim(p[i], ' ') <> ''"

@@ -114,7 +114,9 @@ def graph_changes(state: dict[str, DataFrame], changes: DataFrame, checkpoint: C
     loose = checkpoint(dirty.select("path").union(there.join(comps, "path", "left_anti").select("path")))  # notes that stand for themselves
     new = diff.where("d > 0").select("src", "dst")
     kept = state["links"].join(dirty.select("path"), "path", "left_semi").join(gone_links, ["path", "target"], "left_anti")
-    old = _edges(kept.join(vanished, "path", "left_anti"))
+    # Links that were made anew may lead where they led before: their edges are old ones.
+    remade = links.join(dirty.select("path"), "path", "left_semi")
+    old = _edges(kept.select(*links.columns).unionByName(remade)).join(new, ["src", "dst"], "left_anti")
     need = new.select(F.col("src").alias("path")).union(new.select("dst")).distinct()
     label = comps.join(need, "path", "left_semi").join(loose, "path", "left_anti").select(F.col("path").alias("p"), "component")
 

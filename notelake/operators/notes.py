@@ -58,6 +58,20 @@ def vault_inventory(raw: DataFrame) -> DataFrame:
     return raw.groupBy(kind.alias("kind"), ext.alias("extension")).agg(F.count("*").alias("n"), F.sum(F.coalesce("size", F.lit(0))).cast("long").alias("bytes"))
 
 
+def note_blocks(raw: DataFrame) -> DataFrame:
+    """``(path, blocks, missing)`` of each live file: the distinct blocks that its ``children`` name, and how many of them are no document.
+
+    Null children are none; files that share a path count together.
+    """
+    mine = ~F.col("_id").startswith("h:") & ~F.col("_id").startswith("_")
+    alive = raw.where(mine & (F.coalesce("path", F.lit("")) != "") & ~F.coalesce("deleted", F.lit(False)))
+    # A pair once, so that a block which very many files share is counted, not carried.
+    pairs = alive.select("path", F.explode_outer("children").alias("child")).distinct()
+    there = raw.where(F.col("_id").startswith("h:")).select(F.col("_id").alias("b")).distinct()
+    both = pairs.join(there, F.col("child") == F.col("b"), "left")
+    return both.groupBy("path").agg(F.count("child").alias("blocks"), F.count_if(F.col("child").isNotNull() & F.col("b").isNull()).alias("missing"))
+
+
 def apply_edits(notes: DataFrame, ops: DataFrame) -> DataFrame:
     """``notes(path, text)`` after ``ops(seq, path, op, content, old_text)``: write, delete, append, prepend, replace, in order of seq.
 

@@ -76,3 +76,15 @@ def restore(snapshots: DataFrame, paths: DataFrame | None = None) -> DataFrame:
     want = snapshots.join(paths.select("path").distinct(), "path", "left_semi")
     rank = F.row_number().over(Window.partitionBy("path").orderBy(F.desc("snapshot")))
     return want.withColumn("__r", rank).where("__r = 1").drop("__r")
+
+
+def restore_check(restored: DataFrame, manifest: DataFrame) -> DataFrame:
+    """``(snapshot, restored, exported, complete)``: distinct restored paths of each snapshot of the manifests against the number that was exported.
+
+    A manifest that nothing was restored from has 0; what is restored without
+    a manifest has a null number and isn't complete.
+    """
+    got = restored.groupBy("snapshot").agg(F.countDistinct("path").alias("restored"))
+    both = got.join(manifest.select("snapshot", "exported"), "snapshot", "full")
+    n = F.coalesce("restored", F.lit(0))
+    return both.select("snapshot", n.alias("restored"), "exported", F.coalesce(n == F.col("exported"), F.lit(False)).alias("complete"))

@@ -1,7 +1,7 @@
 """Schemas of the library's tables."""
 
 NOTES = "path string, text string, mtime timestamp, size bigint"
-RAW_DOCS = "_id string, path string, size bigint, mtime bigint, deleted boolean"
+RAW_DOCS = "_id string, path string, size bigint, mtime bigint, deleted boolean, children array<string>"
 INDEX_NOTES = "path string, mtime double, size bigint, hash string, n_chunks int, indexed_at timestamp"
 CHUNKS = "path string, ord int, heading string, hlevel int, ctype string, text string, vec array<float>"
 DOC_FREQ = "term string, n bigint"

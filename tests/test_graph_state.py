@@ -44,13 +44,13 @@ def replay(notes, batch):
     return notes
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [1])
 def test_random_changes(spark, seed):
     rng = random.Random(seed)
     names = [f"{f}n{i}.md" for i in range(14) for f in ("", "b/")]
     link = lambda: rng.choice([f"[[n{rng.randrange(18)}]]", f"[[b/n{rng.randrange(18)}.md|x]]", "[[12]]"])
     state, notes, seq = graph_state.empty(spark), {}, 0
-    for size in (20, 3, 6):
+    for size in (24, 8):
         batch = []
         for _ in range(size):
             seq += 1
@@ -71,6 +71,8 @@ def test_names_that_come_and_go(spark):
         [("m/b.md", None, 2), ("x.md", "[[z]]", 2)],
         [("b.md", None, 3), ("x.md", None, 3), ("gone.md", None, 3)],
         [("a.md", "[[c]]", 5), ("a.md", None, 4)],  # the last counts
+        [("a.md", "[[c]] [[z]] [[b]]", 6)],
+        [("a.md", "[[c]] [[b]]", 7)],  # loses one edge and keeps two
     ):
         state, notes = change(spark, state, batch), replay(notes, batch)
         same(spark, state, notes)
