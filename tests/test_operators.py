@@ -250,3 +250,20 @@ def test_bodies_and_ranking(spark):
     v = vault(spark, x__a="", x__b="", y="")
     assert [r.path for r in notes.list_notes(v, "x", limit=1).collect()] == ["x/a.md"]
     assert {r.folder for r in notes.list_folders(v).collect()} == {"x"}
+
+
+def test_note_blocks(spark):
+    raw = spark.createDataFrame(
+        [("h:1", None, None, None), ("h:2", None, None, False), ("a", "a.md", ["h:1", "h:1", "h:9", None], False), ("b", "b.md", None, None), ("c", "c.md", ["h:2"], True),
+         ("a2", "a.md", ["h:2"], False), ("_design/x", "x", ["h:1"], False)],
+        "_id string, path string, children array<string>, deleted boolean",
+    )
+    assert sorted(tuple(r) for r in notes.note_blocks(raw).collect()) == [("a.md", 3, 1), ("b.md", 0, 0)]
+    assert notes.note_blocks(raw.limit(0)).count() == 0
+
+
+def test_restore_check(spark):
+    got = spark.createDataFrame([("s1", "a"), ("s1", "a"), ("s1", "b"), ("s3", "a")], "snapshot string, path string")
+    manifest = spark.createDataFrame([("s1", 2), ("s2", 1)], "snapshot string, exported long")
+    rows = {tuple(r) for r in snapshots.restore_check(got, manifest).collect()}
+    assert rows == {("s1", 2, 2, True), ("s2", 0, 1, False), ("s3", 1, None, False)}
