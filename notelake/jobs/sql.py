@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ..functions import chunking as C
 from ..functions import text as T
 from ..operators import graph, scan, similarity
 from . import views
@@ -10,6 +11,23 @@ _list = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"
 _TOKENS = lambda c: f"regexp_extract_all(lower({c}), '{T.TOKEN}')"
 _TAGS = r"""list_sort(list_distinct(regexp_extract_all(regexp_replace(text, '(?s)```.*?(?:```|\z)', '', 'g'), '(?:^|\s)#([A-Za-z][A-Za-z0-9_/\-]*)', 1)))"""
 
+_STRIP = lambda c: f"trim({c}, '{C.BLANK}')"
+_UPTO = "OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING)"
+_BEFORE = "OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+
+
+def _chunk_parts(c: str, fence: str, head: str, others: str, begins: str) -> dict[str, str]:
+    """Lines with what they are, runs numbered where one begins, a row a run; ``k`` of a blank line is null."""
+    return {
+        f"{c}_fenced": f"SELECT *, coalesce(sum(CAST(fence AS INT)) {_BEFORE}, 0) % 2 = 1 AS inside FROM (SELECT *, {fence} AS fence FROM note_lines)",
+        f"{c}_kinds": f"""SELECT *, CASE WHEN fence OR inside THEN 'code' WHEN bare = '' THEN NULL WHEN regexp_matches({head}, '{C.HEADING}') THEN 'head' {others} END AS k FROM {c}_fenced""",
+        f"{c}_before": f"SELECT *, lag(k) OVER (PARTITION BY doc_id ORDER BY i) AS k1, last_value(k IGNORE NULLS) {_BEFORE} AS k2 FROM {c}_kinds",
+        f"{c}_numbered": f"SELECT *, sum(CAST(coalesce((fence AND NOT inside) OR {begins}, false) AS INT)) {_UPTO} AS run FROM {c}_before",
+        f"{c}_runs": f"""SELECT doc_id, run AS i, arg_min(k, i) AS k, string_agg(line, chr(10) ORDER BY i) AS t, min({head}) FILTER (k = 'head') AS h
+          FROM {c}_numbered GROUP BY doc_id, run""",
+    }
+
+
 #: Name -> what a text may read by it.
 _PARTS = {
     "vault_notes": views.SQL_NOTES,
@@ -28,6 +46,49 @@ _PARTS = {
     "ends": "SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges",
     "reach": "SELECT path AS a, path AS b FROM vault_notes UNION SELECT reach.a, ends.b FROM reach JOIN ends ON reach.b = ends.a",
     "components": "SELECT a AS path, min(b) AS component FROM reach GROUP BY a",
+    "note_lines": f"""SELECT doc_id, i, l[i] AS line, {_STRIP('l[i]')} AS bare FROM
+      (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM vault_notes))""",
+    **_chunk_parts(
+        "sem", "(starts_with(bare, '```') OR starts_with(bare, '~~~'))", "bare",
+        f"WHEN regexp_matches(bare, '{C.ROW}') THEN 'table' WHEN regexp_matches(line, '{C.ITEM}') THEN 'list' ELSE 'prose'",
+        "k = 'head' OR (k IS NOT NULL AND k IS DISTINCT FROM k2)",
+    ),
+    "sem_headed": f"""SELECT doc_id, i, k, {_STRIP('t')} AS t, coalesce(last_value({_STRIP(f"regexp_extract(h, '{C.HEADING}', 2)")} IGNORE NULLS) {_UPTO}, '') AS heading,
+      coalesce(last_value(length(regexp_extract(h, '{C.HEADING}', 1)) IGNORE NULLS) {_UPTO}, 0) AS hlevel FROM sem_runs""",
+    "sem_long": f"SELECT doc_id, i, string_split(t, chr(10)) AS l FROM sem_headed WHERE k = 'code' AND length(t) > {C.LONG_CODE}",
+    "sem_cut": f"""SELECT doc_id, i, l, 1 AS j, length(l[1]) + 1 AS n, 0 AS part FROM sem_long
+      UNION ALL SELECT doc_id, i, l, j + 1, CASE WHEN n >= {C.CODE_PART} THEN 0 ELSE n END + length(l[j + 1]) + 1, part + CAST(n >= {C.CODE_PART} AS INT) FROM sem_cut WHERE j < len(l)""",
+    "sem_all": f"""SELECT doc_id, i, 0 AS part, k, t, heading, hlevel FROM sem_headed WHERE k <> 'head' AND t <> '' AND (doc_id, i) NOT IN (SELECT (doc_id, i) FROM sem_long)
+      UNION ALL SELECT c.doc_id, c.i, c.part, 'code', {_STRIP('c.t')}, heading, hlevel
+      FROM (SELECT doc_id, i, part, string_agg(l[j], chr(10) ORDER BY j) AS t FROM sem_cut GROUP BY doc_id, i, part) c JOIN sem_headed h ON c.doc_id = h.doc_id AND c.i = h.i""",
+    "sem_ranked": "SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i, part) AS r FROM sem_all",
+    "sem_merged": """SELECT doc_id, r, r AS first_r, k, length(t) AS n FROM sem_ranked WHERE r = 1
+      UNION ALL SELECT c.doc_id, c.r, CASE WHEN m.k = 'prose' AND c.k = 'prose' AND m.n < 80 THEN m.first_r ELSE c.r END, c.k,
+        CASE WHEN m.k = 'prose' AND c.k = 'prose' AND m.n < 80 THEN m.n + 2 ELSE 0 END + length(c.t)
+      FROM sem_merged m JOIN sem_ranked c ON c.doc_id = m.doc_id AND c.r = m.r + 1""",
+    "sem_joined": """SELECT doc_id, first_r AS r, min_by(c.heading, c.r) AS heading, min_by(c.hlevel, c.r) AS hlevel, any_value(c.k) AS k, string_agg(c.t, chr(10) || chr(10) ORDER BY c.r) AS t
+      FROM sem_merged m JOIN sem_ranked c USING (doc_id, r) GROUP BY doc_id, first_r""",
+    "sem_short": f"SELECT doc_id, {_STRIP('text')} AS t FROM vault_notes WHERE length({_STRIP('text')}) < 80",
+    "sem_none": f"SELECT doc_id, left({_STRIP('text')}, 2000) AS t FROM vault_notes WHERE doc_id NOT IN (SELECT doc_id FROM sem_joined) AND length({_STRIP('text')}) >= 80",
+    "sem_chunks": """SELECT doc_id, r, heading, hlevel, k, t FROM sem_joined WHERE doc_id NOT IN (SELECT doc_id FROM sem_short)
+      UNION ALL SELECT doc_id, 1, '', 0, 'prose', t FROM sem_short UNION ALL SELECT doc_id, 1, '', 0, 'prose', t FROM sem_none""",
+    **_chunk_parts(
+        "idx", "starts_with(bare, '```')", "line",
+        f"WHEN starts_with(bare, '|') THEN 'table' WHEN regexp_matches(line, '{C.INDEX_ITEM}') THEN 'list' ELSE 'plain'",
+        "k IN ('head', 'table', 'list') OR (k = 'plain' AND (k1 IS NULL OR k1 = 'code'))",
+    ),
+    "idx_headed": f"""SELECT doc_id, i, t, last_value({_STRIP(f"regexp_extract(h, '{C.HEADING}', 2)")} IGNORE NULLS) {_UPTO} AS heading,
+      coalesce(last_value(length(regexp_extract(h, '{C.HEADING}', 1)) IGNORE NULLS) {_UPTO}, 0) AS hlevel,
+      CASE WHEN k = 'code' THEN k ELSE coalesce(last_value(CASE k WHEN 'code' THEN 'prose' WHEN 'head' THEN 'prose' WHEN 'table' THEN k WHEN 'list' THEN k END IGNORE NULLS) {_UPTO}, 'prose') END AS k
+      FROM idx_runs""",
+    "idx_long": f"SELECT doc_id, i, string_split(t, chr(10)) AS l FROM idx_headed WHERE k = 'code' AND length(t) > {C.CODE_PART}",
+    "idx_cut": f"""SELECT doc_id, i, l, 1 AS j, length(l[1]) AS n, 0 AS part FROM idx_long
+      UNION ALL SELECT doc_id, i, l, j + 1, CASE WHEN n > {C.CODE_PART} AND j > 1 THEN 0 ELSE n END + length(l[j + 1]), part + CAST(n > {C.CODE_PART} AND j > 1 AS INT) FROM idx_cut WHERE j < len(l)""",
+    "idx_chunks": f"""SELECT doc_id, i, part, heading, hlevel, k, {_STRIP('t')} AS t FROM
+      (SELECT doc_id, i, 0 AS part, heading, hlevel, k, t FROM idx_headed WHERE (doc_id, i) NOT IN (SELECT (doc_id, i) FROM idx_long)
+       UNION ALL SELECT c.doc_id, c.i, c.part, heading, hlevel, k, c.t
+       FROM (SELECT doc_id, i, part, string_agg(l[j], chr(10) ORDER BY j) AS t FROM idx_cut GROUP BY doc_id, i, part) c JOIN idx_headed h ON c.doc_id = h.doc_id AND c.i = h.i)
+      WHERE {_STRIP('t')} <> ''""",
     "edited": "SELECT doc_id, 'n' || CAST(doc_id AS VARCHAR) || '.md' AS path, text FROM vault_notes",
     "filed": views.SQL_FILED,
     "wording": views.SQL_WORDING,
@@ -130,6 +191,10 @@ _BODIES = {
         SELECT *, CASE WHEN starts_with(_id, 'h:') THEN 'block' WHEN starts_with(_id, '_') THEN 'system' WHEN deleted THEN 'tombstone' WHEN coalesce(path, '') <> '' THEN 'live' ELSE 'other' END AS kind FROM raw_docs) GROUP BY 1, 2""",
     "e_apply_edits": "SELECT path, md5(text) AS text FROM (SELECT path, arg_max(k, k) AS k, max(k) AS top FROM fold GROUP BY path) m JOIN fold USING (path, k) WHERE text IS NOT NULL",
     "e4_move_notes": """SELECT CASE WHEN target IS NULL OR path IN (SELECT path FROM refused) THEN path ELSE target END AS path, md5(text) AS text FROM moving""",
+    "c1_chunk_notes": """SELECT path, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY r) - 1 AS INTEGER) AS ord, heading, CAST(hlevel AS INTEGER) AS hlevel, k AS ctype, t AS text
+      FROM sem_chunks JOIN vault_notes USING (doc_id)""",
+    "c2_chunk_notes_index": f"""SELECT path, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i, part) - 1 AS INTEGER) AS ord, heading, CAST(hlevel AS INTEGER) AS hlevel, k AS ctype, t AS text
+      FROM idx_chunks JOIN vault_notes USING (doc_id) WHERE length({_STRIP('vault_notes.text')}) >= 20""",
     "c3_tokens": f"SELECT path, md5(array_to_string(t, ' ')) AS tokens, CAST(CASE WHEN len(k) > 0 THEN len(k) ELSE len(t) END AS BIGINT) AS n_key_terms, sha1(text) AS hash, md5(substr(text, 1, 600)) AS excerpt FROM (SELECT path, text, {_TOKENS('text')} AS t, list_filter({_TOKENS('text')}, lambda x: length(x) > 1 AND NOT list_contains({_list(T.STOP_WORDS)}, x)) AS k FROM vault_notes)",
     "c5_expand_query": _PARTS["terms"].replace("SELECT qid, list_sort", "SELECT qid, array_to_string(list_sort").replace(" AS terms, query FROM", ", ' ') AS terms FROM").replace("FROM queries)", "FROM (SELECT qid, query || CASE WHEN qid % 2 = 0 THEN ' docker backup Tarea' ELSE '' END AS query FROM queries))"),
     "c7_doc_freq": f"SELECT term, count(*) AS n FROM (SELECT unnest(list_distinct({_TOKENS('text')})) AS term FROM paragraphs) GROUP BY term",

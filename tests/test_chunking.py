@@ -1,6 +1,8 @@
 import pytest
 
-from notelake.functions.chunking import chunk_notes, index_chunks, semantic_chunks
+from plain_chunks import index_chunks, semantic_chunks
+
+from notelake.functions.chunking import chunk_notes, chunk_notes_index
 
 LONG = "words that make up a paragraph of some length, so that nothing is joined to it or taken for a fragment. " * 2
 
@@ -78,3 +80,67 @@ def test_frame(spark):
     df = spark.createDataFrame([("a.md", f"# T\n\n{LONG}"), ("b.md", None)], "path string, text string")
     rows = {(r.path, r.ord): (r.heading, r.text) for r in chunk_notes(df).collect()}
     assert rows == {("a.md", 0): ("T", LONG.strip()), ("b.md", 0): ("", "")}
+
+
+KINDS = ["# head", "#", "## ", "####### seven", " # indented", "- item", "  * item", "+ item", "12. item", "| a | b |", "|", " | x", "", "", "  ", "\u2003", "plain words", "short", LONG, "```", "  ```py", "~~~", "y" * 1600, "z" * 2999, "ñ" * 81, "a\rb", "\x1cc", "\u0663. x"]
+
+
+def texts():
+    import random
+
+    r = random.Random(3)
+    for n in [1, 2, 3, 5, 8, 20, 60, 200]:
+        for _ in range(40):
+            some = r.sample(KINDS, r.randint(2, len(KINDS)))
+            yield "\n".join(r.choice(some) for _ in range(n))
+    yield from ["", " \n\n ", "x" * 79, "x" * 80, "```" + "q" * 3500 + "\nx\ny", "```\n" + "x\n" * 4000, "#" * 100, "\n" * 100 + "end" * 30, None]
+
+
+@pytest.mark.parametrize("size", [80, 0, 500])
+def test_frames_equal_the_plain_chunkers(spark, size):
+    all_texts = list(texts())
+    df = spark.createDataFrame([(str(i), t) for i, t in enumerate(all_texts)], "path string, text string").repartition(4)
+    names = ["heading", "hlevel", "ctype", "text"]
+
+    def same(frame, plain):
+        got = {}
+        for r in frame.orderBy("path", "ord").collect():
+            got.setdefault(r.path, []).append(tuple(r[c] for c in names))
+        for i, t in enumerate(all_texts):
+            assert got.get(str(i), []) == plain(t), t
+
+    same(chunk_notes(df, size), lambda t: semantic_chunks(t, size))
+    same(chunk_notes_index(df, size), lambda t: index_chunks(t, size))
+    same(chunk_notes_index(df, size, keep_short=False), lambda t: index_chunks(t, size, keep_short=False))
+
+
+def test_awkward_rows(spark):
+    df = spark.createDataFrame([("a", LONG, 1), ("a", LONG, 2), (None, LONG, 3)], "path string, text string, ord int")
+    assert sorted((r.path or "", r.ord) for r in chunk_notes(df).collect()) == [("", 0), ("a", 0), ("a", 0)]
+    assert chunk_notes_index(df.limit(0)).count() == 0
+    assert "Python" not in chunk_notes(df)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_many_lines(spark):
+    text = "\n".join(["# h", "words", "", "- item", "| a | b |"] * 20000 + ["```"] + ["code"] * 100000)
+    df = spark.createDataFrame([("a", text)], "path string, text string")
+    assert chunk_notes_index(df).count() == len(index_chunks(text))
+    assert chunk_notes(df).count() == len(semantic_chunks(text))
+
+
+@pytest.mark.parametrize("name, plain", [("c1_chunk_notes", semantic_chunks), ("c2_chunk_notes_index", index_chunks)])
+def test_sql_on_awkward_texts(name, plain):
+    import duckdb
+
+    from notelake.jobs import sql
+
+    db = duckdb.connect()
+    # One row a text that is its own path; nulls aside, as a note of the view has a text.
+    notes = dict(enumerate(t for t in texts() if t is not None))
+    db.execute("CREATE TABLE given (doc_id BIGINT, path VARCHAR, text VARCHAR)")
+    db.executemany("INSERT INTO given VALUES (?, ?, ?)", [(i, str(i), t) for i, t in notes.items()])
+    got = {}
+    for path, *chunk in db.execute(sql._sql(f"SELECT path, heading, hlevel, ctype, text FROM ({sql._BODIES[name]}) ORDER BY path, ord", vault_notes="SELECT * FROM given")).fetchall():
+        got.setdefault(int(path), []).append(tuple(chunk))
+    for i, t in notes.items():
+        assert got.get(i, []) == plain(t), t
