@@ -402,6 +402,14 @@ def b6_restore_check(spark, d):
     return snapshots.restore_check(snapshots.restore(views.snapshots(spark, d)), b2_snapshot_manifest(spark, d))
 
 
+def b4_changed_files(spark, d):
+    """The two newest snapshots by their digest trees; some files have grown in the newer one."""
+    every = views.snapshots(spark, d)
+    grown = F.col("size") + F.when(F.length("path") % 5 == 0, 1).otherwise(0)
+    before, after = every.where("snapshot = '20240111-030000'"), every.where("snapshot = '20240112-030000'").withColumn("size", grown)
+    return snapshots.changed_files(before, after, checkpoint(snapshots.snapshot_tree(before)), checkpoint(snapshots.snapshot_tree(after)))
+
+
 def _findings(spark, d, scan_by=scan.scan):
     files = views.table(spark, d, "documents").select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), "text")
     return scan_by(files, RULES)
@@ -428,6 +436,6 @@ QUERIES = {
         i1_diff_notes, i2_stale_notes, i3_build_index, i4_index_status,
         g1_note_bodies, g10_compare_graphs, g2_extract_links, g3_resolve_links, g4_broken_links, g4_ambiguous_links, g5_degrees, g6_roles, g7_connected_components, g7_kept_graph, g8_graph_stats, g9_density_by_folder,
         l1_note_vectors, l2_eligible_notes, l3_current_links, l4_similar_pairs, l4_similar_pairs_by_cells, l4_cells_report, l5_propose_links, l6_rank_proposals, l7_apply_links, l8_near_duplicates, l9_pick_canonical,
-        b1_verify_payloads, b2_snapshot_manifest, b2_snapshot_failures, b3_verify_snapshot, b4_missing_files, b5_retention, b6_restore, b6_restore_check, p2_scan, p2_scan_many, p6_scan_summary,
+        b1_verify_payloads, b2_snapshot_manifest, b2_snapshot_failures, b3_verify_snapshot, b4_missing_files, b4_changed_files, b5_retention, b6_restore, b6_restore_check, p2_scan, p2_scan_many, p6_scan_summary,
     )
 }

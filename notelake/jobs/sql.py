@@ -243,6 +243,10 @@ _BODIES = {
     "b3_verify_snapshot": """SELECT snapshot, files, live_files, bytes, live_bytes, files = live_files AS count_ok, bytes >= 0.9 * live_bytes AS bytes_ok, true AS age_ok FROM
         (SELECT snapshot, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes FROM snaps WHERE snapshot = '20240112-030000' GROUP BY 1), (SELECT count(*) AS live_files, CAST(sum(size_) AS BIGINT) AS live_bytes FROM payloads)""",
     "b4_missing_files": "SELECT path, 'not saved' AS side FROM payloads WHERE path NOT IN (SELECT path FROM snaps WHERE snapshot = '20240112-030000')",
+    "b4_changed_files": """SELECT coalesce(o.path, n.path) AS path, CASE WHEN o.path IS NULL THEN 'added' WHEN n.path IS NULL THEN 'removed' ELSE 'changed' END AS change
+      FROM (SELECT path, list_sort(list(size)) AS s FROM snaps WHERE snapshot = '20240111-030000' GROUP BY path) o
+      FULL JOIN (SELECT path, list_sort(list(size + CAST(length(path) % 5 = 0 AS INT))) AS s FROM snaps WHERE snapshot = '20240112-030000' GROUP BY path) n ON o.path = n.path
+      WHERE o.s IS DISTINCT FROM n.s""",
     "b5_retention": "SELECT DISTINCT snapshot, 'notes' AS kind FROM snaps WHERE snapshot < '20240106-000000' UNION ALL SELECT snapshot, 'manifest' FROM (SELECT DISTINCT snapshot FROM snaps) WHERE snapshot < '20240104-000000'",
     "b6_restore": "SELECT path, max(snapshot) AS snapshot, arg_max(size, snapshot) AS size FROM snaps GROUP BY path",
     "p2_scan": f"SELECT path, line, array_to_string(cats, ',') AS categories, shown FROM ({_scan()})",

@@ -4,13 +4,18 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..shared import materialize
 
 TOLERANCE = 0.10
 UNREADABLE = "Note not found"
+#: Parts that a folder's own files are dealt to, so that one folder of very many isn't compared as a whole.
+BUCKETS = 64
+#: Partitions that a table of files can be written by, so that only those with differences are read.
+SHARDS = 256
 
 
 def verify_payloads(live: DataFrame, payloads: DataFrame) -> DataFrame:
@@ -88,3 +93,96 @@ def restore_check(restored: DataFrame, manifest: DataFrame) -> DataFrame:
     both = got.join(manifest.select("snapshot", "exported"), "snapshot", "full")
     n = F.coalesce("restored", F.lit(0))
     return both.select("snapshot", n.alias("restored"), "exported", F.coalesce(n == F.col("exported"), F.lit(False)).alias("complete"))
+
+
+def _folder(path: Column) -> Column:
+    return F.coalesce(F.regexp_extract(path, "(?s)^(.*)/", 1), F.lit(""))
+
+
+def _placed(saved: DataFrame) -> DataFrame:
+    return saved.withColumn("__folder", _folder(F.col("path"))).withColumn("__bucket", F.pmod(F.xxhash64("path"), F.lit(BUCKETS)).cast("int"))
+
+
+def _shard() -> Column:
+    return F.pmod(F.xxhash64("__folder", "__bucket"), F.lit(SHARDS)).cast("int")
+
+
+def with_shard(saved: DataFrame) -> DataFrame:
+    """``saved`` with ``shard``, to be written by: ``with_shard(saved).write.partitionBy("shard")``."""
+    return _placed(saved).withColumn("shard", _shard()).drop("__folder", "__bucket")
+
+
+def _sums(columns: tuple[str, ...]) -> list[Column]:
+    """Four sums of 60 bits each of the rows' hashes: they add up in any order, so no group's rows are gathered."""
+    row = F.sha2(F.to_json(F.struct("path", *columns)), 256)
+    return [F.sum(F.conv(F.substring(row, 1 + 15 * k, 15), 16, 10).cast("decimal(20,0)")).alias(f"s{k}") for k in range(4)]
+
+
+def _digest() -> Column:
+    return F.sha2(F.concat_ws("-", *[F.col(f"s{k}").cast("string") for k in range(4)]), 256)
+
+
+def snapshot_tree(saved: DataFrame, columns: tuple[str, ...] = ("size",)) -> DataFrame:
+    """``saved(path, ...)`` -> ``(level, parent, folder, bucket, files, digest)``: digests of ``path`` and ``columns`` by folder.
+
+    The root is level 0 with a null parent.  A folder's children, a level below it, are
+    its folders (null bucket) and BUCKETS parts of its own files; its sums are theirs
+    added up, and the digest is the sums' hash.  Write it ``partitionBy("level")``.
+    Repeated rows count as often as they stand; a null path is a file of the root.
+    """
+    own = _placed(saved).groupBy("__folder", "__bucket").agg(F.count("*").alias("files"), *_sums(columns))
+    parts = F.filter(F.split("__folder", "/"), lambda x: F.col("__folder") != "")
+    above = F.transform(F.sequence(F.lit(0), F.size("parts")), lambda k: F.struct(
+        k.alias("level"), F.when(k > 0, F.array_join(F.slice("parts", 1, k - 1), "/")).alias("parent"),
+        F.array_join(F.slice("parts", 1, k), "/").alias("folder"), F.lit(None).cast("int").alias("bucket"),
+    ))
+    self_ = F.struct((F.size("parts") + 1).alias("level"), F.col("__folder").alias("parent"), F.col("__folder").alias("folder"), F.col("__bucket").alias("bucket"))
+    nodes = own.withColumn("parts", parts).select(F.explode(F.concat(above, F.array(self_))).alias("n"), "files", "s0", "s1", "s2", "s3")
+    added = nodes.groupBy("n").agg(F.sum("files").alias("files"), *[F.sum(f"s{k}").alias(f"s{k}") for k in range(4)])
+    return added.select("n.*", "files", _digest().alias("digest"))
+
+
+def _differing(before: DataFrame, after: DataFrame) -> DataFrame:
+    """``(folder, bucket)`` of the nodes that only one tree has or whose digests differ."""
+    key = lambda d, t: d.select("folder", F.coalesce("bucket", F.lit(-1)).alias("b"), F.col("digest").alias(t))
+    both = key(before, "was").join(key(after, "now"), ["folder", "b"], "full").where("not was <=> now")
+    return both.select("folder", F.when(F.col("b") >= 0, F.col("b")).alias("bucket"))
+
+
+def tree_differences(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Trees of two snapshots -> ``(folder, bucket)`` of the parts that differ, found from the root down.
+
+    A level is read only if a folder above it differs, and of it only the
+    children of such folders are compared; equal trees cost one row each.  As
+    many small jobs as the differences are deep.
+    """
+    found = materialize(_differing(before.where("level = 0"), after.where("level = 0")))
+    parts, level = found.where("bucket is not null"), 0
+    while not (above := found.where("bucket is null")).isEmpty():
+        level += 1
+        wanted = above.select(F.col("folder").alias("parent"))
+        below = [tree.where(F.col("level") == level).join(wanted, "parent", "left_semi") for tree in (before, after)]
+        found = materialize(_differing(*below))
+        parts = parts.union(found.where("bucket is not null"))
+    return parts
+
+
+def changed_files(before: DataFrame, after: DataFrame, before_tree: DataFrame, after_tree: DataFrame, columns: tuple[str, ...] = ("size",)) -> DataFrame:
+    """``(path, change)`` between two snapshots, change being added, removed or changed, by their trees.
+
+    Only files of parts that differ are joined.  Tables written by
+    ``with_shard``'s ``shard`` are read only where such parts lie (the at most
+    SHARDS numbers are collected).  A path with repeated rows is changed if
+    they differ, in whatever order; a null path is one like any other.
+    """
+    parts = tree_differences(before_tree, after_tree).select(F.col("folder").alias("__folder"), F.col("bucket").alias("__bucket"))
+    shards = [r[0] for r in parts.select(_shard()).distinct().collect()]
+
+    def of(files: DataFrame, name: str) -> DataFrame:
+        near = files.where(F.col("shard").isin(shards)) if "shard" in files.columns else files
+        rows = _placed(near).join(parts, ["__folder", "__bucket"], "left_semi")
+        return rows.groupBy("path").agg(*_sums(columns)).select(F.col("path").alias(f"path_{name}"), _digest().alias(name))
+
+    both = of(before, "was").join(of(after, "now"), F.col("path_was").eqNullSafe(F.col("path_now")), "full").where("not was <=> now")
+    change = F.when(F.col("was").isNull(), "added").when(F.col("now").isNull(), "removed").otherwise("changed")
+    return both.select(F.coalesce("path_was", "path_now").alias("path"), change.alias("change"))
