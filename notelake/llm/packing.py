@@ -19,27 +19,28 @@ import math
 import os
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-#: Words a worker keeps the ids of; at that number it starts anew.
+#: Words, and pre-tokens, that a worker keeps the ids of; beyond that number it forgets the half not in use.
 KEPT_WORDS = 600_000
 #: Documents of a shard, about.
 SHARD_DOCS = 10_000
 #: Characters of the texts that a worker takes at once.
-_CHUNK_CHARS = 4 << 20
+_CHUNK_CHARS = 8 << 20
 
 
-#: Texts of plain characters are lower-cased here and cut into pre-tokens by a pattern of our own.
+#: Texts of plain characters are lower-cased here and cut into pre-tokens, and line ends, by a pattern of our own.
 _LETTER, _DIGIT = "a-zA-ZªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾"
-_PIECES = re.compile(rf"'(?:s|t|re|ve|m|ll|d)|[{_LETTER}]+|[{_DIGIT}]|[^ \n\t\r{_LETTER}{_DIGIT}]+")
+_PIECES = re.compile(rf"'(?:s|t|re|ve|m|ll|d)|[{_LETTER}]+|[{_DIGIT}]|[^ \n\t\r{_LETTER}{_DIGIT}]+|\n")
 _AWKWARD = ("<|", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x1f", "\x85", "\xa0")
 
 
@@ -52,12 +53,49 @@ def _plain(text: str) -> bool:
     return not any(x in text for x in _AWKWARD)
 
 
+def _taken(ids: np.ndarray, ends: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs ``which`` of ``ids`` one after another; run k is ``ids[ends[k] : ends[k + 1]]``, and so it is in the result."""
+    begin = ends[which]
+    count = ends[which + 1] - begin
+    out = np.concatenate([[0], np.cumsum(count)])
+    return ids[np.arange(out[-1]) + np.repeat(begin - out[:-1], count)], out
+
+
+class KeptIds:
+    """Ids of strings, kept in columns; beyond ``most`` strings the half that was asked for last stays."""
+
+    def __init__(self, learn: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]], most: int):
+        self.learn, self.most, self.calls = learn, most, 0
+        self.words, self.used = pa.array([], pa.large_string()), np.empty(0, np.int64)
+        self.ids, self.ends = np.empty(0, "<u4"), np.zeros(1, np.int64)
+
+    def get(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Runs of ids of distinct ``words``."""
+        self.calls += 1
+        found = pc.index_in(words, value_set=self.words)
+        fresh = words.filter(found.is_null())
+        place = found.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        if len(fresh):
+            place[place < 0] = len(self.words) + np.arange(len(fresh))
+            ids, ends = self.learn(fresh)
+            self.words, self.used = pa.concat_arrays([self.words, fresh]), np.concatenate([self.used, np.empty(len(fresh), np.int64)])
+            self.ids, self.ends = np.concatenate([self.ids, ids]), np.concatenate([self.ends, self.ends[-1] + ends[1:]])
+        self.used[place] = self.calls
+        got = _taken(self.ids, self.ends, place)
+        if len(self.words) > self.most:
+            stay = np.sort(np.argsort(self.used, kind="stable")[-(self.most // 2) :])
+            self.words, self.used = self.words.take(pa.array(stay)), self.used[stay]
+            self.ids, self.ends = _taken(self.ids, self.ends, stay)
+        return got
+
+
 class WordIds:
     """Token ids of texts for a tokenizer that lower-cases, drops white space and marks the ends of pre-tokens.
 
     Pre-tokens are independent, so each is encoded once; new ones go through the
     library together and are told apart by their last tokens.  Texts with other
     than plain characters are cut at white space and their words encoded whole.
+    Words of many texts are told apart and put together in columns.
     """
 
     def __init__(self, path: str):
@@ -65,53 +103,57 @@ class WordIds:
         self.last = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.last[i] = token.endswith("</w>")
-        self.words: dict[str, bytes] = {}
-        self.before: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-        self.whole: dict[str, bytes] = {}
+        self.words = KeptIds(self._from_pieces, KEPT_WORDS)
+        self.pieces = KeptIds(self._from_library, KEPT_WORDS)
+        self.whole = KeptIds(self._whole, KEPT_WORDS // 2)
 
-    def _whole(self, words: list[str], kept: dict[str, bytes]) -> None:
+    def _whole(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        ids, counts = [], []
         for at in range(0, len(words), 5000):
-            part = words[at : at + 5000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                kept[w] = np.array(e.ids, "<u4").tobytes()
+            for e in self.tokenizer.encode_batch_fast(words.slice(at, 5000).to_pylist(), add_special_tokens=False):
+                ids.append(np.array(e.ids, "<u4"))
+                counts.append(len(ids[-1]))
+        return np.concatenate(ids), np.concatenate([[0], np.cumsum(counts)])
 
-    def _learn_pieces(self, pieces: list[str]) -> None:
+    def _from_library(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        parts, ends, held = [], [np.zeros(1, np.int64)], 0
         for at in range(0, len(pieces), 20_000):
-            part = pieces[at : at + 20_000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            ends = (np.flatnonzero(self.last[ids]) + 1).tolist()
-            if len(ends) != len(part):
-                self._whole(part, self.pieces)
-                continue
-            data, start = ids.tobytes(), 0
-            for p, end in zip(part, ends, strict=True):
-                self.pieces[p] = data[4 * start : 4 * end]
-                start = end
+            part = pieces.slice(at, 20_000)
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part.to_pylist())], add_special_tokens=False)[0].ids, "<u4")
+            own = np.flatnonzero(self.last[ids]) + 1
+            if len(own) != len(part):
+                ids, own = self._whole(part)
+                own = own[1:]
+            parts.append(ids)
+            ends.append(own + held)
+            held += len(ids)
+        return np.concatenate(parts), np.concatenate(ends)
+
+    def _from_pieces(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        found = pa.array(_PIECES.findall("\n" + "\n".join(words.to_pylist())), pa.large_string()).dictionary_encode()
+        which = found.indices.to_numpy()  # 0 is the line end before each word, which has no ids
+        ids, ends = np.empty(0, "<u4"), np.zeros(1, np.int64)
+        if len(found.dictionary) > 1:
+            ids, ends = self.pieces.get(found.dictionary.slice(1))
+        ids, ends = _taken(ids, np.concatenate([[0], ends]), which)
+        return ids, np.concatenate([ends[np.flatnonzero(which == 0)], ends[-1:]])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, little-endian unsigned 32-bit."""
         plain = [_plain(t) for t in texts]
-        cut = [(t.lower() if p else t).replace("\n", " ").split(" ") for t, p in zip(texts, plain, strict=True)]
-        asked = [set().union(*(c for c, p in zip(cut, plain, strict=True) if p is side)) for side in (True, False)]
-        if len(self.whole) + len(asked[1]) > KEPT_WORDS // 2:
-            self.whole.clear()
-        self._whole(list(asked[1].difference(self.whole)), self.whole)
-        fresh = asked[0].difference(self.words)
-        if len(self.words) + len(fresh) > KEPT_WORDS // 2:  # what is in use moves over, the rest is forgotten
-            self.before, self.words, fresh = self.words, {}, asked[0]
-        words, before = self.words, self.before
-        for w in fresh & before.keys():
-            words[w] = before[w]
-        found = {w: _PIECES.findall(w) for w in fresh.difference(words)}
-        if len(self.pieces) > KEPT_WORDS // 2:
-            self.pieces.clear()
-        self._learn_pieces(list(set().union(*found.values()).difference(self.pieces)))
-        of = self.pieces.__getitem__
-        for w, own in found.items():
-            words[w] = of(own[0]) if len(own) == 1 else b"".join(map(of, own))
-        kept = [words, self.whole]
-        return [b"".join(map(kept[not p].__getitem__, c)) for c, p in zip(cut, plain, strict=True)]
+        got = [b""] * len(texts)
+        for side, kept in ((True, self.words), (False, self.whole)):
+            rows = [i for i, p in enumerate(plain) if p is side]
+            if not rows:
+                continue
+            lines = ((texts[i].lower() if side else texts[i]).replace("\n", " ") for i in rows)
+            cut = pc.split_pattern(pa.array(lines, pa.large_string()), " ")
+            words = cut.values.dictionary_encode()
+            ids, ends = _taken(*kept.get(words.dictionary), words.indices.to_numpy())
+            ends = ends[cut.offsets.to_numpy()].tolist()
+            for i, start, end in zip(rows, ends, ends[1:], strict=False):
+                got[i] = ids[start:end].tobytes()
+        return got
 
 
 @lru_cache(4)

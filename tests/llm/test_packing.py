@@ -107,3 +107,30 @@ def test_clashing_columns_are_replaced(spark):
     for own in places.values():
         own.sort()
         assert len(own) <= 3 and [o for o, _ in own] == [sum(n for _, n in own[:k]) for k in range(len(own))]
+
+
+def test_pieces_in_use_are_not_encoded_again(monkeypatch):
+    monkeypatch.setattr(packing, "KEPT_WORDS", 1000)
+    own = packing.WordIds(public_tokenizers.path("word_bpe_49k.json"))
+    asked = []
+
+    class Counting:
+        def encode_batch_fast(self, texts, **how):
+            asked.extend(w for t in texts for w in t.split(" "))
+            return LIBRARY.encode_batch_fast(texts, **how)
+
+    own.tokenizer = Counting()
+    names = ["".join(chr(97 + int(d)) for d in str(i)) for i in range(20_000)]
+    common, rare, marks = names[:100], iter(names[100:]), ".,;:?!/&%#+=*~^|@$_-"
+    for mark in marks:  # the common pieces stand in words that are new each time, among rare ones
+        texts = [" ".join(w + mark for w in common), " ".join(next(rare) for _ in range(200)), "naïve “ΟΔΟΣ”"]
+        assert [np.frombuffer(g, "<u4").tolist() for g in own.encode(texts)] == [ids(t)[:-1] for t in texts]
+    assert max(asked.count(w) for w in common) == 1
+    assert len(asked) < 200 * len(marks) + 1000
+
+
+def test_tokens_of_a_text_stay_together_when_kinds_alternate():
+    encode = packing.WordIds(public_tokenizers.path("word_bpe_49k.json")).encode
+    texts = ["don't  stop", "“don't” stop", "", "漢字", "12,5\t% it's'd", " \n", "\t", "é’s", "x'll\r\ny", "a　b"]
+    for part in (texts, texts[::-1], ["\t"], [], ["漢字"], [" "]):
+        assert [np.frombuffer(g, "<u4").tolist() for g in encode(part)] == [ids(t)[:-1] for t in part]
