@@ -35,9 +35,9 @@ def shingle_embedder(texts: pd.Series, dim: int = 256, words: int = 3) -> np.nda
     out = np.zeros((len(texts), dim), np.float32)
     for row, text in zip(out, texts, strict=True):
         tokens = _TOKEN.findall((text or "").lower())
-        for i in range(max(1, len(tokens) - words + 1) if tokens else 0):
-            h = int.from_bytes(hashlib.md5(" ".join(tokens[i : i + words]).encode()).digest()[:4], "big")
-            row[h % dim] += 1 if h >> 31 else -1
+        shingles = map(" ".join, zip(*(tokens[i:] for i in range(words)), strict=False)) if len(tokens) >= words else [" ".join(tokens)] if tokens else []
+        h = np.frombuffer(b"".join([hashlib.md5(s.encode()).digest() for s in shingles]), ">u4")[::4].astype(np.int64)
+        row += np.bincount(h % dim, np.where(h >> 31, 1.0, -1.0), dim)
     norm = np.linalg.norm(out, axis=1, keepdims=True)
     return out / np.where(norm > 0, norm, 1)
 
@@ -64,5 +64,6 @@ def cosine(a: Column, b: Column) -> Column:
 
 def unit(v: Column) -> Column:
     """To unit length; null for a zero vector."""
-    norm = F.sqrt(dot(v, v))
-    return F.when(norm > 0, F.transform(v, lambda x: x / norm))
+    # As the one element of an array, so that the norm is computed once, not once a component.
+    both = F.transform(F.array(F.struct(v.alias("v"), F.sqrt(dot(v, v)).alias("norm"))), lambda s: F.when(s["norm"] > 0, F.transform(s["v"], lambda x: x / s["norm"])))
+    return both[0]

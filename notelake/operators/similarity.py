@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
@@ -22,14 +23,16 @@ EXCLUDED_FOLDERS = ("03-Personal/Secrets", "06-Todo", "05-Archive", ".obsidian")
 INDEX_NOTE = "00-INDEX.md"
 DERIVED = ("investigacion", "setup", "informe", "research", "test", "notas", "draft", "wip", "deep-dive")
 SECTION = "Notas relacionadas"
-#: Vectors of a block; tasks that pairs of blocks are dealt to, at most.
-BLOCK, MAX_TASKS = 4096, 1 << 14
+#: Vectors of a block, at most; blocks, if there are vectors for so many of SMALL; tasks that pairs of blocks are dealt to, at most.
+BLOCK, SMALL, LEAST_BLOCKS, MAX_TASKS = 1 << 16, 4096, 12, 1 << 14
 #: Decimals of a score, so that copies tie whatever the order in which a product is summed.
 DECIMALS = 9
 #: Vectors of the sample for each pivot: which are pivots decides how much is saved, not what is found.
 PIVOT_SAMPLE = 4
-#: Pivots, at most; rows of a stripe within a cell; what an angle may be off.
-MAX_PIVOTS, STRIPE, ANGLE_ERROR = 1024, 256, 1e-6
+#: Pivots, at most; rows and columns of a product; what an angle may be off; what a product in single floats may be off.
+MAX_PIVOTS, STRIPE, COLUMNS, ANGLE_ERROR, SLACK = 1024, 256, 8192, 1e-6, 2e-5
+#: Pairs of a product that are computed one by one, at most; pairs that leave a task at once.
+FEW, BATCH = 1 << 13, 1 << 16
 
 
 def note_vectors(chunks: DataFrame) -> DataFrame:
@@ -70,60 +73,231 @@ def unlinked(pairs: DataFrame, links: DataFrame, src: str = "src", dst: str = "d
     return pairs.join(own, (F.col(src) == F.col("__s")) & (F.col(dst) == F.col("__d")), "left_anti")
 
 
-def _cell(table: pa.Table, min_score: float, top: bool) -> pa.Table:
-    """Pairs of two blocks from ``min_score`` on; with ``top`` only those that are among the best ``most`` of one of their notes here."""
+def _turn(dim: int) -> np.ndarray:
+    """A rotation's first half: what it leaves of a vector is near to half of its square, whatever the vector."""
+    return np.linalg.qr(np.random.Generator(np.random.PCG64(1)).standard_normal((dim, dim)))[0][:, : max(1, dim // 2)]
+
+
+def _halved(m: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The turned half of each vector, and the length of the rest: a product of vectors is at most that of their halves and that of the rests."""
+    half = m @ turn
+    return half, np.sqrt(np.maximum(0.0, np.einsum("ij,ij->i", m, m) - np.einsum("ij,ij->i", half, half)))
+
+
+def _matrix(b: pa.RecordBatch, name: str) -> np.ndarray:
+    return np.asarray(b.column(name).flatten(), np.float64).reshape(len(b), -1)
+
+
+def _prints(vectors: DataFrame, turn: np.ndarray, pivots: np.ndarray | None) -> DataFrame:
+    """``(path, cell, angle, print, scale, rest, off)``: the half in bytes times ``scale``, which is at most ``off`` away from it; the nearest pivot."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not len(b):
+                continue
+            m = _matrix(b, "vec")
+            half, rest = _halved(m, turn)
+            scale = (np.abs(half).max(1) / 127).astype(np.float32)
+            scale[scale == 0] = 1
+            q = np.rint(half / scale[:, None]).astype(np.int8)
+            off = np.linalg.norm(half - q * scale[:, None].astype(np.float64), axis=1)
+            cell, angle = np.zeros(len(b), np.int32), np.zeros(len(b))
+            if pivots is not None:
+                far = _angles(m, pivots)
+                cell = far.argmin(1).astype(np.int32)
+                angle = far[np.arange(len(b)), cell]
+            whole = q.tobytes()
+            own = pa.array([whole[i : i + q.shape[1]] for i in range(0, len(whole), q.shape[1])], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column("path"), pa.array(cell), pa.array(angle), own, *(pa.array(x.astype(np.float32)) for x in (scale, rest, off))], ["path", "cell", "angle", "print", "scale", "rest", "off"])
+
+    return vectors.select("path", "vec").mapInArrow(each, "path string, cell int, angle double, print binary, scale float, rest float, off float")
+
+
+def _stripes(cell: np.ndarray, angle: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Rows in order of cell and angle as stripes of one cell: where each begins (and the last ends), its cell, smallest and largest angle."""
+    first = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+    cuts = np.concatenate([np.arange(lo, hi, STRIPE) for lo, hi in zip(first, [*first[1:], len(cell)], strict=True)])
+    cuts = np.r_[cuts, len(cell)]
+    return cuts, cell[cuts[:-1]], angle[cuts[:-1]], angle[cuts[1:] - 1]
+
+
+def _reaching(table: pa.Table, min_score: float, apart: np.ndarray) -> pa.Table:
+    """Rows of two blocks that may have a partner in the other from ``min_score`` on, and a row without path that says how many products were made.
+
+    Two stripes are left out if by the triangle inequality of angles (to their pivots, which are
+    ``apart``) no pair of them can be near enough.  Products are those of prints: no pair is missed,
+    few that leave here are none.
+    """
     t = table.combine_chunks()
-    paths, home = np.array(t.column("path").to_pylist(), object), t.column("home").to_numpy()
-    m = np.asarray(t.column("vec").combine_chunks().flatten(), np.float64).reshape(len(paths), -1)
-    same, first = t.column("x")[0] == t.column("y")[0], t.column("x")[0].as_py()
-    i = np.arange(len(paths)) if same else np.flatnonzero(home == first)
-    j = i if same else np.flatnonzero(home != first)
-    a, b, s = [np.empty(0, int)], [np.empty(0, int)], [np.empty(0)]
-    for at in range(0, len(i), 1024):
-        product = m[i[at : at + 1024]] @ m[j].T
-        u, v = np.nonzero(product >= min_score)
-        keep = i[at + u] < j[v] if same else np.ones(len(u), bool)
-        a.append(i[at + u[keep]])
-        b.append(j[v[keep]])
-        s.append(np.round(product[u[keep], v[keep]], DECIMALS))
-    a, b, s = map(np.concatenate, (a, b, s))
-    if top and len(s):
-        most = t.column("most").to_numpy()
-        ends, score = np.r_[a, b], np.r_[s, s]
-        order = np.lexsort((-score, ends))
-        ends, score = ends[order], score[order]
-        start = np.flatnonzero(np.r_[True, ends[1:] != ends[:-1]])
-        size = np.diff(np.r_[start, len(ends)])
-        # The score of the last place that counts; what ties with it goes on.
-        least = np.full(len(paths), -np.inf)
-        least[ends[start]] = score[start + np.minimum(most[ends[start]], size) - 1]
-        keep = (s >= least[a]) | (s >= least[b])
-        a, b, s = a[keep], b[keep], s[keep]
-    one, two = paths[a], paths[b]
-    swap = one > two
-    return pa.table({"a": pa.array(np.where(swap, two, one), pa.string()), "b": pa.array(np.where(swap, one, two), pa.string()), "score": pa.array(s, pa.float64())})
-
-
-def _all_cells(vectors: DataFrame, min_score: float, top: bool) -> DataFrame:
-    blocks = max(1, math.ceil(vectors.count() / BLOCK))
-    home = F.pmod(F.xxhash64("path"), F.lit(blocks)).cast("int")
-    most = [F.col("most")] if top else []
-    cells = vectors.select("path", F.col("vec").cast("array<double>").alias("vec"), *most, home.alias("home"))
-    cells = cells.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("o"))
-    cells = cells.select(F.least("home", "o").alias("x"), F.greatest("home", "o").alias("y"), "home", "path", "vec", *most)
-    tasks = min(MAX_TASKS, blocks * (blocks + 1) // 2)
-    return cells.repartition(tasks, "x", "y").groupBy("x", "y").applyInArrow(lambda t: _cell(t, min_score, top), "a string, b string, score double")
+    x, y = t.column("x")[0].as_py(), t.column("y")[0].as_py()
+    home, cell, angle = (t.column(c).to_numpy() for c in ("home", "cell", "angle"))
+    own = np.frombuffer(b"".join(t.column("print").to_pylist()), np.int8).reshape(len(t), -1)
+    scale, rest, off = (t.column(c).to_numpy() for c in ("scale", "rest", "off"))
+    order = np.lexsort((angle, cell))
+
+    def side(block: int) -> tuple[np.ndarray, ...]:
+        rows = order[home[order] == block]
+        return rows, np.c_[own[rows] * scale[rows, None], rest[rows]].astype(np.float32), off[rows], np.zeros(len(rows), bool), *_stripes(cell[rows], angle[rows])
+
+    made, reach = 0, math.acos(min(1.0, max(-1.0, min_score))) + ANGLE_ERROR
+    left = side(x)
+    right = left if x == y or not (home == y).any() else side(y)
+    if x != y and (right is left or not len(left[0])):
+        return pa.table({"x": pa.array([x], pa.int32()), "y": pa.array([y], pa.int32()), "home": pa.array([x], pa.int32()), "path": pa.array([None], pa.string()), "made": pa.array([0], pa.int64())})
+    i, a, off_a, met_a, cuts_a, cell_a, low_a, high_a = left
+    j, b, off_b, met_b, cuts_b, cell_b, low_b, high_b = right
+    for k in range(len(cell_a)):
+        theta = apart[cell_a[k], cell_b]
+        least = np.maximum(theta - high_a[k] - high_b, np.maximum(low_a[k] - high_b - theta, low_b - high_a[k] - theta))
+        near = least <= reach
+        if x == y:
+            near[:k] = False
+        on = np.flatnonzero(np.diff(np.r_[False, near, False].astype(np.int8)))
+        rows = slice(cuts_a[k], cuts_a[k + 1])
+        for low, high in zip(cuts_b[on[::2]], cuts_b[on[1::2]], strict=True):
+            for at in range(low, high, COLUMNS):
+                cols = slice(at, min(high, at + COLUMNS))
+                hit = a[rows] @ b[cols].T >= np.float32(min_score - off_a[rows].max() - off_b[cols].max() - SLACK)
+                made += hit.size
+                if x == y and at < rows.stop:  # a pair once, and none of a row with itself
+                    later = np.arange(cols.start, cols.stop) > np.arange(rows.start, rows.stop)[:, None]
+                    made -= hit.size - int(later.sum())
+                    hit &= later
+                if (some := hit.any(1)).any():
+                    met_a[rows] |= some
+                    met_b[cols] |= np.bitwise_or.reduce(hit, 0)
+    found = i[met_a] if x == y else np.r_[i[met_a], j[met_b]]
+    n = len(found) + 1
+    path = pa.concat_arrays([t.column("path").combine_chunks().take(pa.array(found)), pa.array([None], pa.string())])
+    return pa.table({"x": pa.array(np.full(n, x, np.int32)), "y": pa.array(np.full(n, y, np.int32)), "home": pa.array(np.r_[home[found], x].astype(np.int32)), "path": path, "made": pa.array(np.r_[np.zeros(n - 1, np.int64), made])})
+
+
+def _best(s: np.ndarray, ends: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Whether each score is among the best ``most`` of its end; what ties with the last of them is."""
+    order = np.lexsort((-s, ends))
+    start = np.flatnonzero(np.r_[True, ends[order][1:] != ends[order][:-1]])
+    size = np.diff(np.r_[start, len(s)])
+    least = s[order][start + np.minimum(most[ends[order][start]], size) - 1]
+    keep = np.empty(len(s), bool)
+    keep[order] = s[order] >= np.repeat(least, size)
+    return keep
+
+
+def _exact(batches: Iterator[pa.RecordBatch], min_score: float, top: bool, turn: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Pairs of two blocks from ``min_score`` on; with ``top`` only those that are among the best ``most`` of one of their notes in a product.
+
+    Vectors stay in the batches that they came in, each held against each; a pair that by its halves may pass is computed whole.
+    """
+    sides: tuple[list, list] = [], []
+    for b in batches:
+        x, y, home = b.column("x")[0].as_py(), b.column("y")[0].as_py(), b.column("home").to_numpy()
+        m, most = _matrix(b, "vec"), b.column("most").to_numpy() if top else home
+        for at, block in enumerate((x,) if x == y else (x, y)):
+            if len(rows := np.flatnonzero(home == block)):
+                half, rest = _halved(m[rows], turn)
+                sides[at].append((b.column("path").take(pa.array(rows)), m[rows], np.c_[half, rest].astype(np.float32), most[rows]))
+    same = not sides[1]
+    for k, (path_a, a, half_a, most_a) in enumerate(sides[0]):
+        for n, (path_b, b, half_b, most_b) in enumerate(sides[0][k:] if x == y else sides[1]):
+            for at in range(0, len(a), STRIPE):
+                rows = slice(at, min(len(a), at + STRIPE))
+                hit = half_a[rows] @ half_b.T >= np.float32(min_score - SLACK)
+                if same and not n:
+                    hit &= np.arange(len(b)) > np.arange(rows.start, rows.stop)[:, None]
+                u, v = np.nonzero(hit) if hit.any() else (np.empty(0, int), np.empty(0, int))
+                if len(u) > FEW:
+                    s = (a[rows] @ b.T)[u, v]
+                else:
+                    s = np.einsum("ij,ij->i", a[at + u], b[v])
+                keep = s >= min_score
+                u, v, s = at + u[keep], v[keep], np.round(s[keep], DECIMALS)
+                if top and len(s):
+                    keep = _best(s, u, most_a) | _best(s, v, most_b)
+                    u, v, s = u[keep], v[keep], s[keep]
+                for cut in range(0, len(s), BATCH):
+                    one, two = path_a.take(pa.array(u[cut : cut + BATCH])), path_b.take(pa.array(v[cut : cut + BATCH]))
+                    swap = pc.greater(one, two)
+                    yield pa.RecordBatch.from_arrays([pc.if_else(swap, two, one), pc.if_else(swap, one, two), pa.array(s[cut : cut + BATCH])], ["a", "b", "score"])
+
+
+_PAIRS = "a string, b string, score double"
+
+
+def _held(cells: DataFrame, keys: list[str], min_score: float, top: bool, turn: np.ndarray) -> DataFrame:
+    """Pairs of each group of ``cells(..., x, y, home, path, vec)`` by ``keys``."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _exact(batches, min_score, top, turn)
+
+    return cells.groupBy(*keys).applyInArrow(each, _PAIRS)
+
+
+def _size(vectors: DataFrame) -> tuple[int, int]:
+    n, dim = vectors.agg(F.count("*"), F.max(F.size("vec"))).first()
+    return n, dim or 1
+
+
+def _met(vectors: DataFrame, n: int, turn: np.ndarray, min_score: float, by_cells: bool) -> tuple[DataFrame, int]:
+    """``(x, y, home, path, made)`` of ``_reaching`` over all pairs of blocks that can hold a pair, and how many tasks they are worth.
+
+    Blocks are stretches of the cells in an order in which near pivots follow each other; a large cell is several blocks.
+    """
+    blocks = max(1, math.ceil(n / BLOCK), min(LEAST_BLOCKS, math.ceil(n / SMALL)))
+    long = max(1, math.ceil(n / blocks))
+    prints, pivots, sizes, radius = None, np.zeros((1, len(turn))), np.array([n]), np.zeros(1)
+    if by_cells:
+        number = max(1, min(MAX_PIVOTS, 2 * math.isqrt(n)))
+        first = vectors.orderBy(F.xxhash64("path"), "path").limit(PIVOT_SAMPLE * number).select("vec").collect()  # at most PIVOT_SAMPLE * MAX_PIVOTS
+        if first:
+            pivots = _chained(_spread_out(np.array([r["vec"] for r in first]), number))
+        # Kept, so that a vector is in one cell whatever happens to its task.
+        prints = materialize(_prints(vectors, turn, pivots))
+        sizes, radius = np.zeros(len(pivots), np.int64), np.full(len(pivots), -np.inf)
+        for r in prints.groupBy("cell").agg(F.count("*").alias("n"), F.max("angle").alias("r")).collect():  # a row a pivot
+            sizes[r["cell"]], radius[r["cell"]] = r["n"], r["r"]
+    else:
+        prints = _prints(vectors, turn, None)
+    offset = np.cumsum(sizes) - sizes
+    apart = _angles(pivots, pivots) if by_cells else np.zeros((1, 1))
+    np.fill_diagonal(apart, 0.0)
+    reach = math.acos(min(1.0, max(-1.0, min_score))) + ANGLE_ERROR
+    near = apart <= radius[:, None] + radius + reach
+    inside = [np.flatnonzero((offset < (k + 1) * long) & (offset + sizes > k * long)) for k in range(blocks)]
+    meets = [(x, y) for x in range(blocks) for y in range(blocks) if x == y or near[np.ix_(inside[x], inside[y])].any()]
+    spark = vectors.sparkSession
+    starts = spark.createDataFrame([(k, int(at), max(1, int(size))) for k, (at, size) in enumerate(zip(offset, sizes, strict=True))], "cell int, offset long, size long")
+    others = spark.createDataFrame(meets, "home int, o int")
+    homes = prints.join(F.broadcast(starts), "cell").withColumn("home", F.floor((F.col("offset") + F.pmod(F.xxhash64("path"), F.col("size"))) / long).cast("int"))
+    dealt = homes.join(F.broadcast(others), "home")  # a row a pair of blocks
+    dealt = dealt.select(F.least("home", "o").alias("x"), F.greatest("home", "o").alias("y"), "home", "path", "cell", "angle", "print", "scale", "rest", "off")
+    tasks = min(MAX_TASKS, (len(meets) + blocks) // 2)
+
+    def each(t: pa.Table) -> pa.Table:
+        return _reaching(t, min_score, apart)
+
+    return dealt.repartition(tasks, "x", "y").groupBy("x", "y").applyInArrow(each, "x int, y int, home int, path string, made long"), tasks
+
+
+def _pairs(vectors: DataFrame, min_score: float, top: bool = False, by_cells: bool = False) -> DataFrame:
+    """Prints of 128 bytes or so go to all blocks that can hold a partner; only vectors that may have one there follow."""
+    own = vectors.select("path", F.col("vec").cast("array<double>").alias("vec"), *(["most"] if top else []))
+    n, dim = _size(own)
+    turn = _turn(dim)
+    met, tasks = _met(own, n, turn, min_score, by_cells)
+    cells = met.where("path is not null").select("x", "y", "home", "path").join(own, "path")
+    return _held(cells.repartition(tasks, "x", "y"), ["x", "y"], min_score, top, turn)
 
 
 def similar_pairs(vectors: DataFrame, min_score: float) -> DataFrame:
     """All ``(a, b, score)`` with ``a < b`` and a cosine of at least ``min_score``, for unit ``vectors(path, vec)``; exact.
 
     Vectors are dealt to blocks of a bounded number; each pair of blocks is one
-    task's matrix product, of which only pairs above the threshold leave.  The
+    task's matrix product, of half of the dimensions in bytes with a bound of what that
+    leaves out.  What the bound can't rule out is computed in double precision.  The
     work grows with the square of the vectors: beyond some millions, see
     ``similar_pairs_hashed``.
     """
-    return _all_cells(vectors, min_score, False)
+    return _pairs(vectors, min_score)
 
 
 def _angles(m: np.ndarray, pivots: np.ndarray) -> np.ndarray:
@@ -142,100 +316,33 @@ def _spread_out(sample: np.ndarray, number: int) -> np.ndarray:
     return sample[chosen]
 
 
-def _ring(table: pa.Table, min_score: float) -> pa.Table:
-    """Pairs of two blocks of a cell from ``min_score`` on, and a row without names that says how many products were made.
-
-    Two vectors whose angles to the cell's pivot differ by more than the
-    threshold's angle are no pair, so both sides are sorted by that angle and a
-    stripe is held against the stretch of the other side that it can reach.
-    """
-    t = table.combine_chunks()
-    paths, home, angle = np.array(t.column("path").to_pylist(), object), t.column("home").to_numpy(), t.column("angle").to_numpy()
-    m = np.asarray(t.column("vec").combine_chunks().flatten(), np.float64).reshape(len(paths), -1)
-    same, first = t.column("x")[0] == t.column("y")[0], t.column("x")[0].as_py()
-    order = np.argsort(angle, kind="stable")
-    i = order if same else order[home[order] == first]
-    j = i if same else order[home[order] != first]
-    reach, made = math.acos(min(1.0, max(-1.0, min_score))) + ANGLE_ERROR, 0
-    a, b, s = [np.empty(0, int)], [np.empty(0, int)], [np.empty(0)]
-    for at in range(0, len(i), STRIPE):
-        rows = i[at : at + STRIPE]
-        low = max(at, 0) if same else np.searchsorted(angle[j], angle[rows[0]] - reach, "left")
-        cols = j[low : np.searchsorted(angle[j], angle[rows[-1]] + reach, "right")]
-        product = m[rows] @ m[cols].T
-        u, v = np.nonzero(product >= min_score)
-        keep = u + at < v + low if same else np.ones(len(u), bool)
-        made += len(rows) * len(cols) - (len(rows) * (len(rows) + 1) // 2 if same else 0)
-        a.append(rows[u[keep]])
-        b.append(cols[v[keep]])
-        s.append(np.round(product[u[keep], v[keep]], DECIMALS))
-    one, two, s = paths[np.concatenate(a)], paths[np.concatenate(b)], np.concatenate(s)
-    swap = one > two
-    names = [pa.array([*np.where(swap, x, y), None], pa.string()) for x, y in ((two, one), (one, two))]
-    return pa.table({"a": names[0], "b": names[1], "score": pa.array([*s, float(made)], pa.float64())})
-
-
-def _by_cells(vectors: DataFrame, min_score: float) -> DataFrame:
-    own = vectors.select("path", F.col("vec").cast("array<double>").alias("vec"))
-    n = own.count()
-    number = max(1, min(MAX_PIVOTS, 2 * math.isqrt(n)))
-    first = own.orderBy(F.xxhash64("path"), "path").limit(PIVOT_SAMPLE * number).select("vec").collect()  # at most PIVOT_SAMPLE * MAX_PIVOTS
-    pivots = _spread_out(np.array([r["vec"] for r in first]), number) if first else np.zeros((1, 1))
-    reach = math.acos(min(1.0, max(-1.0, min_score))) + ANGLE_ERROR
-
-    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if len(b):
-                far = _angles(np.asarray(b.column(1).flatten(), np.float64).reshape(len(b), -1), pivots)
-                near = far.argmin(1)
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(near.astype(np.int32)), pa.array(far[np.arange(len(b)), near])], ["path", "vec", "cell", "angle"])
-
-    settled = materialize(own.mapInArrow(settle, "path string, vec array<double>, cell int, angle double"))
-    radius = np.full(len(pivots), -np.inf)
-    for r in settled.groupBy("cell").agg(F.max("angle").alias("r")).collect():  # a row a pivot
-        radius[r["cell"]] = r["r"]
-
-    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each vector in its own cell, and in those behind it that hold one it may be near to: within the cell's radius and the threshold's angle of the pivot."""
-        for b in batches:
-            if not len(b):
-                continue
-            far, cell = _angles(np.asarray(b.column(1).flatten(), np.float64).reshape(len(b), -1), pivots), b.column(2).to_numpy()
-            row, to = np.nonzero((far <= radius + reach) & (np.arange(len(pivots)) > cell[:, None]))
-            row, to, own_row = np.r_[np.arange(len(b)), row], np.r_[cell, to], np.r_[np.ones(len(b), bool), np.zeros(len(row), bool)]
-            at = pa.array(row)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(to.astype(np.int32)), pa.array(far[row, to]), pa.array(own_row)], ["path", "vec", "cell", "angle", "own"])
-
-    visits = materialize(settled.mapInArrow(visit, "path string, vec array<double>, cell int, angle double, own boolean"))
-    blocks = lambda c: F.ceil(F.count_if(c) / BLOCK).cast("int")
-    sizes = visits.groupBy("cell").agg(blocks(F.col("own")).alias("own_blocks"), blocks(~F.col("own")).alias("guest_blocks"))
-    dealt = visits.join(F.broadcast(sizes), "cell")  # a row a pivot
-    # A cell's own blocks come first; each meets all behind it, a block of guests only own ones.
-    share = lambda n: F.pmod(F.xxhash64("path"), F.greatest(n, F.lit(1))).cast("int")
-    home = F.when(F.col("own"), share(F.col("own_blocks"))).otherwise(F.col("own_blocks") + share(F.col("guest_blocks")))
-    dealt = dealt.withColumn("home", home)
-    other = F.sequence(F.lit(0), F.when(F.col("own"), F.col("own_blocks") + F.col("guest_blocks")).otherwise(F.col("own_blocks")) - 1)
-    dealt = dealt.select("cell", "path", "vec", "angle", "home", F.explode(other).alias("o"))
-    dealt = dealt.select("cell", F.least("home", "o").alias("x"), F.greatest("home", "o").alias("y"), "home", "path", "vec", "angle")
-    return dealt.groupBy("cell", "x", "y").applyInArrow(lambda t: _ring(t, min_score), "a string, b string, score double")
+def _chained(pivots: np.ndarray) -> np.ndarray:
+    """The pivots in an order in which each is followed by the nearest that is left."""
+    order, left = [0], np.ones(len(pivots), bool)
+    left[0] = False
+    while left.any():
+        order.append(int(np.where(left, pivots @ pivots[order[-1]], -np.inf).argmax()))
+        left[order[-1]] = False
+    return pivots[order]
 
 
 def similar_pairs_by_cells(vectors: DataFrame, min_score: float) -> DataFrame:
     """``similar_pairs``, exact too, which holds only cells against each other that can hold a pair.
 
     Up to MAX_PIVOTS vectors, far from each other, are pivots, and a vector belongs to the nearest.  By
-    the triangle inequality of angles it goes to another cell only if its angle to
-    that pivot is at most the cell's radius and the threshold's angle, and within a
-    cell it is held only against vectors about as far from the pivot.  How much
+    the triangle inequality of angles two cells hold no pair if their pivots are further apart than both
+    radiuses and the threshold's angle; so are stripes of a cell, whose vectors are about as far from the pivot.
+    Blocks are made of whole cells where they fit, and a vector goes to no more blocks than there are.  How much
     that saves depends on the vectors: see ``cells_report``.
     """
-    return _by_cells(vectors, min_score).where("a is not null")
+    return _pairs(vectors, min_score, by_cells=True)
 
 
 def cells_report(vectors: DataFrame, min_score: float) -> DataFrame:
     """One row: all pairs of vectors, and of how many ``similar_pairs_by_cells`` makes the product."""
-    n = vectors.count()
-    made = _by_cells(vectors, min_score).where("a is null").agg(F.coalesce(F.sum("score"), F.lit(0.0)).cast("long").alias("compared"))
+    own = vectors.select("path", F.col("vec").cast("array<double>").alias("vec"))
+    n, dim = _size(own)
+    made = _met(own, n, _turn(dim), min_score, True)[0].agg(F.coalesce(F.sum("made"), F.lit(0)).cast("long").alias("compared"))
     return made.select(F.lit(n * (n - 1) // 2).cast("long").alias("pairs"), "compared")
 
 
@@ -243,12 +350,12 @@ def nearest_pairs(vectors: DataFrame, names: DataFrame, min_score: float, top_k:
     """Of ``similar_pairs`` those that ``propose_links`` with ``names(src, key)`` can choose from.
 
     A note's best unlinked ``top_k`` are among its best ``top_k`` and as many
-    more as it has linked notes, so a cell lets no more of a note's pairs out.
+    more as it has linked notes, so a product lets no more of a note's pairs out.
     """
     notes = vectors.groupBy(T.base_name(F.col("path")).alias("key")).agg(F.count("*").alias("n"))
     linked = names.join(notes, "key").groupBy("src").agg(F.sum("n").alias("linked"))
     most = F.least(F.coalesce("linked", F.lit(0)) + top_k, F.lit(1 << 30)).cast("int").alias("most")
-    return _all_cells(vectors.join(linked, vectors.path == linked.src, "left").select("path", "vec", most), min_score, True)
+    return _pairs(vectors.join(linked, vectors.path == linked.src, "left").select("path", "vec", most), min_score, top=True)
 
 
 def similar_pairs_hashed(vectors: DataFrame, min_score: float, recall: float = 0.95, bits: int | None = None, seed: int = 1) -> DataFrame:
@@ -258,7 +365,7 @@ def similar_pairs_hashed(vectors: DataFrame, min_score: float, recall: float = 0
     the recall asks for; ``bits`` follows the number of vectors.  What meets is
     dealt to blocks as above and computed exactly.
     """
-    n = vectors.count()
+    n, dim = _size(vectors)
     bits = bits or max(4, math.ceil(math.log2(max(2, n / 256))))
     agree = (1 - math.acos(min(1.0, max(-1.0, min_score))) / math.pi) ** bits
     tables = 1 if agree >= 1 else math.ceil(math.log(1 - recall) / math.log(1 - agree))
@@ -277,11 +384,11 @@ def similar_pairs_hashed(vectors: DataFrame, min_score: float, recall: float = 0
 
     own = vectors.select("path", F.col("vec").cast("array<double>").alias("vec"))
     met = own.mapInArrow(hashed, "path string, vec array<double>, keys array<long>").select("path", "vec", F.posexplode("keys").alias("t", "key"))
-    sizes = met.groupBy("t", "key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("n")).where("n > 1").drop("n")
+    sizes = met.groupBy("t", "key").agg(F.ceil(F.count("*") / SMALL).cast("int").alias("blocks"), F.count("*").alias("n")).where("n > 1").drop("n")
     met = met.join(sizes, ["t", "key"]).withColumn("home", F.pmod(F.xxhash64("path"), F.col("blocks")).cast("int"))
     cells = met.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o"))
     cells = cells.select("t", "key", F.least("home", "o").alias("x"), F.greatest("home", "o").alias("y"), "home", "path", "vec")
-    pairs = cells.groupBy("t", "key", "x", "y").applyInArrow(lambda t: _cell(t, min_score, False), "a string, b string, score double")
+    pairs = _held(cells, ["t", "key", "x", "y"], min_score, False, _turn(dim))
     return pairs.groupBy("a", "b").agg(F.max("score").alias("score"))
 
 

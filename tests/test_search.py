@@ -191,3 +191,39 @@ def test_similar_notes_have_similar_wording(spark):
         x, y = shingles(v[a].body), shingles(v[b].body)
         assert len(x & y) > 0.4 * min(len(x), len(y))
     assert any(abs(v[a].doc_id - v[b].doc_id) > 9 for a, b in pairs)
+
+
+def test_pairs_go_to_a_bounded_number_of_blocks(spark, monkeypatch):
+    """A vector goes to no more blocks than there are, whatever the number of cells, and only rows that may have a partner leave a block with their vectors."""
+    monkeypatch.setattr(similarity, "BLOCK", 100)
+    rng = np.random.default_rng(5)
+    m = rng.normal(size=(600, 256))
+    m[300:310] = m[:10] + 0.1 * rng.normal(size=(10, 256))
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    df = queries.checkpoint(spark.createDataFrame([(f"n{i:03}", v.tolist()) for i, v in enumerate(m)], "path string, vec array<double>"))
+    for by_cells in (False, True):
+        rows = similarity._met(df, 600, similarity._turn(256), 0.78, by_cells)[0].collect()
+        assert len({(r.x, r.y) for r in rows}) <= 6 * 7 // 2
+        assert {f"n{i:03}" for i in [*range(10), *range(300, 310)]} <= {r.path for r in rows if r.path} and sum(r.path is not None for r in rows) < 100
+        made = sum(r.made for r in rows)
+        assert made <= 600 * 599 // 2 and (by_cells or made == 600 * 599 // 2)
+
+
+def test_unit_computes_the_norm_once(spark):
+    df = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],)], "v array<double>").select(V.unit(F.col("v")).alias("u"))
+    assert [r.u for r in df.collect()] == [[0.6, 0.8], None]
+    assert df._jdf.queryExecution().analyzed().toString().lower().count("sqrt") == 1
+
+
+def test_many_pairs_of_copies(spark, monkeypatch):
+    """Dense products, and the best pairs of a product: all that tie with the last that counts."""
+    monkeypatch.setattr(similarity, "BLOCK", 50)
+    monkeypatch.setattr(similarity, "STRIPE", 32)
+    monkeypatch.setattr(similarity, "FEW", 20)
+    df = spark.createDataFrame([(f"n{i:03}", [0.6, 0.8, 0.0] if i % 2 else [1.0, 0.0, 0.0]) for i in range(200)], "path string, vec array<double>")
+    got = [tuple(r) for r in similarity.similar_pairs(df, 0.78).collect()]
+    assert len(got) == len(set(got)) == 2 * (100 * 99 // 2) and all(a < b and s == 1.0 for a, b, s in got)
+    assert similarity.similar_pairs_by_cells(df, 0.6).count() == 200 * 199 // 2
+    names = spark.createDataFrame([], "src string, key string")
+    few = similarity.nearest_pairs(df, names, 0.6, 2)
+    assert few.where("score = 1").count() == len(got) and few.where("score < 1").count() < 1000  # of 10,000
