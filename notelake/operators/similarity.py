@@ -31,6 +31,8 @@ DECIMALS = 9
 PIVOT_SAMPLE = 4
 #: Pivots, at most; rows and columns of a product; what an angle may be off; what a product in single floats may be off.
 MAX_PIVOTS, STRIPE, COLUMNS, ANGLE_ERROR, SLACK = 1024, 256, 8192, 1e-6, 2e-5
+#: Links and notes of a name that a task holds against each other.
+SQUARE = 2048
 #: Pairs of a product that are computed one by one, at most; pairs that leave a task at once.
 FEW, BATCH = 1 << 13, 1 << 16
 
@@ -58,10 +60,44 @@ def current_links(notes: DataFrame, compat: bool = False) -> DataFrame:
     """Distinct ``(src, dst)`` by name alone, to every note of that name but the note itself.
 
     Its size is that of links times notes of a name; to hold pairs against what
-    is linked, ``unlinked`` needs the names only.
+    is linked, ``unlinked`` needs the names only, and ``link_degrees`` counts links without making them.  A
+    name with many links and notes is dealt in squares, each side copied as often as the other has stretches.
     """
-    names = notes.select(F.col("path").alias("dst"), T.base_name(F.col("path")).alias("key"))
-    return link_names(notes, compat).join(names, "key").where("src <> dst").select("src", "dst").distinct()
+    own = materialize(link_names(notes, compat))
+    # A note has one name and links to a name once, so no pair comes twice.
+    names = _named(notes)
+    sizes = own.groupBy("key").agg(F.count("*").alias("n")).join(names.groupBy("key").agg(F.count("*").alias("m")), "key")
+    parts = lambda n: F.ceil(F.col(n) / SQUARE).cast("int")
+    big = materialize(sizes.where(f"n > {SQUARE} or m > {SQUARE}").select("key", parts("n").alias("n"), parts("m").alias("m")))
+    squares = big.agg(F.coalesce(F.sum(F.col("n").cast("long") * F.col("m")), F.lit(0))).first()[0]
+    tasks = min(MAX_TASKS, 4 * squares) if squares else 0
+
+    def dealt(df: DataFrame, path: str, mine: str, others: str) -> DataFrame:
+        out = df.join(F.broadcast(big), "key", "left").withColumns({mine: F.coalesce(mine, F.lit(1)), others: F.coalesce(others, F.lit(1))})
+        out = out.select("key", path, F.pmod(F.xxhash64(path), mine).cast("int").alias(f"{mine}_at"), F.explode(F.sequence(F.lit(0), F.col(others) - 1)).alias(f"{others}_at"))
+        return out.repartition(tasks, "key", "n_at", "m_at") if tasks else out
+
+    both = dealt(own, "src", "n", "m").join(dealt(names, "dst", "m", "n"), ["key", "n_at", "m_at"])
+    return both.where("src <> dst").select("src", "dst")
+
+
+def _named(notes: DataFrame) -> DataFrame:
+    return notes.select(F.col("path").alias("dst"), T.base_name(F.col("path")).alias("key")).distinct()
+
+
+def link_degrees(notes: DataFrame, compat: bool = False) -> DataFrame:
+    """``graph.degrees`` of ``current_links``, ``(path, n_out, n_in)``, from the numbers of links and notes of each name."""
+    own, names = materialize(link_names(notes, compat)), _named(notes)
+    linking = own.groupBy("key").agg(F.count("*").alias("n"))
+    named = names.groupBy("key").agg(F.count("*").alias("n"))
+    # A note that links to its own name is no link of either kind.
+    itself = own.where(F.col("key") == T.base_name(F.col("src")))
+    itself = itself.select(F.col("src").alias("p"), F.lit(-1).cast("long").alias("n_out"), F.lit(-1).cast("long").alias("n_in"))
+    zero = F.lit(0).cast("long")
+    out = own.join(named, "key").select(F.col("src").alias("p"), F.col("n").alias("n_out"), zero.alias("n_in"))
+    into = names.join(linking, "key").select(F.col("dst").alias("p"), zero.alias("n_out"), F.col("n").alias("n_in"))
+    sums = out.union(into).union(itself).groupBy("p").agg(F.sum("n_out").alias("n_out"), F.sum("n_in").alias("n_in"))
+    return notes.select("path").join(sums, F.col("path") == F.col("p"), "left").drop("p").fillna(0, ["n_out", "n_in"])
 
 
 def unlinked(pairs: DataFrame, links: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:

@@ -1,5 +1,6 @@
 import base64
 import datetime as dt
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -275,3 +276,20 @@ def test_links_of_the_same_score_as_shown_are_ranked_by_path(spark, monkeypatch)
     monkeypatch.setattr(queries, "_proposed", lambda spark, d: proposed)
     rows = {(r.src, r.dst, r.link_rank) for r in queries.l6_rank_proposals(spark, "").collect()}
     assert rows == {("a", "x", 1), ("a", "y", 2), ("b", "z", 1)}
+
+
+@pytest.mark.parametrize(("square", "compat"), [(2048, False), (3, False), (3, True)])
+def test_links_by_name_and_their_numbers(spark, monkeypatch, square, compat):
+    """Every link to every note of a name, in squares; the numbers of links without the links; paths that come twice, a note that links to itself."""
+    monkeypatch.setattr(similarity, "SQUARE", square)
+    texts = {f"f{i}/Index.md": "[[index]] [[one]]" if i % 2 else "" for i in range(9)} | {f"l{i}.md": "[[Index]] [[index.md]] [[none]]" for i in range(10)} | {"one.md": "[[one]] [[l1]]", "x/one.md": "", "cmd.md": "[[cmd]]"}
+    v = spark.createDataFrame([*texts.items(), ("one.md", "[[l2]]")], "path string, text string")
+    rows = similarity.current_links(v, compat).collect()
+    keys = {(p, re.sub(r"[.md]+$" if compat else r"\.md$", "", t.lower())) for p, x in [*texts.items(), ("one.md", "[[l2]]")] for t in re.findall(r"\[\[([^\]]+)", x)}
+    want = {(p, q) for p, k in keys for q in texts if p != q and q.split("/")[-1][:-3].lower() == k}
+    assert len(rows) == len(set(rows)) and {tuple(r) for r in rows} == want and len(want) > 120
+    key = lambda df: sorted(tuple(r) for r in df.select("path", "n_out", "n_in").collect())
+    assert key(similarity.link_degrees(v, compat)) == key(graph.degrees(v, similarity.current_links(v, compat)))
+    # No pair is dealt out again once it is made.
+    plan = similarity.current_links(v, compat)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan.split("Join")[0]
