@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -134,23 +136,27 @@ def note_intervals(notes: DataFrame, ops: DataFrame) -> DataFrame:
     every = every.withColumn("next", after).where("kind = 'move' or kind in ('there', 'gone') and next in ('move', 'target')")
     told = every.join(group, F.col("path") == F.col("p")).select("component", "seq", "path", "kind", "to_path")
 
-    def replay(t: pa.Table) -> pa.Table:
-        there, slot, out = set(), {}, []
-        for row in t.sort_by([("seq", "ascending")]).to_pylist():
-            path, to = row["path"], row["to_path"]
-            if row["kind"] == "there":
-                there.add(path)
-            elif row["kind"] == "gone":
-                there.discard(path)
-            elif path in there and to not in there:
-                there.discard(path)
-                there.add(to)
-                slot[to], slot[path] = slot.get(path, (path, -1)), (path, row["seq"])
-                out += [(p, row["seq"], *slot[p]) for p in (to, path)]
-        columns = list(zip(*out, strict=True)) or [()] * 4
-        return pa.table([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int64(), pa.string(), pa.int64()), strict=True)], names=["path", "since", "origin", "born"])
-
-    return told.groupBy("component").applyInArrow(replay, _CHANGE)
+    def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, there, slot = None, set(), {}
+        for b in batches:
+            out = []
+            for component, seq, path, kind, to in zip(*(b.column(c).to_pylist() for c in ("component", "seq", "path", "kind", "to_path")), strict=True):
+                if component != group:
+                    group, there, slot = component, set(), {}
+                if kind == "there":
+                    there.add(path)
+                elif kind == "gone":
+                    there.discard(path)
+                elif path in there and to not in there:
+                    there.discard(path)
+                    there.add(to)
+                    slot[to], slot[path] = slot.get(path, (path, -1)), (path, seq)
+                    out += [(p, seq, *slot[p]) for p in (to, path)]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.string(), pa.int64(), pa.string(), pa.int64()), strict=True)], ["path", "since", "origin", "born"])
+
+    # Groups pass by in order, a batch at a time: a task holds a group's paths, not its ops.
+    return told.repartition("component").sortWithinPartitions("component", "seq").mapInArrow(replay, _CHANGE)
 
 
 def apply_log(notes: DataFrame, ops: DataFrame) -> DataFrame:

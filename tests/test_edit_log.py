@@ -84,3 +84,24 @@ def test_a_path_with_many_ops(spark):
     want = replay(state, log)
     start = spark.createDataFrame(list(state.items()), "path string, text string")
     assert {r.path: r.text for r in notes.apply_edits(start, spark.createDataFrame(log, OPS)).collect()} == want
+
+
+def test_groups_pass_by_in_batches(spark):
+    """No task holds a group's ops at once; several groups in a task, each in several batches, are told apart."""
+    rng = random.Random(9)
+    names = [[f"g{g}n{i}" for i in range(6)] for g in range(12)]
+    state = {n: n for group in names for n in group[:3]}
+    log = []
+    for seq in range(2000):
+        group = rng.choice(names)
+        op = rng.choice(["move", "move", "append", "delete"])
+        log.append((seq, rng.choice(group), op, f"<{seq}>", None, rng.choice(group) if op == "move" else None))
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert got(spark, state, log) == replay(state, log)
+        start, ops = spark.createDataFrame(list(state.items()), "path string, text string"), spark.createDataFrame(log, OPS)
+        plan = notes.note_intervals(start, ops)._jdf.queryExecution().optimizedPlan().toString()
+        assert "FlatMapGroups" not in plan and "MapInArrow" in plan
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
