@@ -23,9 +23,8 @@ def hashing_embedder(texts: pd.Series, dim: int = 64) -> np.ndarray:
     """Signed hashed token counts, unit length.  Reproducible; it knows nothing of meaning."""
     out = np.zeros((len(texts), dim), np.float32)
     for row, text in zip(out, texts, strict=True):
-        for token in _TOKEN.findall((text or "").lower()):
-            h = zlib.crc32(token.encode())
-            row[h % dim] += 1 if h >> 31 else -1
+        h = np.array([zlib.crc32(token.encode()) for token in _TOKEN.findall((text or "").lower())], np.int64)
+        row += np.bincount(h % dim, np.where(h >> 31, 1.0, -1.0), dim)
     norm = np.linalg.norm(out, axis=1, keepdims=True)
     return out / np.where(norm > 0, norm, 1)
 

@@ -12,6 +12,9 @@ from ..functions import vectors as V
 from .postings import freq_of, postings, weights
 from .snapshots import UNREADABLE
 
+#: Paths that are broadcast, at most.
+FEW_PATHS = 1 << 18
+
 
 def diff_notes(notes: DataFrame, index_notes: DataFrame, force: bool = False) -> DataFrame:
     """``(path, hash, status)``: new, changed, same or failed; by content alone.  Texts stay out of the join."""
@@ -26,15 +29,16 @@ def stale_notes(notes: DataFrame, index_notes: DataFrame) -> DataFrame:
     return index_notes.select("path").join(notes.select("path"), "path", "left_anti")
 
 
-def embed_missing(df: DataFrame, text: str, cache: DataFrame, embedder: V.Embedder | None, checkpoint=lambda df: df) -> tuple[DataFrame, DataFrame]:
+def embed_missing(df: DataFrame, text: str, cache: DataFrame, embedder: V.Embedder | None, checkpoint=lambda df: df, kept: bool = True) -> tuple[DataFrame, DataFrame]:
     """``df`` with ``vec``, and ``(h, vec)`` of the distinct texts that the cache lacked; null vectors without a model."""
     keyed = df.withColumn("__h", T.content_hash(F.col(text)))
     if embedder is None:
         return keyed.drop("__h").withColumn("vec", F.lit(None).cast("array<float>")), cache.limit(0)
     wanted = keyed.select(F.col("__h").alias("h"), F.col(text).alias("t")).dropDuplicates(["h"])
     fresh = checkpoint(V.embed(wanted.join(cache, "h", "left_anti"), embedder, "h", "t"))
-    # Of a cache that is larger than what is wanted, only the vectors in use go on.
-    used = cache.join(wanted.select("h"), "h", "left_semi").union(fresh)
+    # Of a cache that is larger than what is wanted, only the vectors in use go on; what isn't kept would be made again to see which.
+    # A text has one vector, so a reader without need of vectors makes no join.
+    used = cache.join(wanted.select("h"), "h", "left_semi").union(fresh) if kept else cache.union(fresh).groupBy("h").agg(F.any_value("vec").alias("vec"))
     return keyed.join(used.withColumnRenamed("h", "__k"), F.col("__h") == F.col("__k"), "left").drop("__h", "__k"), fresh
 
 
@@ -44,20 +48,33 @@ def embed_with_cache(df: DataFrame, text: str, cache: DataFrame, embedder: V.Emb
     return out, cache.union(fresh)
 
 
-def index_changes(notes: DataFrame, previous: dict[str, DataFrame], chunker: Callable[[DataFrame], DataFrame], embedder: V.Embedder | None, now: Column, checkpoint, force: bool = False) -> dict[str, DataFrame]:
+def _rows_of(df: DataFrame, paths: DataFrame, others: DataFrame | None = None) -> DataFrame:
+    """The rows at ``paths``, or at none of ``others`` where these are all the rest: whichever are few are broadcast, so that texts aren't shuffled."""
+    df = df.where("path is not null")
+    if others is not None and others.count() <= FEW_PATHS:
+        return df.join(F.broadcast(others), "path", "left_anti")
+    return df.join(F.broadcast(paths) if paths.count() <= FEW_PATHS else paths, "path", "left_semi")
+
+
+def _rows_without(df: DataFrame, paths: DataFrame) -> DataFrame:
+    return df.join(F.broadcast(paths) if paths.count() <= FEW_PATHS else paths, "path", "left_anti")
+
+
+def index_changes(notes: DataFrame, previous: dict[str, DataFrame], chunker: Callable[[DataFrame], DataFrame], embedder: V.Embedder | None, now: Column, checkpoint, force: bool = False, kept: bool = True) -> dict[str, DataFrame]:
     """What ``notes(path, text, mtime, size)`` change in an index: ``gone`` paths, then new rows of notes, chunks and emb.
 
     Chunks of new and changed notes are made, those of changed and vanished
-    ones gone; failed notes keep theirs.
+    ones gone; failed notes keep theirs.  Without ``kept`` chunks are made where they are used, not kept as tables.
     """
     diff = checkpoint(diff_notes(notes, previous["notes"], force))
-    redo = diff.where("status in ('new', 'changed')").select("path", "hash")
-    gone = redo.select("path").union(stale_notes(notes, previous["notes"]))
-    work = notes.join(redo, "path")
-    chunks = checkpoint(chunker(work))
+    redo, rest = (diff.where(f"status {is_} ('new', 'changed')").select("path") for is_ in ("in", "not in"))
+    gone = redo.union(stale_notes(notes, previous["notes"]))
+    work = _rows_of(notes, redo, rest).withColumn("hash", T.content_hash(F.col("text")))
+    chunks = checkpoint(chunker(work)) if kept else chunker(work)
     texts = chunks.withColumn("__t", T.embed_text(F.col("path"), F.col("heading"), F.col("text")))
-    vectors, fresh = embed_missing(texts, "__t", previous["emb"], embedder, checkpoint)
-    vectors = checkpoint(vectors.drop("__t").select("path", "ord", "heading", "hlevel", "ctype", "text", "vec"))
+    vectors, fresh = embed_missing(texts, "__t", previous["emb"], embedder, checkpoint, kept)
+    vectors = vectors.drop("__t").select("path", "ord", "heading", "hlevel", "ctype", "text", "vec")
+    vectors = checkpoint(vectors) if kept else vectors
     n = vectors.groupBy("path").agg(F.count("*").cast("int").alias("n_chunks"))
     rows = work.join(n, "path", "left").select(
         "path", F.unix_timestamp("mtime").cast("double").alias("mtime"), F.col("size").cast("long").alias("size"), "hash",
@@ -66,18 +83,24 @@ def index_changes(notes: DataFrame, previous: dict[str, DataFrame], chunker: Cal
     return {"gone": gone, "notes": rows, "chunks": vectors, "emb": fresh}
 
 
-def build_index(notes: DataFrame, previous: dict[str, DataFrame], chunker: Callable[[DataFrame], DataFrame], embedder: V.Embedder | None, now: Column, checkpoint, force: bool = False) -> dict[str, DataFrame]:
+def build_index(notes: DataFrame, previous: dict[str, DataFrame], chunker: Callable[[DataFrame], DataFrame], embedder: V.Embedder | None, now: Column, checkpoint, force: bool = False, kept: bool = True) -> dict[str, DataFrame]:
     """The index after ``notes(path, text, mtime, size)``, which are all there are: tables notes, chunks, df, emb, postings, weights.
 
     Postings of chunks that stay are kept, so only new chunks are tokenised (all, if the index before had none).
+    Without ``kept`` there are the tables notes, chunks and emb, of which only new embeddings are kept on disk: for a reader that
+    goes over the chunks once.
     """
-    new = index_changes(notes, previous, chunker, embedder, now, checkpoint, force)
-    kept = {t: previous[t].join(new["gone"], "path", "left_anti") for t in ("notes", "chunks", "postings") if t in previous}
-    chunks = kept["chunks"].unionByName(new["chunks"])
-    own = kept["postings"].unionByName(postings(new["chunks"])) if "postings" in kept else postings(chunks)
+    new = index_changes(notes, previous, chunker, embedder, now, checkpoint, force, kept)
+    gone = new["gone"] if kept else checkpoint(new["gone"])
+    stay = {t: previous[t].join(gone, "path", "left_anti") if kept else _rows_without(previous[t], gone) for t in ("notes", "chunks", "postings") if t in previous and (kept or t != "postings")}
+    chunks = stay["chunks"].unionByName(new["chunks"])
+    out = {"notes": stay["notes"].unionByName(new["notes"]), "chunks": chunks, "emb": previous["emb"].union(new["emb"])}
+    if not kept:
+        return out
+    own = stay["postings"].unionByName(postings(new["chunks"])) if "postings" in stay else postings(chunks)
     own = checkpoint(own)
     classes = checkpoint(weights(own))
-    return {"notes": kept["notes"].unionByName(new["notes"]), "chunks": chunks, "df": freq_of(classes), "emb": previous["emb"].union(new["emb"]), "postings": own, "weights": classes}
+    return out | {"df": freq_of(classes), "postings": own, "weights": classes}
 
 
 def build_line(diff: DataFrame) -> DataFrame:

@@ -293,3 +293,21 @@ def test_links_by_name_and_their_numbers(spark, monkeypatch, square, compat):
     # No pair is dealt out again once it is made.
     plan = similarity.current_links(v, compat)._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" not in plan.split("Join")[0]
+
+
+@pytest.mark.parametrize("few", [1 << 18, 0])
+def test_an_index_that_is_not_kept(spark, monkeypatch, few):
+    """The same notes, chunks and vectors as of the kept index, in two steps; no join for vectors that aren't asked for, no table of chunks."""
+    monkeypatch.setattr(index, "FEW_PATHS", few)
+    a = {"a.md": "# A\n" + "alpha beta " * 20, "b.md": "# B\n" + "gamma " * 30, "c.md": "delta " * 30, "same.md": "delta " * 30, "e.md": "epsilon zeta " * 20}
+    b = {"a.md": a["a.md"].replace("alpha", "alphx"), "b.md": "Note not found: b", "d.md": "delta " * 30, "e.md": a["e.md"], "same.md": a["same.md"]}
+    want = _build(spark, b, _build(spark, a, _index(spark)))
+    tables = []
+    keeping = lambda df: tables.append(df.columns) or checkpoint(df)
+    once = _index(spark)
+    for texts in (a, b):
+        once = index.build_index(_notes(spark, texts), once, chunking.chunk_notes_index, V.hashing_embedder, F.lit(NOW), keeping, kept=False)
+    assert set(once) == {"notes", "chunks", "emb"} and not any("text" in t or "term" in t for t in tables)
+    for table, names in (("chunks", ("path", "ord", "heading", "text", "vec")), ("notes", ("path", "hash", "n_chunks")), ("emb", ("h", "vec"))):
+        assert _rows(once[table], *names) == _rows(want[table], *names)
+    assert "LeftOuter" not in once["chunks"].drop("vec")._jdf.queryExecution().optimizedPlan().toString()
